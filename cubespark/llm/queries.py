@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cubespark.llm.common import table
+from cubespark.llm.mixing import mix
 from cubespark.llm.near_dedup import near_duplicates
+from cubespark.llm.quality_rules import quality_flags
+
+
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_flags(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +26,8 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_source_mixing": op1_source_mixing,
+    "op2_quality_rules": op2_quality_rules,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
 }
 
