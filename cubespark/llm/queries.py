@@ -10,6 +10,7 @@ from cubespark.llm.common import table
 from cubespark.llm.mixing import mix
 from cubespark.llm.near_dedup import near_duplicates
 from cubespark.llm.quality_rules import quality_flags
+from cubespark.llm.secret_scan import secret_spans
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_flags(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans(table(spark, sf_dir, "documents"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
@@ -28,6 +33,7 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_quality_rules": op2_quality_rules,
+    "op3_secret_scan": op3_secret_scan,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
 }
 
