@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cubespark.llm.common import table
+from cubespark.llm.media import media_features
 from cubespark.llm.mixing import mix
 from cubespark.llm.near_dedup import near_duplicates
 from cubespark.llm.quality_rules import quality_flags
 from cubespark.llm.secret_scan import secret_spans
+from cubespark.llm.warc import read_archives, write_archives
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +28,15 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op6_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_features(table(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = read_archives(write_archives(table(spark, sf_dir, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
@@ -34,10 +45,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_quality_rules": op2_quality_rules,
     "op3_secret_scan": op3_secret_scan,
+    "op6_mpeg_audio": op6_mpeg_audio,
+    "op7_warc": op7_warc,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op7_warc": """
+with p as (select page_id, encode(coalesce(html, '')) b from pages),
+g as (select b, max(page_id) top from p where octet_length(b) >= 1000 group by b having count(*) > 1)
+select page_id, octet_length(b) payload_bytes, sha1(b) payload_digest,
+  case when top is null or page_id is not distinct from top then 'response' else 'revisit' end record_type,
+  case when page_id is distinct from top then top end refers_to
+from p left join g using (b)
+""",
     "op8_minhash_near_dedup": r"""
 with recursive w as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
