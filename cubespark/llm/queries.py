@@ -15,6 +15,7 @@ from cubespark.llm.packing import pack
 from cubespark.llm.quality_classifier import classify
 from cubespark.llm.quality_rules import quality_flags
 from cubespark.llm.secret_scan import secret_spans
+from cubespark.llm.substring_dedup import repeated_passages
 from cubespark.llm.warc import read_archives, write_archives
 
 
@@ -31,6 +32,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_quality_rules": op2_quality_rules,
     "op3_secret_scan": op3_secret_scan,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_mpeg_audio": op6_mpeg_audio,
     "op7_warc": op7_warc,
