@@ -1,27 +1,32 @@
 """Similarity links between sets, and their connected components, without expanding groups into all pairs.
 
 Sets are known by a 64-bit id (the hash of the whole set), so that equal sets are one vertex from the start. An operator
-gives each vertex a number of 64-bit keys; vertices that share a key are candidates. Every candidate pair of different
-components is checked in the end, in two rounds:
-
-1. star: each bucket's members against its smallest id. In a large group of near copies this settles nearly everything
-   with one pair per member;
-2. rest: in a bucket that still holds several components, the members outside its largest component against everybody of
-   another component. A bucket with one component, such as a group of near copies, costs nothing here.
-
-A 2-bit sketch of the signatures, compared inside the join, keeps pairs far below the threshold from being made.
+gives each vertex a number of 64-bit keys; vertices that share a key are candidates. Every candidate pair is linked, or
+compared on the full sets, or its sketches are too far apart:
+
+1. star: each bucket's members against its smallest id, one pair per member. The pairs whose sketches are near make
+   neighbourhoods (their components); those that are verified make the first labels.
+2. within a neighbourhood of several labels: the members outside its largest label against all others, in blocks of sets
+   that meet in one task and give only the verified links. A neighbourhood of one label, such as a plain group of near
+   copies, costs nothing here.
+3. across neighbourhoods: members of a bucket that belong to different ones, if their sketches are near.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cubespark.llm.common import mix, stash
+from cubespark.llm.common import mix, small_batches, stash
 
 SKETCH_WORDS = 3
 SKETCH_SLOTS = 28 * SKETCH_WORDS
+#: Sets on either side of a block comparison.
+BLOCK = 128
 _EVEN = 0x5555555555555555
 
 
@@ -120,45 +125,111 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.where(F.col("_both") * 100 >= union * percent).select("a", "b")
 
 
+def _block_links(threshold: float):
+    """Links of the sets of side 1 with those of side 0 in the same cell; rows come sorted by cell and side."""
+    percent = round(threshold * 100)
+
+    def tables(held: list) -> Iterator[tuple]:
+        at = 0
+        while at < len(held):
+            end, words = at, 0
+            while end < len(held) and (end == at or (words + len(held[end][2])) * (end + 1 - at) <= 1 << 24):
+                words += len(held[end][2])
+                end += 1
+            part = held[at:end]
+            vocabulary, place = np.unique(np.concatenate([m for _, _, m in part]), return_inverse=True)
+            sizes = np.array([len(m) for _, _, m in part])
+            has = np.zeros((len(vocabulary), len(part)), bool)
+            has[place, np.repeat(np.arange(len(part)), sizes)] = True
+            yield vocabulary, has, sizes, np.array([i for i, _, _ in part]), np.array([g for _, g, _ in part])
+            at = end
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell, held, built = None, [], None
+        for batch in batches:
+            out = []
+            rows = zip(*(batch[c] for c in ("hood", "mb", "gb", "side", "id", "label", "members")), strict=True)
+            for hood, mb, gb, side, vertex, label, members in rows:
+                if (hood, mb, gb) != cell:
+                    cell, held, built = (hood, mb, gb), [], None
+                if side == 0:
+                    held.append((vertex, label, np.asarray(members)))
+                    continue
+                built = list(tables(held)) if built is None else built
+                members = np.asarray(members)
+                for vocabulary, has, sizes, ids, labels in built:
+                    at = np.minimum(np.searchsorted(vocabulary, members), len(vocabulary) - 1)
+                    both = has[at[vocabulary[at] == members]].sum(axis=0)
+                    linked = (both * 100 >= percent * (sizes + len(members) - both)) & (labels != label)
+                    out += [(vertex, other) for other in ids[linked]]
+            if out:
+                yield pd.DataFrame(out, columns=["a", "b"])
+
+    return run
+
+
+def _links_within(placed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Verified links (a, b) between different labels of one neighbourhood."""
+    hood = Window.partitionBy("hood")
+    labels = placed.groupBy("hood", "label").agg(F.count("*").alias("size"))
+    mixed = (
+        labels.groupBy("hood")
+        .agg(F.max(F.struct("size", "label")).alias("top"), F.count("*").alias("labels"), F.sum("size").alias("all"))
+        .where("labels > 1")
+        .select(
+            "hood",
+            F.col("top.label").alias("major"),
+            F.ceil((F.col("all") - F.col("top.size")) / BLOCK).alias("m_blocks"),
+            F.ceil(F.col("all") / BLOCK).alias("g_blocks"),
+        )
+    )
+    members = placed.select("id", "label", "hood").join(mixed, "hood").join(sets, "id")
+    own = F.xxhash64("id")
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    cells = ["hood", "mb", "gb", "side", "id", "label", "members"]
+    minor = members.where("label <> major").select("*", F.lit(0).alias("side"), F.pmod(own, "m_blocks").alias("mb"), every("g_blocks").alias("gb"))
+    whole = members.select("*", F.lit(1).alias("side"), F.pmod(own, "g_blocks").alias("gb"), every("m_blocks").alias("mb"))
+    rows = minor.select(*cells).unionByName(whole.select(*cells)).repartition("hood", "mb", "gb")
+    return rows.sortWithinPartitions("hood", "mb", "gb", "side", "id").mapInPandas(_block_links(threshold), "a long, b long")
+
+
+def _links_across(buckets: DataFrame, placed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Verified links (a, b) between members of a bucket that are of different neighbourhoods."""
+    rows = buckets.select("key", "id").join(placed, "id")
+    sizes = rows.groupBy("key", "hood").agg(F.count("*").alias("size"))
+    major = sizes.groupBy("key").agg(F.max(F.struct("size", "hood")).alias("top"), F.count("*").alias("hoods")).where("hoods > 1")
+    mixed = rows.join(major.select("key", F.col("top.hood").alias("major")), "key")
+    x, y = mixed.where("hood <> major").alias("x"), mixed.alias("y")
+    rest = x.join(
+        y,
+        (F.col("x.key") == F.col("y.key"))
+        & (F.col("x.hood") != F.col("y.hood"))
+        & ((F.col("y.hood") == F.col("y.major")) | (F.col("x.id") < F.col("y.id")))
+        & _near("x", "y", threshold),
+    )
+    return _verified(rest.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), sets, threshold)
+
+
 def linked_components(buckets: DataFrame, sketches: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """(id, label) of the vertices in components of two or more.
 
     ``buckets`` as shared_buckets() gives them; ``sketches`` (id, n, s0..); ``sets`` (id, members array<long>), both for
     every id in buckets at least, and stored.
     """
-    described = buckets.join(sketches, "id")
-    a = buckets.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
-    mine, other = sketches.alias("x"), sketches.alias("y")
-    stars = (
-        a.join(mine, F.col("a") == F.col("x.id"))
-        .join(other, F.col("b") == F.col("y.id"))
+    small_batches(buckets.sparkSession)
+    stars = buckets.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
+    near = stash(
+        stars.join(sketches.alias("x"), F.col("a") == F.col("x.id"))
+        .join(sketches.alias("y"), F.col("b") == F.col("y.id"))
         .where(_near("x", "y", threshold))
         .select("a", "b")
     )
-    star_edges = stash(_verified(stars, sets, threshold))
-    labels = stash(components(star_edges))
-
-    placed = stash(
-        described.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"), "n", "s0", "s1", "s2")
-    )
-    sizes = placed.groupBy("key", "label").agg(F.count("*").alias("size"))
-    major = sizes.groupBy("key").agg(
-        F.max(F.struct("size", "label")).alias("top"), F.count("*").alias("labels")
-    ).where("labels > 1")
-    mixed = placed.join(major.select("key", F.col("top.label").alias("major")), "key")
-    x, y = mixed.where("label <> major").alias("x"), mixed.alias("y")
-    rest = (
-        x.join(
-            y,
-            (F.col("x.key") == F.col("y.key"))
-            & (F.col("x.label") != F.col("y.label"))
-            & ((F.col("y.label") == F.col("y.major")) | (F.col("x.id") < F.col("y.id")))
-            & _near("x", "y", threshold),
-        )
-        .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-        .distinct()
-    )
-    rest_edges = stash(_verified(rest, sets, threshold))
-    if rest_edges.isEmpty():
-        return labels
-    return stash(components(star_edges.unionByName(rest_edges)))
+    edges = stash(_verified(near, sets, threshold))
+    labels, hoods = components(edges), components(near).withColumnRenamed("label", "hood")
+    placed = sketches.join(hoods, "id", "left").join(labels, "id", "left")
+    placed = stash(placed.withColumns({"hood": F.coalesce("hood", "id"), "label": F.coalesce("label", "id")}))
+    more = stash(_links_within(placed, sets, threshold).unionByName(_links_across(buckets, placed, sets, threshold)))
+    return labels if more.isEmpty() else components(edges.unionByName(more))
