@@ -6,6 +6,11 @@ a pair at the similarity threshold is missed with a probability of at most 1e-6.
 Jaccard similarity of the full sets, and the components of the verified links are the clusters. In each cluster the first
 occurrence, by doc_id and then position, stays; the others are removals.
 
+A passage can also sit inside a longer paragraph. So paragraphs of at least two MIN_WORDS are divided at content-defined
+places (words whose hash is the least within REACH words to either side; about every 2 * REACH words, and at the same places
+wherever a passage stands). Pieces whose word sequences are equal in different documents are clusters too, unless their
+whole paragraph is in one.
+
 Cases: a null text has no paragraphs. A null doc_id comes after all others. Rows that repeat a doc_id are documents of their
 own for counting; their paragraphs repeat each other. An empty table gives an empty result. Other columns don't matter.
 Words are compared without regard to the case of A-Z. Shorter lines are never clustered.
@@ -18,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cubespark.llm import linking
@@ -27,6 +32,7 @@ from cubespark.llm.common import mix, shingle_hashes, small_batches, stash, word
 MIN_WORDS = 15
 SHINGLE = 5
 THRESHOLD = 0.8
+REACH = 8
 
 
 def tune_bands(threshold: float, recall: float = 1 - 1e-6, most: int = 128) -> tuple[int, int]:
@@ -77,6 +83,58 @@ def _place(least: int):
     return run
 
 
+def pieces(line: str, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, ids) of the content-defined pieces of a line between its first and last cut; code points in the line."""
+    data = line.encode("utf-8", "replace")
+    word, start, end = word_hashes(data.lower())
+    none = np.zeros(0, np.int64)
+    if len(word) < 2 * least:
+        return none, none, none
+    around = np.lib.stride_tricks.sliding_window_view(np.pad(word, REACH, constant_values=np.iinfo(np.uint64).max), 2 * REACH + 1)
+    cut = np.flatnonzero(around.min(axis=1) == word)
+    if len(cut) < 2:
+        return none, none, none
+    place = np.arange(len(word)) - np.repeat(np.concatenate(([0], cut)), np.diff(np.concatenate(([0], cut, [len(word)]))))
+    sums = np.add.reduceat(mix(word ^ mix(place.astype(np.uint64) + np.uint64(1))), cut)[:-1]
+    ids = mix(sums ^ np.diff(cut).astype(np.uint64)).view(np.int64)
+    first, last = start[cut[:-1]], end[cut[1:] - 1]
+    if len(data) != len(line):
+        point = np.concatenate(([0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)))
+        first, last = point[first], point[last]
+    return first, last, ids
+
+
+def _divide(least: int):
+    columns = ["doc_id", "paragraph", "start", "end", "id"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+                at = 0
+                for number, line in enumerate((text or "").split("\n")):
+                    first, last, ids = pieces(line, least)
+                    if len(ids):
+                        out.append((doc_id, number, at + first, at + last, ids))
+                    at += len(line) + 1
+            if not out:
+                continue
+            n = [len(x[4]) for x in out]
+            made = {c: np.concatenate([x[k] for x in out]) for k, c in ((2, "start"), (3, "end"), (4, "id"))}
+            made |= {"doc_id": pd.Series([x[0] for x in out], dtype="Int64").repeat(n).array, "paragraph": np.repeat([x[1] for x in out], n)}
+            yield pd.DataFrame(made)[columns]
+
+    return run
+
+
+def repeated_pieces(texts: DataFrame, least: int) -> DataFrame:
+    """The pieces of ``texts`` (doc_id, text) that stand in two documents or more: doc_id, paragraph, start, end, id; stored."""
+    found = texts.mapInPandas(_divide(least), "doc_id long, paragraph int, start long, end long, id long")
+    w, doc = Window.partitionBy("id"), F.coalesce("doc_id", F.lit(2**63 - 1))
+    found = found.withColumns({"_low": F.min(doc).over(w), "_high": F.max(doc).over(w)})
+    return stash(found.where("_low < _high").drop("_low", "_high"))
+
+
 def _sign(least: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -107,7 +165,7 @@ def _members(least: int):
 
 
 def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per paragraph of ``docs`` (doc_id, text) that has a near-equal one elsewhere: doc_id, paragraph, start, end,
+    """One row per paragraph, or piece of one, of ``docs`` (doc_id, text) that has a near-equal one elsewhere: doc_id, paragraph, start, end,
     cluster_id, cluster_size, removed, kept_doc_id (the document in which the cluster's first occurrence stays)."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -119,16 +177,25 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, threshold: float
     sketches = stash(signed.drop("keys").join(involved, "id", "left_semi"))
     wanted = places.join(involved, "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc_id", "paragraph")).alias("p"))
     wanted = wanted.groupBy(F.col("p.doc_id").alias("_doc")).agg(F.collect_set("p.paragraph").alias("numbers"))
-    chosen = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("text", "numbers")
+    chosen = texts.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc"))).select("text", "numbers")
     sets = chosen.mapInPandas(_members(least), "id long, members array<long>")
     sets = stash(sets.join(involved, "id", "left_semi").dropDuplicates(["id"]))
     labels = linking.linked_components(buckets, sketches, sets, threshold)
 
     placed = places.join(labels, "id", "left").withColumn("cluster_id", F.coalesce("label", "id")).drop("label", "id")
+    whole = _clusters(placed)
+    inside = repeated_pieces(texts, least).withColumnRenamed("id", "cluster_id").alias("p")
+    taken = whole.select("doc_id", "paragraph").distinct().alias("w")
+    same = F.col("p.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("p.paragraph") == F.col("w.paragraph"))
+    return whole.unionByName(_clusters(inside.join(taken, same, "left_anti")))
+
+
+def _clusters(placed: DataFrame) -> DataFrame:
+    """The rows of clusters of two or more, and whether each is a removal."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "paragraph", "start")).alias("first")
     clusters = placed.groupBy("cluster_id").agg(F.count("*").alias("cluster_size"), first).where("cluster_size > 1")
     found = placed.join(clusters, "cluster_id")
-    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("paragraph") == F.col("first.paragraph"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.start"))
     return found.select(
         "doc_id", "paragraph", "start", "end", "cluster_id", "cluster_size", (~stays).alias("removed"), F.col("first.doc_id").alias("kept_doc_id")
     )
@@ -137,17 +204,15 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, threshold: float
 def _cut(text: str | None, spans: object) -> str | None:
     if text is None or spans is None:
         return text
-    gone = {(s["start"], s["end"]) for s in spans}
     out, at = [], 0
-    for line in text.split("\n"):
-        if (at, at + len(line)) not in gone:
-            out.append(line)
-        at += len(line) + 1
-    return "\n".join(out)
+    for start, end in sorted((s["start"], s["end"]) for s in spans):
+        out.append(text[at:start])
+        at = end + (text[end : end + 1] == "\n" and (start == 0 or text[start - 1] == "\n"))  # a whole line goes with its end
+    return "".join([*out, text[at:]])
 
 
 def drop_repeats(docs: DataFrame, least: int = MIN_WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the removals: their lines are cut from the texts. A repeated doc_id loses them in all of its rows."""
+    """``docs`` without the removals, which are cut from the texts. A repeated doc_id loses them in all of its rows."""
     gone = repeated_passages(docs, least, threshold).where("removed")
     gone = gone.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
     cut = F.pandas_udf(lambda texts, spans: pd.Series(map(_cut, texts, spans), dtype=object), "string")
