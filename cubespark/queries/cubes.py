@@ -82,7 +82,7 @@ def datetime_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.select(F.concat(F.col("d").cast("string"), F.lit(" "), S.clock_of(F.col("slot") * 900)).alias("moment"), "slot")
 
 
-@query("select cast(extract(hour from ts) * 60 + extract(minute from ts) as int) "seconds", count(*) n from events group by 1")
+@query("""select cast(extract(hour from ts) * 60 + extract(minute from ts) as int) "seconds", count(*) n from events group by 1""")
 def log_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of a progress log are made of the events' hours and minutes, and their marks are parsed again."""
     mark = F.format_string("100%%|####| %d/%d [%02d:%02d<00:00, 1.0s/it]", F.col("user_id"), F.col("user_id"), F.hour("ts"), F.minute("ts"))
