@@ -119,7 +119,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) whose sets have a Jaccard similarity of at least ``threshold``, by whole numbers."""
     left = sets.select(F.col("id").alias("a"), F.col("members").alias("_a"))
     right = sets.select(F.col("id").alias("b"), F.col("members").alias("_b"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("_both", F.size(F.array_intersect("_a", "_b")))
+    # Neither side has a size bound, so neither is ever broadcast, however small it is here.
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").withColumn("_both", F.size(F.array_intersect("_a", "_b")))
     union = F.size("_a") + F.size("_b") - F.col("_both")
     percent = round(threshold * 100)
     return both.where(F.col("_both") * 100 >= union * percent).select("a", "b")

@@ -90,7 +90,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -
         .agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "s0", "s1", "s2")])
     )
     one = stash(one)
-    chosen = texts.alias("t").join(one.select("doc_id").alias("o"), F.col("t.doc_id").eqNullSafe(F.col("o.doc_id")), "left_semi")
+    chosen = texts.alias("t").join(one.select("doc_id").alias("o").hint("merge"), F.col("t.doc_id").eqNullSafe(F.col("o.doc_id")), "left_semi")
     sets = chosen.select("text").mapInPandas(_members(shingle), "id long, members array<long>")
     sets = stash(sets.join(one.select("id"), "id", "left_semi").dropDuplicates(["id"]))
     labels = linking.linked_components(buckets, one.drop("doc_id"), sets, threshold)
