@@ -110,7 +110,7 @@ def nsi_income_robust_amenity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("threshold", "buffer_m", "income_class", R(F.col("a")).alias("night_index"))
 
 
-def _rca_samples_sql(source: str, scope: str) -> str:
+def rca_samples_sql(source: str, scope: str) -> str:
     return f"""{_classes_sql(source, scope)}, tn as (select {scope}, c, count(*) n from cls group by all),
 m as (select {scope}, c, service, sum(v) / any_value(n) v from {source} join cls using ({scope}, tile) join tn using ({scope}, c) group by all),
 rt as (select {scope}, c, sum(v) r from m group by all), ct as (select {scope}, service, sum(v) k from m group by all), gt as (select {scope}, sum(v) g from m group by all),
@@ -126,12 +126,12 @@ def _rca_samples(spark: SparkSession, sf_dir: str, rows: DataFrame, *scope: str)
     return got.select(*scope, "income_class", "service", R(F.col("rca")).alias("rca"))
 
 
-@query(f"with {CUBE}, {MINUTES}, {_rca_samples_sql('st', 'sample')} select cast(sample as int) as sample, income_class, service, rca from rca")
+@query(f"with {CUBE}, {MINUTES}, {rca_samples_sql('st', 'sample')} select cast(sample as int) as sample, income_class, service, rca from rca")
 def rca_samples_screen_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rca_samples(spark, sf_dir, individual(spark, sf_dir), "sample")
 
 
-@query(f"with {CUBE}, {TILES}, {AMENITY}, {SAMPLES}, {_rca_samples_sql('samples', 'threshold, buffer_m')} select * from rca")
+@query(f"with {CUBE}, {TILES}, {AMENITY}, {SAMPLES}, {rca_samples_sql('samples', 'threshold, buffer_m')} select * from rca")
 def rca_samples_amenity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rca_samples(spark, sf_dir, samples(spark, sf_dir), "threshold", "buffer_m")
 

@@ -12,7 +12,7 @@ from cubespark.operators import stats as T
 from cubespark.plans import pipelines
 from cubespark.queries.base import CELL_CUBE, CUBE, INCOME, OVERLAP, QS, cell_cube, cube, incomes, query, table, tile_boxes
 from cubespark.queries.indices import SPACE, space
-from cubespark.queries.sampling import MINUTES, N_SAMPLES, nsi_over, rates
+from cubespark.queries.sampling import MINUTES, N_SAMPLES, nsi_over, rates, rca_samples_sql
 from cubespark.queries.spatial import overlaps
 from cubespark.streaming.rollup import rolled_up
 
@@ -155,7 +155,7 @@ def pipeline_nsi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("city", "tile", R(F.col("night_index")).alias("night_index"), R(F.col("log2_income")).alias("log2_income"))
 
 
-@query()
+@query(f"with {CUBE}, {MINUTES}, {rca_samples_sql('st', 'sample')} select cast(sample as int) as sample, income_class, service, rca from rca")
 def pipeline_rca(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cube(spark, sf_dir)
     got = pipelines.rca(c, rates(spark), incomes(spark, sf_dir, c), QS, N_SAMPLES)["rca_samples_individual"]

@@ -1,0 +1,242 @@
+"""Small cases by hand: missing values, zero totals, edges, and properties of the operators."""
+
+from __future__ import annotations
+
+import math
+import random
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from cubespark.functions import scalars as S
+from cubespark.operators import cube as C
+from cubespark.operators import graph as G
+from cubespark.operators import income as N
+from cubespark.operators import indices as X
+from cubespark.operators import mobility as M
+from cubespark.operators import sampling as Z
+from cubespark.operators import spatial as P
+from cubespark.operators import stats as T
+from cubespark.sources import store
+
+CUBE = "city string, tile long, service string, slot int, value double"
+
+
+@pytest.fixture(scope="module")
+def toy(spark):
+    rng = random.Random(1)
+    rows = [(f"c{c}", c * 10 + t, s, i, float(rng.randrange(9))) for c in range(2) for t in range(6) for s in "ab" for i in range(8) if rng.random() < 0.7]
+    return spark.createDataFrame(rows, CUBE)
+
+
+def rows(df, *columns):
+    return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str)
+
+
+def test_absent_rows_count_as_zero_and_nulls_do_not_count(spark):
+    cube = spark.createDataFrame([("c", 1, "a", 0, 4.0), ("c", 2, "a", 0, None), ("c", 1, "b", 0, 6.0), ("c", 3, "b", 0, None)], CUBE)
+    got = C.mean_over(cube, "tile", "service", "slot", members=cube.select("tile"))
+    assert rows(got, "service", "value") == [("a", 2.0), ("b", 3.0)]  # three tiles, one of them null
+    assert rows(C.mean_over(cube, "tile", "service"), "service", "value") == [("a", 2.0), ("b", 3.0)]
+
+
+def test_nan_becomes_null(spark):
+    df = spark.createDataFrame([(float("nan"),), (1.0,), (None,)], "x double")
+    assert df.select(S.clean(F.col("x")).alias("x")).agg(F.sum("x"), F.count("x")).first()[:] == (1.0, 1)
+
+
+def test_unit_without_traffic_has_index_zero_and_is_left_out_of_the_mean(spark):
+    cube = spark.createDataFrame([("c", 1, "a", 0, 1.0), ("c", 2, "a", 4, 1.0), ("c", 3, "a", 2, 0.0)], CUBE)
+    for f in (X.night_index, X.night_index_by_cdf):
+        got = {r.tile: r.night_index for r in f(cube, "tile").collect()}
+        if f is X.night_index:
+            assert got == {1: -2.0, 2: 2.0, 3: 0.0}
+        assert got[3] == 0 and not math.copysign(1, got[3]) < 0
+
+
+def test_both_forms_of_the_index_agree_and_average_to_zero(toy):
+    a, b = (({(r.city, r.tile): r.night_index for r in f(toy.where("slot >= 0"), "tile").collect()}) for f in (X.night_index, X.night_index_by_cdf))
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+    assert abs(sum(v for k, v in a.items() if k[0] == "c0")) < 1e-9
+    again = {(r.city, r.tile): r.night_index for r in X.night_index(toy.repartition(7), "tile").collect()}
+    assert all(abs(a[k] - again[k]) < 1e-9 for k in a)
+
+
+def test_classes_are_closed_on_the_right_and_null_stays_out(spark):
+    df = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 3.0), (4, None)], "tile long, log2_income double")
+    assert rows(N.income_classes(df, [0.5]), "tile", "income_class") == [(1, "q0"), (2, "q0"), (3, "q1"), (4, None)]
+    same = spark.createDataFrame([(1, 5.0), (2, 5.0)], "tile long, log2_income double")
+    assert rows(N.income_classes(same, [0.3, 0.7]), "income_class") == [("q0",), ("q0",)]
+    admin = spark.createDataFrame([(1, 8.0, 2.0), (2, 0.0, 1.0), (3, -4.0, 1.0), (4, 1.0, 0.0)], "tile long, Ind_snv double, Ind double")
+    assert rows(N.log2_income(admin), "tile", "log2_income") == [(1, 2.0), (2, None), (3, None), (4, None)]
+
+
+def test_division_by_zero_is_null(spark):
+    m = spark.createDataFrame([("r", "c", 0.0), ("r", "d", 0.0)], "row string, col string, value double")
+    assert rows(X.comparative_advantage(m, "row", "col"), "rca") == [(None,), (None,)]
+    assert rows(C.share(m, "row"), "share") == [(None,), (None,)]
+
+
+def test_advantage_weighted_by_column_shares_is_one(toy):
+    sums = toy.groupBy("tile", "service").agg(F.sum("value").alias("value"))
+    got = X.comparative_advantage(sums, "tile", "service").toPandas()
+    share = got.groupby("service").value.sum() / got.value.sum()
+    for _, g in got.groupby("tile"):
+        if g.value.sum():
+            assert abs(sum(r.rca * share[r.service] for r in g.itertuples()) - 1) < 1e-9
+
+
+def test_space_is_symmetric_with_ones_on_the_diagonal(toy):
+    adv = X.comparative_advantage(toy.groupBy("tile", F.col("slot").cast("string").alias("service")).agg(F.sum("value").alias("value")), "tile", "service")
+    got = {(r.a, r.b): r.proximity for r in X.service_space(adv, "tile", "service").collect()}
+    assert all(got[a, b] == got[b, a] and 0 <= got[a, b] <= 1 for a, b in got if got[a, b] is not None)
+    assert all(v in (1.0, None) for (a, b), v in got.items() if a == b) and len(got) == 64
+
+
+def test_cyclic_slots_and_wrapping_windows(spark):
+    t = spark.createDataFrame([("21:59:00",), ("22:00:00",), ("00:15:00",), ("06:00:00",)], "time string")
+    assert rows(C.cyclic_slots(t), "slot", "time") == [(0, "22:00:00"), (1, "00:15:00"), (2, "06:00:00"), (3, "21:59:00")]
+    c = t.withColumn("value", F.lit(1.0)).withColumn("k", F.lit(1))
+    assert X.consumption_in_window(c, "21:59:30", "00:15:00", "k").first().value == 2.0
+    assert spark.range(1).select(S.slot_to_clock(F.lit(8.5), 15, "22:00:00")).first()[0] == "00:08:00"  # 127.5 minutes, half to even
+
+
+def test_strict_labels_and_concat(toy):
+    with pytest.raises(ValueError, match="zz"):
+        C.filter_labels(toy, "service", ["a", "zz"], strict=True)
+    with pytest.raises(ValueError, match="slots"):
+        C.concat_cubes(toy, toy.where("slot < 3"))
+    assert C.concat_cubes(toy.where("service = 'a'"), toy.where("service = 'b'"), same_slots=False).count() == toy.count()
+    assert C.max_abs_difference(toy, toy, "tile", "service", "slot").first()[0] == 0.0
+    with pytest.raises(ValueError, match="technique"):
+        Z.screen_time_samples(toy, toy, 1, "other")
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.floats(-50, 150), st.floats(-50, 150), st.floats(1, 80), st.floats(1, 80))
+def test_clipping_a_box_by_a_box(x, y, w, h):
+    ring = [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+    want = max(0, min(x + w, 100) - max(x, 0)) * max(0, min(y + h, 100) - max(y, 0))
+    assert abs(P.clip_area(ring, (0, 0, 100, 100)) - want) < 1e-6 * max(1, want)
+
+
+def test_overlaps_buffers_and_conservation(spark):
+    rng = random.Random(2)
+    src = [(i, x := rng.uniform(-300, 300), y := rng.uniform(-300, 300), x + 100, y + 100) for i in range(60)]
+    dst = [(i, 100.0 * (i % 8) - 400, 100.0 * (i // 8) - 400, 100.0 * (i % 8) - 300, 100.0 * (i // 8) - 300) for i in range(64)]
+    schema = "key long, xmin double, ymin double, xmax double, ymax double"
+    s, d = spark.createDataFrame(src, schema), spark.createDataFrame(dst, schema)
+    want = {(a[0], b[0]): (min(a[3], b[3]) - max(a[1], b[1])) * (min(a[4], b[4]) - max(a[2], b[2])) for a in src for b in dst if min(a[3], b[3]) > max(a[1], b[1]) and min(a[4], b[4]) > max(a[2], b[2])}
+    got = {(r.src, r.dst): r.area for r in P.box_overlaps(s, d, 130.0).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    values = s.select(F.col("key").alias("src"), F.lit(1.0).alias("v"))
+    moved = P.regrid(values, P.box_overlaps(s, d, 130.0), 10_000.0, ["v"], "weighted_sum", least=-1.0).agg(F.sum("v")).first()[0]
+    assert abs(moved - sum(want.values()) / 10_000) < 1e-9
+    points = [("p", rng.uniform(-400, 400), rng.uniform(-400, 400)) for _ in range(80)]
+    near = P.points_in_buffer(d, spark.createDataFrame(points, "code string, x double, y double"), 70.0, 90.0).groupBy("key").count()
+    count = {b[0]: sum(max(b[1] - x, 0, x - b[3]) ** 2 + max(b[2] - y, 0, y - b[4]) ** 2 <= 4900 for _, x, y in points) for b in dst}
+    assert {r.key: r["count"] for r in near.collect()} == {k: n for k, n in count.items() if n}
+    triangle = spark.createDataFrame([(1, [(0.0, 0.0), (100.0, 0.0), (0.0, 100.0)])], "key long, ring array<struct<x: double, y: double>>")
+    inside = P.ring_overlaps(spark.createDataFrame([(5, 0.0, 0.0, 50.0, 50.0)], schema), triangle, 40.0)
+    assert rows(inside, "src", "dst", "area") == [(5, 1, 2500.0)]
+    assert triangle.select(P.ring_area(F.col("ring"))).first()[0] == 5000.0
+
+
+def test_null_values_do_not_weigh(spark):
+    df = spark.createDataFrame([(1, 4.0, 1.0), (1, None, 9.0)], "dst long, v double, area double")
+    assert P.perform_aggregation(df, ["v"], "weighted_mean", "dst").first().v == 4.0
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.integers(0, 20)), max_size=30), st.lists(st.integers(0, 20), max_size=30))
+def test_count_below_is_searchsorted(spark, values, marks):
+    v = spark.createDataFrame([(1, i, None if x is None else float(x)) for i, x in enumerate(values)], "g long, i long, x double")
+    m = spark.createDataFrame([(1, float(x)) for x in marks], "g long, y double")
+    got = {r.i: r.below for r in Z.count_below(v, m, ["g"], "x", "y").collect()}
+    assert got == {i: None if x is None else int(np.searchsorted(sorted(marks), x)) for i, x in enumerate(values)}
+
+
+def test_screen_time_grows_with_traffic_and_repeats(spark, toy):
+    rates = spark.createDataFrame([("a", 60.0), ("b", 5.0)], "service string, mb_per_hour double")
+    got = Z.screen_time_individual(toy, rates, 2).cache()
+    assert rows(got, *got.columns) == rows(Z.screen_time_individual(toy.repartition(5), rates, 2), *got.columns)
+    assert got.count() == 2 * toy.count() and got.where("value < 0").count() == 0
+    zero = toy.withColumn("value", F.lit(0.0))
+    assert Z.screen_time_individual(zero, rates, 1).agg(F.max("value")).first()[0] == 0.0
+
+
+def test_commuting(spark):
+    flows = spark.createDataFrame([("h", "w", 90), ("h", "h", 9), ("h", "x", 1)], "home string, work string, count long")
+    trips = spark.createDataFrame([("h", "w", 1200, 6000)], "home string, work string, duration_seconds long, distance_meters long")
+    modes = spark.createDataFrame([("h", 0.5)], "home string, car_share double")
+    got = M.commute_duration(flows, trips, modes, 0.05).first().mean_seconds
+    assert got == pytest.approx((90 * (0.5 * 1200 + 0.5 * 720) + 9 * (0.5 * 300 + 0.5 * 120)) / 100)
+
+
+def test_regressions_equal_least_squares(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(80, 3))
+    y = 2 + x @ [1.0, -2.0, 0.5] + rng.normal(0, 0.1, 80)
+    df = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y, strict=True)], "a double, b double, c double, y double")
+    want = np.linalg.lstsq(np.column_stack((np.ones(80), x)), y, rcond=None)[0]
+    got = T.ols_models(df, "y", "a", {"g": ["b"], "h": ["c"]}, T.all_combinations(["g", "h"])).collect()
+    assert [r.model for r in got] == ["none", "g", "h", "g+h"] and got[3].coefficient == pytest.approx(want[1])
+    summary = {t: (c, e, p) for t, c, e, p in T.ols_summary(df, "y", ["a", "b", "c"])}
+    assert summary["a"][0] == pytest.approx(want[1]) and summary["a"][1] == pytest.approx(got[3].std_error) and summary["a"][2] < 1e-6
+    one = T.ols_simple(df, "a", "y").first()
+    assert (one.slope, one.intercept) == pytest.approx(tuple(np.polyfit(x[:, 0], y, 1)))
+
+
+def test_bins_hold_their_upper_end(spark):
+    df = spark.createDataFrame([(float(i), 1.0) for i in range(11)], "x double, y double")
+    assert rows(T.binned_mean(df, "x", "y", 5), "bin", "n") == [(1, 2), (2, 2), (3, 2), (4, 2), (5, 3)]
+    assert T.zscore(df, "x", quantile=0.5).count() == 6
+
+
+@settings(max_examples=3, deadline=None)
+@given(st.integers(0, 1000))
+def test_spanning_forest_is_kruskals(spark, seed):
+    rng = random.Random(seed)
+    edges = sorted({tuple(sorted(rng.sample(range(9), 2))): round(rng.random(), 1) for _ in range(12)}.items())
+    parent = list(range(9))
+
+    def root(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    want = set()
+    for (a, b), w in sorted(edges, key=lambda e: (-e[1], e[0])):
+        if root(a) != root(b):
+            parent[root(a)] = root(b)
+            want.add((a, b, w))
+    df = spark.createDataFrame([(a, b, w) for (a, b), w in edges], "a long, b long, w double")
+    assert {tuple(r) for r in G.maximum_spanning_forest(df).collect()} == want
+
+
+def test_backbone_and_union(spark):
+    star = spark.createDataFrame([(0, i, 10.0 if i == 1 else 0.1) for i in range(1, 8)] + [(8, 9, 1.0)], "a long, b long, w double")
+    kept = G.disparity_backbone(star)
+    assert rows(kept, "a", "b") == [(0, 1)]
+    assert G.union_max(kept, star.withColumn("w", F.lit(0.5))).where("a = 0 and b = 1").first().w == 10.0
+
+
+def test_round_trips(spark):
+    path = store.shared_path(spark, "t")
+    store.write_csv(spark.createDataFrame([("007", 1.5), (None, None)], "code string, v double"), path)
+    assert rows(store.read_csv(spark, path, "code string, v double"), "code", "v") == [("007", 1.5), (None, None)]
+    lines = spark.createDataFrame([(" 50%|##| 17/34 [01:40<01:41, 5.9s/it]",), ("no mark",), (None,)], "line string")
+    assert [r.seconds for r in store.log_durations(lines).collect()] == [100]
+    whole = store.shared_path(spark, "geo")
+    text = '{"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"k": 5}, "geometry": {"type": "Polygon", "coordinates": [[[0, 1], [2, 3]]]}}]}'
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(whole)
+    got = store.read_geojson(spark, whole, "k: bigint", collection=True).first()
+    assert got.k == 5 and [(p.x, p.y) for p in got.ring] == [(0.0, 1.0), (2.0, 3.0)]
+
+
+def test_projection_of_a_known_point(spark):
+    x, y = spark.range(1).select(*S.lambert93(F.lit(3.0), F.lit(46.5))).first()
+    assert (x, y) == (pytest.approx(700000, abs=0.01), pytest.approx(6600000, abs=0.5))
