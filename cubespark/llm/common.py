@@ -34,6 +34,17 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed_texts(docs: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, text, more) for Python tasks. The id goes there as a string: pandas turns longs beside nulls into floats, which
+    are not exact above 2 ** 53."""
+    return docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text", *more)
+
+
+def with_long(df: DataFrame, *columns: str) -> DataFrame:
+    """Columns that went through Python as strings as longs again."""
+    return df.withColumns({c: F.col(c).cast("long") for c in columns})
+
+
 def small_batches(spark: SparkSession, mb: int = 16) -> None:
     """Bound the bytes of an Arrow batch, so that a run of very long texts can't fill a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))

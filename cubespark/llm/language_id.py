@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cubespark.llm.common import bounded_sample, held_out, mix, small_batches
+from cubespark.llm.common import bounded_sample, held_out, keyed_texts, mix, small_batches, with_long
 
 FIT_ROWS = 8_000
 ORDERS = (3, 4)
@@ -135,10 +135,10 @@ def predict_language(docs: DataFrame, model: Filter) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             said = pd.DataFrame([shared.value.predict(text) for text in batch["text"]], columns=["lang_pred", "score"])
-            yield pd.concat([batch[["doc_id", "held_out"]].astype({"doc_id": "Int64"}), said], axis=1)
+            yield pd.concat([batch[["doc_id", "held_out"]], said], axis=1)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    rows = keyed_texts(docs, held_out(F.col("doc_id")).alias("held_out"))
+    return with_long(rows.mapInPandas(run, "doc_id string, held_out boolean, lang_pred string, score double"), "doc_id")
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ constant-format frames (one bit rate per frame, chosen so that the last frame is
 that carries the payload's length and an information frame with a variable-bit-rate table. Every frame has a CRC-16 over
 its header and side information. The unit of the format is the byte of main data: the payload is read back exactly.
 
-Parsing works on any byte string: it skips an ID3v2 tag and looks for two frame headers in sequence (resynchronising after
-junk), reads the table, checks each CRC and sums up samples, so durations are exact fractions of the sample rate and every
+Parsing works on any byte string: it skips an ID3v2 tag and takes a frame header if its CRC is right or another header follows
+(so it resynchronises after junk), reads the table, checks each CRC and sums up samples, so durations are exact fractions of the sample rate and every
 frame's byte offset is known for seeking.
 
 Cases: a null text is an empty one. Each row stands for itself: equal texts give equal values, repeated rows repeat them, an
@@ -22,9 +22,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from cubespark.llm.common import small_batches
+from cubespark.llm.common import keyed_texts, small_batches, with_long
 
 # Fixed values of MPEG-1 Layer III (ISO 11172-3): kbit/s by index, samples a second by index, samples in a frame.
 BIT_RATES = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
@@ -131,21 +130,20 @@ def parse(data: bytes) -> dict:
     """What a stream holds: tags, the table, frames with their offsets, CRC errors, skipped bytes, samples, main data."""
     at, tags = _tags(data)
     offsets, main, skipped, wrong, samples, table, rate = [], [], 0, 0, {}, None, 0
-    synced = False
     while at < len(data):
         head = _header(data, at)
-        if head and not synced:  # a lone header in junk is not a frame: another one, or the end, has to follow
-            after = at + head[0]
-            synced = after == len(data) or _header(data, after) is not None
-        if not head or not synced or at + head[0] > len(data):
+        good = follows = False
+        if head and at + head[0] <= len(data):  # a header in junk has neither a right CRC nor another header, or the end, behind it
+            size, rate, protected = head
+            body = at + (6 if protected else 4)
+            good = protected and crc16(data[at + 2 : at + 4] + data[body : body + SIDE_BYTES]) == int.from_bytes(data[at + 4 : at + 6], "big")
+            follows = at + size == len(data) or _header(data, at + size) is not None
+        if not good and not follows:
             found = data.find(b"\xff", at + 1)
             found = len(data) if found < 0 else found
-            skipped, at, synced = skipped + found - at, found, False
+            skipped, at = skipped + found - at, found
             continue
-        size, rate, protected = head
-        body = at + (6 if protected else 4)
-        if protected and crc16(data[at + 2 : at + 4] + data[body : body + SIDE_BYTES]) != int.from_bytes(data[at + 4 : at + 6], "big"):
-            wrong += 1
+        wrong += protected and not good
         content = body + SIDE_BYTES
         if not offsets and table is None and data[content : content + 4] in (b"Xing", b"Info"):
             flags = int.from_bytes(data[content + 4 : content + 8], "big")
@@ -188,8 +186,8 @@ _COLUMNS = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_b
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         frame = pd.DataFrame([feature(text) for text in batch["text"]], columns=list(_COLUMNS))
-        frame.insert(0, "doc_id", batch["doc_id"].to_numpy())
-        yield frame.astype({"doc_id": "Int64"})
+        frame.insert(0, "doc_id", batch["doc_id"])
+        yield frame
 
 
 def _streams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -201,22 +199,22 @@ def _streams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rate, samples = next(iter(seen["samples"].items()))
             rows.append((media, samples, rate, seen["offsets"]))
         frame = pd.DataFrame(rows, columns=["media", "samples", "sample_rate", "frame_offsets"])
-        frame.insert(0, "doc_id", batch["doc_id"].to_numpy())
-        yield frame.astype({"doc_id": "Int64"})
+        frame.insert(0, "doc_id", batch["doc_id"])
+        yield frame
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
     """The stored form of each row of ``docs`` (doc_id, text): media binary, samples, sample_rate, frame_offsets."""
     small_batches(docs.sparkSession)
-    schema = "doc_id long, media binary, samples long, sample_rate long, frame_offsets array<long>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_streams, schema)
+    schema = "doc_id string, media binary, samples long, sample_rate long, frame_offsets array<long>"
+    return with_long(keyed_texts(docs).mapInPandas(_streams, schema), "doc_id")
 
 
 def media_features(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): the digests and features read back from its stream."""
     small_batches(docs.sparkSession)
     schema = (
-        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
+        "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
         "media_sha256 string, feature string"
     )
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_features, schema)
+    return with_long(keyed_texts(docs).mapInPandas(_features, schema), "doc_id")

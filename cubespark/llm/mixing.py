@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubespark.llm.common import n_words, small_batches, stash, with_rank
+from cubespark.llm.common import n_words, small_batches, stash, with_long, with_rank
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
@@ -72,8 +72,6 @@ def _fold(seed: int, level: int, last: bool):
         for batch in batches:
             out = []
             for source, bucket, doc_id, size, rows, whole, p in batch.itertuples(index=False, name=None):
-                source = None if source is None or pd.isna(source) else source
-                doc_id = None if doc_id is None or pd.isna(doc_id) else int(doc_id)
                 if (source, bucket) != group:
                     if held:
                         out.append(_settle(held, seed, level, last))
@@ -114,8 +112,7 @@ def _settle(row: list, seed: int, level: int, last: bool) -> tuple:
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=["source", "bucket", "doc_id", "size", "rows", "copies", "p", "done"])
-    return frame.astype({"doc_id": "Int64"})
+    return pd.DataFrame(rows, columns=["source", "bucket", "doc_id", "size", "rows", "copies", "p", "done"])
 
 
 def mixture_copies(items: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
@@ -138,7 +135,7 @@ def mixture_copies(items: DataFrame, targets: DataFrame, seed: int = 0) -> DataF
         .withColumn("bucket", F.pmod(spread, F.ceil(F.col("_n") / LEAF)))
     )
     columns = ["source", "bucket", "doc_id", "size", "rows", "copies", "p"]
-    schema = "source string, bucket long, doc_id long, size long, rows long, copies long, p double, done boolean"
+    schema = "source string, bucket long, doc_id string, size long, rows long, copies long, p double, done boolean"
     groups, level, settled = math.ceil(largest / LEAF), 0, []
     while True:
         last = groups <= 1
@@ -147,9 +144,10 @@ def mixture_copies(items: DataFrame, targets: DataFrame, seed: int = 0) -> DataF
             todo.repartition(tasks, "source", "bucket")
             .sortWithinPartitions("source", "bucket", F.xxhash64(F.lit(seed), "doc_id", "size"), "doc_id", "size")
             .select(*columns)
+            .withColumn("doc_id", F.col("doc_id").cast("string"))
             .mapInPandas(_fold(seed, level, last), schema)
         )
-        folded = stash(folded)
+        folded = stash(with_long(folded, "doc_id"))
         settled.append(folded.where("done"))
         if last:
             break

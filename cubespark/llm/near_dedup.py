@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cubespark.llm import linking
-from cubespark.llm.common import shingle_hashes, small_batches, stash, word_hashes
+from cubespark.llm.common import keyed_texts, shingle_hashes, small_batches, stash, with_long, word_hashes
 
 CHUNKS, WIDE = 12, 7
 SLOTS = CHUNKS * WIDE
-_SIGNED = "doc_id long, id long, n long, s0 long, s1 long, s2 long, keys array<long>"
+_SIGNED = "doc_id string, id long, n long, s0 long, s1 long, s2 long, keys array<long>"
 
 
 def signature_keys(minhash: np.ndarray) -> np.ndarray:
@@ -51,7 +51,6 @@ def _sign(width: int):
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                doc_id = None if doc_id is None or pd.isna(doc_id) else int(doc_id)
                 members = document_set(text, width)
                 if not len(members):
                     rows.append((doc_id, None, 0, None, None, None, None))
@@ -60,8 +59,12 @@ def _sign(width: int):
                 rows.append(
                     (doc_id, linking.set_id(members), len(members), *linking.sketch(minhash), signature_keys(minhash))
                 )
-            frame = pd.DataFrame(rows, columns=["doc_id", "id", "n", "s0", "s1", "s2", "keys"])
-            yield frame.astype({c: "Int64" for c in ("doc_id", "id", "n", "s0", "s1", "s2")})
+            if not rows:
+                continue
+            columns = list(zip(*rows, strict=True))
+            named = dict(zip(("doc_id", "id", "n", "s0", "s1", "s2", "keys"), columns, strict=True))
+            exact = {c: pd.array(named[c], dtype="Int64") for c in ("id", "n", "s0", "s1", "s2")}  # a frame would make floats
+            yield pd.DataFrame({"doc_id": batch["doc_id"], **exact, "keys": pd.Series(named["keys"], dtype=object)})
 
     return run
 
@@ -79,7 +82,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stash(texts.mapInPandas(_sign(shingle), _SIGNED))
+    signed = stash(with_long(keyed_texts(docs).mapInPandas(_sign(shingle), _SIGNED), "doc_id"))
     vertices = signed.where("id is not null")
     keyed = vertices.select("id", "keys").dropDuplicates(["id"]).select("id", F.explode("keys").alias("key"))
     buckets = linking.shared_buckets(keyed)

@@ -24,12 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cubespark.llm.common import n_words, small_batches, stash
+from cubespark.llm.common import n_words, small_batches, stash, with_long
 
 LENGTHS = (512, 1024, 2048, 4096)
 BLOCK = 8192
 _PER_TASK = 8 * BLOCK
-_SCHEMA = "doc_id long, piece int, start long, length long, bin string, capacity long, offset long"
+_SCHEMA = "doc_id string, piece int, start long, length long, bin string, capacity long, offset long"
 
 
 def sequence_cost(length: int) -> float:
@@ -91,12 +91,11 @@ def _packer(lengths: Sequence[int]):
         def packed() -> pd.DataFrame:
             placed = pack_block([int(p[3]) for p in held], lengths)
             rows = [(*p, f"{task}-{block}-{b}", c, o) for p, (b, c, o) in zip(held, placed, strict=True)]
-            frame = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "bin", "capacity", "offset"])
-            return frame.astype({"doc_id": "Int64"})
+            return pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "bin", "capacity", "offset"])
 
         for batch in batches:
             for row in batch.itertuples(index=False, name=None):
-                held.append((None if row[0] is None or pd.isna(row[0]) else int(row[0]), *map(int, row[1:])))
+                held.append((row[0], *map(int, row[1:])))
                 if len(held) == BLOCK:
                     yield packed()
                     block, held = block + 1, []
@@ -123,7 +122,8 @@ def pack(docs: DataFrame, lengths: Sequence[int] = LENGTHS, size: Column | None
     count = sized.agg(F.sum(F.ceil(F.col("n") / most))).first()[0] or 0
     order = F.xxhash64("h", "piece")
     dealt = pieces.repartition(max(1, math.ceil(count / _PER_TASK)), order).sortWithinPartitions(order, "doc_id", "piece", "length")
-    packed = dealt.drop("h").mapInPandas(_packer(lengths), _SCHEMA)
+    keyed = dealt.select(F.col("doc_id").cast("string"), "piece", "start", "length")
+    packed = with_long(keyed.mapInPandas(_packer(lengths), _SCHEMA), "doc_id")
     nothing = F.lit(None)
     empty = sized.where("n = 0").select(
         "doc_id", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("length"),

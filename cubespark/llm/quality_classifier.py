@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubespark.llm.common import bounded_sample, held_out, small_batches, word_hashes
+from cubespark.llm.common import bounded_sample, held_out, keyed_texts, small_batches, with_long, word_hashes
 
 FIT_ROWS = 8_000
 WORD_SLOTS = 1 << 15
@@ -178,11 +178,10 @@ def score_documents(docs: DataFrame, machine: Machine) -> DataFrame:
         model = Machine.load(shared.value)
         for batch in batches:
             score = np.array([model.score(text) for text in batch["text"]], float)
-            frame = batch[["doc_id", "held_out"]].astype({"doc_id": "Int64"})
-            yield frame.assign(score=score, predicted=(score >= THRESHOLD).astype(np.int32))
+            yield batch[["doc_id", "held_out"]].assign(score=score, predicted=(score >= THRESHOLD).astype(np.int32))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    rows = keyed_texts(docs, held_out(F.col("doc_id")).alias("held_out"))
+    return with_long(rows.mapInPandas(run, "doc_id string, held_out boolean, score double, predicted int"), "doc_id")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

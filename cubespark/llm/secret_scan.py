@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubespark.llm.common import small_batches
+from cubespark.llm.common import keyed_texts, small_batches, with_long
 
 KINDS = ("assign", "access", "hex", "forge", "pkgtok", "jwt", "pem")
 BASE = 3
@@ -142,15 +142,15 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             base = ",".join(f"{k}:{a}:{b}" for k, a, b in spans if k in KINDS[:BASE])
             rows.append((*counts, hashlib.sha256(base.encode()).hexdigest(), ",".join(f"{k}:{a}:{b}" for k, a, b in spans)))
         frame = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
-        frame.insert(0, "doc_id", batch["doc_id"].to_numpy())
-        yield frame.astype({"doc_id": "Int64"})
+        frame.insert(0, "doc_id", batch["doc_id"])
+        yield frame
 
 
 def secret_spans(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): counts of the base kinds, the digest of their spans, and all spans."""
     small_batches(docs.sparkSession)
-    schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_scan, schema)
+    schema = "doc_id string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+    return with_long(keyed_texts(docs).mapInPandas(_scan, schema), "doc_id")
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cubespark.llm import linking
-from cubespark.llm.common import mix, shingle_hashes, small_batches, stash, word_hashes
+from cubespark.llm.common import keyed_texts, mix, shingle_hashes, small_batches, stash, with_long, word_hashes
 
 MIN_WORDS = 15
 SHINGLE = 5
@@ -74,11 +74,11 @@ def _place(least: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [
-                (None if doc_id is None or pd.isna(doc_id) else int(doc_id), number, start, end, linking.set_id(members))
+                (doc_id, number, start, end, linking.set_id(members))
                 for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True)
                 for number, start, end, members in paragraphs(text, least)
             ]
-            yield pd.DataFrame(rows, columns=["doc_id", "paragraph", "start", "end", "id"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "paragraph", "start", "end", "id"])
 
     return run
 
@@ -121,15 +121,15 @@ def _divide(least: int):
                 continue
             n = [len(x[4]) for x in out]
             made = {c: np.concatenate([x[k] for x in out]) for k, c in ((2, "start"), (3, "end"), (4, "id"))}
-            made |= {"doc_id": pd.Series([x[0] for x in out], dtype="Int64").repeat(n).array, "paragraph": np.repeat([x[1] for x in out], n)}
+            made |= {"doc_id": np.repeat(np.array([x[0] for x in out], object), n), "paragraph": np.repeat([x[1] for x in out], n)}
             yield pd.DataFrame(made)[columns]
 
     return run
 
 
 def repeated_pieces(texts: DataFrame, least: int) -> DataFrame:
-    """The pieces of ``texts`` (doc_id, text) that stand in two documents or more: doc_id, paragraph, start, end, id; stored."""
-    found = texts.mapInPandas(_divide(least), "doc_id long, paragraph int, start long, end long, id long")
+    """The pieces of ``texts`` (keyed_texts()) that stand in two documents or more: doc_id, paragraph, start, end, id; stored."""
+    found = with_long(texts.mapInPandas(_divide(least), "doc_id string, paragraph int, start long, end long, id long"), "doc_id")
     w, doc = Window.partitionBy("id"), F.coalesce("doc_id", F.lit(2**63 - 1))
     found = found.withColumns({"_low": F.min(doc).over(w), "_high": F.max(doc).over(w)})
     return stash(found.where("_low < _high").drop("_low", "_high"))
@@ -169,7 +169,9 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, threshold: float
     cluster_id, cluster_size, removed, kept_doc_id (the document in which the cluster's first occurrence stays)."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    places = stash(texts.mapInPandas(_place(least), "doc_id long, paragraph int, start long, end long, id long"))
+    keyed = keyed_texts(docs)
+    places = keyed.mapInPandas(_place(least), "doc_id string, paragraph int, start long, end long, id long")
+    places = stash(with_long(places, "doc_id"))
     signed = texts.select("text").mapInPandas(_sign(least), "id long, n long, s0 long, s1 long, s2 long, keys array<long>")
     signed = stash(signed.dropDuplicates(["id"]))
     buckets = linking.shared_buckets(signed.select("id", F.explode("keys").alias("key")))
@@ -184,7 +186,7 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, threshold: float
 
     placed = places.join(labels, "id", "left").withColumn("cluster_id", F.coalesce("label", "id")).drop("label", "id")
     whole = _clusters(placed)
-    inside = repeated_pieces(texts, least).withColumnRenamed("id", "cluster_id").alias("p")
+    inside = repeated_pieces(keyed, least).withColumnRenamed("id", "cluster_id").alias("p")
     taken = whole.select("doc_id", "paragraph").distinct().alias("w")
     same = F.col("p.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("p.paragraph") == F.col("w.paragraph"))
     return whole.unionByName(_clusters(inside.join(taken, same, "left_anti")))

@@ -140,7 +140,7 @@ def _writer(folder: str):
                 if out is None:
                     name, size, n = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = store.open_output_stream(f"{root}/{name}.part", compression=None)
-                ids = [None if x is None or pd.isna(x) else int(x) for x in (page_id, refers_to)]
+                ids = [None if x is None else int(x) for x in (page_id, refers_to)]
                 member = record(ids[0], url, (html or "").encode("utf-8", "replace"), ids[1], bool(revisit))
                 out.write(member)
                 size, n = size + len(member), n + 1
@@ -169,8 +169,9 @@ def _reader(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _records(rows: list[dict]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=[c.split()[0] for c in _READ.split(", ")])
-    return frame.astype({"page_id": "Int64", "refers_to": "Int64"})
+    columns = {c: [r[c] for r in rows] for c in (x.split()[0] for x in _READ.split(", "))}
+    exact = {c: pd.array(columns[c], dtype="Int64") for c in ("page_id", "refers_to")}  # a frame would make floats beside nulls
+    return pd.DataFrame(columns | exact)
 
 
 def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
@@ -187,7 +188,8 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
     groups = large.groupBy("_key").agg(F.max("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     placed = rows.join(groups, "_key", "left")
     revisit = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
-    out = placed.select("page_id", "url", "html", revisit.alias("revisit"), F.when(revisit, F.col("_first")).alias("refers_to"))
+    ids = [c.cast("string") for c in (F.col("page_id"), F.when(revisit, F.col("_first")))]  # exact in pandas, nulls or not
+    out = placed.select(ids[0].alias("page_id"), "url", "html", revisit.alias("revisit"), ids[1].alias("refers_to"))
     return stash(out.mapInPandas(_writer(folder), _WRITTEN))
 
 
