@@ -65,7 +65,7 @@ def screen_time_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nsi_over(source: str, scope: str) -> str:
     """The index per (scope, city, tile) of a table of samples, by cumulative distributions."""
-    return f"""sl as (select distinct {scope}, slot from {source}), tl as (select distinct {scope}, city, tile from {source}),
+    return f"""sl as (select * from (select distinct {scope} from {source}) cross join (select distinct slot from cube)), tl as (select distinct {scope}, city, tile from {source}),
 sm as (select {scope}, city, tile, slot, sum(v) v from {source} group by all),
 grid as (select {scope}, city, tile, slot, coalesce(v, 0) v from tl join sl using ({scope}) left join sm using ({scope}, city, tile, slot)),
 pr as (select *, v / nullif(sum(v) over (partition by {scope}, city, tile), 0) p from grid),
