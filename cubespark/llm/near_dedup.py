@@ -107,6 +107,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` of which one per component stays: that of the smallest doc_id. A repeated id keeps its rows."""
-    gone = near_duplicates(docs, shingle, threshold).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    """The rows of ``docs`` of which one per component stays: that of the smallest doc_id. An id that several rows share goes
+    only if none of them stays, so that no other text is lost with a copy."""
+    rows = near_duplicates(docs, shingle, threshold)
+    gone = rows.groupBy(F.col("doc_id").alias("_gone")).agg(F.bool_or("kept").alias("_stays")).where("not _stays").drop("_stays")
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
