@@ -30,11 +30,14 @@ BLOCK = 128
 _EVEN = 0x5555555555555555
 
 
+def _hash_family(k: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(7)
+    return rng.integers(1, 1 << 31, k, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, k, dtype=np.uint32)
+
+
 def minhashes(shingles: np.ndarray, k: int) -> np.ndarray:
     """``k`` min-wise hash values (uint32) of a set of 64-bit hashes. The set must not be empty."""
-    rng = np.random.default_rng(7)
-    a = rng.integers(1, 1 << 31, k, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-    b = rng.integers(0, 1 << 32, k, dtype=np.uint32)
+    a, b = _hash_family(k)
     low = (shingles >> np.uint64(32)).astype(np.uint32)
     out = np.full(k, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(low), 2048):  # blocks that stay in the processor's cache
@@ -42,17 +45,36 @@ def minhashes(shingles: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def minhash_rows(shingles: np.ndarray, begin: np.ndarray, k: int) -> np.ndarray:
+    """A row of ``k`` min-wise hash values for each of the sets that lie one after another, from the places in ``begin``."""
+    a, b = _hash_family(k)
+    low = (shingles >> np.uint64(32)).astype(np.uint32)
+    end = np.append(begin[1:], len(low))
+    out, at = np.empty((len(begin), k), np.uint32), 0
+    while at < len(begin):  # as many sets as have 4096 members, or one
+        to = max(at + 1, int(np.searchsorted(end, begin[at] + 4096, "right")))
+        if to == at + 1:
+            out[at] = minhashes(shingles[begin[at] : end[at]], k)
+        else:
+            out[at:to] = np.minimum.reduceat(low[begin[at] : end[to - 1], None] * a + b, begin[at:to] - begin[at], axis=0)
+        at = to
+    return out
+
+
 def symbols(minhash: np.ndarray, bits: int = 8) -> np.ndarray:
     """b-bit symbols of min-wise hash values."""
     return ((minhash * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)).astype(np.uint64)
 
 
+def sketch_rows(minhash: np.ndarray) -> np.ndarray:
+    """Two bits of each of the first SKETCH_SLOTS values of every row, packed into SKETCH_WORDS signed longs."""
+    two = ((minhash[:, :SKETCH_SLOTS] * np.uint32(0x85EBCA6B)) >> np.uint32(30)).astype(np.uint64)
+    two = two.reshape(len(minhash), SKETCH_WORDS, 28)
+    return (two << (np.arange(28, dtype=np.uint64) * np.uint64(2))).sum(axis=2, dtype=np.uint64).view(np.int64)
+
+
 def sketch(minhash: np.ndarray) -> list[int]:
-    """Two bits of each of the first SKETCH_SLOTS values, packed into SKETCH_WORDS signed longs."""
-    two = ((minhash[:SKETCH_SLOTS] * np.uint32(0x85EBCA6B)) >> np.uint32(30)).astype(np.uint64)
-    two = np.resize(two, SKETCH_SLOTS).reshape(SKETCH_WORDS, 28)
-    packed = (two << (np.arange(28, dtype=np.uint64) * np.uint64(2))).sum(axis=1, dtype=np.uint64)
-    return packed.view(np.int64).tolist()
+    return sketch_rows(minhash[None, :])[0].tolist()
 
 
 def set_id(shingles: np.ndarray) -> int:
@@ -76,11 +98,17 @@ def _near(a: str, b: str, threshold: float) -> Column:
     return (apart <= most) & (small >= F.floor(large * threshold))
 
 
-def shared_buckets(keys: DataFrame) -> DataFrame:
-    """Of rows (id, key), those whose key several ids share, with the bucket's smallest id as ``center``; stored."""
+def shared_buckets(keys: DataFrame, split: bool = True) -> DataFrame:
+    """Of rows (id, key), those whose key several ids share, with the bucket's smallest id as ``center``; stored.
+
+    With ``split`` a key's ends are combined before the shuffle, and the join back can be split where a key is hot. Without it a
+    window does both in one shuffle, which takes half the disk, but has a bucket's rows pass through one task (it spills)."""
+    if split:
+        ends = keys.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("_last"))
+        return stash(keys.join(ends.where("center < _last").drop("_last").hint("merge"), "key"))
     w = Window.partitionBy("key")
-    found = keys.withColumn("center", F.min("id").over(w)).withColumn("_last", F.max("id").over(w))
-    return stash(found.where(F.col("center") < F.col("_last")).drop("_last"))
+    found = keys.withColumns({"center": F.min("id").over(w), "_last": F.max("id").over(w)})
+    return stash(found.where("center < _last").drop("_last").distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -171,7 +199,6 @@ def _block_links(threshold: float):
 
 def _links_within(placed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Verified links (a, b) between different labels of one neighbourhood."""
-    hood = Window.partitionBy("hood")
     labels = placed.groupBy("hood", "label").agg(F.count("*").alias("size"))
     mixed = (
         labels.groupBy("hood")

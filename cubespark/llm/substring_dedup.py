@@ -2,7 +2,7 @@
 
 A paragraph is a line (split at \\n) of at least MIN_WORDS words. Its set holds the hashes of its distinct five-word
 shingles. Equal sets are one vertex; the others meet by bands of min-wise hashes, whose number tune_bands() chooses so that
-a pair at the similarity threshold is missed with a probability of at most 1e-6. Colliding paragraphs are verified by exact
+a pair at the similarity threshold is missed with a probability of at most 1e-4. Colliding paragraphs are verified by exact
 Jaccard similarity of the full sets, and the components of the verified links are the clusters. In each cluster the first
 occurrence, by doc_id and then position, stays; the others are removals.
 
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cubespark.llm import linking
-from cubespark.llm.common import keyed_texts, mix, shingle_hashes, small_batches, stash, with_long, word_hashes
+from cubespark.llm.common import keyed_texts, mix, small_batches, stash, with_long, word_hashes
 
 MIN_WORDS = 15
 SHINGLE = 5
@@ -35,14 +35,11 @@ THRESHOLD = 0.8
 REACH = 8
 
 
-def tune_bands(threshold: float, recall: float = 1 - 1e-6, most: int = 128) -> tuple[int, int]:
-    """(bands, rows): the most rows a band, so the fewest chance collisions, whose bands reach ``recall`` within 24 keys."""
-    best = (most, 1)
-    for rows in range(1, most + 1):
-        bands = math.ceil(math.log(1 - recall) / math.log1p(-(threshold**rows)))
-        if bands > 24 or bands * rows > most:
-            break
-        best = (bands, rows)
+def tune_bands(threshold: float, recall: float = 1 - 1e-4, most: int = 12) -> tuple[int, int]:
+    """(bands, rows): the most rows a band, so the fewest chance collisions, that reach ``recall`` with ``most`` bands."""
+    best, rows = (most, 1), 1
+    while (bands := math.ceil(math.log(1 - recall) / math.log1p(-(threshold**rows)))) <= most:
+        best, rows = (bands, rows), rows + 1
     return best
 
 
@@ -51,101 +48,122 @@ SLOTS = max(BANDS * ROWS, linking.SKETCH_SLOTS)
 
 
 def band_keys(minhash: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each band of a signature."""
-    band = minhash[: BANDS * ROWS].astype(np.uint64).reshape(BANDS, ROWS)
-    h = np.arange(1, BANDS + 1, dtype=np.uint64)
+    """A 64-bit key for each band of each row of signatures."""
+    band = minhash[:, : BANDS * ROWS].astype(np.uint64).reshape(len(minhash), BANDS, ROWS)
+    h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(minhash), BANDS))
     for k in range(ROWS):
-        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + band[:, k])
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + band[:, :, k])
     return h.view(np.int64)
 
 
-def paragraphs(text: str | None, least: int) -> Iterator[tuple[int, int, int, np.ndarray]]:
-    """(number, start, end, shingles) of the long enough lines of a text; code points, end exclusive."""
-    at = 0
-    for number, line in enumerate((text or "").split("\n")):
-        if len(line) >= 2 * least - 1:
-            word = word_hashes(line.encode("utf-8", "replace").lower())[0]
-            if len(word) >= least:
-                yield number, at, at + len(line), shingle_hashes(word, SHINGLE)
-        at += len(line) + 1
+class Lines:
+    """The words of a text by line: all arrays at once, as a step for each line would cost more than the line."""
+
+    def __init__(self, text: str | None, least: int):
+        data = (text or "").encode("utf-8", "replace")
+        self.word, self.start, self.end = word_hashes(data.lower())
+        raw = np.frombuffer(data, np.uint8)
+        breaks = np.flatnonzero(raw == 10)
+        self.line = np.searchsorted(breaks, self.start)
+        self.first = np.flatnonzero(np.diff(self.line, prepend=-1))
+        self.count = np.diff(np.append(self.first, len(self.word)))
+        self.edges = np.concatenate(([-1], breaks, [len(raw)]))
+        self.point = None if len(data) == len(text or "") else np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+        self.least = least
+
+    def points(self, at: np.ndarray) -> np.ndarray:
+        """Code points before byte positions."""
+        return at if self.point is None else self.point[at]
+
+    def paragraphs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(numbers, starts, ends) of the lines of ``least`` words or more; code points, end exclusive."""
+        number = self.line[self.first[self.count >= self.least]]
+        return number, self.points(self.edges[number] + 1), self.points(self.edges[number + 1])
+
+    def shingles(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct shingles of the paragraphs, sorted within each, and where each paragraph's begin."""
+        long = self.count >= self.least
+        if not long.any():
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        runs = self.count[long] - SHINGLE + 1
+        owner = np.repeat(np.arange(len(runs)), runs)
+        at = np.arange(len(owner)) - np.repeat(np.cumsum(runs) - runs, runs) + np.repeat(self.first[long], runs)
+        h = np.full(len(owner), SHINGLE, np.uint64)
+        for k in range(SHINGLE):
+            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + self.word[at + k])
+        h >>= np.uint64(16)  # 48 bits, so that a paragraph's number fits beside them and one sort does
+        if len(runs) >> 16:
+            order = np.lexsort((h, owner))
+            h, owner = h[order], owner[order]
+            new = np.concatenate(([True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])))
+            h, owner = h[new], owner[new]
+        else:
+            key = np.unique(h | (owner.astype(np.uint64) << np.uint64(48)))
+            h, owner = key, (key >> np.uint64(48)).astype(np.int64)
+        return h << np.uint64(16), np.flatnonzero(np.diff(owner, prepend=-1))
+
+    def pieces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(numbers, starts, ends, ids) of the content-defined pieces of the lines of twice ``least`` words or more."""
+        none = np.zeros(0, np.int64)
+        if not (self.count >= 2 * self.least).any():
+            return none, none, none, none
+        word = self.word
+        padded = np.pad(word, REACH, constant_values=np.iinfo(np.uint64).max)
+        low = padded[: len(word)].copy()
+        for k in range(1, 2 * REACH + 1):
+            np.minimum(low, padded[k : k + len(word)], out=low)
+        cut = np.flatnonzero(low == word)
+        if len(cut) < 2:
+            return none, none, none, none
+        size = np.diff(cut)
+        place = np.arange(cut[0], cut[-1]) - np.repeat(cut[:-1], size)
+        sums = np.add.reduceat(mix(word[cut[0] : cut[-1]] ^ mix(place.astype(np.uint64) + np.uint64(1))), cut[:-1] - cut[0])
+        ids = mix(sums ^ size.astype(np.uint64)).view(np.int64)
+        of = np.repeat(self.count, self.count)
+        use = (self.line[cut[:-1]] == self.line[cut[1:] - 1]) & (of[cut[:-1]] >= 2 * self.least)
+        begin, end = cut[:-1][use], cut[1:][use] - 1
+        return self.line[begin], self.points(self.start[begin]), self.points(self.end[end]), ids[use]
+
+
+def set_ids(shingles: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of sets that lie one after another, and their sizes."""
+    size = np.diff(np.append(begin, len(shingles)))
+    place = np.arange(1, len(shingles) + 1) - np.repeat(begin, size)
+    h = np.add.reduceat(mix(shingles ^ mix(place.astype(np.uint64))), begin)
+    return mix(h ^ size.astype(np.uint64)).view(np.int64), size
+
+
+_SIGNED = ("doc_id", "paragraph", "start", "end", "id", "n", "s0", "s1", "s2", "keys")
 
 
-def _place(least: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [
-                (doc_id, number, start, end, linking.set_id(members))
-                for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True)
-                for number, start, end, members in paragraphs(text, least)
-            ]
-            yield pd.DataFrame(rows, columns=["doc_id", "paragraph", "start", "end", "id"])
-
-    return run
-
+def _sign(least: int):
+    """Paragraphs with their signatures, and pieces, which have no keys and a size of 0.
 
-def pieces(line: str, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, ids) of the content-defined pieces of a line between its first and last cut; code points in the line."""
-    data = line.encode("utf-8", "replace")
-    word, start, end = word_hashes(data.lower())
-    none = np.zeros(0, np.int64)
-    if len(word) < 2 * least:
-        return none, none, none
-    around = np.lib.stride_tricks.sliding_window_view(np.pad(word, REACH, constant_values=np.iinfo(np.uint64).max), 2 * REACH + 1)
-    cut = np.flatnonzero(around.min(axis=1) == word)
-    if len(cut) < 2:
-        return none, none, none
-    place = np.arange(len(word)) - np.repeat(np.concatenate(([0], cut)), np.diff(np.concatenate(([0], cut, [len(word)]))))
-    sums = np.add.reduceat(mix(word ^ mix(place.astype(np.uint64) + np.uint64(1))), cut)[:-1]
-    ids = mix(sums ^ np.diff(cut).astype(np.uint64)).view(np.int64)
-    first, last = start[cut[:-1]], end[cut[1:] - 1]
-    if len(data) != len(line):
-        point = np.concatenate(([0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)))
-        first, last = point[first], point[last]
-    return first, last, ids
-
-
-def _divide(least: int):
-    columns = ["doc_id", "paragraph", "start", "end", "id"]
+    A task gives the keys of a set once, so that a paragraph that is everywhere doesn't fill its buckets with itself."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
         for batch in batches:
-            out = []
+            parts, small = [], []
+            if len(seen) > 1 << 20:  # memory stays bounded; later repeats are given again
+                seen.clear()
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                at = 0
-                for number, line in enumerate((text or "").split("\n")):
-                    first, last, ids = pieces(line, least)
-                    if len(ids):
-                        out.append((doc_id, number, at + first, at + last, ids))
-                    at += len(line) + 1
-            if not out:
-                continue
-            n = [len(x[4]) for x in out]
-            made = {c: np.concatenate([x[k] for x in out]) for k, c in ((2, "start"), (3, "end"), (4, "id"))}
-            made |= {"doc_id": np.repeat(np.array([x[0] for x in out], object), n), "paragraph": np.repeat([x[1] for x in out], n)}
-            yield pd.DataFrame(made)[columns]
-
-    return run
-
-
-def repeated_pieces(texts: DataFrame, least: int) -> DataFrame:
-    """The pieces of ``texts`` (keyed_texts()) that stand in two documents or more: doc_id, paragraph, start, end, id; stored."""
-    found = with_long(texts.mapInPandas(_divide(least), "doc_id string, paragraph int, start long, end long, id long"), "doc_id")
-    w, doc = Window.partitionBy("id"), F.coalesce("doc_id", F.lit(2**63 - 1))
-    found = found.withColumns({"_low": F.min(doc).over(w), "_high": F.max(doc).over(w)})
-    return stash(found.where("_low < _high").drop("_low", "_high"))
-
-
-def _sign(least: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows, seen = [], set()
-            for text in batch["text"]:
-                for _, _, _, members in paragraphs(text, least):
-                    if (vertex := linking.set_id(members)) not in seen:
-                        seen.add(vertex)
-                        minhash = linking.minhashes(members, SLOTS)
-                        rows.append((vertex, len(members), *linking.sketch(minhash), band_keys(minhash)))
-            yield pd.DataFrame(rows, columns=["id", "n", "s0", "s1", "s2", "keys"])
+                lines, doc = Lines(text, least), np.array([doc_id], object)
+                shingles, begin = lines.shingles()
+                if not len(begin):
+                    continue
+                ids, n = set_ids(shingles, begin)
+                minhash = linking.minhash_rows(shingles, begin, SLOTS)
+                keys = [None if i in seen or seen.add(i) else k for i, k in zip(ids.tolist(), band_keys(minhash), strict=True)]
+                keys = np.fromiter(keys, object, len(keys))
+                parts.append((doc.repeat(len(n)), *lines.paragraphs(), ids, n, *linking.sketch_rows(minhash).T, keys))
+                pieces = lines.pieces()
+                small.append((doc.repeat(len(pieces[0])), *pieces))
+            if parts:
+                whole = [np.concatenate(x) for x in zip(*parts, strict=True)]
+                yield pd.DataFrame(dict(zip(_SIGNED, whole, strict=True)))
+                frame = pd.DataFrame(dict(zip(_SIGNED, [np.concatenate(x) for x in zip(*small, strict=True)], strict=False)))
+                yield frame.assign(n=0, s0=0, s1=0, s2=0, keys=None)
 
     return run
 
@@ -155,28 +173,36 @@ def _members(least: int):
         for batch in batches:
             rows = []
             for text, wanted in zip(batch["text"], batch["numbers"], strict=True):
-                wanted = set(wanted)
-                for number, _, _, members in paragraphs(text, least):
-                    if number in wanted:
-                        rows.append((linking.set_id(members), members.view(np.int64)))
+                lines = Lines(text, least)
+                shingles, begin = lines.shingles()
+                ids, n = set_ids(shingles, begin)
+                for k in np.flatnonzero(np.isin(lines.paragraphs()[0], wanted)):
+                    rows.append((ids[k], shingles[begin[k] : begin[k] + n[k]].view(np.int64)))
             yield pd.DataFrame(rows, columns=["id", "members"])
 
     return run
 
 
+def repeated_pieces(pieces: DataFrame) -> DataFrame:
+    """Of pieces (doc_id, paragraph, start, end, id) those that stand in two documents or more; stored."""
+    w, doc = Window.partitionBy("id"), F.coalesce("doc_id", F.lit(2**63 - 1))
+    found = pieces.withColumns({"_low": F.min(doc).over(w), "_high": F.max(doc).over(w)})
+    return stash(found.where("_low < _high").drop("_low", "_high"))
+
+
 def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """One row per paragraph, or piece of one, of ``docs`` (doc_id, text) that has a near-equal one elsewhere: doc_id, paragraph, start, end,
     cluster_id, cluster_size, removed, kept_doc_id (the document in which the cluster's first occurrence stays)."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keyed = keyed_texts(docs)
-    places = keyed.mapInPandas(_place(least), "doc_id string, paragraph int, start long, end long, id long")
-    places = stash(with_long(places, "doc_id"))
-    signed = texts.select("text").mapInPandas(_sign(least), "id long, n long, s0 long, s1 long, s2 long, keys array<long>")
-    signed = stash(signed.dropDuplicates(["id"]))
-    buckets = linking.shared_buckets(signed.select("id", F.explode("keys").alias("key")))
+    schema = "doc_id string, paragraph int, start long, end long, id long, n long, s0 long, s1 long, s2 long, keys array<long>"
+    stored = stash(with_long(keyed.mapInPandas(_sign(least), schema), "doc_id"))
+    signed, pieces = stored.where("n > 0"), stored.where("n = 0")
+    places = signed.select("doc_id", "paragraph", "start", "end", "id")
+    buckets = linking.shared_buckets(signed.select("id", F.explode("keys").alias("key")), split=False)
     involved = stash(buckets.select("id").distinct())
-    sketches = stash(signed.drop("keys").join(involved, "id", "left_semi"))
+    sketches = stash(signed.select("id", "n", "s0", "s1", "s2").join(involved, "id", "left_semi").dropDuplicates(["id"]))
     wanted = places.join(involved, "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc_id", "paragraph")).alias("p"))
     wanted = wanted.groupBy(F.col("p.doc_id").alias("_doc")).agg(F.collect_set("p.paragraph").alias("numbers"))
     chosen = texts.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc"))).select("text", "numbers")
@@ -186,7 +212,7 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, threshold: float
 
     placed = places.join(labels, "id", "left").withColumn("cluster_id", F.coalesce("label", "id")).drop("label", "id")
     whole = _clusters(placed)
-    inside = repeated_pieces(keyed, least).withColumnRenamed("id", "cluster_id").alias("p")
+    inside = repeated_pieces(pieces.select(*places.columns)).withColumnRenamed("id", "cluster_id").alias("p")
     taken = whole.select("doc_id", "paragraph").distinct().alias("w")
     same = F.col("p.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("p.paragraph") == F.col("w.paragraph"))
     return whole.unionByName(_clusters(inside.join(taken, same, "left_anti")))
