@@ -8,8 +8,8 @@ occurrence, by doc_id and then position, stays; the others are removals.
 
 A passage can also sit inside a longer paragraph. So paragraphs of at least two MIN_WORDS are divided at content-defined
 places (words whose hash is the least within REACH words to either side; about every 2 * REACH words, and at the same places
-wherever a passage stands). Pieces whose word sequences are equal in different documents are clusters too, unless their
-whole paragraph is in one.
+wherever a passage stands). Pieces whose word sequences are equal in different documents are clusters too. Those of paragraphs
+that are removed whole are gone already and don't take part; those of a cluster's kept paragraph do.
 
 Cases: a null text has no paragraphs. A null doc_id comes after all others. Rows that repeat a doc_id are documents of their
 own for counting; their paragraphs repeat each other. An empty table gives an empty result. Other columns don't matter.
@@ -211,11 +211,12 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, threshold: float
     labels = linking.linked_components(buckets, sketches, sets, threshold)
 
     placed = places.join(labels, "id", "left").withColumn("cluster_id", F.coalesce("label", "id")).drop("label", "id")
-    whole = _clusters(placed)
+    whole = stash(_clusters(placed))
     inside = repeated_pieces(pieces.select(*places.columns)).withColumnRenamed("id", "cluster_id").alias("p")
-    taken = whole.select("doc_id", "paragraph").distinct().alias("w")
+    gone = whole.where("removed").select("doc_id", "paragraph").distinct().alias("w")
     same = F.col("p.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("p.paragraph") == F.col("w.paragraph"))
-    return whole.unionByName(_clusters(inside.join(taken, same, "left_anti")))
+    # Pieces of a paragraph that stays take part, of whatever cluster it is the first; those of removed ones are gone already.
+    return whole.unionByName(_clusters(inside.join(gone, same, "left_anti")))
 
 
 def _clusters(placed: DataFrame) -> DataFrame:

@@ -70,6 +70,15 @@ def test_passage_inside_longer_paragraphs(make_docs):
     assert left[0] == text[0] and left[9] == text[9] and all(len(left[i].split()) <= 161 - 9 for i in (1, 2, 3))
 
 
+def test_a_copied_paragraph_shares_a_passage_with_one_other_document(make_docs):
+    rng = random.Random(10)
+    passage = prose(rng, 100)
+    copied = f"{prose(rng, 60)} {passage} {prose(rng, 60)}"
+    rows = [(0, copied, "s"), (1, copied, "s"), (2, f"{prose(rng, 60)} {passage} {prose(rng, 60)}", "s")]
+    left = {r.doc_id: r.text for r in drop_repeats(make_docs(rows)).collect()}
+    assert left[0] == copied and not left[1].strip() and len(left[2].split()) <= 220 - 40
+
+
 def test_awkward_rows_and_bands(make_docs, awkward):
     got = repeated_passages(make_docs(awkward)).collect()
     assert {r.doc_id for r in got} <= {7, 8}
