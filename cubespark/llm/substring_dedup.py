@@ -6,14 +6,15 @@ a pair at the similarity threshold is missed with a probability of at most 1e-4.
 Jaccard similarity of the full sets, and the components of the verified links are the clusters. In each cluster the first
 occurrence, by doc_id and then position, stays; the others are removals.
 
-A passage can also sit inside a longer paragraph. So paragraphs of at least two MIN_WORDS are divided at content-defined
-places (words whose hash is the least within REACH words to either side; about every 2 * REACH words, and at the same places
-wherever a passage stands). Pieces whose word sequences are equal in different documents are clusters too. Those of paragraphs
-that are removed whole are gone already and don't take part; those of a cluster's kept paragraph do.
+A passage can also sit inside longer text, over any lines. So a document's word sequence is taken as grams of RUN words, and the
+least of every SPREAD grams in a row is a seed: each repeat of RUN + SPREAD - 1 words holds one. Around the seeds that
+stand in different documents all grams are compared, and those that stand in different documents make up the passages, which so
+reach to their first and last common word. A gram's first occurrence stays. Lines that are removed whole take no part, as they
+are gone already; those that stay do, of whatever cluster they are the first.
 
 Cases: a null text has no paragraphs. A null doc_id comes after all others. Rows that repeat a doc_id are documents of their
 own for counting; their paragraphs repeat each other. An empty table gives an empty result. Other columns don't matter.
-Words are compared without regard to the case of A-Z. Shorter lines are never clustered.
+Words are compared without regard to the case of A-Z. Shorter lines are never clustered as paragraphs.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from cubespark.llm import linking
@@ -32,7 +33,9 @@ from cubespark.llm.common import keyed_texts, mix, small_batches, stash, with_lo
 MIN_WORDS = 15
 SHINGLE = 5
 THRESHOLD = 0.8
-REACH = 8
+#: Words of a gram, and grams of which one is a seed.
+RUN = 15
+SPREAD = 16
 
 
 def tune_bands(threshold: float, recall: float = 1 - 1e-4, most: int = 12) -> tuple[int, int]:
@@ -102,27 +105,27 @@ class Lines:
             h, owner = key, (key >> np.uint64(48)).astype(np.int64)
         return h << np.uint64(16), np.flatnonzero(np.diff(owner, prepend=-1))
 
-    def pieces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(numbers, starts, ends, ids) of the content-defined pieces of the lines of twice ``least`` words or more."""
-        none = np.zeros(0, np.int64)
-        if not (self.count >= 2 * self.least).any():
-            return none, none, none, none
-        word = self.word
-        padded = np.pad(word, REACH, constant_values=np.iinfo(np.uint64).max)
-        low = padded[: len(word)].copy()
-        for k in range(1, 2 * REACH + 1):
-            np.minimum(low, padded[k : k + len(word)], out=low)
-        cut = np.flatnonzero(low == word)
-        if len(cut) < 2:
-            return none, none, none, none
-        size = np.diff(cut)
-        place = np.arange(cut[0], cut[-1]) - np.repeat(cut[:-1], size)
-        sums = np.add.reduceat(mix(word[cut[0] : cut[-1]] ^ mix(place.astype(np.uint64) + np.uint64(1))), cut[:-1] - cut[0])
-        ids = mix(sums ^ size.astype(np.uint64)).view(np.int64)
-        of = np.repeat(self.count, self.count)
-        use = (self.line[cut[:-1]] == self.line[cut[1:] - 1]) & (of[cut[:-1]] >= 2 * self.least)
-        begin, end = cut[:-1][use], cut[1:][use] - 1
-        return self.line[begin], self.points(self.start[begin]), self.points(self.end[end]), ids[use]
+    def grams(self) -> np.ndarray:
+        """A hash for each RUN words in a row, whatever lines they stand on."""
+        h, width = self.word, 1
+        if len(h) < RUN:
+            return np.zeros(0, np.uint64)
+        while width < RUN:  # two grams that overlap, or meet, make a longer one
+            step = min(width, RUN - width)
+            h = mix(h[:-step] * np.uint64(0x9E3779B97F4A7C15) + h[step:])
+            width += step
+        return h
+
+    def seeds(self) -> np.ndarray:
+        """The grams that are the least of SPREAD in a row."""
+        low, width = self.grams(), 1
+        if len(low) <= SPREAD:
+            return np.unique(low)[:1]
+        while width < SPREAD:
+            step = min(width, SPREAD - width)
+            low = np.minimum(low[:-step], low[step:])
+            width += step
+        return np.unique(low)
 
 
 def set_ids(shingles: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,22 +136,23 @@ def set_ids(shingles: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.nda
     return mix(h ^ size.astype(np.uint64)).view(np.int64), size
 
 
-_SIGNED = ("doc_id", "paragraph", "start", "end", "id", "n", "s0", "s1", "s2", "keys")
+_SIGNED = ("paragraph", "start", "end", "id", "n", "s0", "s1", "s2", "keys")
 
 
 def _sign(least: int):
-    """Paragraphs with their signatures, and pieces, which have no keys and a size of 0.
+    """Paragraphs with their signatures, and one row for each document's seeds, which has a size of 0.
 
     A task gives the keys of a set once, so that a paragraph that is everywhere doesn't fill its buckets with itself."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for batch in batches:
-            parts, small = [], []
+            parts, owners, seeds = [], [], []
             if len(seen) > 1 << 20:  # memory stays bounded; later repeats are given again
                 seen.clear()
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                lines, doc = Lines(text, least), np.array([doc_id], object)
+            for row, text in enumerate(batch["text"]):
+                lines = Lines(text, least)
+                seeds.append(lines.seeds().view(np.int64))
                 shingles, begin = lines.shingles()
                 if not len(begin):
                     continue
@@ -156,67 +160,114 @@ def _sign(least: int):
                 minhash = linking.minhash_rows(shingles, begin, SLOTS)
                 keys = [None if i in seen or seen.add(i) else k for i, k in zip(ids.tolist(), band_keys(minhash), strict=True)]
                 keys = np.fromiter(keys, object, len(keys))
-                parts.append((doc.repeat(len(n)), *lines.paragraphs(), ids, n, *linking.sketch_rows(minhash).T, keys))
-                pieces = lines.pieces()
-                small.append((doc.repeat(len(pieces[0])), *pieces))
+                parts.append((*lines.paragraphs(), ids, n, *linking.sketch_rows(minhash).T, keys))
+                owners.append(np.full(len(n), row))
+            ids = batch[["doc_id", "none"]]
             if parts:
                 whole = [np.concatenate(x) for x in zip(*parts, strict=True)]
-                yield pd.DataFrame(dict(zip(_SIGNED, whole, strict=True)))
-                frame = pd.DataFrame(dict(zip(_SIGNED, [np.concatenate(x) for x in zip(*small, strict=True)], strict=False)))
-                yield frame.assign(n=0, s0=0, s1=0, s2=0, keys=None)
+                yield ids.iloc[np.concatenate(owners)].reset_index(drop=True).assign(**dict(zip(_SIGNED, whole, strict=True)))
+            zero = dict.fromkeys(_SIGNED, 0)
+            yield ids.assign(**zero | {"keys": pd.Series(seeds, index=ids.index, dtype=object)})[lambda x: x["keys"].map(len) > 0]
 
     return run
 
 
-def _members(least: int):
+_READ = ("id", "members", "doc_id", "gram", "place", "first", "last", "start", "end")
+
+
+def _read(least: int):
+    """The sets of the paragraphs ``numbers``, and the grams around ``seeds``: places, lines and code points from first to last word."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for text, wanted in zip(batch["text"], batch["numbers"], strict=True):
+            for doc_id, text, wanted, seeds in zip(*(batch[c] for c in ("doc_id", "text", "numbers", "seeds")), strict=True):
                 lines = Lines(text, least)
-                shingles, begin = lines.shingles()
-                ids, n = set_ids(shingles, begin)
-                for k in np.flatnonzero(np.isin(lines.paragraphs()[0], wanted)):
-                    rows.append((ids[k], shingles[begin[k] : begin[k] + n[k]].view(np.int64)))
-            yield pd.DataFrame(rows, columns=["id", "members"])
+                if wanted is not None:
+                    shingles, begin = lines.shingles()
+                    ids, n = set_ids(shingles, begin)
+                    for k in np.flatnonzero(np.isin(lines.paragraphs()[0], wanted)):
+                        rows.append((ids[k], shingles[begin[k] : begin[k] + n[k]].view(np.int64), *[None] * 7))
+                if seeds is not None:
+                    gram = lines.grams().view(np.int64)
+                    hit = np.concatenate(([0], np.cumsum(np.isin(gram, seeds))))
+                    at = np.arange(len(gram))
+                    at = at[hit[np.minimum(at + SPREAD + 1, len(gram))] > hit[np.maximum(at - SPREAD, 0)]]
+                    end = at + RUN - 1
+                    spans = lines.line[at], lines.line[end], lines.points(lines.start[at]), lines.points(lines.end[end])
+                    if len(at):
+                        rows.append((0, None, doc_id, gram[at], at, *spans))
+            yield pd.DataFrame(rows, columns=_READ)
 
     return run
 
 
-def repeated_pieces(pieces: DataFrame) -> DataFrame:
-    """Of pieces (doc_id, paragraph, start, end, id) those that stand in two documents or more; stored."""
-    w, doc = Window.partitionBy("id"), F.coalesce("doc_id", F.lit(2**63 - 1))
-    found = pieces.withColumns({"_low": F.min(doc).over(w), "_high": F.max(doc).over(w)})
-    return stash(found.where("_low < _high").drop("_low", "_high"))
+def repeated_seeds(seeds: DataFrame) -> DataFrame:
+    """Of (doc_id, key, seed) the seeds that stand in two documents or more, as one array for each key."""
+    ends = _in_two(seeds.groupBy("seed")).select("seed")
+    return seeds.join(ends.hint("merge"), "seed", "left_semi").groupBy("key").agg(F.collect_set("seed").alias("seeds"))
+
+
+def _in_two(groups: GroupedData, *more: Column) -> DataFrame:
+    """The groups with rows of two documents or more; ends are combined before the shuffle, so a hot group is no task of its own."""
+    doc = F.coalesce("doc_id", F.lit(2**63 - 1))
+    return groups.agg(F.min(doc).alias("_low"), F.max(doc).alias("_high"), *more).where("_low < _high").drop("_low", "_high")
+
+
+def inner_passages(grams: DataFrame, gone: DataFrame) -> DataFrame:
+    """The runs of grams that stand in two documents or more, but for those on the lines of ``gone`` (doc_id, paragraph)."""
+    lines = gone.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("paragraph").alias("_lines"))
+    each = F.explode(F.arrays_zip("gram", "place", "first", "last", "start", "end"))
+    live = grams.join(lines, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").select("row", "doc_id", "_lines", each.alias("g"))
+    # A line of MIN_WORDS words or more that touches a gram holds its first or last word.
+    out = F.array_contains("_lines", F.col("g.first")) | F.array_contains("_lines", F.col("g.last"))
+    live = live.where(~F.coalesce(out, F.lit(False))).select("row", "doc_id", *[F.col(f"g.{c}").alias(c) for c in ("gram", "place", "first", "start", "end")])
+    kept = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")).alias("kept")
+    found = live.join(_in_two(live.groupBy("gram"), kept, F.count("*").alias("cluster_size")).hint("merge"), "gram")
+    stays = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("place") == F.col("kept.place"))
+    found = found.select("*", (~stays).alias("removed"), F.col("kept.doc_id").alias("kept_doc_id"))
+    w = Window.partitionBy("row").orderBy("place")
+    same = ["cluster_size", "removed", "kept_doc_id"]
+    new = F.coalesce(F.lag("place").over(w) != F.col("place") - 1, F.lit(True))
+    for c in same:
+        new |= ~F.lag(c).over(w).eqNullSafe(F.col(c))
+    runs = found.withColumn("_new", new).withColumn("_run", F.count_if("_new").over(w)).groupBy("row", "doc_id", "_run", *same)
+    ends = F.min("first").alias("paragraph"), F.min("start").alias("start"), F.max("end").alias("end")
+    return runs.agg(*ends, F.min_by("gram", "place").alias("cluster_id")).drop("row", "_run")
 
 
 def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per paragraph, or piece of one, of ``docs`` (doc_id, text) that has a near-equal one elsewhere: doc_id, paragraph, start, end,
-    cluster_id, cluster_size, removed, kept_doc_id (the document in which the cluster's first occurrence stays)."""
+    """One row per paragraph, or passage inside longer text, of ``docs`` (doc_id, text) that has a (near-)equal one elsewhere: doc_id,
+    paragraph (where it begins), start, end, cluster_id, cluster_size, removed, kept_doc_id (the document in which the cluster's
+    first occurrence stays). Passages of different clusters may overlap."""
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keyed = keyed_texts(docs)
-    schema = "doc_id string, paragraph int, start long, end long, id long, n long, s0 long, s1 long, s2 long, keys array<long>"
-    stored = stash(with_long(keyed.mapInPandas(_sign(least), schema), "doc_id"))
-    signed, pieces = stored.where("n > 0"), stored.where("n = 0")
+    # Texts without an id are told apart by a hash, so that they don't all meet.
+    keyed = keyed_texts(docs, F.when(F.col("doc_id").isNull(), F.xxhash64("text")).cast("string").alias("none"))
+    key = F.coalesce("doc_id", "none")
+    schema = "doc_id string, none string, paragraph int, start long, end long, id long, n long, s0 long, s1 long, s2 long, keys array<long>"
+    stored = stash(with_long(keyed.mapInPandas(_sign(least), schema), "doc_id", "none"))
+    signed = stored.where("n > 0")
+    seeds = repeated_seeds(stored.where("n = 0").select("doc_id", key.alias("key"), F.explode("keys").alias("seed")))
     places = signed.select("doc_id", "paragraph", "start", "end", "id")
     buckets = linking.shared_buckets(signed.select("id", F.explode("keys").alias("key")), split=False)
     involved = stash(buckets.select("id").distinct())
     sketches = stash(signed.select("id", "n", "s0", "s1", "s2").join(involved, "id", "left_semi").dropDuplicates(["id"]))
-    wanted = places.join(involved, "id", "left_semi").groupBy("id").agg(F.min(F.struct("doc_id", "paragraph")).alias("p"))
-    wanted = wanted.groupBy(F.col("p.doc_id").alias("_doc")).agg(F.collect_set("p.paragraph").alias("numbers"))
-    chosen = texts.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc"))).select("text", "numbers")
-    sets = chosen.mapInPandas(_members(least), "id long, members array<long>")
+    wanted = signed.select(key.alias("key"), "paragraph", "id").join(involved, "id", "left_semi").groupBy("id").agg(F.min(F.struct("key", "paragraph")).alias("p"))
+    wanted = wanted.groupBy(F.col("p.key").alias("key")).agg(F.collect_set("p.paragraph").alias("numbers"))
+    needed = wanted.join(seeds.hint("merge"), "key", "full")
+    chosen = keyed.withColumn("key", key.cast("long")).join(needed.hint("merge"), "key").select("doc_id", "text", "numbers", "seeds")
+    schema = "id long, members array<long>, doc_id string, " + ", ".join(f"{c} array<{'long' if c == 'gram' else 'int'}>" for c in _READ[3:])
+    read = with_long(chosen.mapInPandas(_read(least), schema), "doc_id")
+    read = stash(read.withColumn("row", F.monotonically_increasing_id()))
+    sets = read.where("members is not null").select("id", "members")
     sets = stash(sets.join(involved, "id", "left_semi").dropDuplicates(["id"]))
     labels = linking.linked_components(buckets, sketches, sets, threshold)
 
     placed = places.join(labels, "id", "left").withColumn("cluster_id", F.coalesce("label", "id")).drop("label", "id")
     whole = stash(_clusters(placed))
-    inside = repeated_pieces(pieces.select(*places.columns)).withColumnRenamed("id", "cluster_id").alias("p")
-    gone = whole.where("removed").select("doc_id", "paragraph").distinct().alias("w")
-    same = F.col("p.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("p.paragraph") == F.col("w.paragraph"))
-    # Pieces of a paragraph that stays take part, of whatever cluster it is the first; those of removed ones are gone already.
-    return whole.unionByName(_clusters(inside.join(gone, same, "left_anti")))
+    gone = whole.where("removed").select("doc_id", "paragraph")
+    inside = inner_passages(read.where("gram is not null"), gone)
+    return whole.unionByName(inside.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in whole.schema]))
 
 
 def _clusters(placed: DataFrame) -> DataFrame:
@@ -235,8 +286,8 @@ def _cut(text: str | None, spans: object) -> str | None:
         return text
     out, at = [], 0
     for start, end in sorted((s["start"], s["end"]) for s in spans):
-        out.append(text[at:start])
-        at = end + (text[end : end + 1] == "\n" and (start == 0 or text[start - 1] == "\n"))  # a whole line goes with its end
+        out.append(text[at:start])  # empty where spans overlap
+        at = max(at, end) + (end >= at and text[end : end + 1] == "\n" and (start == 0 or text[start - 1] == "\n"))  # a whole line goes with its end
     return "".join([*out, text[at:]])
 
 

@@ -79,6 +79,23 @@ def test_a_copied_paragraph_shares_a_passage_with_one_other_document(make_docs):
     assert left[0] == copied and not left[1].strip() and len(left[2].split()) <= 220 - 40
 
 
+def test_whole_passages_over_any_lines(make_docs):
+    rng = random.Random(11)
+    rows, want = [], set()
+    for k in range(30):
+        passage = prose(rng, rng.choice([31, 51, 60, 100]), 10**6).split()
+        for i in (2 * k, 2 * k + 1):
+            step = rng.choice([7, 12, 200])  # wrapped into lines that are too short for paragraphs, or not at all
+            inner = "\n".join(" ".join(passage[at : at + step]) for at in range(0, len(passage), step))
+            text = f"{prose(rng, 60, 10**6)} {inner} {prose(rng, 60, 10**6)}"
+            rows.append((i, text, "s"))
+            want.add((i, text.index(inner), text.index(inner) + len(inner), 2, i % 2 == 1, 2 * k))
+    got = [(r.doc_id, r.start, r.end, r.cluster_size, r.removed, r.kept_doc_id) for r in repeated_passages(make_docs(rows)).collect()]
+    assert sorted(got) == sorted(want)
+    left = {r.doc_id: r.text for r in drop_repeats(make_docs(rows)).collect()}
+    assert all(left[d] == t if d % 2 == 0 else len(left[d].split()) == 120 for d, t, _ in rows)
+
+
 def test_awkward_rows_and_bands(make_docs, awkward):
     got = repeated_passages(make_docs(awkward)).collect()
     assert {r.doc_id for r in got} <= {7, 8}
