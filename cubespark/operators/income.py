@@ -62,7 +62,7 @@ def without_busy_nights(cube: DataFrame, counts: DataFrame, threshold: float, na
 THRESHOLDS_AND_BUFFERS = ((0, 500), (0, 200), (3, 1000), (3, 500), (3, 200), (6, 1000), (6, 500))
 
 
-def amenity_samples(cube: DataFrame, tiles: DataFrame, amenities: DataFrame, size: float, codes: Column, pairs=THRESHOLDS_AND_BUFFERS) -> DataFrame:
+def amenity_samples(cube: DataFrame, tiles: DataFrame, amenities: DataFrame, size: float, codes: Column | None, pairs=THRESHOLDS_AND_BUFFERS) -> DataFrame:
     """The cube once for each (threshold, buffer_m), as columns, without busy tiles. Counts are made once per buffer."""
     counts = None
     for buffer in sorted({b for _, b in pairs}):

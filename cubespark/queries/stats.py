@@ -10,10 +10,10 @@ from cubespark.operators import graph as G
 from cubespark.operators import indices as X
 from cubespark.operators import stats as T
 from cubespark.plans import pipelines
-from cubespark.queries.base import CELL_CUBE, CUBE, INCOME, OVERLAP, QS, cell_cube, cube, incomes, query, table, tile_boxes
+from cubespark.queries.base import CELL_CUBE, CUBE, INCOME, OVERLAP, QS, amenities, cell_cube, cube, incomes, open_at_night, query, table, tile_boxes
 from cubespark.queries.indices import SPACE, space
 from cubespark.queries.sampling import MINUTES, N_SAMPLES, nsi_over, rates, rca_samples_sql
-from cubespark.queries.spatial import overlaps
+from cubespark.queries.spatial import BUCKET, overlaps
 from cubespark.streaming.rollup import rolled_up
 
 R = rounded
@@ -151,14 +151,18 @@ def backbone_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {CUBE}, {MINUTES}, one as (select * from st where sample = 0), {nsi_over('one', 'sample')}, {INCOME} select city, tile, round(nsi, 6) + 0 night_index, round(li, 6) + 0 log2_income from nsi join inc using (tile)")
 def pipeline_nsi(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cube(spark, sf_dir)
-    got = pipelines.nsi(c, rates(spark), incomes(spark, sf_dir, c), QS, N_SAMPLES)["nsi_income"]
+    night = amenities(spark, sf_dir).where(open_at_night())
+    tables = pipelines.nsi(c, rates(spark), incomes(spark, sf_dir, c), QS, N_SAMPLES, tile_boxes(spark, sf_dir), night, BUCKET)
+    got = pipelines.stored(tables)["nsi_income"]
     return got.select("city", "tile", R(F.col("night_index")).alias("night_index"), R(F.col("log2_income")).alias("log2_income"))
 
 
 @query(f"with {CUBE}, {MINUTES}, {rca_samples_sql('st', 'sample')} select cast(sample as int) as sample, income_class, service, rca from rca")
 def pipeline_rca(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cube(spark, sf_dir)
-    got = pipelines.rca(c, rates(spark), incomes(spark, sf_dir, c), QS, N_SAMPLES)["rca_samples_individual"]
+    night = amenities(spark, sf_dir).where(open_at_night())
+    tables = pipelines.rca(c, rates(spark), incomes(spark, sf_dir, c), QS, N_SAMPLES, tile_boxes(spark, sf_dir), night, BUCKET)
+    got = pipelines.stored(tables)["rca_samples_individual"]
     return got.select("sample", "income_class", "service", R(F.col("rca")).alias("rca"))
 
 
@@ -168,7 +172,7 @@ select city, service, round(nsi, 6) + 0 night_index from nsi"""
 )
 def pipeline_other(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cube(spark, sf_dir)
-    got = pipelines.other(c, rates(spark), incomes(spark, sf_dir, c), QS, tile_boxes(spark, sf_dir))["nsi_service"]
+    got = pipelines.stored(pipelines.other(c, rates(spark), incomes(spark, sf_dir, c), QS, tile_boxes(spark, sf_dir)))["nsi_service"]
     return got.select("city", "service", R(F.col("night_index")).alias("night_index"))
 
 

@@ -8,6 +8,7 @@ from collections import Counter
 import duckdb
 import pytest
 
+from cubespark.plans import pipelines
 from cubespark.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -47,3 +48,18 @@ def test_plans_have_no_unbounded_products(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan or name == "service_space"  # there, labels by labels
+
+
+@pytest.mark.parametrize(
+    ("name", "tables"),
+    [
+        ("pipeline_nsi", {"nsi_income", "nsi_income_robust", "nsi_income_robust_amenity"}),
+        ("pipeline_rca", {"rca", "rca_samples_individual", "rca_samples_mean", "rca_samples_amenity"}),
+        ("pipeline_other", {"nsi_income_geo", "nsi_service", "rca_income_time"}),
+    ],
+)
+def test_pipelines_write_all_their_tables(spark, tmp_path, monkeypatch, name, tables):
+    monkeypatch.setattr(pipelines, "shared_path", lambda _, table: f"{tmp_path}/{table}")
+    QUERIES[name](spark, SF)
+    assert {p.name for p in tmp_path.iterdir()} == tables
+    assert all(spark.read.parquet(str(p)).count() for p in tmp_path.iterdir())
