@@ -50,6 +50,21 @@ def small_batches(spark: SparkSession, mb: int = 16) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
+#: Slots of the filter in of_keys(): the most rows that it broadcasts.
+SLOTS = 1 << 20
+
+
+def of_keys(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of ``wanted``, which has one row for each of its values of ``key``.
+
+    Both sides may be of any size, so they are joined by merge. The rows of other keys are left out before they are shuffled, as far
+    as the hashes of the wanted keys, in SLOTS slots, tell them apart: that table of SLOTS rows at most is broadcast."""
+    wanted = stash(wanted)
+    slots = wanted.select(F.pmod(F.xxhash64(key), F.lit(SLOTS)).cast("int").alias("_slot")).distinct()
+    near = rows.withColumn("_slot", F.pmod(F.xxhash64(key), F.lit(SLOTS)).cast("int")).join(F.broadcast(slots), "_slot", "left_semi").drop("_slot")
+    return near.join(wanted.hint("merge"), key)
+
+
 def words(text: Column) -> Column:
     """The words of a text, split at SPACE; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
@@ -125,14 +140,32 @@ def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw, edge[::2], edge[1::2]
 
 
+def is_space(raw: np.ndarray) -> np.ndarray:
+    """Which bytes are SPACE."""
+    return _IS_SPACE[raw]
+
+
+_HASH_BYTES = 1 << 17
+
+
+def hashed_words(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash for each of the words that begin and end at these bytes; in blocks, so that a long text takes little memory."""
+    out, at = np.empty(len(start), np.uint64), 0
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(end, start[at] + _HASH_BYTES, "right")))
+        low, high = int(start[at]), int(end[to - 1])
+        power, inverse = _powers(high - low)
+        total = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(_BYTE[raw[low:high]] * power[: high - low], dtype=np.uint64, out=total[1:])
+        out[at:to] = (total[end[at:to] - low] - total[start[at:to] - low]) * inverse[start[at:to] - low]
+        at = to
+    return mix(out)
+
+
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A 64-bit hash for each word of UTF-8 ``data``, with the words' byte starts and ends."""
     raw, start, end = word_spans(data)
-    if not len(start):
-        return np.zeros(0, np.uint64), start, end
-    power, inverse = _powers(len(raw))
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * power[: len(raw)], dtype=np.uint64)))
-    return mix((total[end] - total[start]) * inverse[start]), start, end
+    return hashed_words(raw, start, end), start, end
 
 
 def shingle_hashes(word: np.ndarray, width: int) -> np.ndarray:

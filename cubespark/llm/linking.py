@@ -9,7 +9,8 @@ compared on the full sets, or its sketches are too far apart:
 2. within a neighbourhood of several labels: the members outside its largest label against all others, in blocks of sets
    that meet in one task and give only the verified links. A neighbourhood of one label, such as a plain group of near
    copies, costs nothing here.
-3. across neighbourhoods: members of a bucket that belong to different ones, if their sketches are near.
+3. across neighbourhoods: the members of the buckets that hold several, by the rarest of their shingles. Two sets at the threshold
+   share one of the rarest few of each (a prefix filter), so that a common passage, which would pair all that hold it, is no key.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ from cubespark.llm.common import mix, small_batches, stash
 
 SKETCH_WORDS = 3
 SKETCH_SLOTS = 28 * SKETCH_WORDS
-#: Sets on either side of a block comparison.
+#: Sets, and members of sets, on either side of a block comparison.
 BLOCK = 128
+BLOCK_MEMBERS = 1 << 20
 _EVEN = 0x5555555555555555
 
 
@@ -98,17 +100,12 @@ def _near(a: str, b: str, threshold: float) -> Column:
     return (apart <= most) & (small >= F.floor(large * threshold))
 
 
-def shared_buckets(keys: DataFrame, split: bool = True) -> DataFrame:
+def shared_buckets(keys: DataFrame) -> DataFrame:
     """Of rows (id, key), those whose key several ids share, with the bucket's smallest id as ``center``; stored.
 
-    With ``split`` a key's ends are combined before the shuffle, and the join back can be split where a key is hot. Without it a
-    window does both in one shuffle, which takes half the disk, but has a bucket's rows pass through one task (it spills)."""
-    if split:
-        ends = keys.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("_last"))
-        return stash(keys.join(ends.where("center < _last").drop("_last").hint("merge"), "key"))
-    w = Window.partitionBy("key")
-    found = keys.withColumns({"center": F.min("id").over(w), "_last": F.max("id").over(w)})
-    return stash(found.where("center < _last").drop("_last").distinct())
+    A key's ends are combined before the shuffle, and the join back can be split where a key is hot."""
+    ends = keys.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("_last"))
+    return stash(keys.join(ends.where("center < _last").drop("_last").hint("merge"), "key"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -199,16 +196,16 @@ def _block_links(threshold: float):
 
 def _links_within(placed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Verified links (a, b) between different labels of one neighbourhood."""
-    labels = placed.groupBy("hood", "label").agg(F.count("*").alias("size"))
+    labels = placed.groupBy("hood", "label").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
     mixed = (
         labels.groupBy("hood")
-        .agg(F.max(F.struct("size", "label")).alias("top"), F.count("*").alias("labels"), F.sum("size").alias("all"))
+        .agg(F.max(F.struct("size", "label", "n")).alias("top"), F.count("*").alias("labels"), F.sum("size").alias("all"), F.sum("n").alias("n"))
         .where("labels > 1")
         .select(
             "hood",
             F.col("top.label").alias("major"),
-            F.ceil((F.col("all") - F.col("top.size")) / BLOCK).alias("m_blocks"),
-            F.ceil(F.col("all") / BLOCK).alias("g_blocks"),
+            F.greatest(F.ceil((F.col("all") - F.col("top.size")) / BLOCK), F.ceil((F.col("n") - F.col("top.n")) / BLOCK_MEMBERS)).alias("m_blocks"),
+            F.greatest(F.ceil(F.col("all") / BLOCK), F.ceil(F.col("n") / BLOCK_MEMBERS)).alias("g_blocks"),
         )
     )
     members = placed.select("id", "label", "hood").join(mixed, "hood").join(sets, "id")
@@ -225,20 +222,26 @@ def _links_within(placed: DataFrame, sets: DataFrame, threshold: float) -> DataF
 
 
 def _links_across(buckets: DataFrame, placed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Verified links (a, b) between members of a bucket that are of different neighbourhoods."""
-    rows = buckets.select("key", "id").join(placed, "id")
-    sizes = rows.groupBy("key", "hood").agg(F.count("*").alias("size"))
-    major = sizes.groupBy("key").agg(F.max(F.struct("size", "hood")).alias("top"), F.count("*").alias("hoods")).where("hoods > 1")
-    mixed = rows.join(major.select("key", F.col("top.hood").alias("major")), "key")
-    x, y = mixed.where("hood <> major").alias("x"), mixed.alias("y")
-    rest = x.join(
-        y,
-        (F.col("x.key") == F.col("y.key"))
-        & (F.col("x.hood") != F.col("y.hood"))
-        & ((F.col("y.hood") == F.col("y.major")) | (F.col("x.id") < F.col("y.id")))
-        & _near("x", "y", threshold),
-    )
-    return _verified(rest.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), sets, threshold)
+    """Verified links (a, b) between members of different neighbourhoods that meet in a bucket.
+
+    Shingles are put in order: first those of one neighbourhood only, then by the number of sets that hold them. Of two sets at the
+    threshold, each has one of the other's among its first n - threshold * n + 1, so only those are keys."""
+    rows = buckets.select("key", "id").join(placed.select("id", "hood").hint("merge"), "id")
+    hoods = rows.groupBy("key").agg(F.min("hood").alias("_low"), F.max("hood").alias("_high")).where("_low < _high").select("key")
+    mixed = rows.join(hoods.hint("merge"), "key", "left_semi").select("id").distinct()
+    own = stash(mixed.join(placed.hint("merge"), "id").join(sets.hint("merge"), "id"))
+    tokens = own.select("id", "hood", "n", F.explode("members").alias("token"))
+    shared = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("hood").alias("_low"), F.max("hood").alias("_high"))
+    shared = shared.where("_low < _high").select("token", "df")
+    held = tokens.join(shared.hint("merge"), "token").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("held"))
+    first = F.col("n") - F.ceil(F.col("n") * round(threshold * 100) / 100) + 1
+    room = (first - (F.col("n") - F.size("held"))).cast("int")
+    keyed = held.where(room > 0).select("id", F.explode(F.slice("held", F.lit(1), room)).alias("t")).select("id", "t.token")
+    keyed = stash(keyed.join(own.drop("members").hint("merge"), "id"))
+    x, y = keyed.alias("x"), keyed.alias("y")
+    apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.hood") != F.col("y.hood")) & (F.col("x.id") < F.col("y.id"))
+    pairs = x.join(y.hint("merge"), apart & _near("x", "y", threshold)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    return _verified(pairs, sets, threshold)
 
 
 def linked_components(buckets: DataFrame, sketches: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:

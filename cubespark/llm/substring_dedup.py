@@ -6,29 +6,34 @@ a pair at the similarity threshold is missed with a probability of at most 1e-4.
 Jaccard similarity of the full sets, and the components of the verified links are the clusters. In each cluster the first
 occurrence, by doc_id and then position, stays; the others are removals.
 
-A passage can also sit inside longer text, over any lines. So a document's word sequence is taken as grams of RUN words, and the
-least of every SPREAD grams in a row is a seed: each repeat of RUN + SPREAD - 1 words holds one. Around the seeds that
-stand in different documents all grams are compared, and those that stand in different documents make up the passages, which so
-reach to their first and last common word. A gram's first occurrence stays. Lines that are removed whole take no part, as they
-are gone already; those that stay do, of whatever cluster they are the first.
-
-Cases: a null text has no paragraphs. A null doc_id comes after all others. Rows that repeat a doc_id are documents of their
-own for counting; their paragraphs repeat each other. An empty table gives an empty result. Other columns don't matter.
-Words are compared without regard to the case of A-Z. Shorter lines are never clustered as paragraphs.
+A passage can also sit inside longer text, over any lines. So what is left of a document, after whole paragraphs are gone, is taken
+as grams of RUN words, and the least of every SPREAD grams in a row is a seed: each repeat of RUN + SPREAD - 1 words holds one.
+Around the seeds that stand in different documents all grams are compared, and those that stand in different documents make up
+the passages, which so reach to their first and last common word of two characters or more (a list mark or dash at an end stays).
+A gram's first occurrence stays. Paragraphs that stay, of whatever cluster they are the first, take part.
+
+Cases: a null text has no paragraphs. A null doc_id comes after all others, and texts without one count as one document for
+passages inside text. Rows that repeat a doc_id are documents of their own for paragraphs, which repeat each other and are removed
+from every row but none of the first's place; inside text they are one document. An empty table gives an empty result. Other columns
+don't matter. Very long texts are worked on whole, each in one task, in memory of some 60 bytes a word. Words are compared without
+regard to the case of A-Z. Lines of fewer than MIN_WORDS words are never clustered as paragraphs; a line of fewer words than a shingle
+(with a smaller ``least``) has its whole word sequence as its one shingle.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from cubespark.llm import linking
-from cubespark.llm.common import keyed_texts, mix, small_batches, stash, with_long, word_hashes
+from cubespark.llm.common import mix, of_keys, small_batches, stash
+from cubespark.llm.text_batch import Group, groups
 
 MIN_WORDS = 15
 SHINGLE = 5
@@ -38,7 +43,7 @@ RUN = 15
 SPREAD = 16
 
 
-def tune_bands(threshold: float, recall: float = 1 - 1e-4, most: int = 12) -> tuple[int, int]:
+def tune_bands(threshold: float, recall: float = 1 - 1e-4, most: int = 16) -> tuple[int, int]:
     """(bands, rows): the most rows a band, so the fewest chance collisions, that reach ``recall`` with ``most`` bands."""
     best, rows = (most, 1), 1
     while (bands := math.ceil(math.log(1 - recall) / math.log1p(-(threshold**rows)))) <= most:
@@ -47,7 +52,6 @@ def tune_bands(threshold: float, recall: float = 1 - 1e-4, most: int = 12) -> tu
 
 
 BANDS, ROWS = tune_bands(THRESHOLD)
-SLOTS = max(BANDS * ROWS, linking.SKETCH_SLOTS)
 
 
 def band_keys(minhash: np.ndarray) -> np.ndarray:
@@ -59,75 +63,6 @@ def band_keys(minhash: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-class Lines:
-    """The words of a text by line: all arrays at once, as a step for each line would cost more than the line."""
-
-    def __init__(self, text: str | None, least: int):
-        data = (text or "").encode("utf-8", "replace")
-        self.word, self.start, self.end = word_hashes(data.lower())
-        raw = np.frombuffer(data, np.uint8)
-        breaks = np.flatnonzero(raw == 10)
-        self.line = np.searchsorted(breaks, self.start)
-        self.first = np.flatnonzero(np.diff(self.line, prepend=-1))
-        self.count = np.diff(np.append(self.first, len(self.word)))
-        self.edges = np.concatenate(([-1], breaks, [len(raw)]))
-        self.point = None if len(data) == len(text or "") else np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
-        self.least = least
-
-    def points(self, at: np.ndarray) -> np.ndarray:
-        """Code points before byte positions."""
-        return at if self.point is None else self.point[at]
-
-    def paragraphs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(numbers, starts, ends) of the lines of ``least`` words or more; code points, end exclusive."""
-        number = self.line[self.first[self.count >= self.least]]
-        return number, self.points(self.edges[number] + 1), self.points(self.edges[number + 1])
-
-    def shingles(self) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct shingles of the paragraphs, sorted within each, and where each paragraph's begin."""
-        long = self.count >= self.least
-        if not long.any():
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        runs = self.count[long] - SHINGLE + 1
-        owner = np.repeat(np.arange(len(runs)), runs)
-        at = np.arange(len(owner)) - np.repeat(np.cumsum(runs) - runs, runs) + np.repeat(self.first[long], runs)
-        h = np.full(len(owner), SHINGLE, np.uint64)
-        for k in range(SHINGLE):
-            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + self.word[at + k])
-        h >>= np.uint64(16)  # 48 bits, so that a paragraph's number fits beside them and one sort does
-        if len(runs) >> 16:
-            order = np.lexsort((h, owner))
-            h, owner = h[order], owner[order]
-            new = np.concatenate(([True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])))
-            h, owner = h[new], owner[new]
-        else:
-            key = np.unique(h | (owner.astype(np.uint64) << np.uint64(48)))
-            h, owner = key, (key >> np.uint64(48)).astype(np.int64)
-        return h << np.uint64(16), np.flatnonzero(np.diff(owner, prepend=-1))
-
-    def grams(self) -> np.ndarray:
-        """A hash for each RUN words in a row, whatever lines they stand on."""
-        h, width = self.word, 1
-        if len(h) < RUN:
-            return np.zeros(0, np.uint64)
-        while width < RUN:  # two grams that overlap, or meet, make a longer one
-            step = min(width, RUN - width)
-            h = mix(h[:-step] * np.uint64(0x9E3779B97F4A7C15) + h[step:])
-            width += step
-        return h
-
-    def seeds(self) -> np.ndarray:
-        """The grams that are the least of SPREAD in a row."""
-        low, width = self.grams(), 1
-        if len(low) <= SPREAD:
-            return np.unique(low)[:1]
-        while width < SPREAD:
-            step = min(width, SPREAD - width)
-            low = np.minimum(low[:-step], low[step:])
-            width += step
-        return np.unique(low)
-
-
 def set_ids(shingles: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ids of sets that lie one after another, and their sizes."""
     size = np.diff(np.append(begin, len(shingles)))
@@ -136,70 +71,118 @@ def set_ids(shingles: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.nda
     return mix(h ^ size.astype(np.uint64)).view(np.int64), size
 
 
-_SIGNED = ("paragraph", "start", "end", "id", "n", "s0", "s1", "s2", "keys")
+def _lists(values: np.ndarray, size: np.ndarray) -> pa.Array:
+    """An Arrow column of lists that lie one after another."""
+    return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(size))).astype(np.int32), pa.array(values))
 
 
-def _sign(least: int):
-    """Paragraphs with their signatures, and one row for each document's seeds, which has a size of 0.
-
-    A task gives the keys of a set once, so that a paragraph that is everywhere doesn't fill its buckets with itself."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
+def _arrow(task: Callable[[pa.RecordBatch, Group], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts, owners, seeds = [], [], []
-            if len(seen) > 1 << 20:  # memory stays bounded; later repeats are given again
-                seen.clear()
-            for row, text in enumerate(batch["text"]):
-                lines = Lines(text, least)
-                seeds.append(lines.seeds().view(np.int64))
-                shingles, begin = lines.shingles()
-                if not len(begin):
-                    continue
-                ids, n = set_ids(shingles, begin)
-                minhash = linking.minhash_rows(shingles, begin, SLOTS)
-                keys = [None if i in seen or seen.add(i) else k for i, k in zip(ids.tolist(), band_keys(minhash), strict=True)]
-                keys = np.fromiter(keys, object, len(keys))
-                parts.append((*lines.paragraphs(), ids, n, *linking.sketch_rows(minhash).T, keys))
-                owners.append(np.full(len(n), row))
-            ids = batch[["doc_id", "none"]]
-            if parts:
-                whole = [np.concatenate(x) for x in zip(*parts, strict=True)]
-                yield ids.iloc[np.concatenate(owners)].reset_index(drop=True).assign(**dict(zip(_SIGNED, whole, strict=True)))
-            zero = dict.fromkeys(_SIGNED, 0)
-            yield ids.assign(**zero | {"keys": pd.Series(seeds, index=ids.index, dtype=object)})[lambda x: x["keys"].map(len) > 0]
+            for group in groups(batch["text"]):
+                yield from task(batch, group)
 
     return run
 
 
-_READ = ("id", "members", "doc_id", "gram", "place", "first", "last", "start", "end")
-
+_SIGNED = "doc_id long, key long, paragraph int, start int, end int, id long, n int, keys array<long>, lines array<int>, ends array<int>"
 
-def _read(least: int):
-    """The sets of the paragraphs ``numbers``, and the grams around ``seeds``: places, lines and code points from first to last word."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for doc_id, text, wanted, seeds in zip(*(batch[c] for c in ("doc_id", "text", "numbers", "seeds")), strict=True):
-                lines = Lines(text, least)
-                if wanted is not None:
-                    shingles, begin = lines.shingles()
-                    ids, n = set_ids(shingles, begin)
-                    for k in np.flatnonzero(np.isin(lines.paragraphs()[0], wanted)):
-                        rows.append((ids[k], shingles[begin[k] : begin[k] + n[k]].view(np.int64), *[None] * 7))
-                if seeds is not None:
-                    gram = lines.grams().view(np.int64)
-                    hit = np.concatenate(([0], np.cumsum(np.isin(gram, seeds))))
-                    at = np.arange(len(gram))
-                    at = at[hit[np.minimum(at + SPREAD + 1, len(gram))] > hit[np.maximum(at - SPREAD, 0)]]
-                    end = at + RUN - 1
-                    spans = lines.line[at], lines.line[end], lines.points(lines.start[at]), lines.points(lines.end[end])
-                    if len(at):
-                        rows.append((0, None, doc_id, gram[at], at, *spans))
-            yield pd.DataFrame(rows, columns=_READ)
+def _sign(least: int):
+    """Paragraphs with their band keys, and one row for each document's seeds (in keys) with their first and last lines, n = 0.
 
-    return run
+    A task gives the keys of a set once, so that a paragraph that is everywhere doesn't fill its buckets with itself."""
+    seen: set[int] = set()
+
+    def task(batch: pa.RecordBatch, group: Group) -> Iterator[pa.RecordBatch]:
+        if len(seen) > 1 << 20:  # memory stays bounded; later repeats are given again
+            seen.clear()
+        lines = group.paragraphs(least)
+        if len(lines):
+            shingles, begin = group.shingles(lines, SHINGLE)
+            ids, n = set_ids(shingles, begin)
+            keys = band_keys(linking.minhash_rows(shingles, begin, BANDS * ROWS))
+            new = np.array([not (i in seen or seen.add(i)) for i in ids.tolist()])
+            doc = group.line_doc[lines]
+            ends = [group.points(x[lines], doc).astype(np.int32) for x in (group.line_start, group.line_end)]
+            none = _lists(np.zeros(0, np.int32), np.zeros(len(lines), np.int64))
+            number = (lines - group.first_line[doc]).astype(np.int32)
+            yield _rows(batch, group.at + doc, number, *ends, ids, n.astype(np.int32), _lists(keys[new].ravel(), new * BANDS), none, none)
+        gram, at = group.grams(RUN)
+        chosen = group.seeds(gram, at, SPREAD)
+        first = at[chosen]
+        doc = group.doc[first]
+        size = np.bincount(doc, minlength=group.docs)
+        some, zero = np.flatnonzero(size), np.zeros(np.count_nonzero(size), np.int32)
+        spans = [_lists((group.line[x] - group.first_line[doc]).astype(np.int32), size[some]) for x in (first, first + RUN - 1)]
+        yield _rows(batch, group.at + some, zero, zero, zero, zero.astype(np.int64), zero, _lists(gram[chosen].view(np.int64), size[some]), *spans)
+
+    return _arrow(task)
+
+
+def _rows(batch: pa.RecordBatch, rows: np.ndarray, *columns: np.ndarray | pa.Array) -> pa.RecordBatch:
+    """Columns behind the ids of the batch's ``rows``, named as in _SIGNED."""
+    ids = [batch[c].take(pa.array(rows)) for c in ("doc_id", "key")]
+    return pa.RecordBatch.from_arrays([*ids, *map(pa.array, columns)], [x.split()[0] for x in _SIGNED.split(", ")])
+
+
+_SETS = "id long, n int, s0 long, s1 long, s2 long, members array<long>"
+
+
+def _sets(least: int):
+    """The sets of the paragraphs ``numbers``, with their sketches."""
+
+    def task(batch: pa.RecordBatch, group: Group) -> Iterator[pa.RecordBatch]:
+        numbers = batch["numbers"].slice(group.at, group.docs)
+        wanted = np.repeat(group.first_line, numbers.value_lengths().to_numpy()) + numbers.flatten().to_numpy()
+        lines = np.intersect1d(group.paragraphs(least), wanted)
+        if len(lines):
+            shingles, begin = group.shingles(lines, SHINGLE)
+            ids, n = set_ids(shingles, begin)
+            sketch = linking.sketch_rows(linking.minhash_rows(shingles, begin, linking.SKETCH_SLOTS))
+            columns = [ids, n.astype(np.int32), *sketch.T, _lists(shingles.view(np.int64), n)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], [x.split()[0] for x in _SETS.split(", ")])
+
+    return _arrow(task)
+
+
+_GRAMS = "row long, doc_id long, gram long, place int, line int, start int, end int"
+
+
+def _grams() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The grams around ``seeds`` that don't touch the lines ``gone``: the number of their first word, its line, and code points
+    from the first to the last word, without words of one character at the ends."""
+
+    def task(batch: pa.RecordBatch, group: Group) -> Iterator[pa.RecordBatch]:
+        gram, at = group.grams(RUN)
+        if not len(gram):
+            return
+        lists = {c: batch[c].slice(group.at, group.docs) for c in ("seeds", "gone")}
+        flat = {c: (np.repeat(np.arange(group.docs), x.fill_null([]).value_lengths().to_numpy()), x.flatten().to_numpy()) for c, x in lists.items()}
+        doc = group.doc[at]
+        live = ~np.isin(np.arange(len(group.line_start)), group.first_line[flat["gone"][0]] + flat["gone"][1])
+        live = live[group.line[at]] & live[group.line[at + RUN - 1]]
+        seed = np.isin(gram, flat["seeds"][1].view(np.uint64))  # those of other texts of the group do no harm
+        hit = np.concatenate(([0], np.cumsum(seed)))
+        place = np.arange(len(gram))
+        near = hit[np.minimum(place + SPREAD, len(gram))] > hit[np.maximum(place - SPREAD + 1, 0)]
+        chosen = np.flatnonzero(near & live)
+        first, doc = at[chosen], doc[chosen]
+        wide = np.diff(group.points(np.stack((group.start, group.end)), group.doc), axis=0)[0] > 1
+        number = np.arange(len(wide))
+        after = np.minimum.accumulate(np.where(wide, number, len(wide) - 1)[::-1])[::-1]  # the next word of two characters or more
+        before = np.maximum.accumulate(np.where(wide, number, 0))
+        last = first + RUN - 1
+        a, b = np.minimum(after[first], last), np.maximum(before[last], first)
+        a, b = np.where(a <= b, a, first), np.where(a <= b, b, last)
+        base = np.searchsorted(group.doc, np.arange(group.docs))
+        columns = [
+            batch["row"].take(pa.array(group.at + doc)), batch["doc_id"].take(pa.array(group.at + doc)), gram[chosen].view(np.int64),
+            *[x.astype(np.int32) for x in (first - base[doc], group.line[a] - group.first_line[doc], group.points(group.start[a], doc), group.points(group.end[b], doc))],
+        ]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], [x.split()[0] for x in _GRAMS.split(", ")])
+
+    return _arrow(task)
 
 
 def repeated_seeds(seeds: DataFrame) -> DataFrame:
@@ -214,14 +197,8 @@ def _in_two(groups: GroupedData, *more: Column) -> DataFrame:
     return groups.agg(F.min(doc).alias("_low"), F.max(doc).alias("_high"), *more).where("_low < _high").drop("_low", "_high")
 
 
-def inner_passages(grams: DataFrame, gone: DataFrame) -> DataFrame:
-    """The runs of grams that stand in two documents or more, but for those on the lines of ``gone`` (doc_id, paragraph)."""
-    lines = gone.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("paragraph").alias("_lines"))
-    each = F.explode(F.arrays_zip("gram", "place", "first", "last", "start", "end"))
-    live = grams.join(lines, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").select("row", "doc_id", "_lines", each.alias("g"))
-    # A line of MIN_WORDS words or more that touches a gram holds its first or last word.
-    out = F.array_contains("_lines", F.col("g.first")) | F.array_contains("_lines", F.col("g.last"))
-    live = live.where(~F.coalesce(out, F.lit(False))).select("row", "doc_id", *[F.col(f"g.{c}").alias(c) for c in ("gram", "place", "first", "start", "end")])
+def inner_passages(live: DataFrame) -> DataFrame:
+    """The runs of grams (as _GRAMS) that stand in two documents or more."""
     kept = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")).alias("kept")
     found = live.join(_in_two(live.groupBy("gram"), kept, F.count("*").alias("cluster_size")).hint("merge"), "gram")
     stays = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("place") == F.col("kept.place"))
@@ -232,7 +209,7 @@ def inner_passages(grams: DataFrame, gone: DataFrame) -> DataFrame:
     for c in same:
         new |= ~F.lag(c).over(w).eqNullSafe(F.col(c))
     runs = found.withColumn("_new", new).withColumn("_run", F.count_if("_new").over(w)).groupBy("row", "doc_id", "_run", *same)
-    ends = F.min("first").alias("paragraph"), F.min("start").alias("start"), F.max("end").alias("end")
+    ends = F.min("line").alias("paragraph"), F.min("start").alias("start"), F.max("end").alias("end")
     return runs.agg(*ends, F.min_by("gram", "place").alias("cluster_id")).drop("row", "_run")
 
 
@@ -240,44 +217,45 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, threshold: float
     """One row per paragraph, or passage inside longer text, of ``docs`` (doc_id, text) that has a (near-)equal one elsewhere: doc_id,
     paragraph (where it begins), start, end, cluster_id, cluster_size, removed, kept_doc_id (the document in which the cluster's
     first occurrence stays). Passages of different clusters may overlap."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 4)
+    least = max(least, 1)
     # Texts without an id are told apart by a hash, so that they don't all meet.
-    keyed = keyed_texts(docs, F.when(F.col("doc_id").isNull(), F.xxhash64("text")).cast("string").alias("none"))
-    key = F.coalesce("doc_id", "none")
-    schema = "doc_id string, none string, paragraph int, start long, end long, id long, n long, s0 long, s1 long, s2 long, keys array<long>"
-    stored = stash(with_long(keyed.mapInPandas(_sign(least), schema), "doc_id", "none"))
+    doc_id = F.col("doc_id").cast("long")
+    keyed = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.xxhash64("text")).alias("key"), "text")
+    stored = stash(keyed.mapInArrow(_sign(least), _SIGNED))
     signed = stored.where("n > 0")
-    seeds = repeated_seeds(stored.where("n = 0").select("doc_id", key.alias("key"), F.explode("keys").alias("seed")))
-    places = signed.select("doc_id", "paragraph", "start", "end", "id")
-    buckets = linking.shared_buckets(signed.select("id", F.explode("keys").alias("key")), split=False)
-    involved = stash(buckets.select("id").distinct())
-    sketches = stash(signed.select("id", "n", "s0", "s1", "s2").join(involved, "id", "left_semi").dropDuplicates(["id"]))
-    wanted = signed.select(key.alias("key"), "paragraph", "id").join(involved, "id", "left_semi").groupBy("id").agg(F.min(F.struct("key", "paragraph")).alias("p"))
-    wanted = wanted.groupBy(F.col("p.key").alias("key")).agg(F.collect_set("p.paragraph").alias("numbers"))
-    needed = wanted.join(seeds.hint("merge"), "key", "full")
-    chosen = keyed.withColumn("key", key.cast("long")).join(needed.hint("merge"), "key").select("doc_id", "text", "numbers", "seeds")
-    schema = "id long, members array<long>, doc_id string, " + ", ".join(f"{c} array<{'long' if c == 'gram' else 'int'}>" for c in _READ[3:])
-    read = with_long(chosen.mapInPandas(_read(least), schema), "doc_id")
-    read = stash(read.withColumn("row", F.monotonically_increasing_id()))
-    sets = read.where("members is not null").select("id", "members")
-    sets = stash(sets.join(involved, "id", "left_semi").dropDuplicates(["id"]))
-    labels = linking.linked_components(buckets, sketches, sets, threshold)
-
-    placed = places.join(labels, "id", "left").withColumn("cluster_id", F.coalesce("label", "id")).drop("label", "id")
-    whole = stash(_clusters(placed))
-    gone = whole.where("removed").select("doc_id", "paragraph")
-    inside = inner_passages(read.where("gram is not null"), gone)
+    whole = stash(_paragraph_clusters(keyed, signed, least, threshold))
+
+    gone = whole.where("removed").groupBy(F.coalesce("doc_id", "key").alias("key")).agg(F.collect_set("paragraph").alias("gone"))
+    seeds = stored.where("n = 0").select("doc_id", "key", "keys", "lines", "ends").join(gone.hint("merge"), "key", "left")
+    each = seeds.select("doc_id", "key", "gone", F.explode(F.arrays_zip("keys", "lines", "ends")).alias("s"))
+    # A line of MIN_WORDS words or more that touches a gram holds its first or last word.
+    out = F.array_contains("gone", F.col("s.lines")) | F.array_contains("gone", F.col("s.ends"))
+    live = each.where(~F.coalesce(out, F.lit(False))).select("doc_id", "key", F.col("s.keys").alias("seed"))
+    wanted = repeated_seeds(live).join(gone.hint("merge"), "key", "left")
+    read = of_keys(keyed, wanted, "key").withColumn("row", F.monotonically_increasing_id())
+    inside = inner_passages(stash(read.select("row", "doc_id", "text", "seeds", "gone").mapInArrow(_grams(), _GRAMS)))
+    whole = whole.drop("key")
     return whole.unionByName(inside.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in whole.schema]))
 
 
-def _clusters(placed: DataFrame) -> DataFrame:
-    """The rows of clusters of two or more, and whether each is a removal."""
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "paragraph", "start")).alias("first")
+def _paragraph_clusters(keyed: DataFrame, signed: DataFrame, least: int, threshold: float) -> DataFrame:
+    """The paragraphs of clusters of two or more, and whether each is a removal."""
+    buckets = linking.shared_buckets(signed.select("id", F.explode("keys").alias("key")))
+    involved = stash(buckets.select("id").distinct())
+    wanted = signed.select("key", "paragraph", "id").join(involved.hint("merge"), "id", "left_semi").groupBy("id").agg(F.min(F.struct("key", "paragraph")).alias("p"))
+    wanted = wanted.groupBy(F.col("p.key").alias("key")).agg(F.collect_set("p.paragraph").alias("numbers"))
+    read = of_keys(keyed, wanted, "key").select("text", "numbers").mapInArrow(_sets(least), _SETS)
+    sets = stash(read.join(involved.hint("merge"), "id", "left_semi").dropDuplicates(["id"]))
+    labels = linking.linked_components(buckets, sets.drop("members"), sets.select("id", "members"), threshold)
+    places = signed.select("doc_id", "key", "paragraph", "start", "end", "id")
+    placed = places.join(labels.hint("merge"), "id", "left").withColumn("cluster_id", F.coalesce("label", "id")).drop("label", "id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "paragraph", "start")).alias("first")
     clusters = placed.groupBy("cluster_id").agg(F.count("*").alias("cluster_size"), first).where("cluster_size > 1")
-    found = placed.join(clusters, "cluster_id")
-    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.start"))
+    found = placed.join(clusters.hint("merge"), "cluster_id")
+    stays = (F.col("key") == F.col("first.key")) & (F.col("start") == F.col("first.start"))
     return found.select(
-        "doc_id", "paragraph", "start", "end", "cluster_id", "cluster_size", (~stays).alias("removed"), F.col("first.doc_id").alias("kept_doc_id")
+        "doc_id", "key", "paragraph", "start", "end", "cluster_id", "cluster_size", (~stays).alias("removed"), F.col("first.doc_id").alias("kept_doc_id")
     )
 
 
