@@ -4,21 +4,24 @@ Kinds, in the order used where spans start together:
   assign  a named value: password, passwd, secret, token, apikey or api_key, an equals sign or colon, 12 characters or more
   access  AKIA and capitals or digits, 18 characters or more
   hex     a run of 16 or more lower-case hexadecimal digits
-  forge   gh?_ and 36 letters or digits, the last six of which are the CRC-32 of the 30 before, in base 62
+  forge   gh, one of "pousr", _ and 36 letters or digits, the last six of which are the CRC-32 of the 30 before, in base 62
   pkgtok  npm_ and the same form and checksum
   jwt     three base64url parts, the first of which decodes to a JSON object with "alg"
   pem     a private-key block, to its end line if it has one
 Expressions run on the UTF-8 bytes, where every one of them is plain ASCII; spans are given in code points, end exclusive.
 A run of hexadecimal digits has no keyword of its own: bytes are mapped to their class first, and the keyword is 16 digits.
 
-Cases: a null or empty text has no secrets. Each row is scanned by itself and whole; repeated rows give repeated results, a
-null id stays null, an empty table gives an empty result, and other columns don't matter.
+Every scan takes time in proportion to the text: what a failed match has read isn't read again for its kind, and the end lines of
+key blocks are looked up once a text. A JSON head that is nested too deeply to be read is no JSON object.
+
+Cases: a null or empty text has no secrets. Each row is scanned by itself and whole, however long; repeated rows give repeated
+results, a null id stays null, an empty table gives an empty result, and other columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
+import bisect
 import functools
 import hashlib
 import json
@@ -41,10 +44,11 @@ MASK = "[SECRET]"
 _ASSIGN = re.compile(rb"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]+")
-_FORGE = re.compile(rb"gh[a-z]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
+_FORGE = re.compile(rb"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 _PKG = re.compile(rb"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
-_JWT = re.compile(rb"(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
-_PEM = re.compile(rb"-----BEGIN ([A-Z ]*PRIVATE KEY)-----")
+_PART = re.compile(rb"[A-Za-z0-9_-]+")
+_PEM = re.compile(rb"-----BEGIN ([A-Z ]++)-----")
+_PEM_END = re.compile(rb"-----END ([A-Z ]*+)-----")
 
 #: Keywords in lower case, with the kind whose expression is tried at a hit.
 _KEYWORDS = {
@@ -77,35 +81,62 @@ def base62_crc(body: bytes) -> bytes:
 def _is_jwt(head: bytes) -> bool:
     try:
         said = json.loads(base64.urlsafe_b64decode(head + b"=" * (-len(head) % 4)))
-    except (ValueError, binascii.Error):
+    except (ValueError, RecursionError):
         return False
     return isinstance(said, dict) and "alg" in said
 
 
-def _match(kind: str, data: bytes, at: int) -> tuple[int, bool] | None:
-    """The end of the kind's match at a byte and whether it counts; a match that doesn't count still takes its place."""
-    if kind == "assign":
-        return (m.end(), len(m[2]) >= 12) if (m := _ASSIGN.match(data, at)) else None
-    if kind == "access":
-        return (m.end(), m.end() - at >= 18) if (m := _ACCESS.match(data, at)) else None
-    if kind == "jwt":
-        return (m.end(), _is_jwt(m[1])) if (m := _JWT.match(data, at)) else None
-    if kind == "pem":
-        if not (m := _PEM.match(data, at)):
+def _jwt(data: bytes, at: int) -> tuple[int, bool]:
+    if (end := _PART.match(data, at).end()) - at < 4:
+        return end, False
+    middle = _PART.match(data, end + 1) if data[end : end + 1] == b"." else None
+    last = _PART.match(data, middle.end() + 1) if middle and data[middle.end() : middle.end() + 1] == b"." else None
+    return (last.end(), _is_jwt(data[at:end])) if last else (end, False)  # whatever begins within the first part fails as well
+
+
+class _Text:
+    """The bytes of a text and, once they are asked for, its end lines of key blocks."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+
+    @functools.cached_property
+    def pem_ends(self) -> dict[bytes, list[int]]:
+        out: dict[bytes, list[int]] = {}
+        for m in _PEM_END.finditer(self.data):
+            out.setdefault(m[1], []).append(m.start())
+        return out
+
+    def pem(self, at: int) -> tuple[int, bool] | None:
+        if not (m := _PEM.match(self.data, at)) or not m[1].endswith(b"PRIVATE KEY"):
             return None
-        end = data.find(close := b"-----END " + m[1] + b"-----", m.end())
-        return (m.end() if end < 0 else end + len(close)), True
-    m = (_FORGE if kind == "forge" else _PKG).match(data, at)
-    return (m.end(), base62_crc(m[1]) == m[2]) if m else None
+        ends = self.pem_ends.get(m[1], [])
+        k = bisect.bisect_left(ends, m.end())
+        return (ends[k] + len(m[1]) + 14 if k < len(ends) else m.end()), True
+
+    def match(self, kind: str, at: int) -> tuple[int, bool] | None:
+        """The end of the kind's match at a byte and whether it counts; a match that doesn't count still takes its place."""
+        data = self.data
+        if kind == "assign":
+            return (m.end(), len(m[2]) >= 12) if (m := _ASSIGN.match(data, at)) else None
+        if kind == "access":
+            return (m.end(), m.end() - at >= 18) if (m := _ACCESS.match(data, at)) else None
+        if kind == "jwt":
+            return _jwt(data, at) if data.startswith(b"eyJ", at) else None
+        if kind == "pem":
+            return self.pem(at)
+        m = (_FORGE if kind == "forge" else _PKG).match(data, at)
+        return (m.end(), base62_crc(m[1]) == m[2]) if m else None
 
 
 def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) by start, then kind; code points, end exclusive."""
     data = (text or "").encode("utf-8", "replace")
+    whole = _Text(data)
     found, taken = [], dict.fromkeys(KINDS, 0)
     for last, (kind, length) in _automaton().iter(data.lower().decode("latin-1")):
         at = last + 1 - length
-        if at >= taken[kind] and (m := _match(kind, data, at)):
+        if at >= taken[kind] and (m := whole.match(kind, at)):
             taken[kind] = m[0]
             if m[1]:
                 found.append((at, KINDS.index(kind), m[0]))
@@ -157,10 +188,10 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with secrets masked; n_chars, where there is one, follows in the rows that change."""
     small_batches(docs.sparkSession)
     masked = F.pandas_udf(lambda texts: texts.map(redact), "string")(F.col("text"))
-    out = docs.withColumn("_masked", masked)
-    changed = ~F.col("_masked").eqNullSafe(F.col("text"))
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), masked.alias("_masked"))  # a struct, so that no name clashes
+    changed = ~F.col("_masked").eqNullSafe(F.col("_row.text"))
     columns = {"text": F.col("_masked")}
     if "n_chars" in docs.columns:
-        n = F.when(changed, F.length("_masked")).otherwise(F.col("n_chars"))
+        n = F.when(changed, F.length("_masked")).otherwise(F.col("_row.n_chars"))
         columns["n_chars"] = n.cast(docs.schema["n_chars"].dataType)
-    return out.select(*[columns.get(c, F.col(c)).alias(c) for c in docs.columns])
+    return out.select(*[columns.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import base64
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from cubespark.llm.secret_scan import base62_crc, find_secrets, redact, redact_secrets, secret_spans
 
@@ -49,3 +53,28 @@ def test_rows_nulls_repeats_and_clashing_columns(spark):
     masked = redact_secrets(docs).collect()
     assert sorted(r.text is None for r in masked) == [False, False, True] and masked[0].spans == "x"
     assert secret_spans(docs.limit(0)).count() == 0
+
+
+def test_long_hostile_texts_take_time_in_proportion():
+    deep = base64.urlsafe_b64encode(b'{"alg":' + b"[" * 300_000 + b"]" * 300_000 + b"}").decode().rstrip("=")
+    texts = {
+        "eyJ" * 350_000: 0, "eyJ." * 260_000: 0, "eyJabc." * 150_000: 0, deep + ".a.b": 0, "AKIA" * 250_000: 1, "token=" * 170_000: 1,
+        "-----BEGIN RSA PRIVATE KEY-----\n" * 32_000: 32_000, "-----BEGIN " + "A " * 500_000: 0, ("token" + " " * 1000) * 1000: 0,
+        "".join(f"-----BEGIN {'A' * k} PRIVATE KEY-----" for k in range(1400)): 1400,
+    }
+    for text, n in texts.items():
+        began = time.perf_counter()
+        assert len(find_secrets(text)) == n
+        assert time.perf_counter() - began < 5, text[:30]
+
+
+def test_key_blocks_reach_to_their_own_end_line():
+    one = "-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END PRIVATE KEY-----\n-----END RSA PRIVATE KEY-----"
+    assert find_secrets(f"é {one} -----BEGIN PRIVATE KEY----- x") == [("pem", 2, 2 + len(one)), ("pem", 3 + len(one), 3 + len(one) + 27)]
+
+
+def test_awkward_rows_and_names(make_docs, awkward):
+    docs = make_docs(awkward).withColumnsRenamed({"key": "_masked", "size": "_row"}).withColumn("a.b", F.lit(1))
+    assert secret_spans(docs).count() == len(awkward)
+    masked = redact_secrets(docs)
+    assert masked.columns == docs.columns and masked.collect() == docs.collect()
