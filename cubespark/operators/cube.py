@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cubespark.functions.scalars import cyclic_seconds, seconds_of
+from cubespark.operators.ordered import join_on, running_total
 
 
 def filter_labels(cube: DataFrame, column: str, labels: list[str], strict: bool = False) -> DataFrame:
@@ -141,16 +142,34 @@ def column_stats(table: DataFrame, *columns: str) -> DataFrame:
 
 
 def quantiles(table: DataFrame, column: str, qs: list[float], by: tuple[str, ...] = ()) -> DataFrame:
-    """Exact linear quantiles of the non-null values as q0, q1, ..., for each group."""
-    cut = table.groupBy(*by).agg(F.percentile(column, F.array(*map(F.lit, qs))).alias("_q"))
-    return cut.select(*by, *[F.col("_q")[i].alias(f"q{i}") for i in range(len(qs))])
+    """Exact linear quantiles of the non-null values as q0, q1, ..., for each group; null for a group without any.
+
+    Equal values are counted before anything is sorted, and the counts are summed up by ranges, so no group is one task."""
+    counts = table.groupBy(*by, F.col(column).alias("_x")).agg(F.count(column).alias("_n"))
+    to = running_total(counts, list(by), ["_x"], F.col("_n"), "_to")
+    whole = to.groupBy(*by).agg(F.max("_to").alias("_all"))
+    cut = [q * (F.col("_all") - 1) for q in qs]
+
+    def at(rank: Column) -> Column:  # the value of a rank, from 0
+        return F.min(F.when(F.col("_to") > rank, F.col("_x")))
+
+    ends = [F.struct(at(F.floor(c)).alias("low"), at(F.ceil(c)).alias("high")).alias(f"e{i}") for i, c in enumerate(cut)]
+    found = join_on(to.where("_n > 0"), whole.where("_all > 0"), list(by)).groupBy(*by, "_all").agg(*ends)
+    between = [
+        F.when(F.floor(c) == F.ceil(c), F.col(f"e{i}.low")).otherwise((F.ceil(c) - c) * F.col(f"e{i}.low") + (c - F.floor(c)) * F.col(f"e{i}.high"))
+        for i, c in enumerate(cut)
+    ]
+    found = found.select(*by, *[b.cast("double").alias(f"q{i}") for i, b in enumerate(between)])
+    if by:
+        return join_on(whole.select(*by), found, list(by), "left")
+    return found.agg(*[F.first(f"q{i}").alias(f"q{i}") for i in range(len(qs))])  # a row of nulls if there is no value
 
 
 def quantile_bands(table: DataFrame, a: tuple[str, float], b: tuple[str, float], inclusive: bool = True) -> DataFrame:
     """Rows whose first column is in its top band and whose second is in its bottom band, marked ``high_low``, or the other
     way round, ``low_high``. A band starts at the column's quantile; ``inclusive`` says whether it holds the edge."""
     (x, p), (y, q) = a, b
-    edges = table.agg(F.percentile(x, F.lit(p)).alias("x1"), F.percentile(x, F.lit(1 - p)).alias("x0"), F.percentile(y, F.lit(1 - q)).alias("y1"), F.percentile(y, F.lit(q)).alias("y0"))
+    edges = quantiles(table, x, [p, 1 - p]).toDF("x1", "x0").crossJoin(F.broadcast(quantiles(table, y, [1 - q, q]).toDF("y1", "y0")))
     rows = table.crossJoin(F.broadcast(edges))  # one row
 
     def above(c: str, e: str) -> Column:

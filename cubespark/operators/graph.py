@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,14 +33,40 @@ def disparity_backbone(edges: DataFrame, alpha: float = 0.16) -> DataFrame:
     return rows.where(passes("sa", "ka") | passes("sb", "kb")).select("a", "b", "w")
 
 
-def maximum_spanning_forest(edges: DataFrame) -> DataFrame:
-    """Boruvka's rounds: each component takes its best edge to another, in the total order (w down, a, b), until none has one.
+#: Edges that one task takes whole: some megabytes.
+SMALL = 1 << 16
+
+
+def _kruskal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The forest of all edges of a task: best first, unless an edge's ends are joined already."""
+    edges = pd.concat(batches, ignore_index=True).sort_values(["w", "a", "b"], ascending=[False, True, True], kind="stable")
+    parent: dict = {}
+
+    def root(v: object) -> object:
+        while (up := parent.setdefault(v, v)) != v:
+            parent[v] = parent[up]
+            v = up
+        return v
+
+    kept = []
+    for a, b in zip(edges["a"], edges["b"], strict=True):
+        x, y = root(a), root(b)
+        kept.append(x != y)
+        parent[x] = y
+    yield edges[kept]
+
+
+def maximum_spanning_forest(edges: DataFrame, small: int = SMALL) -> DataFrame:
+    """The forest of the best edges, in the total order (w down, a, b). A graph of at most ``small`` edges is one task. A larger one
+    takes Boruvka's rounds: each component takes its best edge to another, until none has one.
 
     The number of components at least halves in a round. Within a round every component points to the other end of its best
     edge; following pointers twice as far each time finds the component that they meet in.
     """
     order = F.struct((-F.col("w")).alias("w"), F.col("a").alias("a"), F.col("b").alias("b"))
     graph = cut_lineage(edges.select("a", "b", "w"))
+    if 0 < graph.count() <= small:
+        return graph.repartition(1).mapInPandas(_kruskal, graph.schema)
     label = cut_lineage(graph.select("a").union(graph.select("b")).distinct().select(F.col("a").alias("v"), F.col("a").alias("c")))
     chosen = None
     while True:

@@ -20,6 +20,12 @@ OPEN_AT_NIGHT = (
     "A101", "A104", "A504", "B101", "B316", "D106", "D303", "D307", "E102", "E107", "E108", "F101", "F103", "F107", "F121",
     "F303", "G102", "G103",
 )
+CLASSES = {"frequent": FREQUENT, "open_at_night": OPEN_AT_NIGHT}
+
+
+def of_class(name: str) -> Column:
+    """Whether an amenity's code is in a class."""
+    return F.col("code").isin(*CLASSES[name])
 
 
 def log2_income(admin: DataFrame, income: str = "Ind_snv", persons: str = "Ind") -> DataFrame:

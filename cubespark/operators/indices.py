@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cubespark.functions.scalars import log10_plus_one, slot_to_clock
 from cubespark.operators.cube import cumulative, dense, mean_over, share
+from cubespark.operators.ordered import join_on
 
 
 def night_index(cube: DataFrame, unit: str, scope: tuple[str, ...] = ("city",), value: str = "value") -> DataFrame:
@@ -51,13 +52,16 @@ def expected_time(probability: DataFrame, unit: str, slot_minutes: int, referenc
 
 
 def comparative_advantage(matrix: DataFrame, row: str, column: str, value: str = "value", within: tuple[str, ...] = ()) -> DataFrame:
-    """Add rca: a cell's share of its column over its row's share of everything. ``matrix`` has a row per cell."""
-
-    def total(*by: str) -> Column:
-        return F.sum(value).over(Window.partitionBy(*within, *by))
-
-    own = F.try_divide(F.col(value), total(column))
-    return matrix.withColumn("rca", F.try_divide(own, F.try_divide(total(row), total())))
+    """Add rca: a cell's share of its column over its row's share of everything. ``matrix`` has a row per cell.
+
+    Totals are grouped sums that are joined back, so that the matrix never meets in one task."""
+    out = matrix
+    for name, by in (("_column", [*within, column]), ("_row", [*within, row])):
+        out = join_on(out, matrix.groupBy(*by).agg(F.sum(value).alias(name)), by)
+    whole = matrix.groupBy(*within).agg(F.sum(value).alias("_all"))
+    out = join_on(out, whole, [*within]) if within else out.withColumn("_all", whole.scalar())
+    share = F.try_divide(F.col("_row"), F.col("_all"))
+    return out.withColumn("rca", F.try_divide(F.try_divide(F.col(value), F.col("_column")), share)).drop("_column", "_row", "_all")
 
 
 def margins(table: DataFrame, row: str, column: str, value: str = "value") -> DataFrame:

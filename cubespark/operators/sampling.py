@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cubespark.functions.scalars import clamped_normal, uniform
+from cubespark.operators.ordered import running_total
+from cubespark.sources.store import cut_lineage
 
 # Megabytes an hour by service.
 MB_PER_HOUR = {
@@ -22,34 +24,42 @@ MB_PER_HOUR = {
 SPREAD = 0.5
 
 
+#: Draws that are summed up in one go; a group's blocks are spread over tasks.
+BLOCK = 1 << 16
+
+
 def ticks(groups: DataFrame, seed: str) -> DataFrame:
-    """(sample, city, service, i, cum): running sums of minutes, past 1.2 times each group's largest traffic.
+    """(sample, city, service, i, cum): running sums of minutes, past 1.2 times each group's largest traffic; stored.
 
-    ``groups``: (sample, city, service, mb_per_hour, most). The number of draws has slack; a group whose sum still falls short
-    gets twice as many, until none does. Extra ticks change nothing, as only those below a traffic value count.
+    ``groups``: (sample, city, service, mb_per_hour, most). The number of draws has slack; if a group's sum still falls short, all get
+    twice as many, until none does. Extra ticks change nothing, as only those below a traffic value count. Draws are summed up in
+    blocks, from the sum of the blocks before.
     """
     mean = F.col("mb_per_hour") / 60
-    n = F.ceil(1.5 * F.col("most") / mean) + 64
     key = ["sample", "city", "service"]
-    running = Window.partitionBy(*key).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy(*key, "block").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     factor = 1
     while True:
-        draws = groups.select(*key, "mb_per_hour", "most", F.explode(F.sequence(F.lit(1).cast("long"), n * factor)).alias("i"))
+        n = (F.ceil(1.5 * F.col("most") / mean) + 64) * factor
+        blocks = groups.withColumn("n", n).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / BLOCK))))
+        i = F.sequence(F.col("block") * BLOCK + 1, F.least("n", (F.col("block") + 1) * BLOCK))
+        draws = blocks.repartition(*key, "block").withColumn("i", F.explode(i))
         draw = clamped_normal(mean, SPREAD * mean, seed, F.col("sample"), F.col("city"), F.col("service"), F.col("i"))
-        sums = draws.withColumn("draw", draw).withColumn("cum", F.sum("draw").over(running))
-        short = sums.groupBy(*key).agg(F.max("cum").alias("c"), F.first("most").alias("m")).where("c < 1.2 * m")
-        if short.isEmpty():
-            return sums.select(*key, "i", "cum")
+        sums = cut_lineage(draws.withColumn("draw", draw).select(*key, "block", "i", "most", F.sum("draw").over(own).alias("part")))
+        each = sums.groupBy(*key, "block").agg(F.max("part").alias("whole"), F.first("most").alias("most"))
+        if each.groupBy(*key).agg(F.sum("whole").alias("c"), F.first("most").alias("m")).where("c < 1.2 * m").isEmpty():
+            each = each.select(*key, "block", F.coalesce(F.sum("whole").over(before), F.lit(0.0)).alias("before"))
+            return sums.join(each, [*key, "block"]).select(*key, "i", (F.col("before") + F.col("part")).alias("cum"))
         factor *= 2
 
 
 def count_below(values: DataFrame, marks: DataFrame, by: list[str], value: str, mark: str) -> DataFrame:
-    """Add ``below``: how many marks of the group are less than the value. A union, one sort and a running count; at ties the
+    """Add ``below``: how many marks of the group are less than the value. A union and one running count over ranges; at ties the
     values come first. A null value has a null count."""
-    rows = values.withColumn("_kind", F.lit(0)).withColumn("_x", F.col(value))
-    ends = marks.select(*by, F.col(mark).alias("_x")).withColumn("_kind", F.lit(1))
-    w = Window.partitionBy(*by).orderBy("_x", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    both = rows.unionByName(ends, allowMissingColumns=True).withColumn("below", F.count_if(F.col("_kind") == 1).over(w))
+    rows = values.withColumn("_kind", F.lit(0)).withColumn("_x", F.col(value).cast("double"))
+    ends = marks.select(*by, F.col(mark).cast("double").alias("_x")).withColumn("_kind", F.lit(1))
+    both = running_total(rows.unionByName(ends, allowMissingColumns=True), by, ["_x", "_kind"], F.col("_kind").cast("long"), "below")
     below = F.when(F.col(value).isNotNull(), F.col("below"))
     return both.where("_kind = 0").withColumn("below", below).drop("_kind", "_x")
 

@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cubespark.functions.scalars import equal_width_bin
+from cubespark.operators.cube import quantiles
 
 
 def ols_simple(table: DataFrame, x: str, y: str) -> DataFrame:
-    """One row: slope, intercept, r2 and n of y on x, in one aggregation."""
-    return table.agg(
+    """One row: slope, intercept, r2, n, and the slope's two-sided p_value of y on x."""
+    fit = table.agg(
         F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), F.regr_count(y, x).alias("n")
     )
+    return fit.withColumn("p_value", F.lit(float(ols_summary(table, y, [x])[0][3])))
 
 
 def ols_summary(table: DataFrame, y: str, xs: list[str]) -> list[tuple[str, float, float, float]]:
@@ -29,42 +31,40 @@ def ols_summary(table: DataFrame, y: str, xs: list[str]) -> list[tuple[str, floa
     return list(zip([*xs, "intercept"], map(float, coefficients), t.coefficientStandardErrors, t.pValues, strict=True))
 
 
-def gram(table: DataFrame, y: str, xs: list[str]) -> np.ndarray:
-    """The products of (1, xs, y), summed over complete rows: all that any regression of y on some of xs needs. One pass."""
-    rows, names = table.select(y, *xs).na.drop(), [None, *xs, y]
-
-    def column(name: str | None):
-        return F.lit(1.0) if name is None else F.col(name).cast("double")
+def gram(table: DataFrame, y: str, xs: list[str]) -> tuple[int, np.ndarray]:
+    """The number of complete rows, and the products of (xs, y) about their means: all that any regression of y on some of xs needs.
 
+    One pass for the means and one for the products: sums of plain products would lose the digits of columns with large means."""
+    rows, names = table.select(*[F.col(c).cast("double") for c in (*xs, y)]).na.drop(), [*xs, y]
+    n, *means = rows.agg(F.count("*"), *[F.avg(c) for c in names]).first()
+    about = [F.col(c) - F.lit(m) for c, m in zip(names, means, strict=True)]
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    sums = rows.agg(*[F.sum(column(names[i]) * column(names[j])).alias(f"s{i}_{j}") for i, j in pairs]).first()
+    sums = rows.agg(*[F.sum(about[i] * about[j]).alias(f"s{i}_{j}") for i, j in pairs]).first()
     out = np.zeros((len(names), len(names)))
     for (i, j), v in zip(pairs, sums, strict=True):
         out[i, j] = out[j, i] = v or 0.0
-    return out
+    return n, out
 
 
-def solve(g: np.ndarray, use: list[int]) -> tuple[np.ndarray, np.ndarray, float]:
-    """Coefficients (intercept first), their standard errors and R2 of the regression on columns ``use`` of a Gram matrix."""
-    rows = [0, *use]
-    a, b = g[np.ix_(rows, rows)], g[rows, -1]
+def solve(n: int, g: np.ndarray, use: list[int]) -> tuple[np.ndarray, np.ndarray, float]:
+    """Coefficients, their standard errors and R2 of the regression, with an intercept, on columns ``use`` of gram()'s products."""
+    a, b = g[np.ix_(use, use)], g[use, -1]
     beta = np.linalg.solve(a, b)
-    n, rss = g[0, 0], g[-1, -1] - beta @ b
-    free = n - len(rows)
-    errors = np.sqrt(np.maximum(0, np.diag(np.linalg.inv(a)) * rss / free)) if free > 0 else np.full(len(rows), np.nan)
-    tss = g[-1, -1] - g[0, -1] ** 2 / n
-    return beta, errors, 1 - rss / tss
+    rss = g[-1, -1] - beta @ b
+    free = n - len(use) - 1
+    errors = np.sqrt(np.maximum(0, np.diag(np.linalg.inv(a)) * rss / free)) if free > 0 else np.full(len(use), np.nan)
+    return beta, errors, 1 - rss / g[-1, -1]
 
 
 def ols_models(table: DataFrame, y: str, x: str, groups: dict[str, list[str]], models: list[tuple[str, ...]]) -> DataFrame:
-    """(model, n_controls, coefficient, std_error, r2) of x for each list of control groups; one pass over the table."""
+    """(model, n_controls, coefficient, std_error, r2) of x for each list of control groups; two passes over the table for all."""
     controls = list(dict.fromkeys(c for g in groups.values() for c in g))
-    g = gram(table, y, [x, *controls])
+    n, g = gram(table, y, [x, *controls])
     out = []
     for model in models:
         used = list(dict.fromkeys(c for name in model for c in groups[name]))
-        beta, errors, r2 = solve(g, [1, *[2 + controls.index(c) for c in used]])
-        out.append(("+".join(model) or "none", len(used), float(beta[1]), float(errors[1]), float(r2)))
+        beta, errors, r2 = solve(n, g, [0, *[1 + controls.index(c) for c in used]])
+        out.append(("+".join(model) or "none", len(used), float(beta[0]), float(errors[0]), float(r2)))
     return table.sparkSession.createDataFrame(out, "model string, n_controls int, coefficient double, std_error double, r2 double")
 
 
@@ -78,11 +78,11 @@ def all_combinations(names: list[str]) -> list[tuple[str, ...]]:
 
 def without_outliers(table: DataFrame, quantile: float, *columns: str) -> DataFrame:
     """Rows whose columns are all at most their own quantile."""
-    cut = table.agg(*[F.percentile(c, F.lit(quantile)).alias(f"_cut_{c}") for c in columns])
-    kept = table.crossJoin(F.broadcast(cut))  # one row
+    kept = table
     for c in columns:
-        kept = kept.where(F.col(c) <= F.col(f"_cut_{c}"))
-    return kept.drop(*[f"_cut_{c}" for c in columns])
+        cut = quantiles(table, c, [quantile]).toDF(f"_cut_{c}")
+        kept = kept.crossJoin(F.broadcast(cut)).where(F.col(c) <= F.col(f"_cut_{c}")).drop(f"_cut_{c}")  # one row
+    return kept
 
 
 def zscore(table: DataFrame, column: str, name: str = "z", quantile: float | None = None) -> DataFrame:

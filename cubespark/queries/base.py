@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cubespark.functions.scalars import clock_of
-from cubespark.operators.income import log2_income
+from cubespark.operators.income import FREQUENT, OPEN_AT_NIGHT, log2_income, of_class
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -106,24 +106,33 @@ OVERLAP = f"""{TILES}, {CELLS}, ov as (
   from cell_geo c join tile_geo t on c.x0 < t.x0 + 200 and t.x0 < c.x0 + 100 and c.y0 < t.y0 + 200 and t.y0 < c.y0 + 100)"""
 
 
+#: Codes of either class, and five of none.
+CODES = (*sorted({*FREQUENT, *OPEN_AT_NIGHT}), "H101", "H102", "H103", "H104", "H105")
+
+
 def amenities(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
+    code = F.element_at(F.array(*map(F.lit, CODES)), (1 + k % len(CODES)).cast("int"))
     return table(spark, sf_dir, "part").select(
-        F.col("p_type").alias("code"), (k * 7919 % 2000).cast("double").alias("x"), (k * 104729 % 3000).cast("double").alias("y")
+        code.alias("code"), (k * 7919 % 2000).cast("double").alias("x"), (k * 104729 % 120000).cast("double").alias("y")
     )
 
 
 def open_at_night():
-    return F.col("code").startswith("PROMO") | F.col("code").startswith("ECONOMY")
+    return of_class("open_at_night")
 
 
 def frequent():
-    return F.col("code").startswith("SMALL") | F.col("code").startswith("MEDIUM") | F.col("code").startswith("STANDARD")
+    return of_class("frequent")
+
+
+def _in(codes: tuple[str, ...]) -> str:
+    return "code in (" + ", ".join(f"'{c}'" for c in codes) + ")"
 
 
-AMENITY = "am as (select p_type code, p_partkey * 7919 % 2000 x, p_partkey * 104729 % 3000 y from part)"
-NIGHT = "(code like 'PROMO%' or code like 'ECONOMY%')"
-DAILY = "(code like 'SMALL%' or code like 'MEDIUM%' or code like 'STANDARD%')"
+AMENITY = f"""am as (select [{', '.join(f"'{c}'" for c in CODES)}][1 + p_partkey % {len(CODES)}] code, p_partkey * 7919 % 2000 x, p_partkey * 104729 % 120000 y from part)"""
+NIGHT = _in(OPEN_AT_NIGHT)
+DAILY = _in(FREQUENT)
 
 
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from cubespark.queries.base import AMENITY, CLASS, CUBE, NSI, QS, SERVICES, TILE
 from cubespark.queries.spatial import SAMPLES, samples
 
 R = S.rounded
-N_SAMPLES = 3
+N_SAMPLES = 15
 #: Services of the events stand for five of the rate table's.
 STANDS_FOR = {"click": "TWITTER", "error": "WIKIPEDIA", "purchase": "WEB_FOOD", "signup": "WEB_FINANCE", "view": "WEB_GAMES"}
 
@@ -41,7 +41,12 @@ tk as (select sample, city, service, i, {_normal('mb / 60', "'0:' || sample || '
   from mx cross join smp cross join lateral (select unnest(range(1, cast(ceil(1.5 * m / (mb / 60)) as bigint) + 65)) i)),
 cum as (select sample, city, service, sum(d) over (partition by sample, city, service order by i) c from tk),
 lst as (select sample, city, service, list(c order by c) cs from cum group by 1, 2, 3),
-st as (select sample, city, tile, service, slot, cast(len(list_filter(cs, lambda x: x < cube.v)) as double) v from cube join lst using (city, service))"""
+st as materialized (select sample, city, tile, service, slot, cast(len(list_filter(cs, lambda x: x < cube.v)) as double) v from cube join lst using (city, service))"""
+
+
+#: Minutes from one draw of the rate per sample and service.
+MEAN_MINUTES = f"""mr as (select sample, service, {_normal('mb / 60', "'0:' || sample || ':' || service")} mr from rate cross join smp),
+mst as materialized (select sample, city, tile, service, slot, v / mr v from cube join mr using (service))"""
 
 
 def individual(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,9 +59,8 @@ def screen_time_individual(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with {CUBE}, {RATE}, smp(sample) as (select unnest(range(0, {N_SAMPLES}))),
-r as (select sample, service, {_normal('mb / 60', "'0:' || sample || ':' || service")} r from rate cross join smp)
-select cast(sample as int) as sample, city, service, round(sum(v / r), 6) + 0 as value from cube join r using (service) group by 1, 2, 3"""
+    f"""with {CUBE}, {RATE}, smp(sample) as (select unnest(range(0, {N_SAMPLES}))), {MEAN_MINUTES}
+select cast(sample as int) as sample, city, service, round(sum(v), 6) + 0 as value from mst group by 1, 2, 3"""
 )
 def screen_time_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = M.screen_time_samples(cube(spark, sf_dir), rates(spark), N_SAMPLES, "mean")
@@ -138,7 +142,7 @@ def rca_samples_amenity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- time profiles -----------------------------------------------------------------------------------------------------
 
-N_DRAWS = 200
+N_DRAWS = 1000
 
 
 def _profile_sql(by: str, source: str) -> str:

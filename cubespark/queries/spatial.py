@@ -18,11 +18,6 @@ BUCKET = 250.0
 R = rounded
 
 
-def few_at_night():
-    """A part of the places that are open at night, so that every threshold leaves some tiles and takes some."""
-    return open_at_night() & (F.col("y") % 40 == 0)
-
-
 def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.box_overlaps(cell_boxes(spark, sf_dir), tile_boxes(spark, sf_dir), BUCKET)
 
@@ -79,24 +74,24 @@ def amenity_log10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with {CUBE}, {TILES}, {AMENITY}, {_count_sql(NIGHT + ' and y % 40 = 0', 200, 'o')}
+    f"""with {CUBE}, {TILES}, {AMENITY}, {_count_sql(NIGHT, 200, 'o')}
 select tile, count(*) n, round(sum(v), 6) + 0 as value from cube where tile in (select tile from o where log2(1 + n) <= 1) group by 1"""
 )
 def amenity_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = N.amenity_counts(tile_boxes(spark, sf_dir), amenities(spark, sf_dir), 200, BUCKET, codes=few_at_night())
+    counts = N.amenity_counts(tile_boxes(spark, sf_dir), amenities(spark, sf_dir), 200, BUCKET, codes=open_at_night())
     kept = N.without_busy_nights(cube(spark, sf_dir), counts, 1)
     return kept.groupBy("tile").agg(F.count("*").alias("n"), R(F.sum("value")).alias("value"))
 
 
 #: The pairs of threshold and buffer, and the tiles that each leaves out, once.
 SAMPLES = f"""pairs(threshold, buffer_m) as (values {', '.join(str(p) for p in N.THRESHOLDS_AND_BUFFERS)}),
-near as (select key tile, buffer_m, count(code) n from (select distinct buffer_m from pairs) cross join tile_geo left join am on {NIGHT} and y % 40 = 0
+near as (select key tile, buffer_m, count(code) n from (select distinct buffer_m from pairs) cross join tile_geo left join am on {NIGHT}
   and greatest(x0 - x, 0, x - x0 - 200) ** 2 + greatest(y0 - y, 0, y - y0 - 200) ** 2 <= buffer_m ** 2 group by 1, 2),
 samples as (select threshold, buffer_m, cube.* from pairs join near using (buffer_m) join cube using (tile) where log2(1 + n) <= threshold)"""
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.amenity_samples(cube(spark, sf_dir), tile_boxes(spark, sf_dir), amenities(spark, sf_dir), BUCKET, few_at_night())
+    return N.amenity_samples(cube(spark, sf_dir), tile_boxes(spark, sf_dir), amenities(spark, sf_dir), BUCKET, open_at_night())
 
 
 @query(f"with {CUBE}, {TILES}, {AMENITY}, {SAMPLES} select threshold, buffer_m, count(distinct tile) tiles, round(sum(v), 6) + 0 as value from samples group by 1, 2")

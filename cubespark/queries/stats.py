@@ -1,4 +1,4 @@
-"""Regressions, bins, scores, backbones, and the four pipelines."""
+"""Regressions, bins, scores and backbones."""
 
 from __future__ import annotations
 
@@ -7,14 +7,9 @@ from pyspark.sql import functions as F
 
 from cubespark.functions.scalars import rounded
 from cubespark.operators import graph as G
-from cubespark.operators import indices as X
 from cubespark.operators import stats as T
-from cubespark.plans import pipelines
-from cubespark.queries.base import CELL_CUBE, CUBE, INCOME, OVERLAP, QS, amenities, cell_cube, cube, incomes, open_at_night, query, table, tile_boxes
+from cubespark.queries.base import query, table
 from cubespark.queries.indices import SPACE, space
-from cubespark.queries.sampling import MINUTES, N_SAMPLES, nsi_over, rates, rca_samples_sql
-from cubespark.queries.spatial import BUCKET, overlaps
-from cubespark.streaming.rollup import rolled_up
 
 R = rounded
 
@@ -36,46 +31,81 @@ REG = """reg as (select o_custkey key, avg(o_totalprice) y, any_value(c_acctbal)
 GROUPS = {"urgency": ["p0", "p1", "p2"], "status": ["sf", "so"], "place": ["nation"]}
 
 
-@query(f"with {REG} select round(regr_slope(y, x), 6) slope, round(regr_intercept(y, x), 3) intercept, round(regr_r2(y, x), 6) r2, cast(regr_count(y, x) as bigint) n from reg")
-def ols_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = T.ols_simple(regression_table(spark, sf_dir), "x", "y")
-    return got.select(R(F.col("slope")).alias("slope"), R(F.col("intercept"), 3).alias("intercept"), R(F.col("r2")).alias("r2"), "n")
+def _fit_sql(name: str, term: str, others: list[str]) -> str:
+    """Coefficient b, standard error se and rss of a term of the regression of y, by successive partialling out of the others, one
+    column after another. The intercept is the column ``one``."""
+    columns, steps = [*others, term, "y"], [f"{name}_0 as (select 1.0::double as one, * exclude (key) from reg)"]
+    for k, c in enumerate(others):
+        rest = ", ".join(f"{r} - {c} * (sum({r} * {c}) over () / sum({c} * {c}) over ()) as {r}" for r in columns[k + 1 :])
+        steps.append(f"{name}_{k + 1} as (select {rest} from {name}_{k})")
+    steps.append(f"{name}_s as (select sum({term} * y) / sum({term} * {term}) b, sum({term} * {term}) t, sum(y * y) yy, count(*) - {len(others) + 1} free from {name}_{len(others)})")
+    steps.append(f"{name} as (select b, sqrt((yy - b * b * t) / free / t) se, yy - b * b * t rss, free from {name}_s)")
+    return ", ".join(steps)
+
 
+def _p_sql(name: str) -> str:
+    """The two-sided p-value of a fitted term: Student's density integrated by Simpson's rule."""
+    density = f"exp(lgamma((free + 1) / 2.0) - lgamma(free / 2.0)) / sqrt(free * pi()) * (1 + (abs(b / se) * i / 4000) ** 2 / free) ** (-(free + 1) / 2.0)"
+    weight = "case when i in (0, 4000) then 1 when i % 2 = 1 then 4 else 2 end"
+    return f"(select 1 - 2 * sum({weight} * {density} * abs(b / se) / 4000 / 3) from {name}, range(0, 4001) r(i))"
 
-def _partial_sql(controls: list[str]) -> str:
-    """The coefficient of x with up to one control, by Frisch, Waugh and Lovell."""
-    if not controls:
-        return "select regr_slope(y, x) b from reg"
-    (c,) = controls
-    return f"""select regr_slope(y - m.b0 * {c}, x - m.b1 * {c}) b from reg, (select regr_slope(y, {c}) b0, regr_slope(x, {c}) b1 from reg) m"""
+
+def _models_sql(models: list[tuple[str, ...]], groups: dict[str, list[str]]) -> str:
+    fits, rows = [], []
+    for k, model in enumerate(models):
+        used = list(dict.fromkeys(c for name in model for c in groups[name]))
+        fits.append(_fit_sql(f"f{k}", "x", ["one", *used]))
+        rows.append(f"select '{'+'.join(model) or 'none'}' model, cast({len(used)} as int) n_controls, round(b, 4) coefficient, round(se, 4) std_error, round(1 - rss / yss, 4) r2 from f{k}, tss")
+    return f"with {REG}, tss as (select var_pop(y) * count(*) yss from reg), {', '.join(fits)} {' union all '.join(rows)}"
 
 
 @query(
-    f"""with {REG}, a as ({_partial_sql([])}), b as ({_partial_sql(['nation'])})
-select 'none' model, cast(0 as int) n_controls, round(b, 4) coefficient from a union all select 'place', 1, round(b, 4) from b"""
+    f"""with {REG}, {_fit_sql('f', 'x', ['one'])}
+select round(regr_slope(y, x), 6) slope, round(regr_intercept(y, x), 3) intercept, round(regr_r2(y, x), 6) r2, cast(regr_count(y, x) as bigint) n, round({_p_sql('f')}, 5) p_value from reg"""
 )
+def ols_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = T.ols_simple(regression_table(spark, sf_dir), "x", "y")
+    return got.select(R(F.col("slope")).alias("slope"), R(F.col("intercept"), 3).alias("intercept"), R(F.col("r2")).alias("r2"), "n", R(F.col("p_value"), 5).alias("p_value"))
+
+
+def _models(spark: SparkSession, sf_dir: str, groups: dict[str, list[str]], models: list[tuple[str, ...]]) -> DataFrame:
+    got = T.ols_models(regression_table(spark, sf_dir), "y", "x", groups, models)
+    return got.select("model", "n_controls", *[R(F.col(c), 4).alias(c) for c in ("coefficient", "std_error", "r2")])
+
+
+PLACE = {"place": ["nation"]}
+
+
+@query(_models_sql(T.nested(["place"]), PLACE))
 def ols_nested_small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nested models of one group, which SQL can check by partialling out."""
-    got = T.ols_models(regression_table(spark, sf_dir), "y", "x", {"place": ["nation"]}, T.nested(["place"]))
-    return got.select("model", "n_controls", R(F.col("coefficient"), 4).alias("coefficient"))
+    """The nested models of one group."""
+    return _models(spark, sf_dir, PLACE, T.nested(list(PLACE)))
 
 
-@query()
+@query(_models_sql(T.nested(list(GROUPS)), GROUPS))
 def ols_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = T.ols_models(regression_table(spark, sf_dir), "y", "x", GROUPS, T.nested(list(GROUPS)))
-    return got.select("model", "n_controls", *[R(F.col(c), 4).alias(c) for c in ("coefficient", "std_error", "r2")])
+    return _models(spark, sf_dir, GROUPS, T.nested(list(GROUPS)))
 
 
-@query()
+@query(_models_sql(T.all_combinations(list(GROUPS)), GROUPS))
 def ols_all_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = T.ols_models(regression_table(spark, sf_dir), "y", "x", GROUPS, T.all_combinations(list(GROUPS)))
-    return got.select("model", "n_controls", *[R(F.col(c), 4).alias(c) for c in ("coefficient", "std_error", "r2")])
+    return _models(spark, sf_dir, GROUPS, T.all_combinations(list(GROUPS)))
+
+
+CONTROLLED = ["x", "p0", "p1", "p2", "nation"]
+
 
+def _controls_sql() -> str:
+    fits = [_fit_sql(f"f{k}", c, ["one", *[o for o in CONTROLLED if o != c]]) for k, c in enumerate(CONTROLLED)] + [_fit_sql("fi", "one", CONTROLLED)]
+    names = [*[(f"f{k}", c) for k, c in enumerate(CONTROLLED)], ("fi", "intercept")]
+    rows = [f"select '{term}' term, round(b, 4) coefficient, round(se, 4) std_error, round({_p_sql(f)}, 4) + 0 p_value from {f}" for f, term in names]
+    return f"with {REG}, {', '.join(fits)} {' union all '.join(rows)}"
 
-@query()
+
+@query(_controls_sql())
 def ols_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With p-values, from Spark's own regression."""
-    rows = T.ols_summary(regression_table(spark, sf_dir), "y", ["x", "p0", "p1", "p2", "nation"])
+    rows = T.ols_summary(regression_table(spark, sf_dir), "y", CONTROLLED)
     got = spark.createDataFrame([(a, float(b), float(c), float(d)) for a, b, c, d in rows], "term string, coefficient double, std_error double, p_value double")
     return got.select("term", *[R(F.col(c), 4).alias(c) for c in ("coefficient", "std_error", "p_value")])
 
@@ -143,51 +173,3 @@ def backbone_mst(spark: SparkSession, sf_dir: str) -> DataFrame:
 def backbone_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = edges(spark, sf_dir)
     return G.union_max(G.disparity_backbone(e, ALPHA), G.maximum_spanning_forest(e)).select("a", "b", R(F.col("w")).alias("w"))
-
-
-# -- pipelines ---------------------------------------------------------------------------------------------------------
-
-
-@query(f"with {CUBE}, {MINUTES}, one as (select * from st where sample = 0), {nsi_over('one', 'sample')}, {INCOME} select city, tile, round(nsi, 6) + 0 night_index, round(li, 6) + 0 log2_income from nsi join inc using (tile)")
-def pipeline_nsi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = cube(spark, sf_dir)
-    night = amenities(spark, sf_dir).where(open_at_night())
-    tables = pipelines.nsi(c, rates(spark), incomes(spark, sf_dir, c), QS, N_SAMPLES, tile_boxes(spark, sf_dir), night, BUCKET)
-    got = pipelines.stored(tables)["nsi_income"]
-    return got.select("city", "tile", R(F.col("night_index")).alias("night_index"), R(F.col("log2_income")).alias("log2_income"))
-
-
-@query(f"with {CUBE}, {MINUTES}, {rca_samples_sql('st', 'sample')} select cast(sample as int) as sample, income_class, service, rca from rca")
-def pipeline_rca(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = cube(spark, sf_dir)
-    night = amenities(spark, sf_dir).where(open_at_night())
-    tables = pipelines.rca(c, rates(spark), incomes(spark, sf_dir, c), QS, N_SAMPLES, tile_boxes(spark, sf_dir), night, BUCKET)
-    got = pipelines.stored(tables)["rca_samples_individual"]
-    return got.select("sample", "income_class", "service", R(F.col("rca")).alias("rca"))
-
-
-@query(
-    f"""with {CUBE}, {MINUTES}, one as (select * from st where sample = 0), {nsi_over('one', 'sample').replace('tile', 'service')}
-select city, service, round(nsi, 6) + 0 night_index from nsi"""
-)
-def pipeline_other(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = cube(spark, sf_dir)
-    got = pipelines.stored(pipelines.other(c, rates(spark), incomes(spark, sf_dir, c), QS, tile_boxes(spark, sf_dir)))["nsi_service"]
-    return got.select("city", "service", R(F.col("night_index")).alias("night_index"))
-
-
-@query(
-    f"""with {OVERLAP}, {CELL_CUBE}, good as (select dst from ov group by 1 having sum(area) / 40000 > 0.8)
-select dst, service, round(sum(v * area / 10000), 6) + 0 as value from cell_cube join ov using (src) join good using (dst) group by 1, 2"""
-)
-def pipeline_regrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = pipelines.regrid(cell_cube(spark, sf_dir), overlaps(spark, sf_dir), 40_000.0)
-    back = spark.read.parquet(path)
-    return back.groupBy("dst", "service").agg(R(F.sum("value")).alias("value"))
-
-
-@query("select event_type, round(sum(value), 6) as value, count(*) n from events group by 1")
-def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cube's sums from a stream over the events' files, as it stands when the input is read."""
-    got = rolled_up(spark, f"{sf_dir}/events.parquet", ["event_type"])
-    return got.select("event_type", R(F.col("value")).alias("value"), "n")

@@ -12,17 +12,38 @@ from pyspark.sql.types import StructType
 CUBE_SCHEMA = "city string, tile long, service string, slot int, time string, value double"
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir, the folder that all executors reach; a temporary folder where that is unset."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset and Spark runs in one
+    process."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors reach")
         where = "file://" + tempfile.mkdtemp(prefix="spark-cubespark-")
         spark.conf.set("spark.checkpoint.dir", where)
-    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return where.rstrip("/")
+
+
+_made: list[str] = []
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder, for clear() to delete."""
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete the intermediate tables that this process has made so far, once the results that read them have been written; how many."""
+    n = 0
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back."""
+    """Write ``df`` as Parquet into the shared folder and read it back: lineage is cut, and a lost executor costs no recomputation."""
     path = shared_path(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

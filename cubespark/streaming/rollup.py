@@ -24,12 +24,16 @@ def rolled_up(spark: SparkSession, path: str, by: list[str]) -> DataFrame:
     stream = spark.readStream.schema(schema).parquet(anywhere)
     out = shared_path(spark, "rollup")
     state = rollup(stream, by)
+    last = None
 
     def keep(batch: DataFrame, number: int) -> None:
+        nonlocal last
         batch.write.mode("overwrite").parquet(f"{out}/{number}")
+        last = number
 
     q = state.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{out}-state-{uuid.uuid4().hex}")
     running = q.trigger(availableNow=True).start()
     running.awaitTermination()
-    last = running.lastProgress["batchId"]
-    return spark.read.parquet(f"{out}/{last}")
+    if last is None:  # there was nothing to read, so no batch
+        return spark.createDataFrame([], state.schema)
+    return spark.read.schema(state.schema).parquet(f"{out}/{last}")

@@ -20,6 +20,7 @@ from cubespark.operators import mobility as M
 from cubespark.operators import sampling as Z
 from cubespark.operators import spatial as P
 from cubespark.operators import stats as T
+from cubespark.operators.ordered import running_total
 from cubespark.sources import store
 
 CUBE = "city string, tile long, service string, slot int, value double"
@@ -215,6 +216,7 @@ def test_spanning_forest_is_kruskals(spark, seed):
             want.add((a, b, w))
     df = spark.createDataFrame([(a, b, w) for (a, b), w in edges], "a long, b long, w double")
     assert {tuple(r) for r in G.maximum_spanning_forest(df).collect()} == want
+    assert {tuple(r) for r in G.maximum_spanning_forest(df, 0).collect()} == want
 
 
 def test_backbone_and_union(spark):
@@ -240,3 +242,52 @@ def test_round_trips(spark):
 def test_projection_of_a_known_point(spark):
     x, y = spark.range(1).select(*S.lambert93(F.lit(3.0), F.lit(46.5))).first()
     assert (x, y) == (pytest.approx(700000, abs=0.01), pytest.approx(6600000, abs=0.5))
+
+
+def test_quantiles_equal_numpy_in_groups_with_ties_and_gaps(spark):
+    rng = random.Random(4)
+    data = [("a", float(rng.randrange(9))) for _ in range(200)] + [("b", 3.0)] * 150 + [("b", rng.random()) for _ in range(7)]
+    data += [("c", None)] * 3 + [(None, 2.0), (None, 4.0), ("d", 1.0), ("a", None)]
+    df = spark.createDataFrame(data, "g string, x double")
+    qs = [0.0, 0.1, 0.3, 0.5, 0.77, 1.0]
+    got = {r.g: [r[f"q{i}"] for i in range(len(qs))] for r in C.quantiles(df, "x", qs, ("g",)).collect()}
+    for g in {g for g, _ in data}:
+        values = [x for h, x in data if h == g and x is not None]
+        assert got[g] == (pytest.approx(list(np.quantile(values, qs))) if values else [None] * len(qs))
+    everything = C.quantiles(df, "x", qs).collect()
+    assert len(everything) == 1 and list(everything[0]) == pytest.approx(list(np.quantile([x for _, x in data if x is not None], qs)))
+    assert [list(r) for r in C.quantiles(df.where("g = 'c'"), "x", [0.5]).collect()] == [[None]]
+
+
+def test_running_totals_over_ranges_equal_plain_sums(spark):
+    rng = random.Random(5)
+    data = [(rng.choice(["a", "b", None]), rng.randrange(40), i, rng.randrange(5)) for i in range(400)]
+    df = spark.createDataFrame(data, "g string, o int, i int, x int").repartition(3)
+    got = {(r.g, r.i): r.t for r in running_total(df, ["g"], ["o", "i"], F.col("x"), "t").collect()}
+    whole = {r.i: r.t for r in running_total(df, [], ["o", "i"], F.col("x"), "t").collect()}
+    for g, o, i, _ in data:
+        assert got[g, i] == sum(x for h, p, j, x in data if h == g and (p, j) <= (o, i))
+        assert whole[i] == sum(x for _, p, j, x in data if (p, j) <= (o, i))
+
+
+def test_advantage_needs_no_window_and_takes_null_labels(spark):
+    df = spark.createDataFrame([("r", "x", 2.0), ("r", None, 2.0), (None, "x", 4.0), (None, None, 0.0)], "a string, b string, value double")
+    got = X.comparative_advantage(df, "a", "b")
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    assert rows(got, "a", "b", "rca") == sorted([("r", "x", 2 / 6 / (4 / 8)), ("r", None, 2.0), (None, "x", 4 / 6 / (4 / 8)), (None, None, 0.0)], key=str)
+
+
+def test_ticks_in_blocks_are_one_running_sum(spark, monkeypatch):
+    groups = spark.createDataFrame([(0, "c", "s", 60.0, 40.0), (0, "d", "s", 60.0, 3.0)], "sample int, city string, service string, mb_per_hour double, most double")
+    whole = {(r.city, r.i): r.cum for r in Z.ticks(groups, "0").collect()}
+    monkeypatch.setattr(Z, "BLOCK", 16)
+    split = {(r.city, r.i): r.cum for r in Z.ticks(groups, "0").collect()}
+    assert split == pytest.approx(whole) and len(whole) == 124 + 69
+
+
+def test_intermediate_tables_can_be_deleted(spark, toy):
+    kept = store.cut_lineage(toy)
+    assert kept.count() == toy.count() and store.clear(spark) >= 1
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|PATH_NOT_FOUND|does not exist"):
+        kept.count()
+    assert store.clear(spark) == 0
