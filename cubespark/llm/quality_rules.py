@@ -1,15 +1,15 @@
 """Quality rules: counts that reject plain junk, and a hashed n-gram log-likelihood ratio between trusted and raw text.
 
 Every word and every pair of neighbouring words falls into one of BUCKETS buckets by hash. Two multinomials over the
-buckets are counted: over all raw documents, and over the trusted ones (labels.quality = 1; at most TRUSTED of them, those of
-the smallest id hash). A document's score is the mean over its n-grams of log(trusted share / raw share), in millionths and
+buckets are counted: over all raw documents, and over all trusted ones (labels.quality = 1). A document's score is the mean over its n-grams of log(trusted share / raw share), in millionths and
 whole numbers, so that it is the same on every run. It is kept if its score is not more than SIGMAS standard deviations
 below the mean score of the trusted documents. All of this is column expressions; the only thing that comes to the driver
-is the table of BUCKETS ratios, which goes back as one literal.
+is the table of BUCKETS ratios, which goes back as one literal. The trusted ids are broadcast if there are at most SMALL of them, and
+joined by merge beyond that; the result is the same.
 
 Cases: a null text is an empty one: zero counts, base_failed. Without trusted documents the ratio decides nothing. Each row
-is judged by itself, so repeated rows and null or repeated ids change nothing (a repeated id is trusted if its label is).
-An empty table gives an empty result. Columns of other names stay as they are.
+is judged by itself and whole, however long, so repeated rows and null or repeated ids change nothing (a repeated id is trusted if its
+label is). An empty table gives an empty result. Other columns, whatever their names, stay as they are.
 """
 
 from __future__ import annotations
@@ -18,25 +18,28 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cubespark.llm.common import bounded_sample, words
+from cubespark.llm.common import stash, words
 
 BUCKETS = 1 << 14
-TRUSTED = 20_000
+#: Trusted ids that are broadcast: 16 MB or so.
+SMALL = 1 << 20
 SIGMAS = 5.0
 MICRO = 1_000_000
 
 
-def _buckets(w: Column, i: Column, all_words: Column) -> tuple[Column, Column]:
+def _buckets(w: Column, after: Column) -> tuple[Column, Column]:
     """The buckets of a word and of its pair with the next word (with nothing, after the last)."""
-    after = F.get(all_words, i + 1)
     return F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"), F.pmod(F.xxhash64(w, after, F.lit(2)), F.lit(BUCKETS)).cast("int")
 
 
 def ratio_table(docs: DataFrame, trusted_ids: DataFrame) -> np.ndarray:
     """The log ratio of each bucket's trusted and raw shares, in millionths; half an n-gram is added to every bucket."""
-    marked = docs.join(F.broadcast(trusted_ids.select("doc_id").distinct().withColumn("_t", F.lit(1))), "doc_id", "left")
+    marked = docs.join(trusted_ids.withColumn("_t", F.lit(1)), "doc_id", "left")
     split = marked.select(words(F.col("text")).alias("_w"), F.coalesce("_t", F.lit(0)).alias("_t"))
-    grams = split.select(F.explode(F.flatten(F.transform("_w", lambda w, i: F.array(*_buckets(w, i, F.col("_w")))))).alias("b"), "_t")
+    # Words are exploded beside their successors, and hashed after that, as lambdas over arrays aren't compiled.
+    pairs = F.arrays_zip("_w", F.slice("_w", F.lit(2), F.greatest(F.size("_w") - 1, F.lit(0))).alias("_v"))
+    each = split.select(F.explode(pairs).alias("p"), "_t").select(F.array(*_buckets(F.col("p._w"), F.col("p._v"))).alias("b"), "_t")
+    grams = each.select(F.explode("b").alias("b"), "_t")
     raw, trusted = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for b, n, t in grams.groupBy("b").agg(F.count("*"), F.sum("_t")).collect():  # BUCKETS rows at most
         raw[b], trusted[b] = n, t
@@ -51,7 +54,7 @@ def with_score(rows: DataFrame, ratios: np.ndarray) -> DataFrame:
     table = F.lit(ratios)
 
     def of(w: Column, i: Column) -> Column:
-        one, two = _buckets(w, i, F.col("_w"))
+        one, two = _buckets(w, F.get(F.col("_w"), i + 1))
         return F.get(table, one) + F.get(table, two)
 
     total = F.aggregate(F.transform("_w", of), F.lit(0).cast("long"), lambda a, x: a + x)
@@ -60,7 +63,7 @@ def with_score(rows: DataFrame, ratios: np.ndarray) -> DataFrame:
 
 def least_score(docs: DataFrame, trusted_ids: DataFrame, ratios: np.ndarray) -> int | None:
     """The score under which documents are rejected, from the trusted documents' scores; None without any."""
-    rows = docs.join(F.broadcast(trusted_ids.select("doc_id").distinct()), "doc_id").select(words(F.col("text")).alias("_w"))
+    rows = docs.join(trusted_ids, "doc_id").select(words(F.col("text")).alias("_w"))
     d = F.col("_llr").cast("decimal(20,0)")
     n, s, q = with_score(rows, ratios).agg(F.count("_llr"), F.sum(d), F.sum(d * d)).first()
     if not n:
@@ -109,12 +112,13 @@ FLAGS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Every row of ``docs`` as the struct _row, with the columns of FLAGS. labels: (doc_id, quality)."""
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    trusted = bounded_sample(good, "doc_id", TRUSTED)
+    trusted = stash(good)
+    trusted = F.broadcast(trusted) if trusted.count() <= SMALL else trusted.hint("merge")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ratios = ratio_table(texts, trusted)
     least = least_score(texts, trusted, ratios)
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.struct("*").alias("_row"), text.alias("_text"), words(F.col("text")).alias("_w"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), text.alias("_text"), words(F.col("text")).alias("_w"))
     rows = with_score(with_counts(rows), ratios)
     failed = (F.col("_n_words") < 10) | (100 * F.col("_n_repeat_words") > 20 * F.col("_n_words"))
     good_enough = F.col("_llr") >= least if least is not None else F.lit(True)
