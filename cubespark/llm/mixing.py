@@ -1,19 +1,22 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 A source's target is a number of words. Each of its documents should be taken target / source_size times on average; the
-whole part is certain and the fraction is a probability that must be rounded to 0 or 1. Pivotal rounding takes two
-documents with fractional probabilities and moves words from one to the other, in a random direction that keeps both
-expectations, until one of them is whole; the other carries the rest on to the next pairing. The words taken from a source
-thus never change in a pairing, and only the last document of a source is rounded by itself: the words taken differ from
-the target by less than that document's size.
-
-The pairings form a tree. Leaves are (source, bucket) groups of about LEAF documents, folded as a stream in constant
-memory; each hands on at most one fractional document. Those are folded in groups of about FAN until one per source is
-left. The number of levels is known from the largest source. Draws depend on the seed and the documents' keys alone.
+whole part is certain and the fraction is a probability that must be rounded to 0 or 1. Pivotal rounding pairs two fractional
+probabilities and moves mass, counted in words, from one to the other, in a random direction that keeps both expectations, until one
+of them is whole; the other carries the rest on to the next pairing. Here the two of a pair are the largest undecided document and
+all smaller ones together, which share what it gives or takes by their own room, so that the small ones make good what the large one's
+rounding costs and a source is left with its smallest document. The words taken from a source never change in a pairing, and only
+that last document is rounded by itself: the words taken differ from the target by less than its size, unless a source has so few
+words besides its largest document that they can't make it good.
+
+The pairings form a tree. Leaves are (source, bucket) groups of about LEAF documents; each hands on its KEEP smallest undecided
+documents. Those are folded in groups of about FAN leaves until one per source is left. The number of levels is known from the largest
+source. Draws depend on the seed and the documents' keys alone.
 
 Cases: a document of no words takes nothing. Rows that repeat a (doc_id, source, size) are one document of several copies:
 they share one decision. Null doc_ids and null sources are values like others (a null source comes last). No source is
-taken more than 3 times. An empty table gives an empty result. Other columns don't matter.
+taken more than 3 times. A very long text is a number of words like any other. An empty table gives an empty result. Other columns,
+whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -30,7 +34,7 @@ from cubespark.llm.common import n_words, small_batches, stash, with_long, with_
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
-LEAF, FAN = 4096, 256
+LEAF, FAN, KEEP = 1024, 128, 8
 _EDGE = 1e-9
 
 
@@ -65,50 +69,47 @@ def _draw(seed: int, *parts: object) -> float:
 
 
 def _fold(seed: int, level: int, last: bool):
-    """Fold rows sorted by (source, bucket): each row gets its final copies, or goes on as its group's fractional rest."""
+    """Fold rows sorted by (source, bucket), a group at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, held = object(), None
+        key, held = None, []
         for batch in batches:
             out = []
-            for source, bucket, doc_id, size, rows, whole, p in batch.itertuples(index=False, name=None):
-                if (source, bucket) != group:
-                    if held:
-                        out.append(_settle(held, seed, level, last))
-                    group, held = (source, bucket), None
-                row = [source, bucket, doc_id, size, rows, whole, p]
-                if p <= _EDGE or p >= 1 - _EDGE:
-                    out.append((*row[:5], whole + round(p), 0.0, True))
-                elif held is None:
-                    held = row
-                else:
-                    done, held = _pair(held, row, seed, level)
-                    out.append((*done[:5], done[5] + round(done[6]), 0.0, True))
-                    if held and (held[6] <= _EDGE or held[6] >= 1 - _EDGE):
-                        out.append((*held[:5], held[5] + round(held[6]), 0.0, True))
-                        held = None
+            for row in batch.itertuples(index=False, name=None):
+                if held and row[:2] != key:
+                    out += _settled(held, seed, level, last)
+                    held = []
+                key = row[:2]
+                held.append(row)
             yield _frame(out)
-        if held:
-            yield _frame([_settle(held, seed, level, last)])
+        yield _frame(_settled(held, seed, level, last))
 
     return run
 
 
-def _pair(a: list, b: list, seed: int, level: int) -> tuple[list, list]:
-    """Move words between two documents until one's probability is 0 or 1: (that one, the other)."""
-    size_a, size_b = a[3] * a[4], b[3] * b[4]
-    up = min((1 - a[6]) * size_a, b[6] * size_b)  # words from b to a
-    down = min(a[6] * size_a, (1 - b[6]) * size_b)  # words from a to b
-    words = up if _draw(seed, level, a[0], a[2], a[3], b[2], b[3]) * (up + down) < down else -down
-    a[6] += words / size_a
-    b[6] -= words / size_b
-    return (a, b) if min(a[6], 1 - a[6]) <= min(b[6], 1 - b[6]) else (b, a)
-
-
-def _settle(row: list, seed: int, level: int, last: bool) -> tuple:
-    if not last:
-        return (*row, False)
-    return (*row[:5], row[5] + (_draw(seed, "last", *row[:4]) < row[6]), 0.0, True)
+def _settled(rows: list[tuple], seed: int, level: int, last: bool) -> list[tuple]:
+    """The rows of a group with their copies; the smallest undecided ones, at most KEEP, stay undecided unless it is the last level."""
+    rows = sorted(rows, key=lambda r: (-r[3] * r[4], _draw(seed, "order", *r[:4])))
+    words, p = np.array([float(r[3] * r[4]) for r in rows]), np.array([r[6] for r in rows])
+    step = 0
+    while len(open_ := np.flatnonzero((p > _EDGE) & (p < 1 - _EDGE))) > (1 if last else KEEP):
+        one, rest = open_[0], open_[1:]
+        room = np.minimum(p[rest], 1 - p[rest])
+        share = room / (room * words[rest]).sum()  # probability for each word moved
+        up = min((1 - p[one]) * words[one], (p[rest] / share).min())  # words from the rest to the one
+        down = min(p[one] * words[one], ((1 - p[rest]) / share).min())
+        move = up if _draw(seed, level, step, *rows[one][:4]) * (up + down) < down else -down
+        p[one] += move / words[one]
+        p[rest] -= share * move
+        step += 1
+    out = []
+    for row, x in zip(rows, p.tolist(), strict=True):
+        if _EDGE < x < 1 - _EDGE and not last:
+            out.append((*row[:6], x, False))
+        else:
+            copy = _draw(seed, "last", *row[:4]) < x if _EDGE < x < 1 - _EDGE else round(x)
+            out.append((*row[:5], row[5] + int(copy), 0.0, True))
+    return out
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -152,7 +153,7 @@ def mixture_copies(items: DataFrame, targets: DataFrame, seed: int = 0) -> DataF
         if last:
             break
         todo = folded.where("not done").withColumn("bucket", F.floor(F.col("bucket") / FAN))
-        groups, total, level = math.ceil(groups / FAN), math.ceil(total / LEAF), level + 1
+        groups, total, level = math.ceil(groups / FAN), math.ceil(total * KEEP / LEAF), level + 1
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)
@@ -175,10 +176,8 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
 
 def apply_mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-    size = n_words(F.col("text"))
-    taken = mix(docs, seed).where("copies > 0").select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies")
-    )
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (size == F.col("_size"))
-    joined = docs.join(taken.distinct(), same)
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*docs.columns)
+    taken = mix(docs, seed).where("copies > 0").select("doc_id", "source", "size", "copies").distinct().alias("t")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), n_words(F.col("text")).alias("_size"))  # a struct, so that no name clashes
+    same = F.col("_row.doc_id").cast("long").eqNullSafe(F.col("t.doc_id")) & F.col("_row.source").eqNullSafe(F.col("t.source")) & (F.col("_size") == F.col("t.size"))
+    copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("t.copies")))
+    return rows.join(taken, same).select("_row", copy).select(*[F.col("_row")[c].alias(c) for c in docs.columns])

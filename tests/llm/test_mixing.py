@@ -6,8 +6,9 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from cubespark.llm.mixing import apply_mix, mix
+from cubespark.llm.mixing import _settled, apply_mix, mix
 from tests.llm.conftest import prose
 
 
@@ -67,3 +68,29 @@ def test_awkward_rows(make_docs, awkward):
     docs = make_docs(awkward)
     out = apply_mix(docs)
     assert out.columns == docs.columns and out.count() == sum(r.copies for r in got)
+    clash = docs.withColumnsRenamed({"key": "_copies", "size": "_id", "label": "_copy", "id": "_row"}).withColumn("a.b", F.lit(1))
+    assert apply_mix(clash).columns == clash.columns and apply_mix(clash).count() == out.count()
+
+
+def test_rounding_is_unbiased_and_close_to_the_target():
+    rng = random.Random(13)
+    sizes = [max(1, int(rng.lognormvariate(4, 1))) for _ in range(60)]
+    rows = [("s", 0, i, n, 1, 1, 0.3) for i, n in enumerate(sizes)]
+    copies, wrong, runs = [0] * len(rows), [], 600
+    for seed in range(runs):
+        out = _settled(rows, seed, 0, True)
+        assert all(r[7] and r[5] in (1, 2) for r in out)
+        for r in out:
+            copies[r[2]] += r[5] - 1
+        wrong.append(abs(sum((r[5] - 1) * r[3] for r in out) - 0.3 * sum(sizes)))
+    assert all(abs(c / runs - 0.3) < 4.5 * (0.3 * 0.7 / runs) ** 0.5 for c in copies)
+    assert sorted(wrong)[runs // 2] <= 20 and sorted(wrong)[int(0.9 * runs)] <= 0.01 * sum(sizes)
+
+
+def test_leaves_hand_on_their_smallest_documents_and_keep_the_words():
+    rng = random.Random(14)
+    rows = [("s", 0, i, rng.randrange(1, 3000), 1, 0, 0.4) for i in range(500)]
+    out = _settled(rows, 0, 0, False)
+    left = [r for r in out if not r[7]]
+    assert len(left) == 8 and max(r[3] for r in left) <= sorted(r[3] for r in rows)[20]
+    assert sum(r[3] * (r[5] + r[6]) for r in out) == pytest.approx(0.4 * sum(r[3] for r in rows))
