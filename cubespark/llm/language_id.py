@@ -12,7 +12,8 @@ first in code-point order. The score is the winner's part of the sum of shares.
 
 Cases: a null text or one without a letter is ``und`` with a score of 0, and so is everything if nothing could be learned. A
 text with letters but no hit gets the first learned language with an equal share as its score. Rows stand for themselves;
-repeated rows repeat, a null id counts as not held out, an empty table gives an empty result.
+repeated rows repeat, a null id counts as not held out, an empty table gives an empty result. Very long texts are read whole, in
+memory of some 100 bytes a character. Other columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -110,11 +111,11 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"lang": lang, "gram": gram.view(np.int64), "n": n})
 
 
-def fit(docs: DataFrame) -> Filter:
-    """The filter of the labelled rows of ``docs`` (doc_id, text, lang)."""
+def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Filter:
+    """The filter of the labelled rows of ``docs`` (doc_id, text, lang), of at most ``fit_rows`` of them."""
     small_batches(docs.sparkSession)
     rows = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    chosen = bounded_sample(rows.select("doc_id"), "doc_id", FIT_ROWS).distinct()
+    chosen = bounded_sample(rows.select("doc_id"), "doc_id", fit_rows).distinct()
     counts = rows.join(F.broadcast(chosen), "doc_id").select("lang", "text").mapInPandas(_count, "lang string, gram long, n long")
     counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n > 1")
     share = counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))

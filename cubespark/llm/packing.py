@@ -9,7 +9,8 @@ subset of the shortest or longest ones that can hold the block's longest piece;
 wins. At the end each bin shrinks to the shortest permitted length that holds its contents.
 
 Cases: a document without words has one row, in no bin. Repeated rows and repeated or null ids are packed as rows of their
-own. An empty table gives an empty result. Other columns don't matter. Results depend on the rows alone: a task packs its
+own. A very long text is a number of pieces, dealt like those of others. Ties go to the piece, bin or length that comes first. An empty
+table gives an empty result. Other columns, whatever their names, don't matter. Results depend on the rows alone: a task packs its
 rows in the order of their hash, id, piece and length.
 """
 

@@ -10,7 +10,8 @@ Adam over that bounded set. The model is WORD_SLOTS + STATS + SIZES rows of 1 +
 
 Cases: a null text is an empty one and is scored. Without labels, or with labels of one kind, every score is that share (0.5
 without any). A row stands for itself; repeated rows repeat, a null id counts as not held out, an empty table gives an
-empty result. A repeated label row trains once; where labels of an id disagree, the larger counts.
+empty result. A repeated label row trains once; where labels of an id disagree, the larger counts. Very long texts are read whole,
+in memory of some 60 bytes a word. Other columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -156,15 +157,16 @@ def _train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"model": [model.dump()]})
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Machine:
-    """The machine of ``labels`` (doc_id, quality) and the texts of ``docs`` (doc_id, text); held-out ids are left out."""
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Machine:
+    """The machine of at most ``fit_rows`` rows of ``labels`` (doc_id, quality) and the texts of ``docs`` (doc_id, text); held-out ids
+    are left out."""
     small_batches(docs.sparkSession)
     known = labels.where("quality is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("label"))
-    chosen = bounded_sample(known, "doc_id", FIT_ROWS)
+    chosen = bounded_sample(known, "doc_id", fit_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
     made = rows.mapInPandas(_vectors, "doc_id long, label int, index array<long>, value array<float>")
-    model = made.repartition(1).mapInPandas(_train, "model binary").collect()  # FIT_ROWS rows in the task, one row here
+    model = made.repartition(1).mapInPandas(_train, "model binary").collect()  # fit_rows rows in the task, one row here
     return Machine.load(bytes(model[0].model)) if model else Machine.constant(0.5)
 
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import random
+from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from cubespark.llm.common import held_out
-from cubespark.llm.language_id import UNKNOWN, Filter, fit, identify, ngrams
+from cubespark.llm.language_id import RIVAL, TOP, UNKNOWN, Filter, fit, identify, ngrams
 from cubespark.llm.quality_classifier import DIM, RANK, Machine, classify, train, vector
 from tests.llm.conftest import prose
 
@@ -76,3 +78,95 @@ def test_quality_held_out(spark):
     assert len(tested) > 80 and sum(truth[r.doc_id] == r.predicted for r in tested) / len(tested) > 0.98
     assert {r.score for r in classify(docs, known.limit(0)).collect()} == {0.5}
     assert classify(docs.limit(0), known).count() == 0
+
+
+def plain_grams(text: str | None) -> list[str]:
+    """The n-grams of 3 and 4 characters; other characters than letters are one blank."""
+    said = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+    if not said.strip():
+        return []
+    said = " " + "".join(c for c, before in zip(said, "x" + said, strict=False) if c != " " or before != " ") + " "
+    return [said[i : i + n] for n in (3, 4) for i in range(len(said) - n + 1)]
+
+
+def test_languages_equal_plain_sets(spark, make_docs, awkward):
+    """Fit and predictions against sets of n-grams in plain Python: the filter's false positives are too few to matter here."""
+    rng = random.Random(15)
+    rows = [(i, speech(rng, rng.choice(list(SYLLABLES)), rng.randrange(1, 40)) + rng.choice(["", " 12!", "\n"]), rng.choice(["aa", "bb"])) for i in range(120)]
+    rows += [(200 + i, t, "cc") for i, (_, t, _) in enumerate(awkward)]
+    docs = spark.createDataFrame([(*r, "clash", 1.0) for r in rows], "doc_id long, text string, lang string, lang_pred string, score double")
+    counts: dict[str, Counter] = defaultdict(Counter)
+    held = {r.doc_id: r.h for r in docs.select("doc_id", held_out(docs.doc_id).alias("h")).collect()}
+    for d, text, lang in rows:
+        if not held[d]:
+            counts[lang].update(plain_grams(text))
+    counts = {k: Counter({g: n for g, n in c.items() if n > 1}) for k, c in counts.items()}
+    share = {k: {g: n / sum(c.values()) for g, n in c.items()} for k, c in counts.items()}
+    most: dict[str, float] = defaultdict(float)
+    for s in share.values():
+        for g, x in s.items():
+            most[g] = max(most[g], x)
+    own = {k: {g for g in s if s[g] >= RIVAL * most[g]} for k, s in share.items()}
+    assert all(len(g) <= TOP for g in own.values())
+    got = {r.doc_id: r for r in identify(docs).collect()}
+    for d, text, _ in rows:
+        grams = plain_grams(text)
+        if not grams:
+            assert (got[d].lang_pred, got[d].score) == (UNKNOWN, 0.0)
+            continue
+        hit = {k: sum(g in own[k] for g in grams) / len(grams) for k in sorted(own)}
+        total = sum(hit.values())
+        assert got[d].score == pytest.approx(max(hit.values()) / total if total else 1 / len(hit), abs=2e-3)
+        best = max(hit.values())
+        assert hit[got[d].lang_pred] >= best - 2e-3
+
+
+def test_quality_of_awkward_rows_is_that_of_the_machine(spark, make_docs, awkward):
+    from cubespark.llm.quality_classifier import score_documents
+
+    rng = np.random.default_rng(3)
+    m = Machine(0.1, rng.normal(0, 0.1, DIM).astype(np.float32), rng.normal(0, 0.1, (DIM, RANK)).astype(np.float32), np.zeros(12, np.float32), np.ones(12, np.float32))
+    docs = make_docs(awkward).withColumnsRenamed({"label": "score", "key": "held_out", "size": "predicted"})
+    got = score_documents(docs, m).collect()
+    assert sorted((str(r.doc_id), round(r.score, 9)) for r in got) == sorted((str(d), round(m.score(t), 9)) for d, t, _ in awkward)
+
+
+def test_training_equals_plain_loops():
+    """Adam on the logistic loss, feature by feature and pair by pair, in one batch an epoch."""
+    from cubespark.llm.quality_classifier import DECAY, EPOCHS, RATE, STATS
+
+    rng = random.Random(20)
+    texts = [prose(rng, 6, 12) if i % 2 else prose(rng, 5, 12).upper() + " !!" for i in range(24)]
+    label = np.array([float(i % 2) for i in range(24)])
+    made = [vector(t) for t in texts]
+    got = train([i for i, _ in made], [v for _, v in made], label)
+
+    stats = np.array([v[-STATS - 1 : -1] for _, v in made])
+    mean, scale = stats.mean(axis=0), np.maximum(stats.std(axis=0), 1e-6)
+    docs = []
+    for index, value in made:
+        x = value.astype(float)
+        x[-STATS - 1 : -1] = np.clip((value[-STATS - 1 : -1] - mean) / scale, -4, 4) / 4
+        docs.append(dict(zip(index.tolist(), x.tolist(), strict=True)))
+    begin = np.random.default_rng(11).normal(0, 0.02, (DIM, RANK))
+    used = sorted({i for d in docs for i in d})
+    theta = {(i, f): (begin[i, f - 1] if f else 0.0) for i in used for f in range(RANK + 1)} | {"bias": 0.0}
+    first, second = dict.fromkeys(theta, 0.0), dict.fromkeys(theta, 0.0)
+    for step in range(1, EPOCHS + 1):
+        grad = {k: (0.0 if k == "bias" else DECAY * v) for k, v in theta.items()}
+        for d, y in zip(docs, label, strict=True):
+            total = [sum(theta[i, f] * x for i, x in d.items()) for f in range(RANK + 1)]
+            pair = sum(0.5 * (total[f] ** 2 - sum((theta[i, f] * x) ** 2 for i, x in d.items())) for f in range(1, RANK + 1))
+            error = (1 / (1 + np.exp(-(theta["bias"] + total[0] + pair))) - y) / len(docs)
+            grad["bias"] += error
+            for i, x in d.items():
+                grad[i, 0] += error * x
+                for f in range(1, RANK + 1):
+                    grad[i, f] += error * x * (total[f] - theta[i, f] * x)
+        size = RATE * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
+        for k, g in grad.items():
+            first[k], second[k] = 0.9 * first[k] + 0.1 * g, 0.99 * second[k] + 0.01 * g * g
+            theta[k] -= size * first[k] / (np.sqrt(second[k]) + 1e-8)
+    assert got.bias == pytest.approx(theta["bias"], abs=1e-4)
+    assert max(abs(got.weight[i] - theta[i, 0]) for i in used) < 1e-3
+    assert np.mean([abs(got.factor[i, f - 1] - theta[i, f]) < 1e-3 for i in used for f in range(1, RANK + 1)]) > 0.99

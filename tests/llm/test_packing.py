@@ -50,3 +50,36 @@ def test_documents(make_docs, awkward):
     again = pack(make_docs(rows).repartition(5)).collect()
     assert sorted(map(str, again)) == sorted(map(str, got))
     assert pack(make_docs(rows).limit(0)).count() == 0
+
+
+def plain(sizes: list[int], lengths: tuple[int, ...]) -> tuple[float, list[int]]:
+    """The least cost, and the sorted capacities, by the rule in plain loops over all bins."""
+    best = None
+    for offer in [lengths[k:] for k in range(len(lengths))] + [lengths[:k] for k in range(1, len(lengths))]:
+        if sizes and max(sizes) > offer[-1]:
+            continue
+        bins, falling = [], sorted(sizes, reverse=True)  # [room, fill]
+        for i, size in enumerate(falling):
+            fitting = [b for b in bins if b[0] >= size]
+            if fitting:
+                chosen = min(fitting, key=lambda b: b[0])
+            else:
+                to_come = sum(falling[i + 1 :])
+                room = min((n for n in offer if n >= size), key=lambda n: (sequence_cost(n) / min(n, size + to_come), n))
+                bins.append(chosen := [room, 0])
+            chosen[0] -= size
+            chosen[1] += size
+        capacity = sorted(min(n for n in lengths if n >= fill) for _, fill in bins)
+        cost = sum(map(sequence_cost, capacity))
+        if best is None or cost < best[0] - 1e-9:
+            best = (cost, capacity)
+    return best
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 64), min_size=1, max_size=80))
+def test_blocks_equal_plain_loops(sizes):
+    lengths = (8, 16, 32, 64)
+    placed = pack_block(sizes, lengths)
+    capacity = {b: c for b, c, _ in placed}
+    assert sum(map(sequence_cost, capacity.values())) == plain(sizes, lengths)[0]
