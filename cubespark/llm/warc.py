@@ -27,7 +27,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubespark.llm.common import shared_dir, small_batches, stash
+from cubespark.llm.common import small_batches, stash
+from cubespark.sources.store import shared_path
 
 MIN_REVISIT = 1000
 ARCHIVE_BYTES = 64 << 20
@@ -181,12 +182,13 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """
     spark = pages.sparkSession
     small_batches(spark)
-    folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = folder or shared_path(spark, "warc")
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha2(payload, 256).alias("_key"), F.length(payload).alias("_size"))
-    large = rows.where(F.col("_size") >= MIN_REVISIT)
+    # Only large payloads are compared; the others, empty ones above all, are no group and aren't shuffled.
+    large, small = rows.where(F.col("_size") >= MIN_REVISIT), rows.where(F.col("_size") < MIN_REVISIT)
     groups = large.groupBy("_key").agg(F.max("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    placed = rows.join(groups, "_key", "left")
+    placed = large.join(groups.hint("merge"), "_key", "left").unionByName(small, allowMissingColumns=True)
     revisit = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
     ids = [c.cast("string") for c in (F.col("page_id"), F.when(revisit, F.col("_first")))]  # exact in pandas, nulls or not
     out = placed.select(ids[0].alias("page_id"), "url", "html", revisit.alias("revisit"), ids[1].alias("refers_to"))
