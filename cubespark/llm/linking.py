@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +28,10 @@ from cubespark.llm.common import mix, small_batches, stash
 SKETCH_WORDS = 3
 SKETCH_SLOTS = 28 * SKETCH_WORDS
 #: Sets, and members of sets, on either side of a block comparison.
-BLOCK = 128
+BLOCK = 1024
 BLOCK_MEMBERS = 1 << 20
+#: Slots in which shingles are counted.
+WEIGHTS = 1 << 20
 _EVEN = 0x5555555555555555
 
 
@@ -75,17 +78,12 @@ def sketch_rows(minhash: np.ndarray) -> np.ndarray:
     return (two << (np.arange(28, dtype=np.uint64) * np.uint64(2))).sum(axis=2, dtype=np.uint64).view(np.int64)
 
 
-def sketch(minhash: np.ndarray) -> list[int]:
-    return sketch_rows(minhash[None, :])[0].tolist()
-
-
-def set_id(shingles: np.ndarray) -> int:
-    """64-bit id of a whole set, from its sorted members."""
-    if not len(shingles):
-        return 0
-    place = np.arange(1, len(shingles) + 1, dtype=np.uint64)
-    h = (mix(shingles ^ mix(place))).sum(dtype=np.uint64)
-    return int(mix(np.array([h ^ np.uint64(len(shingles))], np.uint64)).view(np.int64)[0])
+def set_ids(shingles: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of sets that lie one after another, and their sizes."""
+    size = np.diff(np.append(begin, len(shingles)))
+    place = np.arange(1, len(shingles) + 1) - np.repeat(begin, size)
+    h = np.add.reduceat(mix(shingles ^ mix(place.astype(np.uint64))), begin)
+    return mix(h ^ size.astype(np.uint64)).view(np.int64), size
 
 
 def _near(a: str, b: str, threshold: float) -> Column:
@@ -221,26 +219,56 @@ def _links_within(placed: DataFrame, sets: DataFrame, threshold: float) -> DataF
     return rows.sortWithinPartitions("hood", "mb", "gb", "side", "id").mapInPandas(_block_links(threshold), "a long, b long")
 
 
+def _first_tokens(weight: np.ndarray, percent: int):
+    """The rarest shingles of each set, of which two sets at the threshold share one, with their places in the set's order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, tokens, places = [], [], []
+            for row, members in enumerate(batch["members"]):
+                token = members.values.to_numpy()
+                rare = weight[token & (len(weight) - 1)]
+                order = np.lexsort((token, rare))[: len(token) - -(-len(token) * percent // 100) + 1]
+                order, place = order[rare[order] > 0], np.flatnonzero(rare[order] > 0)
+                rows.append(np.full(len(order), row))
+                tokens.append(token[order])
+                places.append(place)
+            if rows:
+                at = pa.array(np.concatenate(rows))
+                kept = [batch[c].take(at) for c in _PLACED]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(np.concatenate(tokens)), pa.array(np.concatenate(places))], [*_PLACED, "token", "place"])
+
+    return run
+
+
+_PLACED = ("id", "hood", "n", *[f"s{i}" for i in range(SKETCH_WORDS)])
+
+
 def _links_across(buckets: DataFrame, placed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Verified links (a, b) between members of different neighbourhoods that meet in a bucket.
 
-    Shingles are put in order: first those of one neighbourhood only, then by the number of sets that hold them. Of two sets at the
-    threshold, each has one of the other's among its first n - threshold * n + 1, so only those are keys."""
+    Shingles are put in one order: first those of one neighbourhood only, then by the number of sets that hold them. Of two sets at
+    the threshold, each has one of the other's among its first n - threshold * n + 1, so only those are keys. The numbers are counted
+    by hash in WEIGHTS slots, which is all that comes to the driver; any order is right, and one by rarity makes the fewest pairs."""
+    percent = round(threshold * 100)
     rows = buckets.select("key", "id").join(placed.select("id", "hood").hint("merge"), "id")
     hoods = rows.groupBy("key").agg(F.min("hood").alias("_low"), F.max("hood").alias("_high")).where("_low < _high").select("key")
     mixed = rows.join(hoods.hint("merge"), "key", "left_semi").select("id").distinct()
+    placed = placed.select(*[F.col(c).cast("long").alias(c) for c in _PLACED])
     own = stash(mixed.join(placed.hint("merge"), "id").join(sets.hint("merge"), "id"))
-    tokens = own.select("id", "hood", "n", F.explode("members").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("df"), F.min("hood").alias("_low"), F.max("hood").alias("_high"))
-    shared = shared.where("_low < _high").select("token", "df")
-    held = tokens.join(shared.hint("merge"), "token").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("held"))
-    first = F.col("n") - F.ceil(F.col("n") * round(threshold * 100) / 100) + 1
-    room = (first - (F.col("n") - F.size("held"))).cast("int")
-    keyed = held.where(room > 0).select("id", F.explode(F.slice("held", F.lit(1), room)).alias("t")).select("id", "t.token")
-    keyed = stash(keyed.join(own.drop("members").hint("merge"), "id"))
+    slots = own.select("hood", F.explode("members").alias("token")).groupBy(F.col("token").bitwiseAND(F.lit(WEIGHTS - 1)).alias("slot"))
+    slots = slots.agg(F.count("*").alias("df"), F.min("hood").alias("_low"), F.max("hood").alias("_high")).where("_low < _high")
+    counted = slots.select(F.col("slot").cast("int"), F.least("df", F.lit(2**31 - 1)).cast("int").alias("df")).toPandas()
+    weight = np.zeros(WEIGHTS, np.int32)  # 0: in one neighbourhood only
+    weight[counted["slot"].to_numpy(int)] = counted["df"].to_numpy(int)
+    schema = ", ".join(f"{c} long" for c in (*_PLACED, "token", "place"))
+    keyed = stash(own.select(*_PLACED, "members").mapInArrow(_first_tokens(weight, percent), schema))
     x, y = keyed.alias("x"), keyed.alias("y")
     apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.hood") != F.col("y.hood")) & (F.col("x.id") < F.col("y.id"))
-    pairs = x.join(y.hint("merge"), apart & _near("x", "y", threshold)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    # At the first shingle that two sets share, what is left of the shorter rest must be enough for the threshold.
+    rest = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    enough = rest * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
+    pairs = x.join(y.hint("merge"), apart & enough & _near("x", "y", threshold)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     return _verified(pairs, sets, threshold)
 
 

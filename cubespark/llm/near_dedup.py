@@ -8,9 +8,10 @@ similarity s differs in about (1 - s) * 84 symbols; at s = 0.8 exactly, the same
 3e-5, as each of the 12 chunks has at most one error with a probability of 0.58. Candidates are confirmed on full sets.
 
 Cases: a null text, or one without words, has an empty set and is linked with nothing. A text shorter than the shingle has
-its whole word sequence as one shingle. Rows with equal sets are in one component; repeated rows and repeated or null ids
-are kept as rows, and a component's id is its smallest non-null doc_id (a row without one in it gets null). An empty table
-gives an empty result. Other columns of the input, whatever their names, don't matter.
+its whole word sequence as one shingle. Very long texts are worked on whole, each in one task, in memory of some 60 bytes a word. Rows
+with equal sets are in one component; repeated rows and repeated or null ids are kept as rows, and a component's id is its smallest
+non-null doc_id (a row without one in it gets null). An empty table gives an empty result. Other columns of the input, whatever their
+names, don't matter.
 """
 
 from __future__ import annotations
@@ -18,97 +19,106 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cubespark.llm import linking
-from cubespark.llm.common import keyed_texts, shingle_hashes, small_batches, stash, with_long, word_hashes
+from cubespark.llm.common import of_keys, small_batches, stash
+from cubespark.llm.text_batch import Group, arrow_task, frame, lists
 
 CHUNKS, WIDE = 12, 7
 SLOTS = CHUNKS * WIDE
-_SIGNED = "doc_id string, id long, n long, s0 long, s1 long, s2 long, keys array<long>"
+_SIGNED = "doc_id long, text_id long, key long, id long, n int, s0 long, s1 long, s2 long, keys array<long>"
+_SETS = "id long, members array<long>"
 
 
 def signature_keys(minhash: np.ndarray) -> np.ndarray:
-    """The keys of a signature: for each chunk and each symbol left out, the other six with both numbers."""
-    chunk = linking.symbols(minhash).reshape(CHUNKS, WIDE)
+    """The keys of a signature, or of each row of them: for each chunk and each symbol left out, the other six with both numbers."""
+    chunk = linking.symbols(minhash).reshape(*minhash.shape[:-1], CHUNKS, WIDE)
     shift = np.arange(WIDE - 1, dtype=np.uint64) * np.uint64(8)
-    out = np.empty((CHUNKS, WIDE), np.uint64)
+    out = np.empty((*chunk.shape,), np.uint64)
     for drop in range(WIDE):
-        kept = np.delete(chunk, drop, axis=1)
+        kept = np.delete(chunk, drop, axis=-1)
         place = (np.arange(CHUNKS, dtype=np.uint64) * np.uint64(WIDE) + np.uint64(drop)) << np.uint64(48)
-        out[:, drop] = (kept << shift).sum(axis=1, dtype=np.uint64) | place
-    return out.ravel().view(np.int64)
-
-
-def document_set(text: str | None, width: int) -> np.ndarray:
-    return shingle_hashes(word_hashes((text or "").encode("utf-8", "replace").lower())[0], width)
+        out[..., drop] = (kept << shift).sum(axis=-1, dtype=np.uint64) | place
+    return out.reshape(*minhash.shape[:-1], CHUNKS * WIDE).view(np.int64)
 
 
 def _sign(width: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                members = document_set(text, width)
-                if not len(members):
-                    rows.append((doc_id, None, 0, None, None, None, None))
-                    continue
-                minhash = linking.minhashes(members, SLOTS)
-                rows.append(
-                    (doc_id, linking.set_id(members), len(members), *linking.sketch(minhash), signature_keys(minhash))
-                )
-            if not rows:
-                continue
-            columns = list(zip(*rows, strict=True))
-            named = dict(zip(("doc_id", "id", "n", "s0", "s1", "s2", "keys"), columns, strict=True))
-            exact = {c: pd.array(named[c], dtype="Int64") for c in ("id", "n", "s0", "s1", "s2")}  # a frame would make floats
-            yield pd.DataFrame({"doc_id": batch["doc_id"], **exact, "keys": pd.Series(named["keys"], dtype=object)})
-
-    return run
+    """A row for each text: ids, the set's id and size, sketch and keys; a size of 0 and no keys without words."""
 
+    def task(batch: pa.RecordBatch, group: Group) -> Iterator[pa.RecordBatch]:
+        first, count = group.spans_of_texts()
+        some = np.flatnonzero(count)
+        ids, n, sketch = np.zeros(group.docs, np.int64), np.zeros(group.docs, np.int32), np.zeros((group.docs, linking.SKETCH_WORDS), np.int64)
+        keys = np.zeros((0, CHUNKS * WIDE), np.int64)
+        if len(some):
+            shingles, begin = group.shingles(first[some], count[some], width, wide=True)
+            minhash = linking.minhash_rows(shingles, begin, SLOTS)
+            ids[some], n[some] = linking.set_ids(shingles, begin)
+            sketch[some], keys = linking.sketch_rows(minhash), signature_keys(minhash)
+        given = [batch[c].slice(group.at, group.docs) for c in ("doc_id", "text_id", "key")]
+        yield frame(_SIGNED, *given, ids, n, *sketch.T, lists(keys.ravel(), (count > 0) * keys.shape[1]))
 
-def _members(width: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [document_set(text, width) for text in batch["text"]]
-            yield pd.DataFrame({"id": [linking.set_id(s) for s in sets], "members": [s.view(np.int64) for s in sets]})
+    return arrow_task(task)
 
-    return run
 
-
-def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
-    small_batches(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stash(with_long(keyed_texts(docs).mapInPandas(_sign(shingle), _SIGNED), "doc_id"))
-    vertices = signed.where("id is not null")
+def _members(width: int):
+    def task(batch: pa.RecordBatch, group: Group) -> Iterator[pa.RecordBatch]:
+        first, count = group.spans_of_texts()
+        some = np.flatnonzero(count)
+        if len(some):
+            shingles, begin = group.shingles(first[some], count[some], width, wide=True)
+            ids, n = linking.set_ids(shingles, begin)
+            yield frame(_SETS, ids, lists(shingles.view(np.int64), n))
+
+    return arrow_task(task)
+
+
+def _placed(docs: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """One row per row of ``docs``: doc_id, text_id (the text's hash), n, and label, which is the same within a component."""
+    small_batches(docs.sparkSession, 4)
+    doc_id, text_id = F.col("doc_id").cast("long"), F.xxhash64("text")
+    texts = docs.select(doc_id.alias("doc_id"), text_id.alias("text_id"), F.coalesce(doc_id, text_id).alias("key"), "text")
+    signed = stash(texts.mapInArrow(_sign(shingle), _SIGNED))
+    vertices = signed.where("n > 0")
     keyed = vertices.select("id", "keys").dropDuplicates(["id"]).select("id", F.explode("keys").alias("key"))
     buckets = linking.shared_buckets(keyed)
     involved = buckets.select("id").distinct()
     one = (
-        vertices.join(involved, "id", "left_semi")
+        vertices.join(involved.hint("merge"), "id", "left_semi")
         .groupBy("id")
-        .agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "s0", "s1", "s2")])
+        .agg(F.min("key").alias("key"), *[F.first(c).alias(c) for c in ("n", "s0", "s1", "s2")])
     )
     one = stash(one)
-    chosen = texts.alias("t").join(one.select("doc_id").alias("o").hint("merge"), F.col("t.doc_id").eqNullSafe(F.col("o.doc_id")), "left_semi")
-    sets = chosen.select("text").mapInPandas(_members(shingle), "id long, members array<long>")
-    sets = stash(sets.join(one.select("id"), "id", "left_semi").dropDuplicates(["id"]))
-    labels = linking.linked_components(buckets, one.drop("doc_id"), sets, threshold)
+    chosen = of_keys(texts.select("key", "text"), one.select("key").distinct(), "key")
+    sets = chosen.select("text").mapInArrow(_members(shingle), _SETS)
+    sets = stash(sets.join(one.select("id").hint("merge"), "id", "left_semi").dropDuplicates(["id"]))
+    labels = linking.linked_components(buckets, one.drop("key"), sets, threshold)
+    placed = signed.select("doc_id", "text_id", "id", "n").join(labels.hint("merge"), "id", "left")
+    return placed.select("doc_id", "text_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "id")).alias("label"))
+
 
-    placed = signed.select("doc_id", "id", "n").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
+    placed = _placed(docs, shingle, threshold)
     least = placed.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least"))
-    return placed.join(least, "label", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept")
+    return placed.join(least.hint("merge"), "label", "left").select(
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept")
     )
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` of which one per component stays: that of the smallest doc_id. An id that several rows share goes
-    only if none of them stays, so that no other text is lost with a copy."""
-    rows = near_duplicates(docs, shingle, threshold)
-    gone = rows.groupBy(F.col("doc_id").alias("_gone")).agg(F.bool_or("kept").alias("_stays")).where("not _stays").drop("_stays")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """The rows of ``docs`` of which one document per component stays: that of the smallest doc_id (null last), then of the smallest
+    hash of its text. Documents are rows of different ids or texts; rows that repeat both are one document, which stays or goes whole.
+    Rows without words stay."""
+    placed = stash(_placed(docs, shingle, threshold))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_id")
+    first = placed.where("label is not null").groupBy("label").agg(F.min(order).alias("first"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_id") == F.col("first.text_id"))
+    gone = placed.join(first.hint("merge"), "label").where(~stays).select("doc_id", "text_id").distinct().alias("g")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.xxhash64("text").alias("_text"))  # a struct, so that no name clashes
+    same = F.col("_row.doc_id").cast("long").eqNullSafe(F.col("g.doc_id")) & (F.col("_text") == F.col("g.text_id"))
+    return rows.join(gone.hint("merge"), same, "left_anti").select(*[F.col("_row")[c].alias(c) for c in docs.columns])

@@ -13,9 +13,8 @@ the passages, which so reach to their first and last common word of two characte
 A gram's first occurrence stays. Paragraphs that stay, of whatever cluster they are the first, take part.
 
 Cases: a null text has no paragraphs. A null doc_id comes after all others, and texts without one count as one document for
-passages inside text. Rows that repeat a doc_id are documents of their own for paragraphs, which repeat each other and are removed
-from every row but none of the first's place; inside text they are one document. An empty table gives an empty result. Other columns
-don't matter. Very long texts are worked on whole, each in one task, in memory of some 60 bytes a word. Words are compared without
+passages inside text. Rows that repeat a doc_id are one document: their paragraphs repeat each other, and those at the same place stay
+or go together. An empty table gives an empty result. Other columns, whatever their names, don't matter. Very long texts are worked on whole, each in one task, in memory of some 60 bytes a word. Words are compared without
 regard to the case of A-Z. Lines of fewer than MIN_WORDS words are never clustered as paragraphs; a line of fewer words than a shingle
 (with a smaller ``least``) has its whole word sequence as its one shingle.
 """
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 
 from cubespark.llm import linking
 from cubespark.llm.common import mix, of_keys, small_batches, stash
-from cubespark.llm.text_batch import Group, groups
+from cubespark.llm.text_batch import Group, arrow_task, frame, lists
 
 MIN_WORDS = 15
 SHINGLE = 5
@@ -63,28 +62,6 @@ def band_keys(minhash: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def set_ids(shingles: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of sets that lie one after another, and their sizes."""
-    size = np.diff(np.append(begin, len(shingles)))
-    place = np.arange(1, len(shingles) + 1) - np.repeat(begin, size)
-    h = np.add.reduceat(mix(shingles ^ mix(place.astype(np.uint64))), begin)
-    return mix(h ^ size.astype(np.uint64)).view(np.int64), size
-
-
-def _lists(values: np.ndarray, size: np.ndarray) -> pa.Array:
-    """An Arrow column of lists that lie one after another."""
-    return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(size))).astype(np.int32), pa.array(values))
-
-
-def _arrow(task: Callable[[pa.RecordBatch, Group], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for group in groups(batch["text"]):
-                yield from task(batch, group)
-
-    return run
-
-
 _SIGNED = "doc_id long, key long, paragraph int, start int, end int, id long, n int, keys array<long>, lines array<int>, ends array<int>"
 
 
@@ -99,31 +76,31 @@ def _sign(least: int):
             seen.clear()
         lines = group.paragraphs(least)
         if len(lines):
-            shingles, begin = group.shingles(lines, SHINGLE)
-            ids, n = set_ids(shingles, begin)
+            shingles, begin = group.shingles(*group.spans_of_lines(lines), SHINGLE)
+            ids, n = linking.set_ids(shingles, begin)
             keys = band_keys(linking.minhash_rows(shingles, begin, BANDS * ROWS))
             new = np.array([not (i in seen or seen.add(i)) for i in ids.tolist()])
             doc = group.line_doc[lines]
             ends = [group.points(x[lines], doc).astype(np.int32) for x in (group.line_start, group.line_end)]
-            none = _lists(np.zeros(0, np.int32), np.zeros(len(lines), np.int64))
+            none = lists(np.zeros(0, np.int32), np.zeros(len(lines), np.int64))
             number = (lines - group.first_line[doc]).astype(np.int32)
-            yield _rows(batch, group.at + doc, number, *ends, ids, n.astype(np.int32), _lists(keys[new].ravel(), new * BANDS), none, none)
+            yield _rows(batch, group.at + doc, number, *ends, ids, n.astype(np.int32), lists(keys[new].ravel(), new * BANDS), none, none)
         gram, at = group.grams(RUN)
         chosen = group.seeds(gram, at, SPREAD)
         first = at[chosen]
         doc = group.doc[first]
         size = np.bincount(doc, minlength=group.docs)
         some, zero = np.flatnonzero(size), np.zeros(np.count_nonzero(size), np.int32)
-        spans = [_lists((group.line[x] - group.first_line[doc]).astype(np.int32), size[some]) for x in (first, first + RUN - 1)]
-        yield _rows(batch, group.at + some, zero, zero, zero, zero.astype(np.int64), zero, _lists(gram[chosen].view(np.int64), size[some]), *spans)
+        spans = [lists((group.line[x] - group.first_line[doc]).astype(np.int32), size[some]) for x in (first, first + RUN - 1)]
+        yield _rows(batch, group.at + some, zero, zero, zero, zero.astype(np.int64), zero, lists(gram[chosen].view(np.int64), size[some]), *spans)
 
-    return _arrow(task)
+    return arrow_task(task)
 
 
 def _rows(batch: pa.RecordBatch, rows: np.ndarray, *columns: np.ndarray | pa.Array) -> pa.RecordBatch:
     """Columns behind the ids of the batch's ``rows``, named as in _SIGNED."""
     ids = [batch[c].take(pa.array(rows)) for c in ("doc_id", "key")]
-    return pa.RecordBatch.from_arrays([*ids, *map(pa.array, columns)], [x.split()[0] for x in _SIGNED.split(", ")])
+    return frame(_SIGNED, *ids, *columns)
 
 
 _SETS = "id long, n int, s0 long, s1 long, s2 long, members array<long>"
@@ -137,13 +114,12 @@ def _sets(least: int):
         wanted = np.repeat(group.first_line, numbers.value_lengths().to_numpy()) + numbers.flatten().to_numpy()
         lines = np.intersect1d(group.paragraphs(least), wanted)
         if len(lines):
-            shingles, begin = group.shingles(lines, SHINGLE)
-            ids, n = set_ids(shingles, begin)
+            shingles, begin = group.shingles(*group.spans_of_lines(lines), SHINGLE)
+            ids, n = linking.set_ids(shingles, begin)
             sketch = linking.sketch_rows(linking.minhash_rows(shingles, begin, linking.SKETCH_SLOTS))
-            columns = [ids, n.astype(np.int32), *sketch.T, _lists(shingles.view(np.int64), n)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], [x.split()[0] for x in _SETS.split(", ")])
+            yield frame(_SETS, ids, n.astype(np.int32), *sketch.T, lists(shingles.view(np.int64), n))
 
-    return _arrow(task)
+    return arrow_task(task)
 
 
 _GRAMS = "row long, doc_id long, gram long, place int, line int, start int, end int"
@@ -157,8 +133,8 @@ def _grams() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         gram, at = group.grams(RUN)
         if not len(gram):
             return
-        lists = {c: batch[c].slice(group.at, group.docs) for c in ("seeds", "gone")}
-        flat = {c: (np.repeat(np.arange(group.docs), x.fill_null([]).value_lengths().to_numpy()), x.flatten().to_numpy()) for c, x in lists.items()}
+        given = {c: batch[c].slice(group.at, group.docs) for c in ("seeds", "gone")}
+        flat = {c: (np.repeat(np.arange(group.docs), x.fill_null([]).value_lengths().to_numpy()), x.flatten().to_numpy()) for c, x in given.items()}
         doc = group.doc[at]
         live = ~np.isin(np.arange(len(group.line_start)), group.first_line[flat["gone"][0]] + flat["gone"][1])
         live = live[group.line[at]] & live[group.line[at + RUN - 1]]
@@ -180,9 +156,9 @@ def _grams() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
             batch["row"].take(pa.array(group.at + doc)), batch["doc_id"].take(pa.array(group.at + doc)), gram[chosen].view(np.int64),
             *[x.astype(np.int32) for x in (first - base[doc], group.line[a] - group.first_line[doc], group.points(group.start[a], doc), group.points(group.end[b], doc))],
         ]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], [x.split()[0] for x in _GRAMS.split(", ")])
+        yield frame(_GRAMS, *columns)
 
-    return _arrow(task)
+    return arrow_task(task)
 
 
 def repeated_seeds(seeds: DataFrame) -> DataFrame:
@@ -272,7 +248,9 @@ def _cut(text: str | None, spans: object) -> str | None:
 def drop_repeats(docs: DataFrame, least: int = MIN_WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the removals, which are cut from the texts. A repeated doc_id loses them in all of its rows."""
     gone = repeated_passages(docs, least, threshold).where("removed")
-    gone = gone.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
+    gone = gone.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("spans")).alias("g")
     cut = F.pandas_udf(lambda texts, spans: pd.Series(map(_cut, texts, spans), dtype=object), "string")
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").withColumn("_new", cut("text", "_spans"))
-    return joined.select(*[F.col("_new").alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))  # a struct, so that no name clashes
+    joined = rows.join(gone.hint("merge"), F.col("_row.doc_id").cast("long").eqNullSafe(F.col("g.doc_id")), "left")
+    joined = joined.select("_row", cut(F.col("_row.text"), F.col("g.spans")).alias("_new"))
+    return joined.select(*[F.col("_new").alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])

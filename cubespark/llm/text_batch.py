@@ -6,7 +6,7 @@ SPACE and compared without regard to the case of A-Z; lines are split at \\n. No
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,29 +52,40 @@ class Group:
         """The lines of ``least`` words or more."""
         return np.flatnonzero(np.bincount(self.line, minlength=len(self.line_start)) >= least)
 
-    def shingles(self, lines: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct shingles (48 bits) of each of ``lines``, sorted within each, and where each line's begin. A line with fewer
-        words is one shingle; every line must have a word."""
+    def spans_of_lines(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each line's first word, and how many it has."""
         first = np.searchsorted(self.line, lines)
-        count = np.searchsorted(self.line, lines, "right") - first
+        return first, np.searchsorted(self.line, lines, "right") - first
+
+    def spans_of_texts(self) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each text's first word, and how many it has."""
+        first = np.searchsorted(self.doc, np.arange(self.docs + 1))
+        return first[:-1], np.diff(first)
+
+    def shingles(self, first: np.ndarray, count: np.ndarray, width: int, wide: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct shingles of each span of words, sorted within each, and where each span's begin. A span of fewer words is one
+        shingle; every span must have a word. Shingles are known by 48 bits, or by 64 if ``wide``, which takes longer for short spans."""
         runs = np.maximum(count - width + 1, 1)
         owner = np.repeat(np.arange(len(runs)), runs)
         at = np.arange(len(owner)) - np.repeat(np.cumsum(runs) - runs, runs) + np.repeat(first, runs)
-        short = np.repeat(count < width, runs)
         h = self.word[at]
+        size = np.repeat(count, runs) if (count < width).any() else None
         for k in range(1, width):
             more = self.word[np.minimum(at + k, len(self.word) - 1)]
-            h = h * _BASE + (np.where(short & (k >= np.repeat(count, runs)), np.uint64(k), more) if short.any() else more)
-        h = mix(h) >> np.uint64(16)
-        kept_h, kept_owner = [], []
+            h = h * _BASE + (more if size is None else np.where(k < size, more, np.uint64(k)))
+        h = mix(h)
+        if wide:
+            parts = [np.unique(x) for x in np.split(h, np.cumsum(runs)[:-1])] if len(runs) else []
+            sizes = np.array([len(x) for x in parts], np.int64)
+            return np.concatenate([h[:0], *parts]), np.cumsum(sizes) - sizes
+        h >>= np.uint64(16)
+        kept_h, kept_owner = [h[:0]], [owner[:0]]
         for lo in range(0, len(runs), 1 << 16):  # 16 bits hold the owner's number, so one sort does
             part = slice(*np.searchsorted(owner, [lo, lo + (1 << 16)]))
             key = np.unique(h[part] | ((owner[part] - lo).astype(np.uint64) << np.uint64(48)))
             kept_owner.append((key >> np.uint64(48)).astype(np.int64) + lo)
             kept_h.append(key << np.uint64(16))
-        h = np.concatenate(kept_h) if kept_h else np.zeros(0, np.uint64)
-        owner = np.concatenate(kept_owner) if kept_owner else np.zeros(0, np.int64)
-        return h, np.flatnonzero(np.diff(owner, prepend=-1))
+        return np.concatenate(kept_h), np.flatnonzero(np.diff(np.concatenate(kept_owner), prepend=-1))
 
     def grams(self, run: int) -> tuple[np.ndarray, np.ndarray]:
         """A hash for each ``run`` words in a row of one text, whatever lines they stand on, and the number of its first word."""
@@ -127,3 +138,24 @@ def groups(texts: pa.Array) -> Iterator[Group]:
         part = data[int(edges[at]) : int(edges[to])].to_pybytes() if data is not None else b""
         yield Group(at, part, edges[at : to + 1] - edges[at])
         at = to
+
+
+def lists(values: np.ndarray, size: np.ndarray) -> pa.Array:
+    """An Arrow column of lists that lie one after another."""
+    return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(size))).astype(np.int32), pa.array(values))
+
+
+def frame(schema: str, *columns: np.ndarray | pa.Array) -> pa.RecordBatch:
+    """Columns under the names of a schema."""
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns)], [x.split()[0] for x in schema.split(", ")])
+
+
+def arrow_task(task: Callable[[pa.RecordBatch, Group], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task for mapInArrow that is called with each batch and each group of its column ``text``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for group in groups(batch["text"]):
+                yield from task(batch, group)
+
+    return run

@@ -99,3 +99,27 @@ def test_components_equal_union_find(spark, pairs):
             for x in reach[a]:
                 reach[x] = reach[a]
     assert found == {x: min(r) for x, r in reach.items() if len(r) > 1}
+
+
+def test_near_copies_of_a_template_with_a_common_passage(make_docs):
+    """Sets that share a long common passage are alike, but mostly not linked: they meet by their rare shingles."""
+    rng = random.Random(16)
+    common = prose(rng, 60)
+    texts = [f"{prose(rng, own)} {common}" for own in [5, 8, 12, 14, 16, 20, 30, 60] * 12]
+    for t in texts[::6]:
+        w = t.split()
+        w[rng.randrange(len(w))] = "edit"
+        texts.append(" ".join(w))
+    rng.shuffle(texts)
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    assert got(near_duplicates(make_docs(rows), 5)) == brute(rows, 5)
+
+
+def test_filter_decides_by_document_not_by_id(make_docs):
+    rng = random.Random(17)
+    a, b, c = (prose(rng, 50) for _ in range(3))
+    docs = make_docs([(1, a, "s"), (1, b, "s"), (2, b, "s"), (None, c, "s"), (None, c + " x", "s"), (None, a, "s"), (3, c, "s"), (3, c, "s")])
+    kept = sorted((str(r.doc_id), r.text) for r in drop_near_duplicates(docs).collect())
+    assert kept == sorted([("1", a), ("1", b), ("3", c), ("3", c)])
+    clash = docs.withColumnsRenamed({"key": "_gone", "size": "_text", "label": "_row", "id": "text_id"})
+    assert drop_near_duplicates(clash).columns == clash.columns and drop_near_duplicates(clash).count() == 4
