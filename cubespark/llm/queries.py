@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cubespark.llm.common import table
 from cubespark.llm.language_id import identify
@@ -41,7 +42,8 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_features(table(spark, sf_dir, "documents"))
+    read = media_features(table(spark, sf_dir, "documents"))
+    return read.withColumn("frame_offsets", F.concat_ws(",", F.col("frame_offsets").cast("array<string>")))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
