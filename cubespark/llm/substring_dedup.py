@@ -9,7 +9,8 @@ occurrence, by doc_id and then position, stays; the others are removals.
 A passage can also sit inside longer text, over any lines. So what is left of a document, after whole paragraphs are gone, is taken
 as grams of RUN words, and the least of every SPREAD grams in a row is a seed: each repeat of RUN + SPREAD - 1 words holds one.
 Around the seeds that stand in different documents all grams are compared, and those that stand in different documents make up
-the passages, which so reach to their first and last common word of two characters or more (a list mark or dash at an end stays).
+the passages, which so reach to their first and last common word of two characters or more (a list mark or dash at an end stays)
+and have RUN words or more.
 A gram's first occurrence stays. Paragraphs that stay, of whatever cluster they are the first, take part.
 
 Cases: a null text has no paragraphs. A null doc_id comes after all others, and texts without one count as one document for
@@ -122,12 +123,12 @@ def _sets(least: int):
     return arrow_task(task)
 
 
-_GRAMS = "row long, doc_id long, gram long, place int, line int, start int, end int"
+_GRAMS = "row long, doc_id long, gram long, place int, trim int, line int, start int, end int"
 
 
 def _grams() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The grams around ``seeds`` that don't touch the lines ``gone``: the number of their first word, its line, and code points
-    from the first to the last word, without words of one character at the ends."""
+    from the first to the last word, without words of one character at the ends (``trim``: how many at either)."""
 
     def task(batch: pa.RecordBatch, group: Group) -> Iterator[pa.RecordBatch]:
         gram, at = group.grams(RUN)
@@ -151,10 +152,11 @@ def _grams() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         last = first + RUN - 1
         a, b = np.minimum(after[first], last), np.maximum(before[last], first)
         a, b = np.where(a <= b, a, first), np.where(a <= b, b, last)
+        trim = (a - first) * RUN + last - b
         base = np.searchsorted(group.doc, np.arange(group.docs))
         columns = [
             batch["row"].take(pa.array(group.at + doc)), batch["doc_id"].take(pa.array(group.at + doc)), gram[chosen].view(np.int64),
-            *[x.astype(np.int32) for x in (first - base[doc], group.line[a] - group.first_line[doc], group.points(group.start[a], doc), group.points(group.end[b], doc))],
+            *[x.astype(np.int32) for x in (first - base[doc], trim, group.line[a] - group.first_line[doc], group.points(group.start[a], doc), group.points(group.end[b], doc))],
         ]
         yield frame(_GRAMS, *columns)
 
@@ -186,7 +188,10 @@ def inner_passages(live: DataFrame) -> DataFrame:
         new |= ~F.lag(c).over(w).eqNullSafe(F.col(c))
     runs = found.withColumn("_new", new).withColumn("_run", F.count_if("_new").over(w)).groupBy("row", "doc_id", "_run", *same)
     ends = F.min("line").alias("paragraph"), F.min("start").alias("start"), F.max("end").alias("end")
-    return runs.agg(*ends, F.min_by("gram", "place").alias("cluster_id")).drop("row", "_run")
+    left, right = F.floor(F.min_by("trim", "place") / RUN), F.max_by("trim", "place") % RUN
+    words = F.max("place") - F.min("place") + RUN - left - right
+    found = runs.agg(*ends, words.alias("_words"), F.min_by("gram", "place").alias("cluster_id"))
+    return found.where(F.col("_words") >= RUN).drop("row", "_run", "_words")
 
 
 def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, threshold: float = THRESHOLD) -> DataFrame:

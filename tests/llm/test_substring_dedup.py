@@ -103,3 +103,51 @@ def test_awkward_rows_and_bands(make_docs, awkward):
     docs = make_docs(awkward)
     assert drop_repeats(docs).columns == docs.columns and drop_repeats(docs).count() == len(awkward)
     assert (BANDS, ROWS) == tune_bands(0.8) and (1 - 0.8**ROWS) ** BANDS <= 1e-4
+
+
+def test_short_lines_and_clashing_names(make_docs):
+    rng = random.Random(18)
+    lines = ["one", "two three", "a b c d e f"]
+    rows = [(i, "\n".join([*lines, prose(rng, 4), prose(rng, 20)]), "s") for i in range(3)]
+    for least, n in ((1, 3), (3, 1), (0, 3)):
+        got = repeated_passages(make_docs(rows), least).collect()
+        assert sorted((r.doc_id, r.paragraph) for r in got) == [(d, k) for d in range(3) for k in range(3 - n, 3)]
+    clash = make_docs(rows).withColumnsRenamed({"key": "_doc", "size": "_spans", "label": "_new", "id": "_row"})
+    left = drop_repeats(clash, 1)
+    assert left.columns == clash.columns and all(("one" in r.text.split()) == (r.doc_id == 0) for r in left.collect())
+
+
+def brute_passages(rows: list[tuple], run: int = 15) -> dict:
+    """By document, the words that a common run of ``run`` words or more covers, as removed, kept or both."""
+    first, docs = {}, {}
+    words = {d: t.lower().split() for d, t, _ in rows}
+    for d, w in words.items():
+        for i in range(len(w) - run + 1):
+            g = tuple(w[i : i + run])
+            first.setdefault(g, (d, i))
+            docs.setdefault(g, set()).add(d)
+    out = {}
+    for d, w in words.items():
+        for i in range(len(w) - run + 1):
+            g = tuple(w[i : i + run])
+            if len(docs[g]) > 1:
+                out.setdefault((d, first[g] != (d, i)), set()).update(range(i, i + run))
+    return out
+
+
+def test_passages_equal_brute_force(make_docs):
+    """Long common runs in texts of one line each, which are no near-equal paragraphs."""
+    rng = random.Random(19)
+    pool = [prose(rng, n, 10**6) for n in (31, 40, 51, 80)]
+    rows = []
+    for i in range(60):
+        parts = [prose(rng, rng.randrange(90, 160), 10**6)]
+        for _ in range(rng.randrange(3)):
+            parts += [rng.choice(pool), prose(rng, rng.randrange(90, 160), 10**6)]
+        rows.append((i, " ".join(parts), "s"))
+    text = {d: t for d, t, _ in rows}
+    got = {}
+    for r in repeated_passages(make_docs(rows)).collect():
+        before = len(text[r.doc_id][: r.start].split())
+        got.setdefault((r.doc_id, r.removed), set()).update(range(before, before + len(text[r.doc_id][r.start : r.end].split())))
+    assert got == brute_passages(rows)
