@@ -30,6 +30,8 @@ SKETCH_SLOTS = 28 * SKETCH_WORDS
 #: Sets, and members of sets, on either side of a block comparison.
 BLOCK = 1024
 BLOCK_MEMBERS = 1 << 20
+#: Edges that one task joins into components.
+SMALL = 1 << 12
 #: Slots in which shingles are counted.
 WEIGHTS = 1 << 20
 _EVEN = 0x5555555555555555
@@ -106,14 +108,34 @@ def shared_buckets(keys: DataFrame) -> DataFrame:
     return stash(keys.join(ends.where("center < _last").drop("_last").hint("merge"), "key"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, label) for every end of ``edges`` (a, b): label is the smallest id that can be reached.
+def _union_find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The components of all edges of a task."""
+    parent: dict[int, int] = {}
 
-    Alternates the large-star and small-star steps of Kiveris et al. (2014) until the edges are stars. Each round is a few
-    grouped joins over stored edges; the number of rounds grows with the logarithm of the longest path.
+    def root(v: int) -> int:
+        while (up := parent.setdefault(v, v)) != v:
+            parent[v] = up = parent[up]
+            v = up
+        return v
+
+    for batch in batches:
+        for hi, lo in zip(batch["hi"].tolist(), batch["lo"].tolist(), strict=True):
+            x, y = root(hi), root(lo)
+            parent[max(x, y)] = min(x, y)
+    yield pd.DataFrame([(v, root(v)) for v in list(parent)], columns=["id", "label"], dtype="int64")
+
+
+def components(edges: DataFrame, small: int = SMALL) -> DataFrame:
+    """(id, label) for every end of ``edges`` (a, b): label is the smallest id that can be reached. At most ``small`` edges are one
+    task.
+
+    More edges go through rounds, which alternate the large-star and small-star steps of Kiveris et al. (2014) until the edges are
+    stars. Each round is a few grouped joins over stored edges; the number of rounds grows with the logarithm of the longest path.
     """
     both = edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct()
     stars, before = stash(both), None
+    if stars.count() <= small:
+        return stash(stars.repartition(1).mapInPandas(_union_find, "id long, label long"))
     while True:
         ways = stars.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
             stars.select(F.col("lo").alias("u"), F.col("hi").alias("v"))

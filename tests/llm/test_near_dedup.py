@@ -92,6 +92,7 @@ def test_every_pair_within_the_distance_shares_a_key():
 def test_components_equal_union_find(spark, pairs):
     edges = spark.createDataFrame(pairs, "a long, b long")
     found = {r.id: r.label for r in linking.components(edges).collect()}
+    assert found == {r.id: r.label for r in linking.components(edges, small=-1).collect()}
     reach = {x: {x} for p in pairs for x in p}
     for _ in range(len(reach)):
         for a, b in pairs:
