@@ -125,8 +125,9 @@ class Group:
         return np.flatnonzero(chosen)
 
 
-def groups(texts: pa.Array) -> Iterator[Group]:
-    """The groups of an Arrow column of strings; null is an empty text."""
+def text_groups(texts: pa.Array) -> Iterator[tuple[int, bytes, np.ndarray]]:
+    """The runs of rows of an Arrow column of strings that make a group: the first row, the texts' bytes, and where each begins and
+    the last ends. Null is an empty text."""
     texts = texts.cast(pa.large_string()).fill_null("")
     if not len(texts):
         return
@@ -135,11 +136,16 @@ def groups(texts: pa.Array) -> Iterator[Group]:
     at = 0
     while at < len(texts):
         to = max(at + 1, int(np.searchsorted(edges, edges[at] + GROUP_BYTES, "right")) - 1)
-        part = data[int(edges[at]) : int(edges[to])].to_pybytes() if data is not None else b""
-        yield Group(at, part, edges[at : to + 1] - edges[at])
+        yield at, data[int(edges[at]) : int(edges[to])].to_pybytes() if data is not None else b"", edges[at : to + 1] - edges[at]
         at = to
 
 
+def groups(texts: pa.Array) -> Iterator[Group]:
+    """The groups of an Arrow column of strings; null is an empty text."""
+    for at, data, edge in text_groups(texts):
+        yield Group(at, data, edge)
+
+
 def lists(values: np.ndarray, size: np.ndarray) -> pa.Array:
     """An Arrow column of lists that lie one after another."""
     return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(size))).astype(np.int32), pa.array(values))
