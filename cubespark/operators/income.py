@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from cubespark.functions.scalars import interval_class, log2, log2_plus_one
 from cubespark.operators.cube import mean_over, quantiles
-from cubespark.operators.spatial import points_in_buffer
+from cubespark.operators.spatial import perform_aggregation, points_in_buffer, points_near_polygons, polygon_overlaps
+from cubespark.sources.store import cut_lineage
 
 # Amenity codes of daily life, and of places that are open at night.
 FREQUENT = (
@@ -59,6 +60,23 @@ def amenity_counts(tiles: DataFrame, amenities: DataFrame, radius: float, size:
     )
 
 
+def amenity_counts_near(shapes: DataFrame, amenities: DataFrame, radius: float, size: float, **classes: Column | None) -> DataFrame:
+    """(tile, a column for each class): log2(1 + n) of the amenities in or within ``radius`` of polygons (key, geometry). A class is a
+    condition on code, or None for all."""
+    points = amenities.withColumn("id", F.monotonically_increasing_id())
+    conditions = [F.count_if(F.lit(True) if c is None else c).alias(name) for name, c in classes.items()]
+    counts = points_near_polygons(shapes, cut_lineage(points), radius, size).groupBy("key").agg(*conditions)
+    each = [log2_plus_one(F.coalesce(name, F.lit(0))).alias(name) for name in classes]
+    return shapes.select("key").join(counts, "key", "left").select(F.col("key").alias("tile"), *each)
+
+
+def zonal_mean(zones: DataFrame, units: DataFrame, value: str, size: float) -> DataFrame:
+    """(key, value): the mean of the zones (key, geometry, value) that units (key, geometry) overlap, weighted by area."""
+    pairs = polygon_overlaps(zones, units, size)
+    joined = pairs.join(zones.select(F.col("key").alias("src"), value), "src")
+    return perform_aggregation(joined, [value], "weighted_mean", "dst").withColumnRenamed("dst", "key")
+
+
 def without_busy_nights(cube: DataFrame, counts: DataFrame, threshold: float, name: str = "log2_count") -> DataFrame:
     """The cube without tiles whose count is above the threshold; tiles without a count stay."""
     return cube.join(counts.where(F.col(name) > threshold).select("tile"), "tile", "left_anti")

@@ -1,105 +1,204 @@
-"""Spatial joins without a geometry library: grid buckets, an equi-join on them, and the exact predicate.
+"""Spatial joins without a geometry library: a hierarchical grid, an equi-join on its cells, and the exact predicate.
 
-A box goes to every bucket that it touches. A pair of boxes meets in each bucket that both touch and is kept once, in the
-bucket of the lower left corner of the overlap. Nothing is broadcast by hand and no pair of distant shapes is made.
+Cells of level l have the side ``size`` * 2 ** l. A shape stands at the level whose cells are at least as wide and as high as it is, so it
+touches four of them at most, however large it is. Shapes of different levels meet in the larger one's cells: the smaller one also
+takes the cells that it touches at the levels that the other side has, again four of each. A pair of boxes is kept once, in the cell
+of the lower left corner of its overlap. Nothing is broadcast by hand and no pair of distant shapes is made.
+
+A polygon that is to be overlapped is first cut into disjoint parts, each in one cell: cells that it covers are taken whole and only
+cells that its boundary crosses are clipped. So a small shape meets the few edges near it instead of a large polygon's all, and parts
+of one large polygon are rows of different cells instead of one hot key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cubespark.operators import geometry as G
+from cubespark.operators.ordered import join_on
+from cubespark.sources.store import cut_lineage
+
 BOX = ("xmin", "ymin", "xmax", "ymax")
+#: Parts of one polygon, besides the cells that it stands in.
+PARTS = 64
 
 
-def _cell(x: Column | str, size: float) -> Column:
+def _cell(x: Column | str, side: Column | float) -> Column:
     x = F.col(x) if isinstance(x, str) else x
-    return F.floor(x / size)
+    return F.floor(x / side)
+
+
+def _side(level: Column | str, size: float) -> Column:
+    return F.lit(float(size)) * F.pow(F.lit(2.0), level)
+
 
+def with_level(boxes: DataFrame, size: float, margin: float = 0.0) -> DataFrame:
+    """Add the level at which a box, widened by ``margin``, stands; nulls drop out."""
+    extent = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")) + 2 * margin
+    level = F.ceil(F.log2(F.greatest(extent / size, F.lit(1.0)))).cast("int")
+    return boxes.withColumn("level", level).where(extent.isNotNull())
 
-def with_buckets(boxes: DataFrame, size: float, margin: float = 0.0) -> DataFrame:
-    """A row for each bucket (bx, by) that a box, widened by ``margin``, touches."""
+
+def levels_of(leveled: DataFrame) -> Column:
+    """The levels that occur, as one array: a grid has some 60 at most."""
+    return leveled.agg(F.collect_set("level").alias("levels")).scalar()
+
+
+def with_cells(leveled: DataFrame, size: float, levels: Column | None = None, above: bool = False, margin: float = 0.0) -> DataFrame:
+    """A row for each cell (level, cx, cy) that a box touches at its own level; or at those of ``levels`` that are not below it, or, if
+    ``above``, that are above it."""
+    if levels is not None:
+        own = F.col("level")
+        some = F.filter("_levels", lambda l: (l > own) if above else (l >= own))
+        leveled = leveled.withColumn("_levels", levels).withColumn("level", F.explode(some)).drop("_levels")
+    side = _side("level", size)
     low, high = [F.col(c) - margin for c in BOX[:2]], [F.col(c) + margin for c in BOX[2:]]
-    across = F.sequence(_cell(low[0], size), _cell(high[0], size))
-    up = F.sequence(_cell(low[1], size), _cell(high[1], size))
-    return boxes.withColumn("bx", F.explode(across)).withColumn("by", F.explode(up))
+    across, up = (F.sequence(_cell(a, side), _cell(b, side)) for a, b in zip(low, high, strict=True))
+    return leveled.withColumn("cx", F.explode(across)).withColumn("cy", F.explode(up))
+
+
+def _same_cell(a: str, b: str) -> Column:
+    return (F.col(f"{a}.level") == F.col(f"{b}.level")) & (F.col(f"{a}.cx") == F.col(f"{b}.cx")) & (F.col(f"{a}.cy") == F.col(f"{b}.cy"))
 
 
 def box_overlaps(src: DataFrame, dst: DataFrame, size: float) -> DataFrame:
-    """(src, dst, area) of all pairs of boxes that overlap. Inputs: (key, xmin, ymin, xmax, ymax)."""
-    s, d = with_buckets(src, size).alias("s"), with_buckets(dst, size).alias("d")
-    x0, y0 = F.greatest("s.xmin", "d.xmin"), F.greatest("s.ymin", "d.ymin")
-    width, height = F.least("s.xmax", "d.xmax") - x0, F.least("s.ymax", "d.ymax") - y0
-    here = (F.col("s.bx") == F.col("d.bx")) & (F.col("s.by") == F.col("d.by"))
-    corner = (_cell(x0, size) == F.col("s.bx")) & (_cell(y0, size) == F.col("s.by"))
-    pairs = s.join(d, here & (width > 0) & (height > 0) & corner)
-    return pairs.select(F.col("s.key").alias("src"), F.col("d.key").alias("dst"), (width * height).cast("double").alias("area"))
+    """(src, dst, area) of all pairs of boxes that overlap. Inputs: (key, xmin, ymin, xmax, ymax). ``size`` is the side of the
+    smallest cells: about that of the smaller boxes."""
+    src, dst = with_level(src.select("key", *BOX), size), with_level(dst.select("key", *BOX), size)
 
+    def pairs(s: DataFrame, d: DataFrame) -> DataFrame:
+        s, d = s.alias("s"), d.alias("d")
+        x0, y0 = F.greatest("s.xmin", "d.xmin"), F.greatest("s.ymin", "d.ymin")
+        width, height = F.least("s.xmax", "d.xmax") - x0, F.least("s.ymax", "d.ymax") - y0
+        here = _same_cell("s", "d")
+        side = _side("s.level", size)
+        corner = (_cell(x0, side) == F.col("s.cx")) & (_cell(y0, side) == F.col("s.cy"))
+        met = s.join(d, here & (width > 0) & (height > 0) & corner)
+        return met.select(F.col("s.key").alias("src"), F.col("d.key").alias("dst"), (width * height).cast("double").alias("area"))
 
-def ring_box(rings: DataFrame, ring: str = "ring") -> DataFrame:
-    """Add the bounding box of an array of points (x, y)."""
-    xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
-    return rings.select("*", F.array_min(xs).alias("xmin"), F.array_min(ys).alias("ymin"), F.array_max(xs).alias("xmax"), F.array_max(ys).alias("ymax"))
+    up = pairs(with_cells(src, size, levels_of(dst)), with_cells(dst, size))
+    down = pairs(with_cells(src, size), with_cells(dst, size, levels_of(src), above=True))
+    return up.unionByName(down)
 
 
 def ring_area(ring: Column) -> Column:
     """The area of a simple ring of points (x, y), closed or not."""
-    n = F.size(ring)
-    cross = F.transform(ring, lambda p, i: p["x"] * ring[(i + 1) % n]["y"] - ring[(i + 1) % n]["x"] * p["y"])
-    return F.abs(F.aggregate(cross, F.lit(0.0), lambda a, c: a + c)) / 2
-
-
-def clip_area(ring: list[tuple[float, float]], box: tuple[float, float, float, float]) -> float:
-    """The area of a simple ring inside a box: the ring is cut at the box's four lines in turn."""
-    for axis, edge, keep_less in ((0, box[0], False), (0, box[2], True), (1, box[1], False), (1, box[3], True)):
-        out: list[tuple[float, float]] = []
-        for a, b in zip(ring, ring[1:] + ring[:1], strict=True):
-            ins = [(p[axis] <= edge) if keep_less else (p[axis] >= edge) for p in (a, b)]
-            if ins[0] != ins[1]:
-                t = (edge - a[axis]) / (b[axis] - a[axis])
-                out.append((a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1])))
-            if ins[1]:
-                out.append(b)
-        if not out:
-            return 0.0
-        ring = out
-    return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1], strict=True))) / 2
-
-
-def _clip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    return F.abs(G.signed_ring_area(ring))
+
+
+def _parts(size: float, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, cells, parts = [], [], []
+            for i, (level, rings) in enumerate(zip(batch["level"].to_pylist(), G.arrays_of(batch["rings"]), strict=True)):
+                for *cell, held in G.parts_of(rings, size, level, most):
+                    row.append(i)
+                    cells.append(cell)
+                    parts.append(held)
+            level, cx, cy, whole = zip(*cells, strict=True) if cells else ([], [], [], [])
+            at = pa.array(row, pa.int64())
+            columns = [batch["dst"].take(at), pa.array(level, pa.int32()), pa.array(cx, pa.int64()), pa.array(cy, pa.int64()), pa.array(whole, pa.bool_()), G.rings_of(parts)]
+            yield pa.RecordBatch.from_arrays(columns, ["dst", "level", "cx", "cy", "whole", "part"])
+
+    return run
+
+
+def polygon_parts(shapes: DataFrame, size: float, most: int = PARTS) -> DataFrame:
+    """(dst, level, cx, cy, whole, part): the polygons (key, rings) cut into disjoint parts, signed rings each in one cell; ``whole`` if
+    the part is its cell. At most ``most`` parts, or the four cells that the polygon stands in."""
+    bounded = with_level(shapes.select("key", "rings", *G.bounds(F.col("rings"))), size)
+    kind = dict(shapes.dtypes)["key"]
+    schema = f"dst {kind}, level int, cx long, cy long, whole boolean, part {G.RINGS}"
+    return bounded.select(F.col("key").alias("dst"), "level", "rings").mapInArrow(_parts(size, most), schema)
+
+
+def _areas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rings = [[(p["x"], p["y"]) for p in ring] for ring in batch["ring"]]
-        boxes = batch[list(BOX)].itertuples(index=False, name=None)
-        area = [clip_area(r, b) for r, b in zip(rings, boxes, strict=True)]
-        yield pd.DataFrame({"src": batch["src"], "dst": batch["dst"], "area": area})
+        area = G.shared_areas(G.Edges(batch["rings"]), G.Edges(batch["part"]))
+        yield pa.RecordBatch.from_arrays([batch["src"], batch["dst"], pa.array(area)], ["src", "dst", "area"])
 
 
-def ring_overlaps(boxes: DataFrame, rings: DataFrame, size: float) -> DataFrame:
-    """(src, dst, area) of boxes (key, xmin..ymax) and simple rings (key, ring array<struct<x, y>>) that overlap.
+def polygon_overlaps(src: DataFrame, dst: DataFrame, size: float, most: int = PARTS) -> DataFrame:
+    """(src, dst, area) of all pairs of polygons that overlap, concave ones and those with holes or several parts too. Inputs: (key,
+    geometry), see cubespark.operators.geometry; a null or empty geometry overlaps nothing."""
+    src, dst = (t.select("key", G.signed_rings(F.col("geometry")).alias("rings")).where("size(rings) > 0") for t in (src, dst))
+    area = [f"src {dict(src.dtypes)['key']}", f"dst {dict(dst.dtypes)['key']}", "area double"]
+    # Each is read for its levels and for both joins, so both are stored.
+    boxed = cut_lineage(with_level(src.select("key", "rings", *G.bounds(F.col("rings"))), size))
+    parts = cut_lineage(polygon_parts(dst, size, most))
+    side, own = _side("level", size), F.col("level")
+    corner = [(F.col("cx") * side).alias("xmin"), (F.col("cy") * side).alias("ymin"), ((F.col("cx") + 1) * side).alias("xmax"), ((F.col("cy") + 1) * side).alias("ymax")]
+    placed = parts.select("*", *corner)
 
-    Bounding boxes find the pairs; the clipping of a ring against a box is the one step that no column function expresses.
-    """
-    bounded = ring_box(rings)
-    pairs = box_overlaps(boxes.select("key", *BOX), bounded.select("key", *BOX), size).select("src", "dst")
-    kind = dict(boxes.dtypes)["key"], dict(rings.dtypes)["key"]
-    full = pairs.join(boxes.withColumnRenamed("key", "src"), "src").join(rings.select(F.col("key").alias("dst"), "ring"), "dst")
-    rows = full.select("src", "dst", *[F.col(c).cast("double").alias(c) for c in BOX], "ring")
-    return rows.mapInPandas(_clip, f"src {kind[0]}, dst {kind[1]}, area double").where("area > 0")
+    def pairs(s: DataFrame, d: DataFrame) -> DataFrame:
+        s, d = s.alias("s"), d.alias("d")
+        near = (F.col("s.xmin") < F.col("d.xmax")) & (F.col("d.xmin") < F.col("s.xmax")) & (F.col("s.ymin") < F.col("d.ymax")) & (F.col("d.ymin") < F.col("s.ymax"))
+        return s.join(d, _same_cell("s", "d") & near).select(F.col("s.key").alias("src"), "d.dst", "s.rings", "d.part")
+
+    # A part is in one cell at any level, and a shape takes a cell once, so no pair of them is made twice.
+    up = pairs(with_cells(boxed, size, levels_of(parts)), placed)
+    raised = placed.withColumn("_levels", levels_of(boxed)).withColumn("_to", F.explode(F.filter("_levels", lambda l: l > own)))
+    shrink = F.pow(F.lit(2.0), F.col("_to") - own)
+    raised = raised.withColumns({"cx": F.floor(F.col("cx") / shrink), "cy": F.floor(F.col("cy") / shrink), "level": F.col("_to")})
+    every = up.unionByName(pairs(with_cells(boxed, size), raised)).mapInArrow(_areas, ", ".join(area))
+    return every.groupBy("src", "dst").agg(F.sum("area").alias("area")).where("area > 1e-9")
+
+
+def box_geometry(boxes: DataFrame) -> DataFrame:
+    """(key, geometry) of boxes."""
+    return boxes.select("key", G.of_ring(G.box_ring(*map(F.col, BOX))).alias("geometry"))
+
+
+def ring_overlaps(boxes: DataFrame, rings: DataFrame, size: float) -> DataFrame:
+    """(src, dst, area) of boxes (key, xmin..ymax) and simple rings (key, ring array<struct<x, y>>) that overlap."""
+    return polygon_overlaps(box_geometry(boxes), rings.select("key", G.of_ring(F.col("ring")).alias("geometry")), size)
 
 
 def points_in_buffer(boxes: DataFrame, points: DataFrame, radius: float, size: float) -> DataFrame:
     """(key, code) of points (code, x, y) within ``radius`` of boxes: the exact buffer with round corners."""
-    b = with_buckets(boxes, size, radius).alias("b")
-    p = points.withColumns({"bx": _cell("x", size), "by": _cell("y", size)}).alias("p")
+    leveled = with_level(boxes.select("key", *BOX), size, radius)
+    b = with_cells(leveled, size, margin=radius).alias("b")
+    p = _points_at(points, levels_of(leveled), size).alias("p")
     dx = F.greatest(F.col("b.xmin") - F.col("p.x"), F.lit(0.0), F.col("p.x") - F.col("b.xmax"))
     dy = F.greatest(F.col("b.ymin") - F.col("p.y"), F.lit(0.0), F.col("p.y") - F.col("b.ymax"))
-    here = (F.col("b.bx") == F.col("p.bx")) & (F.col("b.by") == F.col("p.by"))
+    here = _same_cell("b", "p")
     return b.join(p, here & (dx * dx + dy * dy <= radius * radius)).select("b.key", "p.code")
 
 
+def _points_at(points: DataFrame, levels: Column, size: float) -> DataFrame:
+    """A row for each level of ``levels``, with the point's cell there."""
+    at = points.withColumn("_levels", levels).withColumn("level", F.explode("_levels")).drop("_levels")
+    side = _side("level", size)
+    return at.withColumns({"cx": _cell("x", side), "cy": _cell("y", side)})
+
+
+def points_near_polygons(shapes: DataFrame, points: DataFrame, radius: float, size: float, most: int = PARTS) -> DataFrame:
+    """(key, id, code) of points (id, code, x, y), whose ids are unique, in or within ``radius`` of polygons (key, geometry), once each.
+
+    Near is what has a boundary segment within the radius; segments stand in the grid by themselves, so a long boundary isn't one row.
+    Inside is what lies in a cell that the polygon covers, or has a winding number about the part in its cell."""
+    rings = shapes.select("key", G.signed_rings(F.col("geometry")).alias("rings")).where("size(rings) > 0")
+    here = _same_cell("s", "p")
+    each = rings.select("key", F.explode("rings").alias("ring"))
+    n = F.size("ring")
+    ends = F.transform("ring", lambda a, i: F.struct(a.alias("a"), F.get(F.col("ring"), (i + 1) % n).alias("b")))
+    ends = each.select("key", F.explode(ends).alias("e")).select("key", *[F.col(f"e.{e}.{c}").alias(f"{c}{i}") for i, e in enumerate("ab") for c in "xy"])
+    low, high = [F.least(f"{c}0", f"{c}1").alias(f"{c}min") for c in "xy"], [F.greatest(f"{c}0", f"{c}1").alias(f"{c}max") for c in "xy"]
+    leveled = with_level(ends.select("*", *low, *high), size, radius)
+    s = with_cells(leveled, size, margin=radius).alias("s")
+    away = G.segment_distance2(*[F.col(f"s.{c}") for c in ("x0", "y0", "x1", "y1")], F.col("p.x"), F.col("p.y"))
+    near = s.join(_points_at(points, levels_of(leveled), size).alias("p"), here & (away <= radius * radius)).select("s.key", "p.id", "p.code")
+    parts = polygon_parts(rings, size, most)
+    inside = F.col("s.whole") | (G.winding(F.col("s.part"), F.col("p.x"), F.col("p.y")) > 0)
+    within = parts.alias("s").join(_points_at(points, levels_of(parts), size).alias("p"), here).where(inside)
+    return near.unionByName(within.select(F.col("s.dst").alias("key"), "p.id", "p.code")).distinct()
+
+
 # -- aggregation over overlaps -----------------------------------------------------------------------------------------
 
 
@@ -113,14 +212,40 @@ def weighted_sum(value: str, source_area: float, area: str = "area") -> Column:
     return F.sum(F.col(value) * F.col(area) / F.lit(source_area))
 
 
-def perform_aggregation(data: DataFrame, variables: list[str], how: str | dict[str, str], *by: str, source_area: float = 10_000.0, area: str = "area") -> DataFrame:
-    """Aggregate columns as ``how`` says, for all of them or by column: weighted_mean, weighted_sum, or any aggregate function."""
+How = str | Callable[[Column], Column]
+
+
+def perform_aggregation(data: DataFrame, variables: list[str], how: How | dict[str, How], *by: str, source_area: float = 10_000.0, area: str = "area") -> DataFrame:
+    """Aggregate columns as ``how`` says, for all of them or by column: weighted_mean, weighted_sum, the name of any aggregate function, or
+    a callable that makes an aggregate of a column; reducer() makes one of a Python function."""
     known = {"weighted_mean": lambda v: weighted_mean(v, area), "weighted_sum": lambda v: weighted_sum(v, source_area, area)}
-    exprs = []
+    native, grouped = [], []
     for v in variables:
-        name = how if isinstance(how, str) else how[v]
-        exprs.append((known[name](v) if name in known else getattr(F, name)(v)).alias(v))
-    return data.groupBy(*by).agg(*exprs)
+        f = how[v] if isinstance(how, dict) else how
+        made = f(F.col(v)) if callable(f) else known[f](v) if f in known else getattr(F, f)(v)
+        (grouped if getattr(f, "grouped", False) else native).append(made.alias(v))
+    parts = [data.groupBy(*by).agg(*exprs) for exprs in (native, grouped) if exprs]  # Spark doesn't mix the two in one aggregation
+    return parts[0] if len(parts) == 1 else join_on(*parts, list(by)).select(*by, *variables)
+
+
+def reducer(f: Callable[..., float], *more: str) -> Callable[[Column], Column]:
+    """An aggregate of any Python function of a group's non-null values, given as a numpy array, and of the columns ``more`` beside
+    them (weights, say). A group's values meet in one task, so this is for functions that can't be put together from partial ones; a
+    group without values is null."""
+
+    def reduce(*columns: pd.Series) -> float:
+        kept = columns[0].notna().to_numpy()
+        return float(f(*[c.to_numpy()[kept] for c in columns])) if kept.any() else None
+
+    udf = {0: lambda v: reduce(v), 1: lambda v, w: reduce(v, w)}[len(more)]
+    udf.__annotations__ = dict.fromkeys(("v", "w")[: 1 + len(more)], pd.Series) | {"return": float}
+    made = F.pandas_udf(udf, "double")
+
+    def aggregate(column: Column) -> Column:
+        return made(column, *more)
+
+    aggregate.grouped = True
+    return aggregate
 
 
 def covered_share(overlaps: DataFrame, unit_area: float | DataFrame) -> DataFrame:

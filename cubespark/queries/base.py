@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cubespark.functions.scalars import clock_of
+from cubespark.operators.geometry import box_ring
 from cubespark.operators.income import FREQUENT, OPEN_AT_NIGHT, log2_income, of_class
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,6 +107,22 @@ OVERLAP = f"""{TILES}, {CELLS}, ov as (
   from cell_geo c join tile_geo t on c.x0 < t.x0 + 200 and t.x0 < c.x0 + 100 and c.y0 < t.y0 + 200 and t.y0 < c.y0 + 100)"""
 
 
+def communes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, geometry): boxes of 700 by 400, most with a hole, half of them with a part elsewhere."""
+    k = F.col("s_suppkey")
+    x, y = 700 * (k % 3), 400 * F.floor(k / 3)
+    outer, hole, part = box_ring(x, y, x + 700, y + 400), box_ring(x + 100, y + 100, x + 250, y + 250), box_ring(x + 20, y + 5000, x + 120, y + 5100)
+    main = F.when(k % 3 == 0, F.array(outer)).otherwise(F.array(outer, hole))
+    geometry = F.when(k % 2 == 0, F.array(main, F.array(part))).otherwise(F.array(main))
+    return table(spark, sf_dir, "supplier").select(k.alias("key"), geometry.alias("geometry"))
+
+
+#: As boxes that count with a sign.
+COMMUNES = """commune_box as (select s_suppkey key, 1 s, 700.0 * (s_suppkey % 3) x0, 400.0 * floor(s_suppkey / 3) y0, x0 + 700 x1, y0 + 400 y1 from supplier
+  union all select s_suppkey, -1, 700.0 * (s_suppkey % 3) + 100 a, 400.0 * floor(s_suppkey / 3) + 100 b, a + 150, b + 150 from supplier where s_suppkey % 3 <> 0
+  union all select s_suppkey, 1, 700.0 * (s_suppkey % 3) + 20 a, 400.0 * floor(s_suppkey / 3) + 5000 b, a + 100, b + 100 from supplier where s_suppkey % 2 = 0)"""
+
+
 #: Codes of either class, and five of none.
 CODES = (*sorted({*FREQUENT, *OPEN_AT_NIGHT}), "H101", "H102", "H103", "H104", "H105")
 

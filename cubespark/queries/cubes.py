@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from cubespark.functions import scalars as S
 from cubespark.operators import cube as C
+from cubespark.operators import geometry as G
 from cubespark.operators import income as N
-from cubespark.queries.base import CUBE, INCOME, SALES, SERVICES, admin, cube, incomes, query, sales, table, tile_boxes
-from cubespark.sources import store
+from cubespark.operators.spatial import box_geometry
+from cubespark.queries.base import COMMUNES, CUBE, INCOME, SALES, SERVICES, admin, communes, cube, incomes, query, sales, table, tile_boxes
+from cubespark.sources import geojson, store
 
 R = S.rounded
 
@@ -33,13 +35,27 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select c_custkey key, c_mktsegment segment, 5 points, 200.0 * (c_custkey % 10) + 200 xmax, 200.0 * floor(c_custkey / 10) ymin from customer")
 def geojson_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = store.shared_path(spark, "geojson")
-    corners = (("xmin", "ymin"), ("xmax", "ymin"), ("xmax", "ymax"), ("xmin", "ymax"), ("xmin", "ymin"))
-    ring = F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in corners])
     segments = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("segment"))
-    store.write_geojson(tile_boxes(spark, sf_dir).join(segments, "key").select("key", "segment", ring.alias("ring")), path)
-    back = store.read_geojson(spark, path, "key: bigint, segment: string")
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    return back.select("key", "segment", F.size("ring").alias("points"), F.array_max(xs).alias("xmax"), F.array_min(ys).alias("ymin"))
+    geojson.write_features(box_geometry(tile_boxes(spark, sf_dir)).join(segments, "key"), path)
+    back = geojson.read_features(spark, path, "key: bigint, segment: string")
+    ring = F.col("geometry")[0][0]
+    xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
+    return back.select("key", "segment", F.size(ring).alias("points"), F.array_max(xs).alias("xmax"), F.array_min(ys).alias("ymin"))
+
+
+@query(
+    f"""with {COMMUNES}, a as (select key, sum(s * (x1 - x0) * (y1 - y0)) area, count(*) filter (where s > 0) parts, count(*) filter (where s < 0) holes from commune_box group by 1)
+select key, s_name "name", case when parts > 1 then 'MultiPolygon' else 'Polygon' end kind, cast(parts as int) parts, cast(5 * (parts + holes) as int) points, round(area, 6) area
+from a join supplier on s_suppkey = key"""
+)
+def geojson_multipolygon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Communes with holes and exclaves, written and read back; a hole takes from the area."""
+    path = store.shared_path(spark, "geojson")
+    names = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"))
+    geojson.write_features(communes(spark, sf_dir).join(names, "key"), path)
+    back = geojson.read_features(spark, path, "key: bigint, name: string")
+    points = F.aggregate(F.flatten("geometry"), F.lit(0), lambda n, ring: n + F.size(ring))
+    return back.select("key", "name", "kind", F.size("geometry").alias("parts"), points.alias("points"), R(G.area(F.col("geometry"))).alias("area"))
 
 
 @query(f"with {CUBE}, t as (select distinct tile from cube) select tile, round((c_acctbal + 1000) / (1 + c_custkey % 4), 6) + 0 income from customer join t on tile = c_custkey")

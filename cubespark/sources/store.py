@@ -69,31 +69,6 @@ def read_csv(spark: SparkSession, path: str, schema: str | StructType) -> DataFr
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
-def write_geojson(df: DataFrame, path: str, ring: str = "ring", properties: list[str] | None = None) -> None:
-    """One GeoJSON polygon feature a line; ``ring`` is an array of structs (x, y)."""
-    names = properties if properties is not None else [c for c in df.columns if c != ring]
-    points = F.transform(ring, lambda p: F.array(p["x"], p["y"]))
-    feature = F.struct(
-        F.lit("Feature").alias("type"),
-        F.struct(*names).alias("properties"),
-        F.struct(F.lit("Polygon").alias("type"), F.array(points).alias("coordinates")).alias("geometry"),
-    )
-    df.select(F.to_json(feature).alias("value")).write.text(path)
-
-
-def read_geojson(spark: SparkSession, path: str, properties: str, collection: bool = False) -> DataFrame:
-    """The properties of polygon features and their outer ring; ``collection`` for one document with a feature list."""
-    geometry = "struct<type: string, coordinates: array<array<array<double>>>>"
-    if collection:
-        feature = f"struct<type: string, properties: struct<{properties}>, geometry: {geometry}>"
-        rows = spark.read.schema(f"features array<{feature}>").json(path, multiLine=True)
-        rows = rows.select(F.explode("features").alias("f")).select("f.*")
-    else:
-        rows = spark.read.schema(f"type string, properties struct<{properties}>, geometry {geometry}").json(path)
-    ring = F.transform(F.col("geometry.coordinates")[0], lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
-    return rows.select("properties.*", ring.alias("ring"))
-
-
 def attributes(table: DataFrame, keys: DataFrame, key: str, variables: list[str], base: str | None = None) -> DataFrame:
     """``variables`` of the units in ``keys``; as shares of the column ``base`` if one is named."""
     values = [F.try_divide(v, base).alias(v) if base else F.col(v) for v in variables]

@@ -232,11 +232,6 @@ def test_round_trips(spark):
     assert rows(store.read_csv(spark, path, "code string, v double"), "code", "v") == [("007", 1.5), (None, None)]
     lines = spark.createDataFrame([(" 50%|##| 17/34 [01:40<01:41, 5.9s/it]",), ("no mark",), (None,)], "line string")
     assert [r.seconds for r in store.log_durations(lines).collect()] == [100]
-    whole = store.shared_path(spark, "geo")
-    text = '{"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"k": 5}, "geometry": {"type": "Polygon", "coordinates": [[[0, 1], [2, 3]]]}}]}'
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(whole)
-    got = store.read_geojson(spark, whole, "k: bigint", collection=True).first()
-    assert got.k == 5 and [(p.x, p.y) for p in got.ring] == [(0.0, 1.0), (2.0, 3.0)]
 
 
 def test_projection_of_a_known_point(spark):
