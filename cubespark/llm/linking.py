@@ -144,14 +144,14 @@ def components(edges: DataFrame, small: int = SMALL) -> DataFrame:
         large = ways.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         large = large.distinct()
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(low, "hi").select(
+        near = large.join(low, "hi").select(
             F.explode(
                 F.array(
                     F.struct(F.col("hi"), F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo"))
                 )
             ).alias("e")
         )
-        stars = stash(small.select("e.*").where("hi <> lo").distinct())
+        stars = stash(near.select("e.*").where("hi <> lo").distinct())
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if now == before:
             return stars.select(F.col("hi").alias("id"), F.col("lo").alias("label")).unionByName(
@@ -294,11 +294,11 @@ def _links_across(buckets: DataFrame, placed: DataFrame, sets: DataFrame, thresh
     return _verified(pairs, sets, threshold)
 
 
-def linked_components(buckets: DataFrame, sketches: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def linked_components(buckets: DataFrame, sketches: DataFrame, sets: DataFrame, threshold: float, small: int = SMALL) -> DataFrame:
     """(id, label) of the vertices in components of two or more.
 
     ``buckets`` as shared_buckets() gives them; ``sketches`` (id, n, s0..); ``sets`` (id, members array<long>), both for
-    every id in buckets at least, and stored.
+    every id in buckets at least, and stored. ``small``: edges that one task joins into components; beyond, they go through rounds.
     """
     small_batches(buckets.sparkSession)
     stars = buckets.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
@@ -309,8 +309,8 @@ def linked_components(buckets: DataFrame, sketches: DataFrame, sets: DataFrame,
         .select("a", "b")
     )
     edges = stash(_verified(near, sets, threshold))
-    labels, hoods = components(edges), components(near).withColumnRenamed("label", "hood")
+    labels, hoods = components(edges, small), components(near, small).withColumnRenamed("label", "hood")
     placed = sketches.join(hoods, "id", "left").join(labels, "id", "left")
     placed = stash(placed.withColumns({"hood": F.coalesce("hood", "id"), "label": F.coalesce("label", "id")}))
     more = stash(_links_within(placed, sets, threshold).unionByName(_links_across(buckets, placed, sets, threshold)))
-    return labels if more.isEmpty() else components(edges.unionByName(more))
+    return labels if more.isEmpty() else components(edges.unionByName(more), small)

@@ -5,9 +5,11 @@ whole part is certain and the fraction is a probability that must be rounded to
 probabilities and moves mass, counted in words, from one to the other, in a random direction that keeps both expectations, until one
 of them is whole; the other carries the rest on to the next pairing. Here the two of a pair are the largest undecided document and
 all smaller ones together, which share what it gives or takes by their own room, so that the small ones make good what the large one's
-rounding costs and a source is left with its smallest document. The words taken from a source never change in a pairing, and only
-that last document is rounded by itself: the words taken differ from the target by less than its size, unless a source has so few
-words besides its largest document that they can't make it good.
+rounding costs. (Two single documents in each pairing would leave a source with one of any size: in a simulation over 20 sources of some
+50 documents, 3.2 % off the target on average, and a third at the 99th percentile, against 0.4 and 1.7 % so.) The words taken from a source
+never change in a pairing, and only the last undecided document is rounded by itself. It is the smallest as a rule, but need not be: a large
+one stays to the end if all others had too few words left to decide it. So the words taken differ from the target by less than the size
+of that one document, which the largest of the source bounds.
 
 The pairings form a tree. Leaves are (source, bucket) groups of about LEAF documents; each hands on its KEEP smallest undecided
 documents. Those are folded in groups of about FAN leaves until one per source is left. The number of levels is known from the largest

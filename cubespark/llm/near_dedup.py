@@ -76,7 +76,7 @@ def _members(width: int):
     return arrow_task(task)
 
 
-def _placed(docs: DataFrame, shingle: int, threshold: float) -> DataFrame:
+def _placed(docs: DataFrame, shingle: int, threshold: float, small: int) -> DataFrame:
     """One row per row of ``docs``: doc_id, text_id (the text's hash), n, and label, which is the same within a component."""
     small_batches(docs.sparkSession, 4)
     doc_id, text_id = F.col("doc_id").cast("long"), F.xxhash64("text")
@@ -95,14 +95,14 @@ def _placed(docs: DataFrame, shingle: int, threshold: float) -> DataFrame:
     chosen = of_keys(texts.select("key", "text"), one.select("key").distinct(), "key")
     sets = chosen.select("text").mapInArrow(_members(shingle), _SETS)
     sets = stash(sets.join(one.select("id").hint("merge"), "id", "left_semi").dropDuplicates(["id"]))
-    labels = linking.linked_components(buckets, one.drop("key"), sets, threshold)
+    labels = linking.linked_components(buckets, one.drop("key"), sets, threshold, small)
     placed = signed.select("doc_id", "text_id", "id", "n").join(labels.hint("merge"), "id", "left")
     return placed.select("doc_id", "text_id", "n", F.when(F.col("n") > 0, F.coalesce("label", "id")).alias("label"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
-    placed = _placed(docs, shingle, threshold)
+def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, small: int = linking.SMALL) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept. ``small``: see linking.linked_components()."""
+    placed = _placed(docs, shingle, threshold, small)
     least = placed.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least"))
     return placed.join(least.hint("merge"), "label", "left").select(
@@ -110,11 +110,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -
     )
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8, small: int = linking.SMALL) -> DataFrame:
     """The rows of ``docs`` of which one document per component stays: that of the smallest doc_id (null last), then of the smallest
     hash of its text. Documents are rows of different ids or texts; rows that repeat both are one document, which stays or goes whole.
     Rows without words stay."""
-    placed = stash(_placed(docs, shingle, threshold))
+    placed = stash(_placed(docs, shingle, threshold, small))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_id")
     first = placed.where("label is not null").groupBy("label").agg(F.min(order).alias("first"))
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_id") == F.col("first.text_id"))

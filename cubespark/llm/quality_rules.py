@@ -109,11 +109,12 @@ def with_counts(rows: DataFrame) -> DataFrame:
 FLAGS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")
 
 
-def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Every row of ``docs`` as the struct _row, with the columns of FLAGS. labels: (doc_id, quality)."""
+def judged(docs: DataFrame, labels: DataFrame, small: int = SMALL) -> DataFrame:
+    """Every row of ``docs`` as the struct _row, with the columns of FLAGS. labels: (doc_id, quality). ``small``: trusted ids that are
+    broadcast."""
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     trusted = stash(good)
-    trusted = F.broadcast(trusted) if trusted.count() <= SMALL else trusted.hint("merge")
+    trusted = F.broadcast(trusted) if trusted.count() <= small else trusted.hint("merge")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ratios = ratio_table(texts, trusted)
     least = least_score(texts, trusted, ratios)
@@ -130,9 +131,9 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.select("_row", *counts, failed.alias("base_failed"), kept.alias("kept"), F.col("_llr").alias("llr"), fence)
 
 
-def quality_flags(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def quality_flags(docs: DataFrame, labels: DataFrame, small: int = SMALL) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id and FLAGS."""
-    return judged(docs.select("doc_id", "text"), labels).select("_row.doc_id", *FLAGS)
+    return judged(docs.select("doc_id", "text"), labels, small).select("_row.doc_id", *FLAGS)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from cubespark.llm import linking
-from cubespark.llm.common import mix, of_keys, small_batches, stash
+from cubespark.llm.common import mix, of_keys, small_batches, stash, with_rank
 from cubespark.llm.text_batch import Group, arrow_task, frame, lists
 
 MIN_WORDS = 15
@@ -194,10 +194,10 @@ def inner_passages(live: DataFrame) -> DataFrame:
     return found.where(F.col("_words") >= RUN).drop("row", "_run", "_words")
 
 
-def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, threshold: float = THRESHOLD) -> DataFrame:
+def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, threshold: float = THRESHOLD, small: int = linking.SMALL) -> DataFrame:
     """One row per paragraph, or passage inside longer text, of ``docs`` (doc_id, text) that has a (near-)equal one elsewhere: doc_id,
     paragraph (where it begins), start, end, cluster_id, cluster_size, removed, kept_doc_id (the document in which the cluster's
-    first occurrence stays). Passages of different clusters may overlap."""
+    first occurrence stays). Passages of different clusters may overlap. ``small``: see linking.linked_components()."""
     small_batches(docs.sparkSession, 4)
     least = max(least, 1)
     # Texts without an id are told apart by a hash, so that they don't all meet.
@@ -205,7 +205,7 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, threshold: float
     keyed = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.xxhash64("text")).alias("key"), "text")
     stored = stash(keyed.mapInArrow(_sign(least), _SIGNED))
     signed = stored.where("n > 0")
-    whole = stash(_paragraph_clusters(keyed, signed, least, threshold))
+    whole = stash(_paragraph_clusters(keyed, signed, least, threshold, small))
 
     gone = whole.where("removed").groupBy(F.coalesce("doc_id", "key").alias("key")).agg(F.collect_set("paragraph").alias("gone"))
     seeds = stored.where("n = 0").select("doc_id", "key", "keys", "lines", "ends").join(gone.hint("merge"), "key", "left")
@@ -220,7 +220,7 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, threshold: float
     return whole.unionByName(inside.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in whole.schema]))
 
 
-def _paragraph_clusters(keyed: DataFrame, signed: DataFrame, least: int, threshold: float) -> DataFrame:
+def _paragraph_clusters(keyed: DataFrame, signed: DataFrame, least: int, threshold: float, small: int) -> DataFrame:
     """The paragraphs of clusters of two or more, and whether each is a removal."""
     buckets = linking.shared_buckets(signed.select("id", F.explode("keys").alias("key")))
     involved = stash(buckets.select("id").distinct())
@@ -228,7 +228,7 @@ def _paragraph_clusters(keyed: DataFrame, signed: DataFrame, least: int, thresho
     wanted = wanted.groupBy(F.col("p.key").alias("key")).agg(F.collect_set("p.paragraph").alias("numbers"))
     read = of_keys(keyed, wanted, "key").select("text", "numbers").mapInArrow(_sets(least), _SETS)
     sets = stash(read.join(involved.hint("merge"), "id", "left_semi").dropDuplicates(["id"]))
-    labels = linking.linked_components(buckets, sets.drop("members"), sets.select("id", "members"), threshold)
+    labels = linking.linked_components(buckets, sets.drop("members"), sets.select("id", "members"), threshold, small)
     places = signed.select("doc_id", "key", "paragraph", "start", "end", "id")
     placed = places.join(labels.hint("merge"), "id", "left").withColumn("cluster_id", F.coalesce("label", "id")).drop("label", "id")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "paragraph", "start")).alias("first")
@@ -251,11 +251,23 @@ def _cut(text: str | None, spans: object) -> str | None:
 
 
 def drop_repeats(docs: DataFrame, least: int = MIN_WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the removals, which are cut from the texts. A repeated doc_id loses them in all of its rows."""
-    gone = repeated_passages(docs, least, threshold).where("removed")
-    gone = gone.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("spans")).alias("g")
+    """``docs`` without the removals, which are cut from the texts. Here a document is an id with a text: rows that repeat both lose the
+    same spans, other texts of the same id, or without one, are judged by themselves (in the order of ids, null last, then of the
+    texts' hashes)."""
+    by = [F.col("doc_id").isNull().alias("_none"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id")]
+    # Numbers in that order stand for the ids, so that each is one document's.
+    numbered = with_rank(docs.select(*by).distinct(), ["_none", "doc_id", "text_id"], "number", int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).drop("_none")
+    numbered = stash(numbered).alias("n")
+
+    def joined(rows: DataFrame) -> DataFrame:
+        same = F.col("r.doc_id").eqNullSafe(F.col("n.doc_id")) & (F.col("r.text_id") == F.col("n.text_id"))
+        return rows.alias("r").join(numbered.hint("merge"), same)
+
+    texts = joined(docs.select(*by[1:], "text")).select(F.col("n.number").alias("doc_id"), "r.text").dropDuplicates(["doc_id"])
+    gone = repeated_passages(stash(texts), least, threshold).where("removed")
+    gone = gone.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("spans")).withColumnRenamed("doc_id", "number")
     cut = F.pandas_udf(lambda texts, spans: pd.Series(map(_cut, texts, spans), dtype=object), "string")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))  # a struct, so that no name clashes
-    joined = rows.join(gone.hint("merge"), F.col("_row.doc_id").cast("long").eqNullSafe(F.col("g.doc_id")), "left")
-    joined = joined.select("_row", cut(F.col("_row.text"), F.col("g.spans")).alias("_new"))
-    return joined.select(*[F.col("_new").alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *by[1:])  # a struct, so that no name clashes
+    spans = joined(rows).select("r._row", "n.number").join(gone.hint("merge"), "number", "left")
+    new = spans.select("_row", cut(F.col("_row.text"), F.col("spans")).alias("_new"))
+    return new.select(*[F.col("_new").alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])

@@ -4,7 +4,7 @@ Byte-level BPE first splits a text by PATTERN, and a space or line break right b
 its own there, whatever stands before it. So a text is cut at such places into chunks (a word with what clings to it), every
 distinct chunk is encoded once, and the ids are put together again. Chunks are known by 64-bit hashes; a worker remembers the ids of
 up to REMEMBERED of them, then starts afresh. Merges in the order of ids are what ``tiktoken`` applies, so it encodes the chunks if
-the file has that order; chunks that hold a special token's string, and all chunks of other files, go to ``tokenizers``.
+the file has that order; texts that hold a special token's string, and all chunks of other files, go to ``tokenizers``.
 """
 
 from __future__ import annotations
@@ -90,6 +90,12 @@ class Encoder:
         cut = np.zeros(len(raw) + 1, bool)
         cut[:-1] = ((raw == 32) & sure) | line
         cut[1:] |= line
+        for special in self.special:  # the rest of such a text is split at it, white space before it too: the text is one chunk
+            at = data.find(special.encode())
+            while at >= 0:
+                text = int(np.searchsorted(edge, at, "right"))
+                cut[edge[text - 1] : edge[text]] = False
+                at = data.find(special.encode(), int(edge[text]))
         cut[edge] = True
         start = np.flatnonzero(cut[:-1])
         end = np.append(start[1:], len(raw))

@@ -121,9 +121,19 @@ def parse(content: bytes) -> dict:
     }
 
 
+# Schemes of Hadoop's file systems, and those under which pyarrow knows the same stores.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasbs": "abfs", "wasb": "abfs"}
+
+
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of a URI as Spark writes it."""
+    scheme, colon, rest = uri.partition(":")
+    return fs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + colon + rest)
+
+
 def _writer(folder: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = file_system(folder)
         store.create_dir(root, recursive=True)
         out = name = None
         size = n = 0
@@ -157,7 +167,7 @@ def _writer(folder: str):
 def _reader(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path in batch["path"]:
-            store, name = fs.FileSystem.from_uri(path)
+            store, name = file_system(path)
             rows = []
             with store.open_input_stream(name, compression=None) as stream:
                 for offset, content in members(stream):

@@ -94,3 +94,12 @@ def test_leaves_hand_on_their_smallest_documents_and_keep_the_words():
     left = [r for r in out if not r[7]]
     assert len(left) == 8 and max(r[3] for r in left) <= sorted(r[3] for r in rows)[20]
     assert sum(r[3] * (r[5] + r[6]) for r in out) == pytest.approx(0.4 * sum(r[3] for r in rows))
+
+
+def test_sources_come_near_their_targets_on_real_sizes(spark):
+    """Every source within the size of its largest document, and nearly all within 2 %."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sums = mix(docs).groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken"), F.max("size").alias("most")).collect()
+    off = [abs(r.taken - r.target) for r in sums]
+    assert len(sums) == 20 and all(o < r.most for o, r in zip(off, sums, strict=True))
+    assert sum(o <= 0.02 * r.target for o, r in zip(off, sums, strict=True)) >= 18

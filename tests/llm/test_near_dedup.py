@@ -124,3 +124,19 @@ def test_filter_decides_by_document_not_by_id(make_docs):
     assert kept == sorted([("1", a), ("1", b), ("3", c), ("3", c)])
     clash = docs.withColumnsRenamed({"key": "_gone", "size": "_text", "label": "_row", "id": "text_id"})
     assert drop_near_duplicates(clash).columns == clash.columns and drop_near_duplicates(clash).count() == 4
+
+
+def test_components_of_many_edges_give_the_same(make_docs):
+    rng = random.Random(23)
+    base = [prose(rng, 80).split() for _ in range(5)]
+    rows = []
+    for i in range(80):
+        words = list(base[i % 5])
+        for _ in range(rng.randrange(8)):
+            words[rng.randrange(80)] = f"edit{rng.randrange(9)}"
+        rows.append((i, " ".join(words), "s"))
+    df = make_docs(rows)
+    one, many = (sorted(map(tuple, near_duplicates(df, shingle=2, small=n).collect())) for n in (1 << 12, 0))
+    assert one == many and len({r[2] for r in one}) < 80
+    kept = [sorted(r.doc_id for r in drop_near_duplicates(df, small=n).collect()) for n in (1 << 12, 0)]
+    assert kept[0] == kept[1]

@@ -71,3 +71,15 @@ def test_stages_and_run_equal_brute_force(spark, tmp_path):
         bins[r.bin, r.capacity] += r.length
     assert dict(packed) == {d: size[d] * c for d, c in copies.items()} and all(n <= c for (_, c), n in bins.items())
     assert Counter(map(str, corpus_pipeline.run(spark, str(tmp_path)).collect())) == Counter(map(str, seen["best_fit_packing"]))
+
+
+def test_every_stage_takes_an_empty_table_and_awkward_rows(spark, tmp_path, make_docs, awkward):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for rows in ([], awkward):
+        docs = make_docs(rows)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            n = out.count()
+            assert n == 0 if not rows else n > 0, name
+            if name != "best_fit_packing":
+                assert out.columns == docs.columns

@@ -88,3 +88,11 @@ def test_without_labels_or_rows(spark, make_docs, awkward):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert got(quality_flags(make_docs(awkward), labels)) == brute(awkward, set())
     assert quality_flags(make_docs(awkward).limit(0), labels).count() == 0
+
+
+def test_trusted_ids_joined_by_merge_give_the_same(spark, make_docs):
+    rng = random.Random(24)
+    df = make_docs([(i, prose(rng, 60, 300 if i % 2 else 3000), "s") for i in range(60)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    one, many = (sorted(map(tuple, quality_flags(df, labels, small=n).collect())) for n in (1 << 20, 0))
+    assert one == many

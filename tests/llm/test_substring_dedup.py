@@ -151,3 +151,24 @@ def test_passages_equal_brute_force(make_docs):
         before = len(text[r.doc_id][: r.start].split())
         got.setdefault((r.doc_id, r.removed), set()).update(range(before, before + len(text[r.doc_id][r.start : r.end].split())))
     assert got == brute_passages(rows)
+
+
+def test_texts_of_null_and_repeated_ids_are_cut_by_themselves(make_docs):
+    rng = random.Random(21)
+    a, b, c = (prose(rng, 80) for _ in range(3))
+    rows = [(1, a, "s"), (None, a, "s"), (None, b, "s"), (7, f"{c} end", "s"), (7, a, "s"), (7, a, "s")]
+    left = sorted(((r.doc_id, r.text) for r in drop_repeats(make_docs(rows)).collect()), key=str)
+    assert left == sorted([(1, a), (None, ""), (None, b), (7, f"{c} end"), (7, ""), (7, "")], key=str)
+
+
+def test_components_of_many_edges_give_the_same(make_docs):
+    rng = random.Random(22)
+    base = [prose(rng, 60).split() for _ in range(6)]
+    rows = []
+    for i in range(60):
+        words = list(base[i % 6])
+        words[rng.randrange(60)] = "edit"
+        rows.append((i, f"{' '.join(words)}\n{prose(rng, 30)}", "s"))
+    df = make_docs(rows)
+    one, many = (sorted(map(tuple, repeated_passages(df, small=n).collect()), key=str) for n in (1 << 12, 0))
+    assert one == many and len(one) >= 60

@@ -8,7 +8,7 @@ import io
 
 import pytest
 
-from cubespark.llm.warc import members, parse, read_archives, record, write_archives
+from cubespark.llm.warc import file_system, members, parse, read_archives, record, write_archives
 
 
 def brute(pages: list[tuple]) -> list[tuple]:
@@ -52,3 +52,9 @@ def test_damage_is_found():
         parse(found[0][1][:-4])
     with pytest.raises(ValueError, match="damaged"):
         list(members(io.BytesIO(one[:30] + b"\xff\xff\xff\xff" + one[34:])))
+
+
+def test_schemes_of_hadoop_are_known(tmp_path):
+    assert file_system(f"file://{tmp_path}")[1] == str(tmp_path)
+    store, path = file_system("s3a://bucket/some/key?region=us-east-1")
+    assert store.type_name == "s3" and path == "bucket/some/key"
