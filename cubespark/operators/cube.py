@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cubespark.functions.scalars import cyclic_seconds, seconds_of
-from cubespark.operators.ordered import join_on, running_total
+from cubespark.operators.ordered import join_on
+from cubespark.sources.store import cut_lineage
 
 
 def filter_labels(cube: DataFrame, column: str, labels: list[str], strict: bool = False) -> DataFrame:
@@ -141,28 +142,55 @@ def column_stats(table: DataFrame, *columns: str) -> DataFrame:
     return rows.withColumn("mean_plus_std", F.col("mean") + F.col("std"))
 
 
+#: Classes of values in the first pass of quantiles(), for each power of two, and into how many each further pass divides one.
+BINADE, FINER = 1024, 1 << 16
+
+
 def quantiles(table: DataFrame, column: str, qs: list[float], by: tuple[str, ...] = ()) -> DataFrame:
     """Exact linear quantiles of the non-null values as q0, q1, ..., for each group; null for a group without any.
 
-    Equal values are counted before anything is sorted, and the counts are summed up by ranges, so no group is one task."""
-    counts = table.groupBy(*by, F.col(column).alias("_x")).agg(F.count(column).alias("_n"))
-    to = running_total(counts, list(by), ["_x"], F.col("_n"), "_to")
-    whole = to.groupBy(*by).agg(F.max("_to").alias("_all"))
-    cut = [q * (F.col("_all") - 1) for q in qs]
-
-    def at(rank: Column) -> Column:  # the value of a rank, from 0
-        return F.min(F.when(F.col("_to") > rank, F.col("_x")))
-
-    ends = [F.struct(at(F.floor(c)).alias("low"), at(F.ceil(c)).alias("high")).alias(f"e{i}") for i, c in enumerate(cut)]
-    found = join_on(to.where("_n > 0"), whole.where("_all > 0"), list(by)).groupBy(*by, "_all").agg(*ends)
-    between = [
-        F.when(F.floor(c) == F.ceil(c), F.col(f"e{i}.low")).otherwise((F.ceil(c) - c) * F.col(f"e{i}.low") + (c - F.floor(c)) * F.col(f"e{i}.high"))
-        for i, c in enumerate(cut)
-    ]
-    found = found.select(*by, *[b.cast("double").alias(f"q{i}") for i, b in enumerate(between)])
-    if by:
-        return join_on(whole.select(*by), found, list(by), "left")
-    return found.agg(*[F.first(f"q{i}").alias(f"q{i}") for i in range(len(qs))])  # a row of nulls if there is no value
+    By selection: values are counted in classes, first by their binary exponent and leading digits; only those in the class of a wanted
+    rank are counted again, in FINER classes of its range, until it has one value. A double takes a second pass as a rule and five at
+    most. Nothing is sorted or stored but the classes of wanted ranks, and counts are combined before they are shuffled, so no
+    group is one task. ``table`` is read once in each pass: store it first if it is dear."""
+    rows = table.select(*by, F.col(column).cast("double").alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    size = F.floor((F.log2(F.abs("_x")) + 1075) * BINADE) + 1
+    first = F.when(F.col("_x") == 0, F.lit(0).cast("long")).otherwise(F.signum("_x").cast("long") * size)
+    found = [F.count("*").alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")]
+    classes = rows.groupBy(*by, first.alias("_class")).agg(*found)
+    upto = Window.partitionBy(*by).orderBy("_class").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    classes = classes.select("*", F.sum("_n").over(upto).alias("_to"), F.sum("_n").over(Window.partitionBy(*by)).alias("_all"))
+    ranks = [f(F.lit(q) * (F.col("_all") - 1)).cast("long") for q in qs for f in (F.floor, F.ceil)]
+    ranks = F.array(*[F.struct(F.lit(k).alias("k"), r.alias("r")) for k, r in enumerate(ranks)])
+
+    def hit(t: DataFrame) -> Column:
+        return F.explode(F.filter("_ranks", lambda x: (x["r"] >= F.col("_to") - F.col("_n")) & (x["r"] < F.col("_to"))))
+
+    kept = [*by, "_all", "_k", "_r", "_before", "_lo", "_hi"]
+    wanted = classes.withColumn("_ranks", ranks).withColumn("_hit", hit(classes))
+    wanted = wanted.select(*by, "_all", F.col("_hit.k").alias("_k"), F.col("_hit.r").alias("_r"), (F.col("_to") - F.col("_n")).alias("_before"), "_lo", "_hi")
+    wanted = cut_lineage(wanted)  # two rows for each group and quantile
+    while not (wide := wanted.where("_lo < _hi")).isEmpty():
+        cells = wide.groupBy(*by).agg(F.collect_set(F.struct("_before", "_lo", "_hi")).alias("_cells"))
+        inside = F.explode(F.filter("_cells", lambda c: F.col("_x").between(c["_lo"], c["_hi"])))
+        each = join_on(rows, cells, list(by)).select(*by, "_x", inside.alias("_c")).select(*by, "_x", "_c.*")
+        part = F.least(F.floor((F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * FINER), F.lit(FINER - 1))
+        parts = each.groupBy(*by, "_before", part.alias("_class")).agg(*found)
+        own = Window.partitionBy(*by, "_before").orderBy("_class").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        parts = parts.withColumn("_to", F.col("_before") + F.sum("_n").over(own))
+        open_ = wide.groupBy(*by, "_all", "_before").agg(F.collect_set(F.struct(F.col("_k").alias("k"), F.col("_r").alias("r"))).alias("_ranks"))
+        parts = join_on(parts, open_, [*by, "_before"]).withColumn("_hit", hit(parts))
+        finer = parts.select(*by, "_all", F.col("_hit.k").alias("_k"), F.col("_hit.r").alias("_r"), (F.col("_to") - F.col("_n")).alias("_before"), "_lo", "_hi")
+        wanted = cut_lineage(wanted.where("_lo = _hi").select(*kept).unionByName(finer.select(*kept)))
+    value = [F.max(F.when(F.col("_k") == k, F.col("_lo"))) for k in range(2 * len(qs))]
+    between = []
+    for i, q in enumerate(qs):
+        at = F.lit(q) * (F.max("_all") - 1)
+        low, high = value[2 * i : 2 * i + 2]
+        between.append(F.when(F.floor(at) == F.ceil(at), low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high).alias(f"q{i}"))
+    if not by:
+        return wanted.agg(*between)  # a row of nulls if there is no value
+    return join_on(table.select(*by).distinct(), wanted.groupBy(*by).agg(*between), list(by), "left")
 
 
 def quantile_bands(table: DataFrame, a: tuple[str, float], b: tuple[str, float], inclusive: bool = True) -> DataFrame:

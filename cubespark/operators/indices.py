@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cubespark.functions.scalars import log10_plus_one, slot_to_clock
 from cubespark.operators.cube import cumulative, dense, mean_over, share
 from cubespark.operators.ordered import join_on
+from cubespark.sources.store import cut_lineage
 
 
 def night_index(cube: DataFrame, unit: str, scope: tuple[str, ...] = ("city",), value: str = "value") -> DataFrame:
@@ -19,8 +20,9 @@ def night_index(cube: DataFrame, unit: str, scope: tuple[str, ...] = ("city",),
     """
     sums = cube.groupBy(*scope, unit).agg(F.sum(F.col(value) * F.col("slot")).alias("_vs"), F.sum(value).alias("_v"))
     expected = sums.withColumn("_e", F.try_divide("_vs", "_v"))
-    index = F.coalesce(F.col("_e") - F.avg("_e").over(Window.partitionBy(*scope)), F.lit(0.0))
-    return expected.select(*scope, unit, index.alias("night_index"))
+    # The means are grouped and joined back: a window over a scope would put all of its units into one task.
+    joined = join_on(expected, expected.groupBy(*scope).agg(F.avg("_e").alias("_mean")), [*scope])
+    return joined.select(*scope, unit, F.coalesce(F.col("_e") - F.col("_mean"), F.lit(0.0)).alias("night_index"))
 
 
 def night_index_by_cdf(cube: DataFrame, unit: str, scope: tuple[str, ...] = ("city",), value: str = "value") -> DataFrame:
@@ -28,15 +30,16 @@ def night_index_by_cdf(cube: DataFrame, unit: str, scope: tuple[str, ...] = ("ci
     sums = cube.groupBy(*scope, unit, "slot").agg(F.sum(value).alias(value))
     grid = dense(sums, cube, *scope, unit, value=value)
     cdf = cumulative(share(grid, *scope, unit, value=value), *scope, unit)
-    gap = F.avg("cdf").over(Window.partitionBy(*scope, "slot")) - F.col("cdf")
-    return cdf.withColumn("_gap", gap).groupBy(*scope, unit).agg(F.coalesce(F.sum("_gap"), F.lit(0.0)).alias("night_index"))
+    means = cdf.groupBy(*scope, "slot").agg(F.avg("cdf").alias("_mean"))
+    gap = F.col("_mean") - F.col("cdf")
+    return join_on(cdf, means, [*scope, "slot"]).withColumn("_gap", gap).groupBy(*scope, unit).agg(F.coalesce(F.sum("_gap"), F.lit(0.0)).alias("night_index"))
 
 
 def deviation_from_mean_cdf(probability: DataFrame, unit: str) -> DataFrame:
     """(unit, deviation): sum over slots of a unit's cumulative probability less the mean one; p as given, on a dense grid."""
     cdf = cumulative(probability, unit, value="p")
-    gap = F.col("cdf") - F.avg("cdf").over(Window.partitionBy("slot"))
-    return cdf.withColumn("_gap", gap).groupBy(unit).agg(F.sum("_gap").alias("deviation"))
+    means = cdf.groupBy("slot").agg(F.avg("cdf").alias("_mean"))
+    return join_on(cdf, means, ["slot"]).withColumn("_gap", F.col("cdf") - F.col("_mean")).groupBy(unit).agg(F.sum("_gap").alias("deviation"))
 
 
 def session_probability(sessions: DataFrame) -> DataFrame:
@@ -54,8 +57,9 @@ def expected_time(probability: DataFrame, unit: str, slot_minutes: int, referenc
 def comparative_advantage(matrix: DataFrame, row: str, column: str, value: str = "value", within: tuple[str, ...] = ()) -> DataFrame:
     """Add rca: a cell's share of its column over its row's share of everything. ``matrix`` has a row per cell.
 
-    Totals are grouped sums that are joined back, so that the matrix never meets in one task."""
-    out = matrix
+    Totals are grouped sums that are joined back, so that the matrix never meets in one task. It is stored first, as cells and totals
+    are all made from it."""
+    out = matrix = cut_lineage(matrix)
     for name, by in (("_column", [*within, column]), ("_row", [*within, row])):
         out = join_on(out, matrix.groupBy(*by).agg(F.sum(value).alias(name)), by)
     whole = matrix.groupBy(*within).agg(F.sum(value).alias("_all"))

@@ -6,11 +6,13 @@ such minutes that lie below it. All samples are one job: ``sample`` is a column.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cubespark.functions.scalars import clamped_normal, uniform
-from cubespark.operators.ordered import running_total
+from cubespark.operators.ordered import join_on, running_total
 from cubespark.sources.store import cut_lineage
 
 # Megabytes an hour by service.
@@ -24,11 +26,24 @@ MB_PER_HOUR = {
 SPREAD = 0.5
 
 
+#: What draws a minute's traffic: of its mean, the seed and the columns that key the draw.
+Sampler = Callable[..., Column]
+
+
+def normal(mean: Column, seed: str, *key: Column) -> Column:
+    return clamped_normal(mean, SPREAD * mean, seed, *key)
+
+
+def by_inverse(quantile: Callable[[Column, Column], Column]) -> Sampler:
+    """A sampler of any distribution, from its inverse: of a uniform number and the mean."""
+    return lambda mean, seed, *key: quantile(uniform(seed, *key), mean)
+
+
 #: Draws that are summed up in one go; a group's blocks are spread over tasks.
 BLOCK = 1 << 16
 
 
-def ticks(groups: DataFrame, seed: str) -> DataFrame:
+def ticks(groups: DataFrame, seed: str, sampler: Sampler = normal) -> DataFrame:
     """(sample, city, service, i, cum): running sums of minutes, past 1.2 times each group's largest traffic; stored.
 
     ``groups``: (sample, city, service, mb_per_hour, most). The number of draws has slack; if a group's sum still falls short, all get
@@ -45,7 +60,7 @@ def ticks(groups: DataFrame, seed: str) -> DataFrame:
         blocks = groups.withColumn("n", n).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / BLOCK))))
         i = F.sequence(F.col("block") * BLOCK + 1, F.least("n", (F.col("block") + 1) * BLOCK))
         draws = blocks.repartition(*key, "block").withColumn("i", F.explode(i))
-        draw = clamped_normal(mean, SPREAD * mean, seed, F.col("sample"), F.col("city"), F.col("service"), F.col("i"))
+        draw = sampler(mean, seed, F.col("sample"), F.col("city"), F.col("service"), F.col("i"))
         sums = cut_lineage(draws.withColumn("draw", draw).select(*key, "block", "i", "most", F.sum("draw").over(own).alias("part")))
         each = sums.groupBy(*key, "block").agg(F.max("part").alias("whole"), F.first("most").alias("most"))
         if each.groupBy(*key).agg(F.sum("whole").alias("c"), F.first("most").alias("m")).where("c < 1.2 * m").isEmpty():
@@ -55,33 +70,36 @@ def ticks(groups: DataFrame, seed: str) -> DataFrame:
 
 
 def count_below(values: DataFrame, marks: DataFrame, by: list[str], value: str, mark: str) -> DataFrame:
-    """Add ``below``: how many marks of the group are less than the value. A union and one running count over ranges; at ties the
-    values come first. A null value has a null count."""
-    rows = values.withColumn("_kind", F.lit(0)).withColumn("_x", F.col(value).cast("double"))
+    """Add ``below``: how many marks of the group are less than the value. A null value has a null count.
+
+    Equal values are one, however many rows have them, so that a value of most rows (a zero) is no task of its own. The distinct ones
+    and the marks are laid end to end in one running count over ranges, at ties the values first, and joined back."""
+    x = F.col(value).cast("double")
+    distinct = values.where(x.isNotNull()).select(*by, x.alias("_x")).distinct().withColumn("_kind", F.lit(0))
     ends = marks.select(*by, F.col(mark).cast("double").alias("_x")).withColumn("_kind", F.lit(1))
-    both = running_total(rows.unionByName(ends, allowMissingColumns=True), by, ["_x", "_kind"], F.col("_kind").cast("long"), "below")
-    below = F.when(F.col(value).isNotNull(), F.col("below"))
-    return both.where("_kind = 0").withColumn("below", below).drop("_kind", "_x")
+    both = running_total(distinct.unionByName(ends), by, ["_x", "_kind"], F.col("_kind").cast("long"), "below")
+    counted = both.where("_kind = 0").drop("_kind")
+    return join_on(values.withColumn("_x", x), counted, [*by, "_x"], "left").drop("_x")
 
 
 def with_samples(cube: DataFrame, n: int) -> DataFrame:
     return cube.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
-def screen_time_individual(cube: DataFrame, rates: DataFrame, n_samples: int, seed: str = "0") -> DataFrame:
+def screen_time_individual(cube: DataFrame, rates: DataFrame, n_samples: int, seed: str = "0", sampler: Sampler = normal) -> DataFrame:
     """The cube in minutes, once per sample, from minute-by-minute draws. Services without a rate drop out."""
     known = cube.join(F.broadcast(rates), "service")  # a literal table
     most = known.groupBy("city", "service", "mb_per_hour").agg(F.max("value").alias("most"))
-    marks = ticks(with_samples(most, n_samples), seed)
+    marks = ticks(with_samples(most, n_samples), seed, sampler)
     rows = with_samples(known.drop("mb_per_hour"), n_samples)
     out = count_below(rows, marks, ["sample", "city", "service"], "value", "cum")
     return out.withColumn("value", F.col("below").cast("double")).drop("below")
 
 
-def screen_time_mean(cube: DataFrame, rates: DataFrame, n_samples: int, seed: str = "0") -> DataFrame:
+def screen_time_mean(cube: DataFrame, rates: DataFrame, n_samples: int, seed: str = "0", sampler: Sampler = normal) -> DataFrame:
     """The cube in minutes, once per sample, from one draw of the rate per sample and service, the same for all cities."""
     mean = F.col("mb_per_hour") / 60
-    drawn = with_samples(rates, n_samples).withColumn("_rate", clamped_normal(mean, SPREAD * mean, seed, F.col("sample"), F.col("service")))
+    drawn = with_samples(rates, n_samples).withColumn("_rate", sampler(mean, seed, F.col("sample"), F.col("service")))
     joined = cube.join(F.broadcast(drawn.drop("mb_per_hour")), "service")  # samples times a literal table
     return joined.withColumn("value", F.try_divide("value", "_rate")).drop("_rate")
 
@@ -89,10 +107,10 @@ def screen_time_mean(cube: DataFrame, rates: DataFrame, n_samples: int, seed: st
 TECHNIQUES = {"individual": screen_time_individual, "mean": screen_time_mean}
 
 
-def screen_time_samples(cube: DataFrame, rates: DataFrame, n_samples: int, technique: str, seed: str = "0") -> DataFrame:
+def screen_time_samples(cube: DataFrame, rates: DataFrame, n_samples: int, technique: str, seed: str = "0", sampler: Sampler = normal) -> DataFrame:
     if technique not in TECHNIQUES:
         raise ValueError(f"unknown sampling technique {technique}")
-    return TECHNIQUES[technique](cube, rates, n_samples, seed)
+    return TECHNIQUES[technique](cube, rates, n_samples, seed, sampler)
 
 
 def sample_times(probability: DataFrame, unit: str, n: int, seed: str = "0") -> DataFrame:

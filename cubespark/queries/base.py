@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cubespark.functions.scalars import clock_of
 from cubespark.operators.geometry import box_ring
 from cubespark.operators.income import FREQUENT, OPEN_AT_NIGHT, log2_income, of_class
+from cubespark.sources.store import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -47,6 +48,11 @@ def cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cube, made once, for queries that use it more than once: it is far smaller than the events."""
+    return cut_lineage(cube(spark, sf_dir))
+
+
 CUBE = """cube as (
   select r_name city, user_id tile, event_type service,
     cast((extract(hour from ts) * 60 + floor(extract(minute from ts) / 15) * 15 + 120) % 1440 / 15 as int) slot,

@@ -11,7 +11,7 @@ from cubespark.operators import indices as X
 from cubespark.operators import mobility as M
 from cubespark.operators.income import cube_by_class, income_classes
 from cubespark.queries.base import (
-    CLASS, CLASSES, CUBE, INCOME, NSI, QS, SALES, TILES, admin, cube, incomes, query, sales, table, tile_boxes,
+    CLASS, CLASSES, CUBE, INCOME, NSI, QS, SALES, TILES, admin, cube, incomes, query, sales, stored_cube, table, tile_boxes,
 )
 
 R = rounded
@@ -48,14 +48,14 @@ def nsi_service_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {CUBE}, {NSI}, {INCOME} select city, tile, round(nsi, 6) + 0 night_index, round(li, 6) + 0 log2_income from nsi join inc using (tile)")
 def nsi_income(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = cube(spark, sf_dir)
+    c = stored_cube(spark, sf_dir)
     got = X.night_index(c, "tile").join(incomes(spark, sf_dir, c), "tile")
     return got.select("city", "tile", R(F.col("night_index")).alias("night_index"), R(F.col("log2_income")).alias("log2_income"))
 
 
 @query(f"with {CUBE}, {NSI}, {CLASS}, {TILES} select city, tile, c income_class, round(nsi, 6) + 0 night_index, x0 xmin, y0 ymin from nsi join cls using (tile) join tile_geo on key = tile")
 def nsi_income_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = cube(spark, sf_dir)
+    c = stored_cube(spark, sf_dir)
     classes = income_classes(incomes(spark, sf_dir, c), QS).where("income_class is not null")
     got = X.night_index(c, "tile").join(classes, "tile").join(tile_boxes(spark, sf_dir).withColumnRenamed("key", "tile"), "tile")
     return got.select("city", "tile", "income_class", R(F.col("night_index")).alias("night_index"), "xmin", "ymin")
@@ -63,7 +63,7 @@ def nsi_income_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {CUBE}, {CLASS} select tile, c income_class from inc left join cls using (tile)")
 def income_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return income_classes(incomes(spark, sf_dir, cube(spark, sf_dir)), QS).select("tile", "income_class")
+    return income_classes(incomes(spark, sf_dir, stored_cube(spark, sf_dir)), QS).select("tile", "income_class")
 
 
 #: Mean over the tiles of a pooled class, absent rows counting as zero.
@@ -72,7 +72,7 @@ bc as (select c, service, slot, sum(v) / any_value(n) v from cube join cls using
 
 
 def by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = cube(spark, sf_dir)
+    c = stored_cube(spark, sf_dir)
     return cube_by_class(c, income_classes(incomes(spark, sf_dir, c), QS))
 
 
@@ -89,7 +89,7 @@ tn as (select city, c, count(*) n from cls group by 1, 2)
 select city, c income_class, service, slot, round(sum(v) / any_value(n), 6) + 0 as value from cube join cls using (city, tile) join tn using (city, c) group by 1, 2, 3, 4"""
 )
 def cube_by_income_city(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = cube(spark, sf_dir)
+    c = stored_cube(spark, sf_dir)
     tiles = c.select("city", "tile").distinct()
     classes = income_classes(tiles.join(incomes(spark, sf_dir, c), "tile"), QS, ("city",))
     return cube_by_class(c, classes, ("city",)).select("city", "income_class", "service", "slot", R(F.col("value")).alias("value"))
@@ -127,7 +127,7 @@ def rca_income_service(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {CUBE}, {CLASS}, {_rca_sql('select c k, service, sum(v) v from cube join cls using (tile) group by 1, 2', 'k', 'service', '')} select k income_class, service, round(rca, 6) + 0 rca from rca""")
 def rca_income_service_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """On sums; classes without tiles stay as zeros."""
-    c = cube(spark, sf_dir)
+    c = stored_cube(spark, sf_dir)
     classes = income_classes(incomes(spark, sf_dir, c), QS).where("income_class is not null")
     sums = c.join(classes, "tile").groupBy("income_class", "service").agg(F.sum("value").alias("value"))
     labels = spark.createDataFrame([(k,) for k in CLASSES], "income_class string").crossJoin(F.broadcast(c.select("service").distinct()))
@@ -262,7 +262,7 @@ select tile, round(nsi, 6) + 0 night_index, round(secs / 60, 6) duration_minutes
 from nsi join inc using (tile) join customer on c_custkey = tile join com on h = c_nationkey where secs < 50 * 60 and li is not null"""
 )
 def commute_nsi_income(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = cube(spark, sf_dir)
+    c = stored_cube(spark, sf_dir)
     home = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("tile"), F.col("c_nationkey").alias("home"))
     got = X.night_index(c, "tile").join(incomes(spark, sf_dir, c), "tile").join(home, "tile").join(commute(spark, sf_dir), "home")
     got = got.where("mean_seconds < 50 * 60 and log2_income is not null").withColumn("minutes", F.col("mean_seconds") / 60)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cubespark.functions.scalars import rounded
 from cubespark.plans import pipelines
 from cubespark.queries.base import (
-    AMENITY, CELL_CUBE, CLASS, CUBE, OVERLAP, QS, TILES, amenities, cell_cube, cube, incomes, open_at_night, query, tile_boxes,
+    AMENITY, CELL_CUBE, CLASS, CUBE, OVERLAP, QS, TILES, amenities, cell_cube, stored_cube, incomes, open_at_night, query, tile_boxes,
 )
 from cubespark.queries.sampling import MEAN_MINUTES, MINUTES, N_SAMPLES, nsi_over, rates, rca_samples_sql
 from cubespark.queries.spatial import BUCKET, SAMPLES, overlaps
@@ -59,7 +59,7 @@ union all {_rows('nsi_income_robust', 'c', {'mean': 'mean', 'std': 'std'}, 'rb')
 union all {_rows('nsi_income_robust_amenity', 'threshold, buffer_m, c', {'night_index': 'a'}, 'ra')}"""
 )
 def pipeline_nsi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = cube(spark, sf_dir)
+    c = stored_cube(spark, sf_dir)
     night = amenities(spark, sf_dir).where(open_at_night())
     tables = pipelines.nsi(c, rates(spark), incomes(spark, sf_dir, c), QS, N_SAMPLES, tile_boxes(spark, sf_dir), night, BUCKET)
     keys = {"nsi_income": ["city", "tile"], "nsi_income_robust": ["income_class"], "nsi_income_robust_amenity": ["threshold", "buffer_m", "income_class"]}
@@ -75,7 +75,7 @@ union all {_rows('rca_samples_mean', 'sample, income_class, service', {'rca': 'w
 union all {_rows('rca_samples_amenity', 'threshold, buffer_m, income_class, service', {'rca': 'q_rca'}, 'q_rca')}"""
 )
 def pipeline_rca(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = cube(spark, sf_dir)
+    c = stored_cube(spark, sf_dir)
     night = amenities(spark, sf_dir).where(open_at_night())
     tables = pipelines.rca(c, rates(spark), incomes(spark, sf_dir, c), QS, N_SAMPLES, tile_boxes(spark, sf_dir), night, BUCKET)
     tables = {name: df.drop("value") for name, df in pipelines.stored(tables).items()}
@@ -93,7 +93,7 @@ union all {_rows('nsi_service', 'city, service', {'night_index': 's_nsi'}, 's_ns
 union all {_rows('rca_income_time', 'c, slot', {'rca': 'a'}, 'tc')}"""
 )
 def pipeline_other(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = cube(spark, sf_dir)
+    c = stored_cube(spark, sf_dir)
     tables = pipelines.stored(pipelines.other(c, rates(spark), incomes(spark, sf_dir, c), QS, tile_boxes(spark, sf_dir)))
     tables["rca_income_time"] = tables["rca_income_time"].drop("value")
     keys = {"nsi_income_geo": ["city", "tile", "income_class"], "nsi_service": ["city", "service"], "rca_income_time": ["income_class", "slot"]}

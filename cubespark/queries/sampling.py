@@ -10,8 +10,10 @@ from cubespark.operators import cube as C
 from cubespark.operators import indices as X
 from cubespark.operators import sampling as M
 from cubespark.operators.income import cube_by_class, income_classes
-from cubespark.queries.base import AMENITY, CLASS, CUBE, NSI, QS, SERVICES, TILES, cube, incomes, query, table
+from cubespark.operators.stats import density
+from cubespark.queries.base import AMENITY, CLASS, CUBE, NSI, QS, SERVICES, TILES, cube, incomes, query, stored_cube, table
 from cubespark.queries.spatial import SAMPLES, samples
+from cubespark.sources.store import cut_lineage
 
 R = S.rounded
 N_SAMPLES = 15
@@ -50,7 +52,7 @@ mst as materialized (select sample, city, tile, service, slot, v / mr v from cub
 
 
 def individual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.screen_time_samples(cube(spark, sf_dir), rates(spark), N_SAMPLES, "individual")
+    return M.screen_time_samples(stored_cube(spark, sf_dir), rates(spark), N_SAMPLES, "individual")
 
 
 @query(f"with {CUBE}, {MINUTES} select cast(sample as int) as sample, city, tile, service, slot, v as minutes_ from st")
@@ -90,7 +92,7 @@ select c income_class, round(avg(a), 6) + 0 mean, round(stddev_samp(a), 6) + 0 s
 )
 def nsi_income_robust_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes over the union of all samples' tiles; mean and deviation over samples of the class means."""
-    index = X.night_index(individual(spark, sf_dir), "tile", ("sample", "city"))
+    index = cut_lineage(X.night_index(individual(spark, sf_dir), "tile", ("sample", "city")))
     classes = income_classes(incomes(spark, sf_dir, index), QS).where("income_class is not null")
     per = index.join(classes, "tile").groupBy("sample", "income_class").agg(F.avg("night_index").alias("a"))
     return per.groupBy("income_class").agg(R(F.avg("a")).alias("mean"), R(F.stddev_samp("a")).alias("std"))
@@ -109,7 +111,7 @@ select threshold, buffer_m, c income_class, round(avg(nsi), 6) + 0 night_index f
 )
 def nsi_income_robust_amenity(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = X.night_index(samples(spark, sf_dir), "tile", ("threshold", "buffer_m", "city"))
-    classes = income_classes(incomes(spark, sf_dir, cube(spark, sf_dir)), QS).where("income_class is not null")
+    classes = income_classes(incomes(spark, sf_dir, stored_cube(spark, sf_dir)), QS).where("income_class is not null")
     got = index.join(classes, "tile").groupBy("threshold", "buffer_m", "income_class").agg(F.avg("night_index").alias("a"))
     return got.select("threshold", "buffer_m", "income_class", R(F.col("a")).alias("night_index"))
 
@@ -123,6 +125,7 @@ rca as (select {scope}, c income_class, service, round((v / nullif(k, 0)) / null
 
 
 def _rca_samples(spark: SparkSession, sf_dir: str, rows: DataFrame, *scope: str) -> DataFrame:
+    rows = cut_lineage(rows)  # for the tiles, their classes and the sums
     tiles = rows.select(*scope, "tile").distinct()
     classes = income_classes(tiles.join(incomes(spark, sf_dir, rows), "tile"), QS, scope)
     sums = C.sum_over(cube_by_class(rows, classes, scope), *scope, "income_class", "service")
@@ -182,12 +185,35 @@ def time_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {CUBE}, {CLASS}, cc as (select service, c, slot, v from cube join cls using (tile) where c <> 'q1'), {_profile_sql('service, c', 'cc')} select k service_class, {PROFILE_OUT} from sp group by k")
 def time_profile_by_income(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lowest against highest class."""
-    c = cube(spark, sf_dir)
+    c = stored_cube(spark, sf_dir)
     classes = income_classes(incomes(spark, sf_dir, c), QS).where("income_class in ('q0', 'q2')")
     key = F.concat_ws(":", "service", "income_class").alias("k")
     return _summary(_drawn(c.join(classes, "tile").groupBy(key, "slot").agg(F.sum("value").alias("value")))).withColumnRenamed("k", "service_class")
 
 
+@query(
+    f"""with {CUBE}, {_profile_sql('service', 'cube')}, b as (select k, count(*) n, stddev_samp(slot) s, quantile_cont(slot::double, 0.75) - quantile_cont(slot::double, 0.25) iqr from sp group by 1),
+h as (select k, n, greatest(0.9 * least(s, case when iqr > 0 then iqr / 1.34 else s end) * n ** -0.2, 0.5) h from b), p as (select unnest(range(0, 191)) / 2.0 as p)
+select k service, cast(p as double) slot, round(sum(exp(-(((p - slot) / h) ** 2) / 2)) / any_value(h * n) / sqrt(2 * pi()), 6) density from sp join h using (k), p group by 1, 2"""
+)
+def time_profile_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shape of each service's times of day: a kernel density at every half slot."""
+    sums = cube(spark, sf_dir).groupBy(F.col("service").alias("k"), "slot").agg(F.sum("value").alias("value"))
+    got = density(cut_lineage(_drawn(sums)), "k", "slot", 0.0, 95.0, 191)
+    return got.select(F.col("k").alias("service"), F.col("at").alias("slot"), R(F.col("density")).alias("density"))
+
+
+@query(
+    f"""with {CUBE}, {RATE}, smp(sample) as (select unnest(range(0, {N_SAMPLES}))), mr as (select sample, service, -(mb / 60) * ln(1 - {_u("'0:' || sample || ':' || service", 0)}) mr from rate cross join smp)
+select cast(sample as int) as sample, city, service, round(sum(v / mr), 6) minutes_ from cube join mr using (service) group by 1, 2, 3"""
+)
+def screen_time_exponential(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With rates of another distribution, given by its inverse."""
+    exponential = M.by_inverse(lambda u, mean: -mean * F.ln(1 - u))
+    got = M.screen_time_samples(cube(spark, sf_dir), rates(spark), N_SAMPLES, "mean", sampler=exponential)
+    return got.groupBy("sample", "city", "service").agg(R(F.sum("value")).alias("minutes_"))
+
+
 @query(f"select o_orderkey, round({_normal('100.0', chr(39) + '5:' + chr(39) + ' || o_orderkey')}, 6) draw from orders")
 def normal_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     draw = S.clamped_normal(F.lit(100.0), F.lit(50.0), "5", F.col("o_orderkey"))

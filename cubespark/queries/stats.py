@@ -15,20 +15,27 @@ R = rounded
 
 
 def regression_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per customer: y the mean order price, x the balance, and control columns in four groups."""
+    """Per customer: y the mean order price, x the balance, and 14 control columns in six groups."""
     o = table(spark, sf_dir, "orders")
-    flags = [F.count_if(F.col("o_orderpriority") == p).cast("double").alias(f"p{i}") for i, p in enumerate(("1-URGENT", "2-HIGH", "5-LOW"))]
-    flags += [F.count_if(F.col("o_orderstatus") == s).cast("double").alias(f"s{s.lower()}") for s in ("F", "O")]
-    per = o.groupBy(F.col("o_custkey").alias("key")).agg(F.avg("o_totalprice").alias("y"), *flags)
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("x"), F.col("c_nationkey").cast("double").alias("nation"))
+    date, price = F.col("o_orderdate"), F.col("o_totalprice")
+    counts = {f"p{i}": F.col("o_orderpriority") == p for i, p in enumerate(("1-URGENT", "2-HIGH", "5-LOW"))}
+    counts |= {f"s{s.lower()}": F.col("o_orderstatus") == s for s in ("F", "O")} | {f"q{i}": F.quarter(date) == i for i in (1, 2, 3)}
+    counts |= {"n": F.lit(True), "weekend": F.dayofweek(date).isin(1, 7)}
+    sums = [F.count_if(c).cast("double").alias(name) for name, c in counts.items()]
+    per = o.groupBy(F.col("o_custkey").alias("key")).agg(F.avg(price).alias("y"), F.min(price).alias("lo"), F.max(price).alias("hi"), *sums)
+    nation = F.col("c_nationkey").cast("double")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("x"), nation.alias("nation"), (nation % 5).alias("zone"))
     return per.join(c, "key")
 
 
-REG = """reg as (select o_custkey key, avg(o_totalprice) y, any_value(c_acctbal) x, any_value(c_nationkey)::double nation,
+REG = """reg as materialized (select o_custkey key, avg(o_totalprice) y, any_value(c_acctbal) x, any_value(c_nationkey)::double nation, any_value(c_nationkey % 5)::double "zone",
+  min(o_totalprice) lo, max(o_totalprice) hi,
   count(*) filter (where o_orderpriority = '1-URGENT')::double p0, count(*) filter (where o_orderpriority = '2-HIGH')::double p1, count(*) filter (where o_orderpriority = '5-LOW')::double p2,
-  count(*) filter (where o_orderstatus = 'F')::double sf, count(*) filter (where o_orderstatus = 'O')::double so
+  count(*) filter (where o_orderstatus = 'F')::double sf, count(*) filter (where o_orderstatus = 'O')::double so,
+  count(*) filter (where quarter(o_orderdate) = 1)::double q1, count(*) filter (where quarter(o_orderdate) = 2)::double q2, count(*) filter (where quarter(o_orderdate) = 3)::double q3,
+  count(*)::double n, count(*) filter (where dayofweek(o_orderdate) in (0, 6))::double weekend
   from orders join customer on o_custkey = c_custkey group by 1)"""
-GROUPS = {"urgency": ["p0", "p1", "p2"], "status": ["sf", "so"], "place": ["nation"]}
+GROUPS = {"urgency": ["p0", "p1", "p2"], "status": ["sf", "so"], "place": ["nation", "zone"], "price": ["lo", "hi"], "season": ["q1", "q2", "q3"], "habit": ["n", "weekend"]}
 
 
 def _fit_sql(name: str, term: str, others: list[str]) -> str:
@@ -51,12 +58,33 @@ def _p_sql(name: str) -> str:
 
 
 def _models_sql(models: list[tuple[str, ...]], groups: dict[str, list[str]]) -> str:
-    fits, rows = [], []
-    for k, model in enumerate(models):
-        used = list(dict.fromkeys(c for name in model for c in groups[name]))
-        fits.append(_fit_sql(f"f{k}", "x", ["one", *used]))
-        rows.append(f"select '{'+'.join(model) or 'none'}' model, cast({len(used)} as int) n_controls, round(b, 4) coefficient, round(se, 4) std_error, round(1 - rss / yss, 4) r2 from f{k}, tss")
-    return f"with {REG}, tss as (select var_pop(y) * count(*) yss from reg), {', '.join(fits)} {' union all '.join(rows)}"
+    """The regressions of y on x and each model's groups. The columns of one group after another are taken out of all others, along a
+    tree of the groups in their order, so that models share what they begin with."""
+    names = list(groups)
+    steps = ["b_ as (select 1.0::double as one, * exclude (key) from reg)"]
+
+    def without(source: str, column: str, kept: list[str], name: str) -> str:
+        rest = ", ".join(f"{r} - {column} * (sum({r} * {column}) over () / sum({column} * {column}) over ()) as {r}" for r in kept)
+        steps.append(f"{name} as materialized (select {rest} from {source})")
+        return name
+
+    def node(model: tuple[str, ...]) -> str:
+        later = [c for g in names[names.index(model[-1]) + 1 if model else 0 :] for c in groups[g]]
+        if model not in known:
+            source = node(model[:-1]) if model else "b_"
+            columns = groups[model[-1]] if model else ["one"]
+            for k, c in enumerate(columns):
+                source = without(source, c, [*columns[k + 1 :], *later, "x", "y"], f"t{len(known)}_{k}")
+            known[model] = source
+        return known[model]
+
+    known, rows = {}, []
+    for model in models:
+        n = sum(len(groups[g]) for g in model)
+        source = node(model)
+        fit = f"select sum(x * y) / sum(x * x) b, sum(x * x) t, sum(y * y) - sum(x * y) ** 2 / sum(x * x) rss, count(*) - {n + 2} free from {source}"
+        rows.append(f"select '{'+'.join(model) or 'none'}' model, cast({n} as int) n_controls, round(b, 4) coefficient, round(sqrt(rss / free / t), 4) std_error, round(1 - rss / yss, 4) r2 from ({fit}), tss")
+    return f"with {REG}, tss as (select var_pop(y) * count(*) yss from reg), {', '.join(steps)} {' union all '.join(rows)}"
 
 
 @query(
@@ -73,7 +101,7 @@ def _models(spark: SparkSession, sf_dir: str, groups: dict[str, list[str]], mode
     return got.select("model", "n_controls", *[R(F.col(c), 4).alias(c) for c in ("coefficient", "std_error", "r2")])
 
 
-PLACE = {"place": ["nation"]}
+PLACE = {"place": GROUPS["place"]}
 
 
 @query(_models_sql(T.nested(["place"]), PLACE))
@@ -104,13 +132,13 @@ def _controls_sql() -> str:
 
 @query(_controls_sql())
 def ols_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With p-values, from Spark's own regression."""
+    """With p-values."""
     rows = T.ols_summary(regression_table(spark, sf_dir), "y", CONTROLLED)
     got = spark.createDataFrame([(a, float(b), float(c), float(d)) for a, b, c, d in rows], "term string, coefficient double, std_error double, p_value double")
     return got.select("term", *[R(F.col(c), 4).alias(c) for c in ("coefficient", "std_error", "p_value")])
 
 
-_BIN = "cast(least(floor((x - lo) / (hi - lo) * 8) + 1, 8) as bigint)"
+_BIN = "cast(least(floor((x - e.lo) / (e.hi - e.lo) * 8) + 1, 8) as bigint)"
 
 
 @query(
@@ -130,6 +158,14 @@ def binned_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.binned_mean(kept, "x", "y", 8).select("bin", R(F.col("mean"), 4).alias("mean"), "n")
 
 
+@query(
+    f"""with {REG}, k as (select sqrt(y) x, y from reg), e as (select min(x) lo, max(x) hi from k) select {_BIN} bin, round(avg(y), 4) mean, count(*) n from k, e group by 1"""
+)
+def binned_mean_rescaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins of equal width in the square root."""
+    return T.binned_mean(regression_table(spark, sf_dir), "y", "y", 8, F.sqrt).select("bin", R(F.col("mean"), 4).alias("mean"), "n")
+
+
 @query(
     f"""with {REG}, m as (select avg(y) a, stddev_samp(y) s from reg), e as (select min(x) lo, max(x) hi from reg)
 select {_BIN} bin, round(avg((y - a) / s), 6) + 0 mean, count(*) n from reg, m, e group by 1"""

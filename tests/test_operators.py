@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cubespark.functions import scalars as S
 from cubespark.operators import cube as C
+from cubespark.operators import geometry as G2
 from cubespark.operators import graph as G
 from cubespark.operators import income as N
 from cubespark.operators import indices as X
@@ -119,9 +120,9 @@ def test_strict_labels_and_concat(toy):
 @settings(max_examples=200, deadline=None)
 @given(st.floats(-50, 150), st.floats(-50, 150), st.floats(1, 80), st.floats(1, 80))
 def test_clipping_a_box_by_a_box(x, y, w, h):
-    ring = [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+    ring = np.array([(x, y), (x + w, y), (x + w, y + h), (x, y + h)])
     want = max(0, min(x + w, 100) - max(x, 0)) * max(0, min(y + h, 100) - max(y, 0))
-    assert abs(P.clip_area(ring, (0, 0, 100, 100)) - want) < 1e-6 * max(1, want)
+    assert abs(G2.ring_areas(G2.clipped_to_box([ring], (0, 0, 100, 100))) - want) < 1e-6 * max(1, want)
 
 
 def test_overlaps_buffers_and_conservation(spark):
@@ -234,6 +235,90 @@ def test_round_trips(spark):
     assert [r.seconds for r in store.log_durations(lines).collect()] == [100]
 
 
+def test_controls_that_depend_on_each_other_share_their_effect(spark):
+    rng = np.random.default_rng(5)
+    n = 300
+    a, b, x = rng.normal(100, 5, n), rng.normal(0, 1, n), rng.normal(3, 2, n)
+    y = 2 * x - a + 0.5 * b + rng.normal(0, 1, n)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(x, a, b, a, 1 - a, y, strict=True)], "x double, a double, b double, a2 double, rest double, y double").repartition(5)
+    size, r = T.triangle(df, "y", ["x", "a", "b", "a2", "rest"])
+    full = np.column_stack((np.ones(n), x, a, b, a, 1 - a))
+    for use in ([0, 1, 2], [0, 1, 2, 3], [0, 1, 3, 4], [1, 3], [0, 1, 2, 3, 4]):
+        columns = full[:, [0, *[1 + i for i in use]]]
+        beta, errors, r2, rank = T.solve(size, r, use)
+        want, _, want_rank, _ = np.linalg.lstsq(columns, y, rcond=None)
+        rss = ((y - columns @ want) ** 2).sum()
+        assert size == n and rank == want_rank == min(len(use) + 1, np.linalg.matrix_rank(columns))
+        assert np.allclose(beta, want, atol=1e-8) and abs(r2 - (1 - rss / ((y - y.mean()) ** 2).sum())) < 1e-9
+        assert np.allclose(errors**2, np.diag(np.linalg.pinv(columns.T @ columns, rcond=1e-12)) * rss / (n - rank), rtol=1e-5)
+    models = T.ols_models(df, "y", "x", {"one": ["a"], "two": ["a2", "rest"]}, T.all_combinations(["one", "two"])).collect()
+    got = {m.model: m.coefficient for m in models}
+    assert got["one"] == pytest.approx(got["one+two"]) and got["two"] == pytest.approx(got["one"])
+    assert T.triangle(df.limit(0), "y", ["x"])[0] == 0
+    summary = {t: (c, p) for t, c, _, p in T.ols_summary(df, "y", ["x", "a", "b"])}
+    assert summary["x"][1] < 1e-12 and summary["x"][0] == pytest.approx(2, abs=0.2)
+
+
+def test_p_values_of_a_simple_fit(spark):
+    assert T.ols_simple(spark.createDataFrame([(1.0, 2.0), (2.0, 4.0), (3.0, 6.0)], "x double, y double"), "x", "y").first().p_value == 0.0
+    assert T.ols_simple(spark.createDataFrame([(1.0, 2.0)], "x double, y double"), "x", "y").first().p_value is None
+    one = T.ols_simple(spark.createDataFrame([(0.0, 0.0), (1.0, 1.0), (2.0, 1.0), (3.0, 3.0), (None, 1.0)], "x double, y double"), "x", "y").first()
+    t = one.slope / math.sqrt(sum((y - one.intercept - one.slope * x) ** 2 for x, y in ((0, 0), (1, 1), (2, 1), (3, 3))) / 2 / 5)
+    assert one.n == 4 and one.p_value == pytest.approx(1 - t / math.sqrt(2 + t * t))  # in closed form for two degrees of freedom
+
+
+def test_density_equals_summed_kernels_and_integrates_to_one(spark):
+    rng = random.Random(9)
+    data = {"a": [rng.gauss(5, 1) for _ in range(400)], "b": [rng.choice([2.0, 2.5, 7.0]) for _ in range(90)], "c": [4.0] * 5}
+    df = spark.createDataFrame([(k, v) for k, x in data.items() for v in [*x, None]], "k string, x double")
+    got = T.density(df, "k", "x", 0.0, 10.0, 401).collect()
+    for k, x in data.items():
+        own = {r["at"]: r.density for r in got if r.k == k}
+        assert len(own) == 401 and sum(own.values()) * 0.025 == pytest.approx(1, abs=0.01)
+        q = np.quantile(x, [0.25, 0.75])
+        std = np.std(x, ddof=1)
+        h = max(0.9 * min(std, (q[1] - q[0]) / 1.34 if q[1] > q[0] else std) * len(x) ** -0.2, 0.025)
+        want = {at: np.mean(np.exp(-(((at - np.array(x)) / h) ** 2) / 2)) / h / math.sqrt(2 * math.pi) for at in own}
+        if h > 0.1:  # linear binning is as fine as the places are to the bandwidth
+            assert all(abs(own[at] - want[at]) < 0.01 * max(want.values()) for at in own)
+
+
+def test_counts_below_a_value_that_most_rows_have(spark):
+    rng = random.Random(12)
+    values = [(rng.choice("ab"), i, rng.choice([0.0] * 18 + [None, rng.uniform(0, 9)])) for i in range(400)]
+    marks = [(g, rng.uniform(-1, 9)) for g in "ab" for _ in range(60)] + [("a", 0.0), ("c", 1.0)]
+    got = Z.count_below(spark.createDataFrame(values, "g string, i long, v double"), spark.createDataFrame(marks, "g string, m double"), ["g"], "v", "m").collect()
+    want = {i: None if v is None else sum(h == g and m < v for h, m in marks) for g, i, v in values}
+    assert {r.i: r.below for r in got} == want and len(got) == 400
+
+
+def test_a_value_of_most_rows_is_one_row_of_the_running_count(spark, monkeypatch):
+    seen = []
+    plain = Z.running_total
+    monkeypatch.setattr(Z, "running_total", lambda rows, *more: seen.append(rows.count()) or plain(rows, *more))
+    values = spark.range(5000).select(F.lit("a").alias("g"), F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(0).cast("double").alias("v"))
+    Z.count_below(values, spark.createDataFrame([("a", 3.0)], "g string, m double"), ["g"], "v", "m").collect()
+    assert seen == [500 + 1]
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.one_of(st.floats(allow_nan=False, allow_infinity=False), st.sampled_from([0.0, -0.0, 5e-324, 1.0, 1.0 + 2**-52, -1e300])), min_size=1, max_size=60))
+def test_quantiles_of_any_doubles(spark, values):
+    got = C.quantiles(spark.createDataFrame([(v,) for v in values], "x double"), "x", [0.0, 0.3, 0.5, 1.0]).first()
+    order = sorted(values)
+    for q, v in zip([0.0, 0.3, 0.5, 1.0], got, strict=True):
+        at = q * (len(order) - 1)
+        low, high = order[math.floor(at)], order[math.ceil(at)]
+        want = low if math.floor(at) == math.ceil(at) else (math.ceil(at) - at) * low + (at - math.floor(at)) * high
+        assert v == pytest.approx(want, rel=1e-12, abs=0)
+
+
+def test_draws_by_an_inverse(spark):
+    mean = spark.range(4000).select(Z.by_inverse(lambda u, m: -m * F.ln(1 - u))(F.lit(3.0), "9", F.col("id")).alias("d"))
+    got = [r.d for r in mean.collect()]
+    assert np.mean(got) == pytest.approx(3, rel=0.05) and np.mean(np.array(got) > 3) == pytest.approx(math.exp(-1), abs=0.02)
+
+
 def test_projection_of_a_known_point(spark):
     x, y = spark.range(1).select(*S.lambert93(F.lit(3.0), F.lit(46.5))).first()
     assert (x, y) == (pytest.approx(700000, abs=0.01), pytest.approx(6600000, abs=0.5))

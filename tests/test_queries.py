@@ -29,9 +29,52 @@ def canonical(row: tuple) -> tuple:
     return tuple(round(x, 4) + 0.0 if isinstance(x, float) else x for x in row)
 
 
+#: What has far fewer values than there are units. A window by these alone would put all of a city's or a slot's units into one task.
+FEW = {"city", "slot", "time", "sample", "threshold", "buffer_m", "service", "income_class"}
+
+
+def hot_steps(df) -> list[str]:
+    """Of a plan: windows whose keys lack the unit, and exchanges into one task, over rows that no aggregation has reduced; products."""
+    found: list[str] = []
+
+    def walk(node) -> None:
+        name = node.getClass().getSimpleName()
+        text = node.simpleString(1000)
+        below = children(node)
+        if name == "WindowExec" and {k.split("#")[0] for k in keys(node.partitionSpec())} <= FEW and not reduced(node):
+            found.append(text)
+        if name == "ShuffleExchangeExec" and "SinglePartition" in text and not reduced(node):
+            found.append(text)
+        if "CartesianProduct" in name:
+            found.append(text)
+        for child in below:
+            walk(child)
+
+    def keys(spec) -> list[str]:
+        return [str(spec.apply(i)) for i in range(spec.size())]
+
+    def children(node) -> list:
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            return [node.inputPlan()]
+        c = node.children()
+        return [c.apply(i) for i in range(c.size())]
+
+    def reduced(node) -> bool:
+        """Whether all rows that reach a node have been grouped, or are a literal table."""
+        below = children(node)
+        name = node.getClass().getSimpleName()
+        if "Aggregate" in name or name in ("LocalTableScanExec", "RDDScanExec", "RangeExec") or "Limit" in name:
+            return True
+        return bool(below) and all(map(reduced, below))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return found
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_its_sql(spark, duck, name):
     df = QUERIES[name](spark, SF)
+    assert not hot_steps(df)
     got = df.collect()
     if name not in ORACLES:
         assert got
