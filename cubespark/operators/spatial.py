@@ -256,11 +256,23 @@ def covered_share(overlaps: DataFrame, unit_area: float | DataFrame) -> DataFram
     return sums.select("dst", (F.col("_a") / unit_area).alias("covered"))
 
 
-def regrid(table: DataFrame, overlaps: DataFrame, unit_area: float | DataFrame, variables: list[str], how: str | dict[str, str], *keep: str, source_area: float = 10_000.0, least: float = 0.8) -> DataFrame:
+def bridge(overlaps: DataFrame, unit_area: float | DataFrame, least: float = 0.8) -> DataFrame:
+    """The overlaps (src, dst, area) of destination units that are covered by more than ``least``. Cubes of any time are moved over
+    it, so it is worth storing once: see regrid_stored()."""
+    return overlaps.join(covered_share(overlaps, unit_area).where(F.col("covered") > least).select("dst"), "dst").select("src", "dst", "area")
+
+
+def regrid(
+    table: DataFrame, overlaps: DataFrame, unit_area: float | DataFrame, variables: list[str], how: How | dict[str, How], *keep: str,
+    source_area: float = 10_000.0, least: float = 0.8,
+) -> DataFrame:
     """Move a table (src, ``keep``, ``variables``) to destination units that are covered by more than ``least``.
 
     One join with the overlaps and one aggregation, whatever the number of times or services among ``keep``.
     """
-    enough = covered_share(overlaps, unit_area).where(F.col("covered") > least).select("dst")
-    joined = table.join(overlaps.join(enough, "dst"), "src")
-    return perform_aggregation(joined, variables, how, "dst", *keep, source_area=source_area)
+    return perform_aggregation(table.join(bridge(overlaps, unit_area, least), "src"), variables, how, "dst", *keep, source_area=source_area)
+
+
+def regrid_stored(table: DataFrame, bridge: DataFrame, variables: list[str], how: How | dict[str, How], *keep: str, source_area: float = 10_000.0) -> DataFrame:
+    """The same from a stored bridge. If both are bucketed by src (store.write_bucketed()), nothing is shuffled below the join."""
+    return perform_aggregation(table.join(bridge.hint("merge"), "src"), variables, how, "dst", *keep, source_area=source_area)

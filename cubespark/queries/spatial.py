@@ -15,6 +15,7 @@ from cubespark.queries.base import (
     AMENITY, CELL_CUBE, COMMUNES, CUBE, DAILY, NIGHT, NSI, OVERLAP, TILES, amenities, boxes, cell_boxes, cell_cube, communes, cube, frequent,
     open_at_night, query, table, tile_boxes,
 )
+from cubespark.sources.store import write_bucketed
 
 BUCKET = 250.0
 R = rounded
@@ -301,10 +302,23 @@ def regrid_commune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("dst", R(F.col("price")).alias("price"))
 
 
-@query(
-    f"""with {OVERLAP}, {CELL_CUBE}, good as (select dst from ov group by 1 having sum(area) / 40000 > 0.8)
+REGRID_CUBE = f"""with {OVERLAP}, {CELL_CUBE}, good as (select dst from ov group by 1 having sum(area) / 40000 > 0.8)
 select dst tile, service, slot, round(sum(v * area / 10000), 6) + 0 as value from cell_cube join ov using (src) join good using (dst) group by 1, 2, 3"""
-)
+
+
+@query(REGRID_CUBE)
 def regrid_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = P.regrid(cell_cube(spark, sf_dir), overlaps(spark, sf_dir), 40_000.0, ["value"], "weighted_sum", "service", "slot")
     return got.select(F.col("dst").alias("tile"), "service", "slot", R(F.col("value")).alias("value"))
+
+
+BUCKETS = 8
+
+
+@query(REGRID_CUBE)
+def regrid_cube_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From tables that are stored once, by cell."""
+    cells = write_bucketed(cell_cube(spark, sf_dir), "cells", "src", BUCKETS)
+    ways = write_bucketed(P.bridge(overlaps(spark, sf_dir), 40_000.0), "bridge", "src", BUCKETS)
+    got = P.regrid_stored(cells, ways, ["value"], "weighted_sum", "service", "slot")
+    return got.select(F.col("dst").alias("tile"), "service", "slot", R(F.col("value")).alias("value"))

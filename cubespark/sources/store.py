@@ -36,6 +36,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def clear(spark: SparkSession) -> int:
     """Delete the intermediate tables that this process has made so far, once the results that read them have been written; how many."""
     n = 0
+    while _tables:
+        spark.sql(f"drop table if exists {_tables.pop()}")
     while _made:
         path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
         n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -49,6 +51,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_tables: list[str] = []
+
+
+def write_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """``df`` as a table below the shared folder, hashed into ``buckets`` by ``key`` and sorted by it: tables of the same key and
+    number of buckets are joined on it without moving a row. clear() drops it."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(table)
+    _tables.append(table)
+    return spark.table(table)
+
+
 def write_cube(cube: DataFrame, path: str, *partitions: str) -> None:
     """A cube as Parquet, partitioned by city unless other columns are named."""
     cube.write.partitionBy(*(partitions or ("city",))).parquet(path)
