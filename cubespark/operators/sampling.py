@@ -123,3 +123,42 @@ def sample_times(probability: DataFrame, unit: str, n: int, seed: str = "0") ->
     found = count_below(draws, cdf.select(unit, "_cum"), [unit], "u", "_cum").join(slots, unit)
     last = F.size("_slots")
     return found.select(unit, "i", F.element_at("_slots", F.least(F.col("below").cast("int") + 1, last)).alias("slot"))
+
+
+def alias_tables(probability: DataFrame, unit: str) -> DataFrame:
+    """(unit, table): an array of (slot, keep, other) for each unit's weights p over slots, of which a draw takes an entry at random, then
+    its slot with the probability ``keep``, else the other.
+
+    With weights scaled to a mean of one, light slots lack what heavy ones have too much of. Both are laid end to end in the order of
+    slots: a light slot is filled up by the heavy one whose span of excess holds the place where its own lack begins; a heavy one that
+    has given more than its excess is filled up by the next. So sums up to each slot are all that the table needs."""
+    mean = F.avg("p").over(Window.partitionBy(unit))
+    upto = Window.partitionBy(unit, "_heavy").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
+    rows = probability.where("p > 0").withColumn("_w", F.col("p") / mean).withColumn("_heavy", F.col("_w") > 1)
+    rows = rows.withColumn("_gap", F.abs(F.col("_w") - 1)).withColumn("_sum", F.sum("_gap").over(upto))
+    entry = F.struct("slot", F.col("_w").alias("w"), F.col("_gap").alias("gap"), F.col("_sum").alias("sum"))
+    sides = [F.array_sort(F.collect_list(F.when(side, entry))).alias(name) for name, side in (("_light", ~F.col("_heavy")), ("_high", F.col("_heavy")))]
+    both = rows.groupBy(unit).agg(*sides)  # an entry per slot of the day
+
+    def giver(lack: Column) -> Column:
+        return F.get(F.filter("_high", lambda h: h["sum"] > lack), 0)["slot"]
+
+    light = F.transform("_light", lambda x: F.struct(x["slot"].alias("slot"), x["w"].alias("keep"), F.coalesce(giver(x["sum"] - x["gap"]), x["slot"]).alias("other")))
+
+    def given(h: Column, i: Column) -> Column:
+        past = F.get(F.filter("_light", lambda x: x["sum"] >= h["sum"]), 0)["sum"]
+        after = F.get(F.col("_high"), i + 1)["slot"]
+        keep = F.when(after.isNull() | past.isNull(), 1.0).otherwise(1 - (past - h["sum"]))
+        return F.struct(h["slot"].alias("slot"), keep.alias("keep"), F.coalesce(after, h["slot"]).alias("other"))
+
+    return both.select(unit, F.array_sort(F.concat(light, F.transform("_high", given))).alias("table"))
+
+
+def sample_times_alias(probability: DataFrame, unit: str, n: int, seed: str = "0") -> DataFrame:
+    """(unit, i, slot): n draws with replacement from each unit's weights p over slots, two keyed numbers each. The draws are made beside
+    the unit's table and never shuffled."""
+    draws = alias_tables(probability, unit).withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    size = F.size("table")
+    at = F.least(F.floor(uniform(seed, F.col(unit), F.col("i")) * size), size - 1).cast("int")
+    taken = draws.select(unit, "i", F.get("table", at).alias("e"), uniform(seed, F.col(unit), F.col("i"), word=1).alias("u"))
+    return taken.select(unit, "i", F.when(F.col("u") < F.col("e.keep"), F.col("e.slot")).otherwise(F.col("e.other")).alias("slot"))

@@ -176,6 +176,22 @@ def sample_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drawn(sums).withColumn("i", F.col("i").cast("long"))
 
 
+# Of sums up to each slot: the first heavy slot past where a light one's lack begins; the light one that takes a heavy one past its excess.
+@query(
+    f"""with {CUBE}, g as (select service k, slot, sum(v) v from cube group by all having sum(v) > 0), w as (select k, slot, v / avg(v) over (partition by k) w from g),
+s as materialized (select k, slot, w, w > 1 heavy, sum(abs(w - 1)) over (partition by k, w > 1 order by slot) s, count(*) over (partition by k) n, row_number() over (partition by k order by slot) - 1 pos from w),
+nxt as (select k, slot, lead(slot) over (partition by k order by slot) after from s where heavy),
+t as materialized (select k, slot, n, pos, case when not heavy then w when after is null then 1 else coalesce(1 - ((select min(b.s) from s b where b.k = s.k and not b.heavy and b.s >= s.s) - s.s), 1) end keep,
+  case when heavy then coalesce(after, slot) else coalesce((select min(b.slot) from s b where b.k = s.k and b.heavy and b.s > s.s - abs(s.w - 1)), slot) end other from s left join nxt using (k, slot)),
+d as (select k, i, least(floor({_u("'0:' || k || ':' || i", 0)} * n), n - 1) pos, {_u("'0:' || k || ':' || i", 1)} u from (select distinct k, n from t) cross join range(1, {N_DRAWS + 1}) r(i))
+select k, i, case when u < keep then slot else other end slot from d join t using (k, pos)"""
+)
+def sample_times_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sums = cube(spark, sf_dir).groupBy(F.col("service").alias("k"), "slot").agg(F.sum("value").alias("value"))
+    p = C.share(sums, "k", name="p").select("k", "slot", "p")
+    return M.sample_times_alias(p, "k", N_DRAWS).withColumn("i", F.col("i").cast("long"))
+
+
 @query(f"with {CUBE}, {_profile_sql('service', 'cube')} select k service, {PROFILE_OUT} from sp group by k")
 def time_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = cube(spark, sf_dir).groupBy(F.col("service").alias("k"), "slot").agg(F.sum("value").alias("value"))

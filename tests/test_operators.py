@@ -313,6 +313,28 @@ def test_quantiles_of_any_doubles(spark, values):
         assert v == pytest.approx(want, rel=1e-12, abs=0)
 
 
+def test_alias_tables_hold_the_weights(spark):
+    rng = random.Random(14)
+    weights = {k: [rng.choice([0.0, rng.random(), 5 * rng.random() ** 4]) for _ in range(rng.randint(1, 40))] for k in range(25)} | {97: [1.0] * 7, 98: [0.0, 2.0], 99: [3.0]}
+    df = spark.createDataFrame([(k, i, w) for k, x in weights.items() for i, w in enumerate(x)], "k long, slot int, p double")
+    tables = {r.k: r.table for r in Z.alias_tables(df, "k").collect()}
+    for k, x in weights.items():
+        if not sum(x):
+            assert k not in tables
+            continue
+        held = dict.fromkeys(range(len(x)), 0.0)
+        for e in tables[k]:
+            assert -1e-9 <= e.keep <= 1 + 1e-9
+            held[e.slot] += e.keep / len(tables[k])
+            held[e.other] += (1 - e.keep) / len(tables[k])
+        assert len(tables[k]) == sum(w > 0 for w in x) and all(abs(held[i] - w / sum(x)) < 1e-9 for i, w in enumerate(x))
+    drawn = Z.sample_times_alias(df.where("k = 1"), "k", 20000)
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Generate ")]
+    counts = {r.slot: r["count"] / 20000 for r in drawn.groupBy("slot").count().collect()}
+    assert all(abs(counts.get(i, 0) - w / sum(weights[1])) < 0.015 for i, w in enumerate(weights[1]))
+
+
 def test_draws_by_an_inverse(spark):
     mean = spark.range(4000).select(Z.by_inverse(lambda u, m: -m * F.ln(1 - u))(F.lit(3.0), "9", F.col("id")).alias("d"))
     got = [r.d for r in mean.collect()]
