@@ -28,7 +28,7 @@ def night_index(cube: DataFrame, unit: str, scope: tuple[str, ...] = ("city",),
 def night_index_by_cdf(cube: DataFrame, unit: str, scope: tuple[str, ...] = ("city",), value: str = "value") -> DataFrame:
     """The same from cumulative distributions on the dense grid: the definition, for comparison."""
     sums = cube.groupBy(*scope, unit, "slot").agg(F.sum(value).alias(value))
-    grid = dense(sums, cube, *scope, unit, value=value)
+    grid = dense(sums, sums, *scope, unit, value=value)
     cdf = cumulative(share(grid, *scope, unit, value=value), *scope, unit)
     means = cdf.groupBy(*scope, "slot").agg(F.avg("cdf").alias("_mean"))
     gap = F.col("_mean") - F.col("cdf")

@@ -13,6 +13,7 @@ from cubespark.operators.income import cube_by_class, income_classes
 from cubespark.queries.base import (
     CLASS, CLASSES, CUBE, INCOME, NSI, QS, SALES, TILES, admin, cube, incomes, query, sales, stored_cube, table, tile_boxes,
 )
+from cubespark.sources.store import cut_lineage
 
 R = rounded
 
@@ -221,7 +222,7 @@ f as (select loc, slot, (select sum(p) from g h where h.loc = g.loc and h.slot <
 select loc location, round(sum(f - m), 6) + 0 deviation from f join m using (slot) group by 1"""
 )
 def session_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = X.session_probability(sessions(spark, sf_dir))
+    p = cut_lineage(X.session_probability(sessions(spark, sf_dir)))  # for its rows, its locations and its slots
     grid = C.dense(p, p, "location", value="p")
     return X.deviation_from_mean_cdf(grid, "location").select("location", R(F.col("deviation")).alias("deviation"))
 
