@@ -194,13 +194,40 @@ def clipped(ring: np.ndarray, axis: int, edge: float, less: bool) -> np.ndarray:
     return out[np.stack((cross, into), axis=1).ravel()]
 
 
+#: Points up to which a ring is cut point by point: below, calls of numpy take longer than the points.
+FEW_POINTS = 64
+
+
+def _clipped_few(ring: list[list[float]], axis: int, edge: float, less: bool) -> list[list[float]]:
+    """clipped() for a ring of few points, given as lists."""
+    out = []
+    for p, q in zip(ring, ring[1:] + ring[:1], strict=True):
+        a, b = p[axis], q[axis]
+        inside, into = (a <= edge, b <= edge) if less else (a >= edge, b >= edge)
+        if inside != into:
+            t = (edge - a) / (b - a)
+            cross = [p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])]
+            cross[axis] = edge
+            out.append(cross)
+        if into:
+            out.append(q)
+    return out
+
+
 def clipped_to_box(rings: list[np.ndarray], box: tuple[float, float, float, float]) -> list[np.ndarray]:
     out = []
     for ring in rings:
-        for axis, edge, less in ((0, box[0], False), (0, box[2], True), (1, box[1], False), (1, box[3], True)):
-            ring = clipped(ring, axis, edge, less)
-        if len(ring) > 2:
-            out.append(ring)
+        (x0, y0), (x1, y1) = ring.min(axis=0).tolist(), ring.max(axis=0).tolist()
+        sides = ((0, box[0], False, x0 < box[0]), (0, box[2], True, x1 > box[2]), (1, box[1], False, y0 < box[1]), (1, box[3], True, y1 > box[3]))
+        if x1 <= box[0] or x0 >= box[2] or y1 <= box[1] or y0 >= box[3]:
+            continue
+        few = len(ring) <= FEW_POINTS
+        cut = ring.tolist() if few else ring
+        for axis, edge, less, crossed in sides:
+            if crossed and len(cut):
+                cut = _clipped_few(cut, axis, edge, less) if few else clipped(cut, axis, edge, less)
+        if len(cut) > 2:
+            out.append(np.array(cut) if few else cut)
     return out
 
 

@@ -79,6 +79,21 @@ def test_parts_make_up_the_polygon_and_are_bounded(seed, n, most):
         assert whole == (abs(G.ring_areas(held) - side**2) < 1e-9 * side**2)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.integers(0, 10**6), st.integers(4, 200))
+def test_rings_of_few_and_many_points_are_cut_alike(seed, n):
+    rng = random.Random(seed)
+    ring, box = np.array(star(rng, 0, 0, 10, n)), (rng.uniform(-9, 0), rng.uniform(-9, 0), rng.uniform(0, 9), rng.uniform(0, 9))
+    many = ring
+    for axis, edge, less in ((0, box[0], False), (0, box[2], True), (1, box[1], False), (1, box[3], True)):
+        many = G.clipped(many, axis, edge, less)
+    few = G.clipped_to_box([ring], box)
+    assert abs(G.ring_areas(few) - G.ring_areas([many])) < 1e-9
+    corners = [(box[0], box[1]), (box[2], box[1]), (box[2], box[3]), (box[0], box[3])]
+    want = sum(convex_area([(0.0, 0.0), *e], corners) for e in zip(map(tuple, ring), map(tuple, np.roll(ring, -1, axis=0)), strict=True))
+    assert abs(G.ring_areas(few) - want) < 1e-6
+
+
 @pytest.fixture(scope="module")
 def shapes():
     """Stars of sizes from 1 to 1000, some with a hole or a second part: (key, polygons, stars with signs)."""
