@@ -193,7 +193,7 @@ def points_near_polygons(shapes: DataFrame, points: DataFrame, radius: float, si
     s = with_cells(leveled, size, margin=radius).alias("s")
     away = G.segment_distance2(*[F.col(f"s.{c}") for c in ("x0", "y0", "x1", "y1")], F.col("p.x"), F.col("p.y"))
     near = s.join(_points_at(points, levels_of(leveled), size).alias("p"), here & (away <= radius * radius)).select("s.key", "p.id", "p.code")
-    parts = polygon_parts(rings, size, most)
+    parts = cut_lineage(polygon_parts(rings, size, most))  # for its levels and the join
     inside = F.col("s.whole") | (G.winding(F.col("s.part"), F.col("p.x"), F.col("p.y")) > 0)
     within = parts.alias("s").join(_points_at(points, levels_of(parts), size).alias("p"), here).where(inside)
     return near.unionByName(within.select(F.col("s.dst").alias("key"), "p.id", "p.code")).distinct()

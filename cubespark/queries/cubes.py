@@ -11,7 +11,7 @@ from cubespark.operators import geometry as G
 from cubespark.operators import income as N
 from cubespark.operators.spatial import box_geometry
 from cubespark.queries.base import COMMUNES, CUBE, INCOME, SALES, SERVICES, admin, communes, cube, incomes, query, sales, table, tile_boxes
-from cubespark.sources import geojson, store
+from cubespark.sources import geojson, store, synthetic
 
 R = S.rounded
 
@@ -82,8 +82,7 @@ from t cross join s cross join sl"""
 def synthetic_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     tiles, services, slots = e.select(F.col("user_id").alias("tile")).distinct(), e.select(F.col("event_type").alias("service")).distinct(), e.select(F.hour("ts").alias("slot")).distinct()
-    grid = tiles.crossJoin(F.broadcast(services)).crossJoin(F.broadcast(slots))  # the two are labels: a few rows, and 24
-    return grid.withColumn("value", F.floor(100 * S.uniform("7", F.col("tile"), F.col("service"), F.col("slot"))).cast("int"))
+    return synthetic.cube(tiles, services, slots, seed="7").withColumn("value", F.col("value").cast("int"))
 
 
 @query(
@@ -93,9 +92,7 @@ select strftime(d + to_minutes(15 * cast(m as bigint)), '%Y-%m-%d %H:%M:%S') mom
 )
 def datetime_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = table(spark, sf_dir, "events").agg(F.min(F.to_date("ts")).alias("a"), F.max(F.to_date("ts")).alias("b"))
-    days = ends.select(F.explode(F.sequence("a", "b")).alias("d"))
-    grid = days.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(95))))
-    return grid.select(F.concat(F.col("d").cast("string"), F.lit(" "), S.clock_of(F.col("slot") * 900)).alias("moment"), "slot")
+    return synthetic.moments(ends, "a", "b", 15).select("moment", "slot")
 
 
 @query("""select cast(extract(hour from ts) * 60 + extract(minute from ts) as int) "seconds", count(*) n from events group by 1""")
