@@ -73,7 +73,7 @@ def amenity_counts_near(shapes: DataFrame, amenities: DataFrame, radius: float,
 def zonal_mean(zones: DataFrame, units: DataFrame, value: str, size: float) -> DataFrame:
     """(key, value): the mean of the zones (key, geometry, value) that units (key, geometry) overlap, weighted by area."""
     pairs = polygon_overlaps(zones, units, size)
-    joined = pairs.join(zones.select(F.col("key").alias("src"), value), "src")
+    joined = pairs.join(zones.select(F.col("key").alias("src"), value).hint("merge"), "src")
     return perform_aggregation(joined, [value], "weighted_mean", "dst").withColumnRenamed("dst", "key")
 
 

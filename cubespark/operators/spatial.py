@@ -3,7 +3,8 @@
 Cells of level l have the side ``size`` * 2 ** l. A shape stands at the level whose cells are at least as wide and as high as it is, so it
 touches four of them at most, however large it is. Shapes of different levels meet in the larger one's cells: the smaller one also
 takes the cells that it touches at the levels that the other side has, again four of each. A pair of boxes is kept once, in the cell
-of the lower left corner of its overlap. Nothing is broadcast by hand and no pair of distant shapes is made.
+of the lower left corner of its overlap. No pair of distant shapes is made. Nothing is broadcast: tables of shapes are few bytes for many
+rows, so both sides are dealt by cell over a number of tasks that grows with the rows, and merged.
 
 A polygon that is to be overlapped is first cut into disjoint parts, each in one cell: cells that it covers are taken whole and only
 cells that its boundary crosses are clipped. So a small shape meets the few edges near it instead of a large polygon's all, and parts
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cubespark.operators import geometry as G
-from cubespark.operators.ordered import join_on
+from cubespark.operators.ordered import join_on, tasks_for
 from cubespark.sources.store import cut_lineage
 
 BOX = ("xmin", "ymin", "xmax", "ymax")
@@ -49,6 +50,11 @@ def levels_of(leveled: DataFrame) -> Column:
     return leveled.agg(F.collect_set("level").alias("levels")).scalar()
 
 
+def _above(leveled: DataFrame, others: DataFrame) -> DataFrame:
+    """The boxes that stand above the lowest level of others: only those can meet one from above."""
+    return leveled.where(F.col("level") > F.array_min(levels_of(others)))
+
+
 def with_cells(leveled: DataFrame, size: float, levels: Column | None = None, above: bool = False, margin: float = 0.0) -> DataFrame:
     """A row for each cell (level, cx, cy) that a box touches at its own level; or at those of ``levels`` that are not below it, or, if
     ``above``, that are above it."""
@@ -62,6 +68,15 @@ def with_cells(leveled: DataFrame, size: float, levels: Column | None = None, ab
     return leveled.withColumn("cx", F.explode(across)).withColumn("cy", F.explode(up))
 
 
+CELL = ("level", "cx", "cy")
+
+
+def _dealt(s: DataFrame, p: DataFrame, n: int, names: str) -> tuple[DataFrame, DataFrame]:
+    """Two tables of cells as both sides of a join on them, in ``n`` tasks and under the names of one letter."""
+    s, p = (t.repartition(n, *CELL).alias(name) for t, name in zip((s, p), names, strict=True))
+    return s, p.hint("merge")
+
+
 def _same_cell(a: str, b: str) -> Column:
     return (F.col(f"{a}.level") == F.col(f"{b}.level")) & (F.col(f"{a}.cx") == F.col(f"{b}.cx")) & (F.col(f"{a}.cy") == F.col(f"{b}.cy"))
 
@@ -69,10 +84,11 @@ def _same_cell(a: str, b: str) -> Column:
 def box_overlaps(src: DataFrame, dst: DataFrame, size: float) -> DataFrame:
     """(src, dst, area) of all pairs of boxes that overlap. Inputs: (key, xmin, ymin, xmax, ymax). ``size`` is the side of the
     smallest cells: about that of the smaller boxes."""
+    n = tasks_for(src, dst)
     src, dst = with_level(src.select("key", *BOX), size), with_level(dst.select("key", *BOX), size)
 
     def pairs(s: DataFrame, d: DataFrame) -> DataFrame:
-        s, d = s.alias("s"), d.alias("d")
+        s, d = _dealt(s, d, n, "sd")
         x0, y0 = F.greatest("s.xmin", "d.xmin"), F.greatest("s.ymin", "d.ymin")
         width, height = F.least("s.xmax", "d.xmax") - x0, F.least("s.ymax", "d.ymax") - y0
         here = _same_cell("s", "d")
@@ -82,7 +98,7 @@ def box_overlaps(src: DataFrame, dst: DataFrame, size: float) -> DataFrame:
         return met.select(F.col("s.key").alias("src"), F.col("d.key").alias("dst"), (width * height).cast("double").alias("area"))
 
     up = pairs(with_cells(src, size, levels_of(dst)), with_cells(dst, size))
-    down = pairs(with_cells(src, size), with_cells(dst, size, levels_of(src), above=True))
+    down = pairs(with_cells(_above(src, dst), size), with_cells(dst, size, levels_of(src), above=True))
     return up.unionByName(down)
 
 
@@ -108,6 +124,12 @@ def _parts(size: float, most: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
     return run
 
 
+def _rings(shapes: DataFrame, n: int) -> DataFrame:
+    """(key, rings): the signed rings of shapes (key, geometry) that have some, dealt over ``n`` tasks."""
+    dealt = shapes.select("key", "geometry").repartition(n, "key")
+    return dealt.select("key", G.signed_rings(F.col("geometry")).alias("rings")).where("size(rings) > 0")
+
+
 def polygon_parts(shapes: DataFrame, size: float, most: int = PARTS) -> DataFrame:
     """(dst, level, cx, cy, whole, part): the polygons (key, rings) cut into disjoint parts, signed rings each in one cell; ``whole`` if
     the part is its cell. At most ``most`` parts, or the four cells that the polygon stands in."""
@@ -126,7 +148,7 @@ def _areas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def polygon_overlaps(src: DataFrame, dst: DataFrame, size: float, most: int = PARTS) -> DataFrame:
     """(src, dst, area) of all pairs of polygons that overlap, concave ones and those with holes or several parts too. Inputs: (key,
     geometry), see cubespark.operators.geometry; a null or empty geometry overlaps nothing."""
-    src, dst = (t.select("key", G.signed_rings(F.col("geometry")).alias("rings")).where("size(rings) > 0") for t in (src, dst))
+    src, dst = (_rings(t, tasks_for(t)) for t in (src, dst))
     area = [f"src {dict(src.dtypes)['key']}", f"dst {dict(dst.dtypes)['key']}", "area double"]
     # Each is read for its levels and for both joins, so both are stored.
     boxed = cut_lineage(with_level(src.select("key", "rings", *G.bounds(F.col("rings"))), size))
@@ -134,9 +156,10 @@ def polygon_overlaps(src: DataFrame, dst: DataFrame, size: float, most: int = PA
     side, own = _side("level", size), F.col("level")
     corner = [(F.col("cx") * side).alias("xmin"), (F.col("cy") * side).alias("ymin"), ((F.col("cx") + 1) * side).alias("xmax"), ((F.col("cy") + 1) * side).alias("ymax")]
     placed = parts.select("*", *corner)
+    n = tasks_for(boxed, parts)
 
     def pairs(s: DataFrame, d: DataFrame) -> DataFrame:
-        s, d = s.alias("s"), d.alias("d")
+        s, d = _dealt(s, d, n, "sd")
         near = (F.col("s.xmin") < F.col("d.xmax")) & (F.col("d.xmin") < F.col("s.xmax")) & (F.col("s.ymin") < F.col("d.ymax")) & (F.col("d.ymin") < F.col("s.ymax"))
         return s.join(d, _same_cell("s", "d") & near).select(F.col("s.key").alias("src"), "d.dst", "s.rings", "d.part")
 
@@ -145,8 +168,9 @@ def polygon_overlaps(src: DataFrame, dst: DataFrame, size: float, most: int = PA
     raised = placed.withColumn("_levels", levels_of(boxed)).withColumn("_to", F.explode(F.filter("_levels", lambda l: l > own)))
     shrink = F.pow(F.lit(2.0), F.col("_to") - own)
     raised = raised.withColumns({"cx": F.floor(F.col("cx") / shrink), "cy": F.floor(F.col("cy") / shrink), "level": F.col("_to")})
-    every = up.unionByName(pairs(with_cells(boxed, size), raised)).mapInArrow(_areas, ", ".join(area))
-    return every.groupBy("src", "dst").agg(F.sum("area").alias("area")).where("area > 1e-9")
+    every = up.unionByName(pairs(with_cells(_above(boxed, parts), size), raised)).mapInArrow(_areas, ", ".join(area))
+    # Most pairs share one part: there is little to add up before the rows are dealt.
+    return every.repartition(n, "src", "dst").groupBy("src", "dst").agg(F.sum("area").alias("area")).where("area > 1e-9")
 
 
 def box_geometry(boxes: DataFrame) -> DataFrame:
@@ -162,8 +186,7 @@ def ring_overlaps(boxes: DataFrame, rings: DataFrame, size: float) -> DataFrame:
 def points_in_buffer(boxes: DataFrame, points: DataFrame, radius: float, size: float) -> DataFrame:
     """(key, code) of points (code, x, y) within ``radius`` of boxes: the exact buffer with round corners."""
     leveled = with_level(boxes.select("key", *BOX), size, radius)
-    b = with_cells(leveled, size, margin=radius).alias("b")
-    p = _points_at(points, levels_of(leveled), size).alias("p")
+    b, p = _dealt(with_cells(leveled, size, margin=radius), _points_at(points, levels_of(leveled), size), tasks_for(boxes, points), "bp")
     dx = F.greatest(F.col("b.xmin") - F.col("p.x"), F.lit(0.0), F.col("p.x") - F.col("b.xmax"))
     dy = F.greatest(F.col("b.ymin") - F.col("p.y"), F.lit(0.0), F.col("p.y") - F.col("b.ymax"))
     here = _same_cell("b", "p")
@@ -182,7 +205,8 @@ def points_near_polygons(shapes: DataFrame, points: DataFrame, radius: float, si
 
     Near is what has a boundary segment within the radius; segments stand in the grid by themselves, so a long boundary isn't one row.
     Inside is what lies in a cell that the polygon covers, or has a winding number about the part in its cell."""
-    rings = shapes.select("key", G.signed_rings(F.col("geometry")).alias("rings")).where("size(rings) > 0")
+    n_tasks = tasks_for(shapes, points)
+    rings = cut_lineage(_rings(shapes, n_tasks))  # for its segments, their levels and the parts
     here = _same_cell("s", "p")
     each = rings.select("key", F.explode("rings").alias("ring"))
     n = F.size("ring")
@@ -190,13 +214,17 @@ def points_near_polygons(shapes: DataFrame, points: DataFrame, radius: float, si
     ends = each.select("key", F.explode(ends).alias("e")).select("key", *[F.col(f"e.{e}.{c}").alias(f"{c}{i}") for i, e in enumerate("ab") for c in "xy"])
     low, high = [F.least(f"{c}0", f"{c}1").alias(f"{c}min") for c in "xy"], [F.greatest(f"{c}0", f"{c}1").alias(f"{c}max") for c in "xy"]
     leveled = with_level(ends.select("*", *low, *high), size, radius)
-    s = with_cells(leveled, size, margin=radius).alias("s")
+    s, p = _dealt(with_cells(leveled, size, margin=radius), _points_at(points, levels_of(leveled), size), n_tasks, "sp")
     away = G.segment_distance2(*[F.col(f"s.{c}") for c in ("x0", "y0", "x1", "y1")], F.col("p.x"), F.col("p.y"))
-    near = s.join(_points_at(points, levels_of(leveled), size).alias("p"), here & (away <= radius * radius)).select("s.key", "p.id", "p.code")
+    near = s.join(p, here & (away <= radius * radius))
+    # A point meets the segments of a shape in its own cell, level by level: most repeats go where they are made.
+    near = near.select(*[f"s.{c}" for c in CELL], "s.key", "p.id", "p.code").distinct().select("key", "id", "code")
     parts = cut_lineage(polygon_parts(rings, size, most))  # for its levels and the join
     inside = F.col("s.whole") | (G.winding(F.col("s.part"), F.col("p.x"), F.col("p.y")) > 0)
-    within = parts.alias("s").join(_points_at(points, levels_of(parts), size).alias("p"), here).where(inside)
-    return near.unionByName(within.select(F.col("s.dst").alias("key"), "p.id", "p.code")).distinct()
+    s, p = _dealt(parts, _points_at(points, levels_of(parts), size), n_tasks, "sp")
+    within = s.join(p, here).where(inside)
+    both = near.unionByName(within.select(F.col("s.dst").alias("key"), "p.id", "p.code"))
+    return both.repartition(n_tasks, "key", "id").distinct()
 
 
 # -- aggregation over overlaps -----------------------------------------------------------------------------------------
@@ -252,14 +280,15 @@ def covered_share(overlaps: DataFrame, unit_area: float | DataFrame) -> DataFram
     """(dst, covered): the part of each destination unit that sources cover. ``unit_area``: a number, or (dst, unit_area)."""
     sums = overlaps.groupBy("dst").agg(F.sum("area").alias("_a"))
     if isinstance(unit_area, DataFrame):
-        return sums.join(unit_area, "dst").select("dst", F.try_divide("_a", "unit_area").alias("covered"))
+        return sums.join(unit_area.hint("merge"), "dst").select("dst", F.try_divide("_a", "unit_area").alias("covered"))
     return sums.select("dst", (F.col("_a") / unit_area).alias("covered"))
 
 
 def bridge(overlaps: DataFrame, unit_area: float | DataFrame, least: float = 0.8) -> DataFrame:
     """The overlaps (src, dst, area) of destination units that are covered by more than ``least``. Cubes of any time are moved over
     it, so it is worth storing once: see regrid_stored()."""
-    return overlaps.join(covered_share(overlaps, unit_area).where(F.col("covered") > least).select("dst"), "dst").select("src", "dst", "area")
+    covered = covered_share(overlaps, unit_area).where(F.col("covered") > least).select("dst")
+    return overlaps.join(covered.hint("merge"), "dst").select("src", "dst", "area")
 
 
 def regrid(
@@ -270,7 +299,7 @@ def regrid(
 
     One join with the overlaps and one aggregation, whatever the number of times or services among ``keep``.
     """
-    return perform_aggregation(table.join(bridge(overlaps, unit_area, least), "src"), variables, how, "dst", *keep, source_area=source_area)
+    return perform_aggregation(table.join(bridge(overlaps, unit_area, least).hint("merge"), "src"), variables, how, "dst", *keep, source_area=source_area)
 
 
 def regrid_stored(table: DataFrame, bridge: DataFrame, variables: list[str], how: How | dict[str, How], *keep: str, source_area: float = 10_000.0) -> DataFrame:

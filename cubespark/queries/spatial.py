@@ -312,13 +312,15 @@ def regrid_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("dst").alias("tile"), "service", "slot", R(F.col("value")).alias("value"))
 
 
-BUCKETS = 8
+#: Rows of the line items for a bucket, of which a task sorts one; and the least number of them.
+BUCKET_ROWS, BUCKETS = 500_000, 8
 
 
 @query(REGRID_CUBE)
 def regrid_cube_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From tables that are stored once, by cell."""
-    cells = write_bucketed(cell_cube(spark, sf_dir), "cells", "src", BUCKETS)
-    ways = write_bucketed(P.bridge(overlaps(spark, sf_dir), 40_000.0), "bridge", "src", BUCKETS)
+    buckets = max(BUCKETS, -(-table(spark, sf_dir, "lineitem").count() // BUCKET_ROWS))
+    cells = write_bucketed(cell_cube(spark, sf_dir), "cells", "src", buckets)
+    ways = write_bucketed(P.bridge(overlaps(spark, sf_dir), 40_000.0), "bridge", "src", buckets)
     got = P.regrid_stored(cells, ways, ["value"], "weighted_sum", "service", "slot")
     return got.select(F.col("dst").alias("tile"), "service", "slot", R(F.col("value")).alias("value"))

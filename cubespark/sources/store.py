@@ -56,11 +56,12 @@ _tables: list[str] = []
 
 def write_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     """``df`` as a table below the shared folder, hashed into ``buckets`` by ``key`` and sorted by it: tables of the same key and
-    number of buckets are joined on it without moving a row. clear() drops it."""
+    number of buckets are joined on it without moving a row. A bucket is one file of one task, sorted there, so that a task has no writer
+    for each bucket and the driver no list of files from each task. clear() drops the table."""
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
     path = shared_path(spark, name)
-    df.write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(table)
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(table)
     _tables.append(table)
     return spark.table(table)
 
