@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cubespark.functions.scalars import clamped_normal, uniform
-from cubespark.operators.ordered import join_on, running_total
+from cubespark.operators.ordered import join_on, running_total, running_totals
 from cubespark.sources.store import cut_lineage
 
 # Megabytes an hour by service.
@@ -82,6 +82,19 @@ def count_below(values: DataFrame, marks: DataFrame, by: list[str], value: str,
     return join_on(values.withColumn("_x", x), counted, [*by, "_x"], "left").drop("_x")
 
 
+def counts_below(values: DataFrame, marks: DataFrame, by: list[str], value: str, mark: str, n_samples: int) -> DataFrame:
+    """Add ``below``: for each sample, how many of its marks in the group are less than the value, as an array; all null for a null value.
+
+    ``marks`` has a column ``sample``, ``values`` has none: a value stands once for all samples, so only the marks are there once for each."""
+    x = F.col(value).cast("double")
+    distinct = values.where(x.isNotNull()).select(*by, x.alias("_x")).distinct().withColumns({"_kind": F.lit(0), "_sample": F.lit(None).cast("int")})
+    ends = marks.select(*by, F.col(mark).cast("double").alias("_x"), F.lit(1).alias("_kind"), F.col("sample").cast("int").alias("_sample"))
+    amounts = {f"_below{k}": F.when(F.col("_sample") == k, 1).otherwise(0).cast("long") for k in range(n_samples)}
+    both = running_totals(distinct.unionByName(ends), by, ["_x", "_kind"], amounts)
+    counted = both.where("_kind = 0").select(*by, "_x", F.array(*amounts).alias("below"))
+    return join_on(values.withColumn("_x", x), counted, [*by, "_x"], "left").drop("_x")
+
+
 def with_samples(cube: DataFrame, n: int) -> DataFrame:
     return cube.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
@@ -91,9 +104,8 @@ def screen_time_individual(cube: DataFrame, rates: DataFrame, n_samples: int, se
     known = cube.join(F.broadcast(rates), "service")  # a literal table
     most = known.groupBy("city", "service", "mb_per_hour").agg(F.max("value").alias("most"))
     marks = ticks(with_samples(most, n_samples), seed, sampler)
-    rows = with_samples(known.drop("mb_per_hour"), n_samples)
-    out = count_below(rows, marks, ["sample", "city", "service"], "value", "cum")
-    return out.withColumn("value", F.col("below").cast("double")).drop("below")
+    out = with_samples(counts_below(known.drop("mb_per_hour"), marks, ["city", "service"], "value", "cum", n_samples), n_samples)
+    return out.withColumn("value", F.get("below", F.col("sample")).cast("double")).drop("below")
 
 
 def screen_time_mean(cube: DataFrame, rates: DataFrame, n_samples: int, seed: str = "0", sampler: Sampler = normal) -> DataFrame:

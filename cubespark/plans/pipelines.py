@@ -30,7 +30,7 @@ def nsi(
 ) -> dict[str, DataFrame]:
     """The night index of one sample with incomes, its class means with deviations over all samples, and the class means of the
     one sample without the tiles of many places ``open_at_night``, by threshold and buffer."""
-    minutes = _minutes(cube, rates, n_samples)
+    minutes, incomes = _minutes(cube, rates, n_samples), cut_lineage(incomes)  # read in each pass of the quantiles
     index = cut_lineage(X.night_index(minutes, "tile", ("sample", "city")))
     classes = income_classes(incomes, qs).where("income_class is not null").drop("log2_income")
     per = index.join(classes, "tile").groupBy("sample", "income_class").agg(F.avg("night_index").alias("a"))
@@ -45,7 +45,7 @@ def nsi(
 
 
 def _rca(rows: DataFrame, incomes: DataFrame, qs: list[float], *scope: str) -> DataFrame:
-    tiles = rows.select(*scope, "tile").distinct().join(incomes, "tile")
+    tiles = cut_lineage(rows.select(*scope, "tile").distinct().join(incomes, "tile"))  # read in each pass of the quantiles
     sums = C.sum_over(cube_by_class(rows, income_classes(tiles, qs, scope), scope), *scope, "income_class", "service")
     return X.comparative_advantage(sums, "income_class", "service", within=scope)
 

@@ -93,7 +93,7 @@ select c income_class, round(avg(a), 6) + 0 mean, round(stddev_samp(a), 6) + 0 s
 def nsi_income_robust_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes over the union of all samples' tiles; mean and deviation over samples of the class means."""
     index = cut_lineage(X.night_index(individual(spark, sf_dir), "tile", ("sample", "city")))
-    classes = income_classes(incomes(spark, sf_dir, index), QS).where("income_class is not null")
+    classes = income_classes(cut_lineage(incomes(spark, sf_dir, index)), QS).where("income_class is not null")
     per = index.join(classes, "tile").groupBy("sample", "income_class").agg(F.avg("night_index").alias("a"))
     return per.groupBy("income_class").agg(R(F.avg("a")).alias("mean"), R(F.stddev_samp("a")).alias("std"))
 
@@ -127,7 +127,7 @@ rca as (select {scope}, c income_class, service, round((v / nullif(k, 0)) / null
 def _rca_samples(spark: SparkSession, sf_dir: str, rows: DataFrame, *scope: str) -> DataFrame:
     rows = cut_lineage(rows)  # for the tiles, their classes and the sums
     tiles = rows.select(*scope, "tile").distinct()
-    classes = income_classes(tiles.join(incomes(spark, sf_dir, rows), "tile"), QS, scope)
+    classes = income_classes(cut_lineage(tiles.join(incomes(spark, sf_dir, rows), "tile")), QS, scope)  # read in each pass of the quantiles
     sums = C.sum_over(cube_by_class(rows, classes, scope), *scope, "income_class", "service")
     got = X.comparative_advantage(sums, "income_class", "service", within=scope)
     return got.select(*scope, "income_class", "service", R(F.col("rca")).alias("rca"))

@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from cubespark.operators import ordered
+from cubespark.operators import ordered, sampling
 from cubespark.operators import spatial as P
 from cubespark.queries import QUERIES
 from cubespark.sources import store
@@ -40,3 +40,24 @@ def test_tasks_grow_with_the_rows(spark, monkeypatch):
     got = P.box_overlaps(boxes, boxes, 2.0)
     assert re.search(r"hashpartitioning\(level#\d+, cx#\d+L, cy#\d+L, 20\)", plan_of(got))
     assert got.where("src = dst and area = 4").count() == got.count() == 100
+
+
+def test_values_are_counted_once_for_all_samples(spark, monkeypatch):
+    values: list[int] = []
+    monkeypatch.setattr(ordered, "cut_lineage", lambda df: values.append(df.where("_kind = 0").count()) or store.cut_lineage(df))
+    cube = spark.range(10).selectExpr("'a' city", "id tile", "'s' service", "1 slot", "if(id = 9, null, id / 2.0D) value")
+    rates = spark.createDataFrame([("s", 60.0)], "service string, mb_per_hour double")
+    got = sampling.screen_time_individual(cube, rates, 5).collect()
+    assert values == [9]
+    marks = sampling.ticks(sampling.with_samples(spark.createDataFrame([("a", "s", 60.0, 4.0)], "city string, service string, mb_per_hour double, most double"), 5), "0").collect()
+    for r in got:
+        below = None if r.tile == 9 else sum(m["sample"] == r["sample"] and m.cum < r.tile / 2 for m in marks)
+        assert r.value == below
+    assert len(got) == 50
+
+
+def test_ties_are_not_below(spark):
+    values = spark.createDataFrame([("g", 1.0), ("g", 2.0), ("g", None), (None, 2.0)], "k string, x double")
+    marks = spark.createDataFrame([("g", 0, 1.0), ("g", 1, 0.5), ("g", 1, 1.5), (None, 0, 1.0)], "k string, sample int, m double")
+    got = {(r.k, r.x): r.below for r in sampling.counts_below(values, marks, ["k"], "x", "m", 2).collect()}
+    assert got == {("g", 1.0): [0, 1], ("g", 2.0): [1, 2], ("g", None): None, (None, 2.0): [1, 0]}
