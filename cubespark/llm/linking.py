@@ -32,8 +32,9 @@ BLOCK = 1024
 BLOCK_MEMBERS = 1 << 20
 #: Edges that one task joins into components.
 SMALL = 1 << 12
-#: Slots in which shingles are counted.
-WEIGHTS = 1 << 20
+#: Slots in which shingles are counted: by their first bits, since those that are known by 48 bits have zeros as their last.
+WEIGHT_BITS = 20
+WEIGHTS = 1 << WEIGHT_BITS
 _EVEN = 0x5555555555555555
 
 
@@ -249,7 +250,7 @@ def _first_tokens(weight: np.ndarray, percent: int):
             rows, tokens, places = [], [], []
             for row, members in enumerate(batch["members"]):
                 token = members.values.to_numpy()
-                rare = weight[token & (len(weight) - 1)]
+                rare = weight[token.view(np.uint64) >> np.uint64(64 - WEIGHT_BITS)]
                 order = np.lexsort((token, rare))[: len(token) - -(-len(token) * percent // 100) + 1]
                 order, place = order[rare[order] > 0], np.flatnonzero(rare[order] > 0)
                 rows.append(np.full(len(order), row))
@@ -266,32 +267,40 @@ def _first_tokens(weight: np.ndarray, percent: int):
 _PLACED = ("id", "hood", "n", *[f"s{i}" for i in range(SKETCH_WORDS)])
 
 
+def _with_major(keyed: DataFrame) -> DataFrame:
+    """The rows whose token stands in several neighbourhoods, with the one that has most of them as ``major``; stored."""
+    sizes = keyed.groupBy("token", "hood").agg(F.count("*").alias("size"))
+    tokens = sizes.groupBy("token").agg(F.max(F.struct("size", "hood")).alias("top"), F.count("*").alias("hoods")).where("hoods > 1")
+    return stash(keyed.join(tokens.select("token", F.col("top.hood").alias("major")).hint("merge"), "token"))
+
+
 def _links_across(buckets: DataFrame, placed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Verified links (a, b) between members of different neighbourhoods that meet in a bucket.
 
     Shingles are put in one order: first those of one neighbourhood only, then by the number of sets that hold them. Of two sets at
     the threshold, each has one of the other's among its first n - threshold * n + 1, so only those are keys. The numbers are counted
-    by hash in WEIGHTS slots, which is all that comes to the driver; any order is right, and one by rarity makes the fewest pairs."""
+    by hash in WEIGHTS slots, which is all that comes to the driver; any order is right, and one by rarity makes the fewest pairs.
+    Of a key's members those outside its largest neighbourhood meet all of other neighbourhoods, so that a large one doesn't meet itself."""
     percent = round(threshold * 100)
     rows = buckets.select("key", "id").join(placed.select("id", "hood").hint("merge"), "id")
     hoods = rows.groupBy("key").agg(F.min("hood").alias("_low"), F.max("hood").alias("_high")).where("_low < _high").select("key")
     mixed = rows.join(hoods.hint("merge"), "key", "left_semi").select("id").distinct()
     placed = placed.select(*[F.col(c).cast("long").alias(c) for c in _PLACED])
     own = stash(mixed.join(placed.hint("merge"), "id").join(sets.hint("merge"), "id"))
-    slots = own.select("hood", F.explode("members").alias("token")).groupBy(F.col("token").bitwiseAND(F.lit(WEIGHTS - 1)).alias("slot"))
+    slots = own.select("hood", F.explode("members").alias("token")).groupBy(F.shiftrightunsigned("token", 64 - WEIGHT_BITS).alias("slot"))
     slots = slots.agg(F.count("*").alias("df"), F.min("hood").alias("_low"), F.max("hood").alias("_high")).where("_low < _high")
     counted = slots.select(F.col("slot").cast("int"), F.least("df", F.lit(2**31 - 1)).cast("int").alias("df")).toPandas()
     weight = np.zeros(WEIGHTS, np.int32)  # 0: in one neighbourhood only
     weight[counted["slot"].to_numpy(int)] = counted["df"].to_numpy(int)
     schema = ", ".join(f"{c} long" for c in (*_PLACED, "token", "place"))
-    keyed = stash(own.select(*_PLACED, "members").mapInArrow(_first_tokens(weight, percent), schema))
-    x, y = keyed.alias("x"), keyed.alias("y")
-    apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.hood") != F.col("y.hood")) & (F.col("x.id") < F.col("y.id"))
+    keyed = _with_major(stash(own.select(*_PLACED, "members").mapInArrow(_first_tokens(weight, percent), schema)))
+    x, y = keyed.where("hood <> major").alias("x"), keyed.alias("y")
+    apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.hood") != F.col("y.hood")) & ((F.col("y.hood") == F.col("y.major")) | (F.col("x.id") < F.col("y.id")))
     # At the first shingle that two sets share, what is left of the shorter rest must be enough for the threshold.
     rest = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
     enough = rest * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
-    pairs = x.join(y.hint("merge"), apart & enough & _near("x", "y", threshold)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    return _verified(pairs, sets, threshold)
+    pairs = x.join(y.hint("merge"), apart & enough & _near("x", "y", threshold)).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    return _verified(pairs.distinct(), sets, threshold)
 
 
 def linked_components(buckets: DataFrame, sketches: DataFrame, sets: DataFrame, threshold: float, small: int = SMALL) -> DataFrame:

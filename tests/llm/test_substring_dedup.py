@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+from cubespark.llm import linking
+from cubespark.llm.common import stash
 from cubespark.llm.substring_dedup import BANDS, MIN_WORDS, ROWS, drop_repeats, repeated_passages, tune_bands
 from tests.llm.conftest import prose
 
@@ -172,3 +174,28 @@ def test_components_of_many_edges_give_the_same(make_docs):
     df = make_docs(rows)
     one, many = (sorted(map(tuple, repeated_passages(df, small=n).collect()), key=str) for n in (1 << 12, 0))
     assert one == many and len(one) >= 60
+
+
+def test_a_common_passage_makes_few_pairs(make_docs, monkeypatch):
+    """Paragraphs that share a passage meet by their rare shingles, and a large neighbourhood doesn't meet itself."""
+    rng = random.Random(24)
+    common = prose(rng, 60, 10**6)
+    texts = [f"{common} {prose(rng, own, 10**6)}" for own in [2, 8, 11, 14, 20, 30, 40, 60] * 30]
+    for _ in range(60):
+        w = common.split()
+        for _ in range(rng.randrange(1, 3)):
+            w[rng.randrange(60)] = f"edit{rng.randrange(40)}"
+        texts.append(" ".join(w))
+    rng.shuffle(texts)
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    pairs, verified = [], linking._verified
+
+    def counted(found, *more):
+        pairs.append(stash(found))
+        return verified(pairs[-1], *more)
+
+    monkeypatch.setattr(linking, "_verified", counted)
+    got = repeated_passages(make_docs(rows)).collect()
+    whole = {(r.doc_id, r.paragraph, r.start, r.end, r.cluster_size, r.removed, r.kept_doc_id) for r in got if r.end - r.start == len(texts[r.doc_id])}
+    assert whole == brute(rows)
+    assert len(pairs) == 2 and pairs[1].count() < 2 * len(rows)  # stars, and pairs across neighbourhoods
