@@ -289,9 +289,9 @@ def _links_across(buckets: DataFrame, placed: DataFrame, sets: DataFrame, thresh
     own = stash(mixed.join(placed.hint("merge"), "id").join(sets.hint("merge"), "id"))
     slots = own.select("hood", F.explode("members").alias("token")).groupBy(F.shiftrightunsigned("token", 64 - WEIGHT_BITS).alias("slot"))
     slots = slots.agg(F.count("*").alias("df"), F.min("hood").alias("_low"), F.max("hood").alias("_high")).where("_low < _high")
-    counted = slots.select(F.col("slot").cast("int"), F.least("df", F.lit(2**31 - 1)).cast("int").alias("df")).toPandas()
+    counted = slots.select(F.col("slot").cast("int"), F.least("df", F.lit(2**31 - 1)).cast("int").alias("df")).toArrow()  # toPandas() makes a Python object of each row
     weight = np.zeros(WEIGHTS, np.int32)  # 0: in one neighbourhood only
-    weight[counted["slot"].to_numpy(int)] = counted["df"].to_numpy(int)
+    weight[counted["slot"].to_numpy()] = counted["df"].to_numpy()
     schema = ", ".join(f"{c} long" for c in (*_PLACED, "token", "place"))
     keyed = _with_major(stash(own.select(*_PLACED, "members").mapInArrow(_first_tokens(weight, percent), schema)))
     x, y = keyed.where("hood <> major").alias("x"), keyed.alias("y")
