@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from cubespark.llm import linking
 from cubespark.llm.common import mix, of_keys, small_batches, stash, with_rank
 from cubespark.llm.text_batch import Group, arrow_task, frame, lists
+from cubespark.sources.store import discard
 
 MIN_WORDS = 15
 SHINGLE = 5
@@ -215,7 +216,9 @@ def repeated_passages(docs: DataFrame, least: int = MIN_WORDS, threshold: float
     live = each.where(~F.coalesce(out, F.lit(False))).select("doc_id", "key", F.col("s.keys").alias("seed"))
     wanted = repeated_seeds(live).join(gone.hint("merge"), "key", "left")
     read = of_keys(keyed, wanted, "key").withColumn("row", F.monotonically_increasing_id())
-    inside = inner_passages(stash(read.select("row", "doc_id", "text", "seeds", "gone").mapInArrow(_grams(), _GRAMS)))
+    grams = stash(read.select("row", "doc_id", "text", "seeds", "gone").mapInArrow(_grams(), _GRAMS))
+    discard(stored)  # the largest table here: the result reads only ``whole`` and ``grams``
+    inside = inner_passages(grams)
     whole = whole.drop("key")
     return whole.unionByName(inside.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in whole.schema]))
 
@@ -229,6 +232,7 @@ def _paragraph_clusters(keyed: DataFrame, signed: DataFrame, least: int, thresho
     read = of_keys(keyed, wanted, "key").select("text", "numbers").mapInArrow(_sets(least), _SETS)
     sets = stash(read.join(involved.hint("merge"), "id", "left_semi").dropDuplicates(["id"]))
     labels = linking.linked_components(buckets, sets.drop("members"), sets.select("id", "members"), threshold, small)
+    discard(sets)
     places = signed.select("doc_id", "key", "paragraph", "start", "end", "id")
     placed = places.join(labels.hint("merge"), "id", "left").withColumn("cluster_id", F.coalesce("label", "id")).drop("label", "id")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "paragraph", "start")).alias("first")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,22 +34,48 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return _made[-1]
 
 
+def _delete(spark: SparkSession, where: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear(spark: SparkSession) -> int:
     """Delete the intermediate tables that this process has made so far, once the results that read them have been written; how many."""
     n = 0
     while _tables:
         spark.sql(f"drop table if exists {_tables.pop()}")
     while _made:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        n += _delete(spark, _made.pop())
     return n
 
 
+#: Whether Spark deletes a query's shuffle files once it has run; else they stay until the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: lineage is cut, and a lost executor costs no recomputation."""
-    path = shared_path(df.sparkSession, "cut")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` as Parquet into the shared folder and read it back: lineage is cut, and a lost executor costs no recomputation.
+    Nothing reads the shuffle files of the write again, so they are deleted as soon as it is done."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession, "cut")
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables as cut_lineage() returned them, once what was made of them is stored too: no later query may read them."""
+    for table in tables:
+        if path := _paths.pop(table, None):
+            _delete(table.sparkSession, path)
+            if path in _made:
+                _made.remove(path)
 
 
 _tables: list[str] = []

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 from cubespark.llm import linking
 from cubespark.llm.common import stash
+from cubespark.llm import substring_dedup
 from cubespark.llm.substring_dedup import BANDS, MIN_WORDS, ROWS, drop_repeats, repeated_passages, tune_bands
 from tests.llm.conftest import prose
 
@@ -199,3 +201,22 @@ def test_a_common_passage_makes_few_pairs(make_docs, monkeypatch):
     whole = {(r.doc_id, r.paragraph, r.start, r.end, r.cluster_size, r.removed, r.kept_doc_id) for r in got if r.end - r.start == len(texts[r.doc_id])}
     assert whole == brute(rows)
     assert len(pairs) == 2 and pairs[1].count() < 2 * len(rows)  # stars, and pairs across neighbourhoods
+
+
+def test_large_tables_go_before_the_result_is_read(make_docs, monkeypatch):
+    """Keys and seeds of all texts, and the sets, are no longer held when the result's own shuffles are; it can still be read twice."""
+    rng = random.Random(25)
+    passage = prose(rng, 60)
+    rows = [(i, f"{prose(rng, 50)} {passage} {prose(rng, 50)}\n{passage}", "s") for i in range(6)]
+    made = []
+
+    def kept(df):
+        made.append((set(df.columns), stash(df)))
+        made[-1] += ({os.path.dirname(f.removeprefix("file://")) for f in made[-1][1].inputFiles()},)
+        return made[-1][1]
+
+    monkeypatch.setattr(substring_dedup, "stash", kept)
+    df = repeated_passages(make_docs(rows))
+    large, rest = ([f for columns, _, at in made for f in at if bool({"keys", "members"} & columns) == big] for big in (True, False))
+    assert len(large) == 2 and not any(map(os.path.exists, large)) and all(map(os.path.exists, rest))
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, df.collect())) and df.count() >= 12

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -393,3 +395,28 @@ def test_intermediate_tables_can_be_deleted(spark, toy):
     with pytest.raises(Exception, match="FILE_NOT_EXIST|PATH_NOT_FOUND|does not exist"):
         kept.count()
     assert store.clear(spark) == 0
+
+
+def test_shuffle_files_go_with_their_write(spark, toy):
+    """They would else stay until the driver collects its garbage, and a job of many tables would hold the shuffles of all."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def blocks() -> set[str]:
+        found = disk.getAllBlocks()
+        return {b.name() for b in map(found.apply, range(found.size())) if b.isShuffle()}
+
+    held = [toy.repartition(3, "tile").groupBy("tile").count() for _ in range(3)]
+    before, until = blocks(), time.time() + 20
+    kept = [store.cut_lineage(x) for x in held]
+    while (left := blocks() - before) and time.time() < until:
+        time.sleep(0.1)
+    assert not left and all(x.count() == y.count() for x, y in zip(held, kept, strict=True))
+    assert spark.conf.get(store._CLEANUP) == "false"  # a user's own queries keep theirs
+
+
+def test_a_discarded_table_is_deleted_alone(spark, toy):
+    one, two = store.cut_lineage(toy), store.cut_lineage(toy)
+    path = one.inputFiles()[0].removeprefix("file://")
+    store.discard(one, toy)  # toy is none of ours
+    store.discard(one)
+    assert not os.path.exists(path) and two.count() == toy.count()
