@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cubespark.functions.scalars import cyclic_seconds, seconds_of
 from cubespark.operators.ordered import join_on
-from cubespark.sources.store import cut_lineage
+from cubespark.sources.store import cut_lineage, is_stored
 
 
 def filter_labels(cube: DataFrame, column: str, labels: list[str], strict: bool = False) -> DataFrame:
@@ -151,9 +151,13 @@ def quantiles(table: DataFrame, column: str, qs: list[float], by: tuple[str, ...
 
     By selection: values are counted in classes, first by their binary exponent and leading digits; only those in the class of a wanted
     rank are counted again, in FINER classes of its range, until it has one value. A double takes a second pass as a rule and five at
-    most. Nothing is sorted or stored but the classes of wanted ranks, and counts are combined before they are shuffled, so no
-    group is one task. ``table`` is read once in each pass: store it first if it is dear."""
+    most. Nothing is sorted, and counts are combined before they are shuffled, so no group is one task.
+
+    The values are stored, unless ``table`` is as cut_lineage() returned it: all passes must read the same ones, and a sum of doubles
+    differs in its last digits each time it is made, as its parts arrive in another order. A value that leaves its class so shifts the
+    ranks or loses one. For the same reason, store a table first whose rows are compared with its own quantiles."""
     rows = table.select(*by, F.col(column).cast("double").alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    rows = rows if is_stored(table) else cut_lineage(rows)
     size = F.floor((F.log2(F.abs("_x")) + 1075) * BINADE) + 1
     first = F.when(F.col("_x") == 0, F.lit(0).cast("long")).otherwise(F.signum("_x").cast("long") * size)
     found = [F.count("*").alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")]
@@ -187,7 +191,8 @@ def quantiles(table: DataFrame, column: str, qs: list[float], by: tuple[str, ...
     for i, q in enumerate(qs):
         at = F.lit(q) * (F.max("_all") - 1)
         low, high = value[2 * i : 2 * i + 2]
-        between.append(F.when(F.floor(at) == F.ceil(at), low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high).alias(f"q{i}"))
+        alone = (F.floor(at) == F.ceil(at)) | (low == high)  # between equal values there is no other, but rounding may make one
+        between.append(F.when(alone, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high).alias(f"q{i}"))
     if not by:
         return wanted.agg(*between)  # a row of nulls if there is no value
     return join_on(table.select(*by).distinct(), wanted.groupBy(*by).agg(*between), list(by), "left")
@@ -197,6 +202,7 @@ def quantile_bands(table: DataFrame, a: tuple[str, float], b: tuple[str, float],
     """Rows whose first column is in its top band and whose second is in its bottom band, marked ``high_low``, or the other
     way round, ``low_high``. A band starts at the column's quantile; ``inclusive`` says whether it holds the edge."""
     (x, p), (y, q) = a, b
+    table = cut_lineage(table)  # the edges are of these very values
     edges = quantiles(table, x, [p, 1 - p]).toDF("x1", "x0").crossJoin(F.broadcast(quantiles(table, y, [1 - q, q]).toDF("y1", "y0")))
     rows = table.crossJoin(F.broadcast(edges))  # one row
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from cubespark.functions.scalars import equal_width_bin
 from cubespark.operators.cube import quantiles
 from cubespark.operators.ordered import join_on
+from cubespark.sources.store import cut_lineage
 
 #: Tasks whose triangles meet in one, in the reduction tree of triangle().
 FAN = 64
@@ -137,7 +138,7 @@ def all_combinations(names: list[str]) -> list[tuple[str, ...]]:
 
 def without_outliers(table: DataFrame, quantile: float, *columns: str) -> DataFrame:
     """Rows whose columns are all at most their own quantile."""
-    kept = table
+    kept = table = cut_lineage(table)  # the quantiles are of these very values
     for c in columns:
         cut = quantiles(table, c, [quantile]).toDF(f"_cut_{c}")
         kept = kept.crossJoin(F.broadcast(cut)).where(F.col(c) <= F.col(f"_cut_{c}")).drop(f"_cut_{c}")  # one row
@@ -181,7 +182,7 @@ def density(samples: DataFrame, unit: str, x: str, low: float, high: float, poin
     step = (high - low) / (points - 1)
     known = samples.where(F.col(x).isNotNull())
     moments = known.groupBy(unit).agg(F.count("*").alias("_n"), F.stddev_samp(x).alias("_std"))
-    quarts = quantiles(known, x, [0.25, 0.75], (unit,))
+    quarts = quantiles(samples, x, [0.25, 0.75], (unit,))
     width = F.coalesce(silverman(F.col("_n"), F.col("_std"), F.col("q1") - F.col("q0")), F.lit(0.0))
     scales = join_on(moments, quarts, [unit]).select(unit, "_n", F.greatest(width, F.lit(step)).alias("_h"))
     place = F.least(F.greatest((F.col(x) - low) / step, F.lit(0.0)), F.lit(float(points - 1)))

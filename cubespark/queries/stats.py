@@ -154,7 +154,7 @@ def hist2d(spark: SparkSession, sf_dir: str) -> DataFrame:
 e as (select min(x) lo, max(x) hi from k) select {_BIN} bin, round(avg(y), 4) mean, count(*) n from k, e group by 1"""
 )
 def binned_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = T.without_outliers(regression_table(spark, sf_dir), 0.99, "x", "y")
+    kept = T.without_outliers(regression_table(spark, sf_dir).select("x", "y"), 0.99, "x", "y")
     return T.binned_mean(kept, "x", "y", 8).select("bin", R(F.col("mean"), 4).alias("mean"), "n")
 
 
@@ -177,7 +177,7 @@ def binned_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {REG}, k as (select key, y from reg, (select quantile_cont(y, 0.95) q from reg) where y <= q), m as (select avg(y) a, stddev_samp(y) s from k) select key, round((y - a) / s, 6) + 0 z from k, m")
 def zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.zscore(regression_table(spark, sf_dir), "y", quantile=0.95).select("key", R(F.col("z")).alias("z"))
+    return T.zscore(regression_table(spark, sf_dir).select("key", "y"), "y", quantile=0.95).select("key", R(F.col("z")).alias("z"))
 
 
 #: Brands are close to each other; at the default of 0.16 no edge would stand out.

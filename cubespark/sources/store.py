@@ -69,6 +69,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return out
 
 
+def is_stored(df: DataFrame) -> bool:
+    """Whether ``df`` is a table as cut_lineage() returned it, which has the same values each time it is read."""
+    return df in _paths
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables as cut_lineage() returned them, once what was made of them is stored too: no later query may read them."""
     for table in tables:

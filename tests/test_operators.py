@@ -363,6 +363,37 @@ def test_quantiles_equal_numpy_in_groups_with_ties_and_gaps(spark):
     assert [list(r) for r in C.quantiles(df.where("g = 'c'"), "x", [0.5]).collect()] == [[None]]
 
 
+def shaken(df, column):
+    """A column that differs in its last digits each time it is read, as a sum of doubles does on several machines."""
+    shake = F.udf(lambda v: v * (1 + 1e-12 * random.SystemRandom().random()), "double").asNondeterministic()
+    return df.withColumn(column, shake(F.col(column)))
+
+
+def test_quantiles_are_of_values_read_once(spark):
+    df = shaken(spark.range(1000).select((F.col("id") % 10 + 1.3).alias("x")), "x")
+    for _ in range(3):
+        assert list(C.quantiles(df, "x", [0.05, 0.4, 0.55, 0.95]).first()) == pytest.approx([1.3, 4.9, 6.3, 10.3], rel=1e-11)
+
+
+def test_bands_of_sums_that_differ_between_readings(spark):
+    df = shaken(spark.range(500).select("id", (F.col("id") % 10 + 1.3).alias("x"), (9.7 - F.col("id") % 10).alias("y")), "x")
+    want = {i: "high_low" if i % 10 > 5 else "low_high" for i in range(500) if i % 10 not in (4, 5)}
+    for inclusive in (True, False):
+        assert {r.id: r.band for r in C.quantile_bands(df, ("x", 0.6), ("y", 0.4), inclusive).collect()} == want
+
+
+def test_outliers_are_by_the_values_that_are_returned(spark):
+    df = shaken(spark.range(101).select(F.col("id").cast("int").alias("id"), (F.col("id") + 0.3).alias("x")), "x")
+    for _ in range(3):
+        assert sorted(r.id for r in T.without_outliers(df, 0.5, "x").collect()) == list(range(51))
+
+
+def test_a_strict_band_leaves_out_values_that_equal_its_edge(spark):
+    df = spark.range(8).select("id", F.lit(1.3).alias("x"), F.col("id").cast("double").alias("y"))
+    assert C.quantiles(df, "x", [0.4]).first() == (1.3,)
+    assert C.quantile_bands(df, ("x", 0.6), ("y", 0.4), False).collect() == []
+
+
 def test_running_totals_over_ranges_equal_plain_sums(spark):
     rng = random.Random(5)
     data = [(rng.choice(["a", "b", None]), rng.randrange(40), i, rng.randrange(5)) for i in range(400)]
